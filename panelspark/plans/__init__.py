@@ -6,7 +6,7 @@ import importlib
 
 from panelspark.plans.registry import REGISTRY, Query
 
-MODULES = ("panel",)
+MODULES = ("panel", "stations", "sessions")
 
 
 def catalog() -> dict[str, Query]:

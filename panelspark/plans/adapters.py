@@ -26,7 +26,7 @@ def ignitions(d: Dialect) -> str:
 
 def observations(d: Dialect) -> str:
     """Line items as station records in source order `seq`; `fwi` and `rain` have gaps."""
-    return f"""select l_suppkey as station, {d.day('l_shipdate')} as day, l_orderkey * 1000000 + l_linenumber * 100000 + l_partkey % 100000 as seq,
+    return f"""select l_suppkey as station, {d.day('l_shipdate')} as day, l_orderkey * 100000000 + l_linenumber * 10000000 + (l_partkey * 1009 + l_suppkey * 31 + cast(l_quantity as bigint)) % 10000000 as seq,
       case when l_linenumber % 5 = 0 then null else cast(l_quantity as bigint) end as fwi,
       cast(l_quantity as bigint) - 20 as temp, case when l_linenumber % 7 = 0 then null else cast(floor(l_tax * 100 + 5e-1) as bigint) end as rain,
       cast(floor(l_discount * 100 + 5e-1) as bigint) as calcstatus, l_returnflag as flag from {d.table('lineitem')}"""

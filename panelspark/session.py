@@ -41,3 +41,17 @@ def checkpoint(df: DataFrame) -> DataFrame:
 def parts_for(df: DataFrame) -> int:
     """How many pieces to cut one large ordered group into."""
     return max(2, min(4096, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))))
+
+
+CUT_CONF = "spark.panelspark.cutBytes"
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Estimated bytes of everything the plan scans (the optimizer's own leaf sizes)."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+
+
+def worth_cutting(df: DataFrame) -> bool:
+    """Whether the input is large enough (32 MB unless configured) for one ordered group to need many tasks."""
+    return input_bytes(df) >= int(df.sparkSession.conf.get(CUT_CONF, str(32 << 20)))
