@@ -96,3 +96,26 @@ def points(d: Dialect) -> str:
 def with_views(d: Dialect, **views) -> str:
     """`WITH` clause naming adapter views."""
     return "with " + ", ".join(f"{name} as ({view(d)})" for name, view in views.items())
+
+
+def site_hours(d: Dialect) -> str:
+    """Weather per site (one of five groups of users) and hour; `cut` hours lack wind."""
+    h = f"cast(floor({d.seconds('ts')} / 3600e0) as bigint) * 3600"
+    return f"""select user_id % 5 as site, {h} as t, cast(max(event_id * 7 % 40) as double) as speed, cast(max(event_id * 37 % 360) as double) as direction,
+      max(event_id % 30) as temp, min(event_id * 7 % 100) as rh, sum(event_id % 3) as rain from {d.table('events')}
+      group by user_id % 5, {h}"""
+
+
+def bins(d: Dialect) -> str:
+    """Three-hour counts per native cell; some counts are unknown."""
+    b = f"cast(floor({d.seconds('ts')} / 10800e0) as bigint) * 10800"
+    return f"""select user_id % 12 as native, {b} as start, case when count(*) % 7 = 0 then null else count(*) end as n
+      from {d.table('events')} group by user_id % 12, {b}"""
+
+
+def season_weather(d: Dialect) -> str:
+    """Daily noon weather per nation of the supplier and year, from line items."""
+    return f"""select cast(s_nationkey as bigint) as site, cast(year(l_shipdate) as bigint) as season, {d.day('l_shipdate')} as day,
+      cast(max(month(l_shipdate)) as int) as month, cast(max(l_quantity) - 15 as double) as temp, cast(min(l_partkey % 90) + 8 as double) as rh,
+      cast(max(l_suppkey * 7 % 37) as double) as wind, cast(greatest(0, max(l_linenumber * 5 + l_partkey % 7) - 31) as double) as rain
+      from {d.table('lineitem')} join {d.table('supplier')} on l_suppkey = s_suppkey group by s_nationkey, year(l_shipdate), {d.day('l_shipdate')}"""
