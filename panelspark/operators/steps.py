@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from panelspark.functions.geo import bearing
+from panelspark.functions.geo import angle_between, bearing
+from panelspark.operators.metrics import set_overlap
 from panelspark.operators.ordered import neighbour
+from panelspark.operators.ranking import top_k
 from panelspark.operators.raster import burned_area
+from panelspark.operators.sessions import growth_geometry
 from panelspark.operators.spatial import candidate_cells, dilate, edge_cells, nearest_cell, neighbour_counts
 from panelspark.session import checkpoint
 
@@ -82,3 +85,31 @@ def rise_from_front(cells: DataFrame, elevation: DataFrame, keys: list[str]) ->
 def previous_step(cells: DataFrame, history: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """What was known of the step's own observation, prefixed `previous_`; NULL when it is not on record."""
     return cells.join(history.select(*keys, *[F.col(c).alias(f"previous_{c}") for c in columns]), keys, "left")
+
+
+def growth_shape(fresh: DataFrame, start: DataFrame, keys: list[str], size: float, prefix: str) -> DataFrame:
+    """90th-percentile distance and head bearing of new cells from the nearest starting cell."""
+    near = nearest_cell(fresh.select(*keys, "x", "y"), start, keys).where(F.col("near_d2").isNotNull())
+    offsets = near.withColumns({"dx": (F.col("x") - F.col("near_x")).cast("double"), "dy": (F.col("y") - F.col("near_y")).cast("double")})
+    shape = growth_geometry(offsets, keys, size)
+    return shape.select(*keys, F.col("distance_p90").alias(f"{prefix}_distance"), F.col("head_bearing").alias(f"{prefix}_bearing"))
+
+
+def even_growth(candidates: DataFrame, keys: list[str], distance: str, cell: str, sizes: DataFrame) -> DataFrame:
+    """The k candidates nearest to the active edge, k = `sizes` (keys, k); equal distances in cell order."""
+    scored = candidates.withColumn("__s", -F.col(distance))
+    return top_k(scored, keys, "__s", cell, sizes).where("selected").drop("__s", "selected", "rank", "rank_min", "rank_max", "midrank", "group_size")
+
+
+def score_steps(predicted: DataFrame, observed: DataFrame, start: DataFrame, candidates: DataFrame, keys: list[str], size: float) -> DataFrame:
+    """Overlap, growth shape, direction error and the even-growth baseline of each step.
+
+    `candidates` has the keys, x, y, a numeric `cell` order and `distance_to_active`.
+    """
+    table = set_overlap(predicted, observed, keys, ["x", "y"])
+    for cells, prefix in ((observed, "observed"), (predicted, "predicted")):
+        table = table.join(growth_shape(cells, start, keys, size, prefix), keys, "left")
+    table = table.withColumn("direction_error", angle_between(F.col("predicted_bearing"), F.col("observed_bearing")))
+    even = even_growth(candidates, keys, "distance_to_active", "cell", table.select(*keys, F.col("predicted").alias("k")))
+    base = set_overlap(even, observed, keys, ["x", "y"]).select(*keys, F.col("iou").alias("even_iou"), F.col("recall").alias("even_recall"))
+    return table.join(base, keys, "left")

@@ -6,7 +6,7 @@ import importlib
 
 from panelspark.plans.registry import REGISTRY, Query
 
-MODULES = ("panel", "stations", "sessions", "weather", "raster")
+MODULES = ("panel", "stations", "sessions", "weather", "raster", "evaluation")
 
 
 def catalog() -> dict[str, Query]:
