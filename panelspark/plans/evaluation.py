@@ -95,7 +95,7 @@ def threshold_tradeoffs(t: Tables):
     return _thresholds(M.threshold_table(t.sql(A.predictions), [], "y", "p", THRESHOLDS, "day"))
 
 
-@query("M8 M7", lambda d: f"""{_w(d)}, {_threshold_sql("select quantile_cont(p, q) from pr, (values (0.5), (0.9), (0.99)) as v(q) where year = 1999 group by q")}""")
+@query("M8 M7", lambda d: f"""{_w(d)}, {_threshold_sql("select unnest(quantile_cont(p, [0.5, 0.9, 0.99])) from pr where year = 1999")}""")
 def frozen_quantile_thresholds(t: Tables):
     """Thresholds taken from one year's score quantiles, then applied to every row."""
     rows = t.sql(A.predictions)
