@@ -26,8 +26,8 @@ def day_length_hours(day: Column, latitude: Column) -> Column:
 
 
 def issue_instant(day: Column, zone: str = "America/Toronto") -> Column:
-    """UTC instant of local midnight, honouring daylight saving."""
-    return F.to_utc_timestamp(day.cast("timestamp"), zone)
+    """UTC clock of local midnight, honouring daylight saving and independent of the session time zone."""
+    return F.convert_timezone(F.lit(zone), F.lit("UTC"), day.cast("timestamp_ntz"))
 
 
 def standard_offset_hours(longitude: Column, west_of: float = -90.0, west: int = -6, east: int = -5) -> Column:

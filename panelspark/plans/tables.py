@@ -140,9 +140,9 @@ def calendar_features(t: Tables):
     return grid.select("cell", "date", micro(s).alias("sin_micro"), micro(c).alias("cos_micro"), CAL.is_weekend(F.col("date")).alias("weekend"), micro(CAL.day_length_hours(F.col("date"), F.col("lat"))).alias("length_micro"))
 
 
-@query("C14")
+@query("C14", lambda d: f"{_EV(d)} select distinct date, strftime(timezone('UTC', timezone('America/Toronto', cast(date as timestamp))), '%Y-%m-%d %H:%M:%S') as issue_time_utc from dt")
 def issue_instants(t: Tables):
-    """UTC instant of local midnight for every event day (checked against the time-zone rules in tests)."""
+    """UTC instant of local midnight for every event day."""
     return _dates(t).select("date").distinct().select("date", F.date_format(CAL.issue_instant(F.col("date")), "yyyy-MM-dd HH:mm:ss").alias("issue_time_utc"))
 
 
@@ -370,7 +370,7 @@ def monthly_rollup(t: Tables):
     return _rates(R.coarser(daily, {"month": F.month(F.date_add(DATE0, F.col("day").cast("int"))).cast("bigint")}), "month")
 
 
-@query("F18", lambda d: f"""{A.with_views(d, pr=A.predictions, c=A.cells)} select c.cell, count(pr.id) as "rows", cast(coalesce(sum(y), 0) as bigint) as positives, cast(coalesce(sum(missing), 0) as bigint) as flagged from c left join pr on pr.cell = c.cell group by c.cell""")
+@query("F18", lambda d: f"""{A.with_views(d, pr=A.predictions, c=A.cells)} select c.cell, count(pr.id) as "rows", cast(coalesce(sum(pr.y), 0) as bigint) as positives, cast(coalesce(sum(missing), 0) as bigint) as flagged from c left join pr on pr.cell = c.cell group by c.cell""")
 def cell_summary(t: Tables):
     return R.per_cell(t.sql(A.cells), t.sql(A.predictions), "cell", "y", "missing").select("cell", "rows", "positives", "flagged")
 
@@ -565,7 +565,7 @@ def stored_fold_predictions(t: Tables):
     return back.select("id", "y", "p", F.col("fold").cast("long").alias("fold"))
 
 
-@query("K5 J20", lambda d: f"{A.with_views(d, pr=A.predictions, c=A.cells)} select cell, id, p, y, missing, {micro_sql('lon')} as lon_micro, {micro_sql('lat')} as lat_micro from pr join c using (cell) where day = 10000")
+@query("K5 J20", lambda d: f"{A.with_views(d, pr=A.predictions, c=A.cells)} select cell, id, p, pr.y, missing, {micro_sql('lon')} as lon_micro, {micro_sql('lat')} as lat_micro from pr join c using (cell) where day = 10000")
 def day_export(t: Tables):
     e = sinks.export_day(t.sql(A.predictions), t.sql(A.cells), "cell", "day", 10000)
     return e.select("cell", "id", "p", "y", "missing", micro("lon").alias("lon_micro"), micro("lat").alias("lat_micro"))
