@@ -6,7 +6,7 @@ import importlib
 
 from panelspark.plans.registry import REGISTRY, Query
 
-MODULES = ("panel", "stations", "sessions", "weather", "raster", "evaluation", "tables", "modelling")
+MODULES = ("panel", "stations", "sessions", "weather", "raster", "evaluation", "tables", "modelling", "streams")
 
 
 def catalog() -> dict[str, Query]:

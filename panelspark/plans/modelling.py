@@ -87,10 +87,10 @@ def day_score_summary(t: Tables):
     return s.select("day", "cells", "missing", micro("maximum_score").alias("max_micro"), micro("mean_score").alias("mean_micro"))
 
 
-@query("J20", lambda d: f"{A.with_views(d, pr=A.predictions)} select id, cell, day, {micro_sql('size / 100000')} as size_micro, {micro_sql('p')} as p_micro, y from pr where day = 10000 and cell = 7")
+@query("J20", lambda d: f"{A.with_views(d, pr=A.predictions)} select id, cell, day, {micro_sql('size / 100000')} as size_micro, {micro_sql('p')} as p_micro, y from pr where day = 10000 and cell = 16")
 def cell_lookup(t: Tables):
     r = rows(t)
-    found = L.lookup(r.select("id", "cell", "day", "p", "y"), r.select("id", "cell", "day", "size_scaled"), ["id", "cell", "day"], {"day": 10000, "cell": 7})
+    found = L.lookup(r.select("id", "cell", "day", "p", "y"), r.select("id", "cell", "day", "size_scaled"), ["id", "cell", "day"], {"day": 10000, "cell": 16})
     return found.select("id", "cell", "day", micro("size_scaled").alias("size_micro"), micro("p").alias("p_micro"), "y")
 
 
