@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from panelspark.operators.ordered import average_ranks, join_keys, neighbour, quantiles, running
 from panelspark.operators.ranking import thin, top_k
@@ -190,8 +190,8 @@ def model_report(scores: DataFrame, model: str, subsets: dict[str, Column], enti
 
 def fold_summary(folds: DataFrame, candidate: str, fold: str, metric: str, baseline: str) -> DataFrame:
     """Unweighted mean over folds per candidate, change from the baseline, folds improved and relative gain (one row per candidate and fold)."""
-    base = folds.where(F.col(candidate) == baseline).select(fold, F.col(metric).alias("__base"))
-    joined = folds.join(base, fold)
+    base = F.max(F.when(F.col(candidate) == baseline, F.col(metric))).over(W.partitionBy(fold))  # a fold holds one row per candidate
+    joined = folds.withColumn("__base", base)
     table = joined.groupBy(candidate).agg(
         F.avg(metric).alias("mean_metric"), F.avg(F.col(metric) - F.col("__base")).alias("mean_delta"), F.count(F.when(F.col(metric) > F.col("__base"), 1)).alias("folds_improved"), F.avg("__base").alias("__base"), F.count(F.lit(1)).alias("folds")
     )

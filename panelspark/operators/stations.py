@@ -99,6 +99,12 @@ def _box_distance(low: bool) -> Column:
     return F.asin(F.sqrt(F.least(F.lit(1.0), h))) * (2 * EARTH_KM) + slack
 
 
+def _all_tiles(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Every tile of `a` with every tile of `b`; `b` is one array of at most TILES * TILES boxes, whatever it was made from."""
+    boxes = b.agg(F.collect_list(F.struct(*b.columns))).scalar()
+    return a.withColumn("__b", F.explode(boxes)).select(*a.columns, "__b.*")
+
+
 def _tile_pairs(cells: DataFrame, stations: DataFrame, k: int) -> DataFrame:
     """Tile pairs that can hold one of a cell's k nearest stations.
 
@@ -109,7 +115,7 @@ def _tile_pairs(cells: DataFrame, stations: DataFrame, k: int) -> DataFrame:
     """
     a = _boxes(cells, "__at", "a")
     b = _boxes(stations, "__bt", "b", F.count(F.lit(1)).alias("__n"))
-    pairs = a.join(b, F.lit(True)).withColumns({"__lo": _box_distance(True), "__hi": _box_distance(False)})
+    pairs = _all_tiles(a, b).withColumns({"__lo": _box_distance(True), "__hi": _box_distance(False)})
     order = W.partitionBy("__at").orderBy("__hi")
     pairs = pairs.withColumn("__upto", F.sum("__n").over(order))
     radius = F.coalesce(F.min(F.when(F.col("__upto") >= k, F.col("__hi"))).over(W.partitionBy("__at")), F.lit(float("inf")))
@@ -158,7 +164,7 @@ def as_of_nearest(cells: DataFrame, stations: DataFrame, k: int, cell: str, stat
     right = _tiled(stations.select(station, "first_seen", "lon", "lat"), *cuts, "__bt")
     a = _boxes(left, "__at", "a", F.max("__limit").alias("__reach"))
     b = _boxes(right, "__bt", "b")
-    pairs = a.join(b, F.lit(True)).where(_box_distance(True) <= F.col("__reach")).select("__at", "__bt")
+    pairs = _all_tiles(a, b).where(_box_distance(True) <= F.col("__reach")).select("__at", "__bt")
     far = right.withColumnsRenamed({"lon": "__lon", "lat": "__lat"})
     candidates = left.join(pairs, "__at").join(far, "__bt")
     candidates = candidates.withColumn("distance_km", distance_km(F.col("lon"), F.col("lat"), F.col("__lon"), F.col("__lat")))
