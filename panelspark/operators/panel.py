@@ -24,15 +24,18 @@ def date_spine(cells: DataFrame, first: Column, last: Column, day: str, season:
 
 
 def dense_panel(cells: DataFrame, labels: DataFrame, cell: str, day: str, first: Column, last: Column, season: tuple | None = None) -> DataFrame:
-    """Every cell on every day with zero-filled labels; the days are generated per cell, not cross joined.
+    """Every cell on every day with zero-filled labels, without a shuffle of the dense rows.
 
-    The cells are spread over tasks before their days are generated, so a small
-    dimension still fills the cluster.
+    A cell's labels - at most one per calendar day - are packed into a map next to
+    the cell; its days are then generated and looked up in place. Cells are spread
+    over tasks first, so a small dimension still fills the cluster.
     """
-    spread = cells.repartition(F.col(cell))
-    panel = date_spine(spread, first, last, day, season)
-    filled = panel.join(labels, [cell, day], "left")
-    return filled.fillna(0, ["label", "event_count", "large_label"])
+    names = ["label", "event_count", "large_label"]
+    packed = labels.groupBy(cell).agg(F.map_from_entries(F.collect_list(F.struct(F.col(day), F.struct(*names)))).alias("__held"))
+    spread = cells.repartition(F.col(cell)).join(packed, cell, "left")
+    panel = date_spine(spread, first, last, day, season).withColumn("__v", F.try_element_at("__held", F.col(day)))
+    types = dict(labels.dtypes)
+    return panel.withColumns({n: F.coalesce(F.col(f"__v.{n}"), F.lit(0).cast(types[n])) for n in names}).drop("__held", "__v")
 
 
 def candidate_grid(extent: DataFrame, size: int) -> DataFrame:
@@ -64,39 +67,56 @@ def neighbourhood_counts(counts: DataFrame, cells: DataFrame, cell: str, day: st
     return summed.join(cells.select(cell, "x", "y"), ["x", "y"]).select(cell, day, count)
 
 
-def past_history(panel: DataFrame, counts: DataFrame, cell: str, day: str, count: str, windows: list[int], prefix: str, recency: bool = False) -> DataFrame:
-    """Event counts in [t-L, t-1] for each L, and days since the last strictly earlier event.
+def past_histories(panel: DataFrame, series: dict[str, tuple[DataFrame, list[int]]], cell: str, day: str, count: str, recency: tuple[str, ...] = ()) -> DataFrame:
+    """Event counts in [t-L, t-1] for each series = {prefix: (counts, lookbacks)}, and days since the last earlier event.
 
-    `counts` holds one row per cell and event day, so however many events a cell
-    has, its window group is bounded by the calendar. `day` is a whole day number
-    or a date. The issue day itself never counts.
+    Each `counts` has one row per cell and event day, so however many events a
+    cell has, its window group is bounded by the calendar. Panel and event rows
+    share one table and all windows one sort: the dense panel is shuffled once and
+    never joined. A lookback is the difference of two running totals, so its cost
+    does not grow with its length. `day` is a whole day number or a date; the issue day itself
+    never counts.
     """
-    as_number = F.unix_date(F.col(day)) if dict(panel.dtypes)[day] == "date" else F.col(day)
-    marked = panel.select(cell, day).distinct().withColumn("__need", F.lit(True)).unionByName(
-        counts.select(cell, day, F.col(count).alias("__n")), allowMissingColumns=True
-    )
-    merged = marked.groupBy(cell, day).agg(F.max("__need").alias("__need"), F.sum("__n").alias("__n")).withColumn("__t", as_number)
+    number = F.unix_date(F.col(day)) if dict(panel.dtypes)[day] == "date" else F.col(day)
+    merged = panel.withColumn("__need", F.lit(True))
+    for prefix, (counts, _) in series.items():
+        merged = merged.unionByName(counts.select(cell, day, F.col(count).alias(f"__n_{prefix}")), allowMissingColumns=True)
+    merged = merged.withColumn("__t", number.cast("long"))
     order = W.partitionBy(cell).orderBy("__t")
-    columns = {
-        f"{prefix}_{span}d": F.coalesce(F.sum("__n").over(order.rangeBetween(-span, -1)), F.lit(0)).cast("long") for span in windows
-    }
-    if recency:
-        last = F.max(F.when(F.col("__n") > 0, F.col("__t"))).over(order.rangeBetween(W.unboundedPreceding, -1))
-        columns |= {f"{prefix}_days_since": F.col("__t") - last, f"{prefix}_censored": last.isNull().cast("int")}
-    history = merged.withColumns(columns).where("__need").drop("__need", "__n", "__t")
-    return panel.join(history, [cell, day])
+    columns = {}
+    for prefix, (_, spans) in series.items():
+        n = F.col(f"__n_{prefix}")
+        until = lambda back: F.coalesce(F.sum(n).over(order.rangeBetween(W.unboundedPreceding, -back)), F.lit(0)).cast("long")  # noqa: E731,B023
+        columns |= {f"{prefix}_{s}d": until(1) - until(s + 1) for s in spans}
+        if prefix in recency:
+            last = F.max(F.when(n > 0, F.col("__t"))).over(order.rangeBetween(W.unboundedPreceding, -1))
+            columns |= {f"{prefix}_days_since": F.col("__t") - last, f"{prefix}_censored": last.isNull().cast("int")}
+    kept = [*panel.columns, *columns]
+    return merged.withColumns(columns).where("__need").select(*kept)
+
+
+def past_history(panel: DataFrame, counts: DataFrame, cell: str, day: str, count: str, windows: list[int], prefix: str, recency: bool = False) -> DataFrame:
+    """`past_histories` of one series."""
+    return past_histories(panel, {prefix: (counts, windows)}, cell, day, count, (prefix,) if recency else ())
+
+
+def required_days(issues: DataFrame, day: str, length: int) -> DataFrame:
+    """Distinct days any issue day looks back on (t-1 ... t-length); a calendar-sized table to restrict sources with."""
+    days = issues.select(day).distinct().withColumn("__past", F.explode(F.sequence(F.lit(1), F.lit(length))))
+    return days.select((F.col(day) - F.col("__past")).alias(day)).distinct()
 
 
 def complete_window_sum(series: DataFrame, keys: list[str], day: str, value: str, length: int, issues: DataFrame) -> DataFrame:
     """Sum over the `length` calendar days before each issue day, NULL unless all are present, plus the day count.
 
-    Days are matched by number, so a season gap simply leaves days missing.
+    `series` has one row per key and day. The frame is by day number, so a season
+    gap simply leaves days missing; both tables are shuffled once and not expanded.
     """
-    needed = issues.select(*keys, day).withColumn("__past", F.explode(F.sequence(F.lit(1), F.lit(length))))
-    needed = needed.withColumn("__obs", F.col(day) - F.col("__past"))
-    daily = series.select(*keys, F.col(day).alias("__obs"), F.col(value).alias("__v"))
-    joined = needed.join(daily, [*keys, "__obs"], "left")
-    summed = joined.groupBy(*keys, day).agg(F.count("__v").alias("coverage_days"), F.sum("__v").alias("__s"))
+    merged = issues.select(*keys, day).withColumn("__need", F.lit(True)).unionByName(
+        series.select(*keys, day, F.col(value).alias("__v")), allowMissingColumns=True
+    )
+    frame = W.partitionBy(*keys).orderBy(day).rangeBetween(-length, -1)
+    summed = merged.withColumns({"coverage_days": F.count("__v").over(frame), "__s": F.sum("__v").over(frame)}).where("__need")
     return summed.select(*keys, day, "coverage_days", F.when(F.col("coverage_days") == length, F.col("__s")).alias(f"{value}_{length}d"))
 
 

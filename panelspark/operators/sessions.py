@@ -81,7 +81,7 @@ def growth_offsets(points: DataFrame, entity: str, session: str, origin: DataFra
     in cell units) when one is reported, and are left out otherwise. `reference`
     says which was used.
     """
-    arrivals = arrival_cells(points, entity, session)
+    arrivals = checkpoint(arrival_cells(points, entity, session))  # both sides of the search and the first sessions
     found = nearest_cell(arrivals, arrivals, [entity], order="first_session")
     first = arrivals.groupBy(entity).agg(F.min("first_session").alias("__start"))
     found = found.join(first, entity)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from panelspark.functions.geo import crosses, point_segment_distance
+from panelspark.session import checkpoint
 
 EDGE = ("x1", "y1", "x2", "y2")
 
@@ -113,7 +116,7 @@ def regrid(native: DataFrame, weights: DataFrame, keys: list[str], target: str,
 
 
 def nearest_cell(
-    wanted: DataFrame, cells: DataFrame, keys: list[str], *, order: str | None = None, sizes: tuple[int | None, ...] = (6, 64, 1024, None), reach: int | None = None
+    wanted: DataFrame, cells: DataFrame, keys: list[str], *, order: str | None = None, sizes: tuple[int | None, ...] = (2, 12, 96, 1024, None), reach: int | None = None
 ) -> DataFrame:
     """For each wanted cell, the nearest cell of the same group: adds `near_x`, `near_y`, `near_d2` (squared cells).
 
@@ -124,29 +127,31 @@ def nearest_cell(
     tiles around, so a hit within T is final and only the rest moves on to larger
     tiles. Candidates per step are bounded by the tile area, never by group size;
     the last step (None) has no bound and serves the few cells with nothing within
-    1024. With `reach`, cells without a neighbour within that distance stay NULL.
+    1024. Each step is written to the checkpoint folder, and the search stops when
+    no cell is left. With `reach`, cells without a neighbour within it stay NULL.
     """
-    state = wanted.withColumn("__best", F.lit(None).cast("struct<d2:bigint,x:bigint,y:bigint>")).withColumn("__done", F.lit(False))
     other = cells.select(*keys, F.col("x").alias("__x"), F.col("y").alias("__y"), *([F.col(order).alias("__o")] if order else []))
     steps = [s for s in sizes if reach is None or (s or reach) < reach] + ([reach] if reach else [])
-    carried = [c for c in wanted.columns]
+    carried, state, finished = wanted.columns, wanted, []
     for size in steps:
         tile = lambda c: F.floor(F.col(c) / size).cast("long") if size else F.lit(0).cast("long")  # noqa: E731,B023
         shifts = (-1, 0, 1) if size else (0,)
         around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in shifts for j in shifts])
-        looking = state.withColumn("__t", F.explode(F.when(F.col("__done"), F.array(F.struct(F.lit(None).cast("int").alias("i"), F.lit(None).cast("int").alias("j")))).otherwise(around)))
-        looking = looking.withColumns({"__tx": tile("x") + F.col("__t.i"), "__ty": tile("y") + F.col("__t.j")}).drop("__t")
-        placed = other.withColumns({"__tx": tile("__x"), "__ty": tile("__y")})
-        met = looking.join(placed, [*keys, "__tx", "__ty"], "left")
+        looking = state.withColumn("__t", F.explode(around)).withColumns({"__tx": tile("x") + F.col("__t.i"), "__ty": tile("y") + F.col("__t.j")}).drop("__t")
+        met = looking.join(other.withColumns({"__tx": tile("__x"), "__ty": tile("__y")}), [*keys, "__tx", "__ty"], "left")
         usable = F.col("__x").isNotNull() & ((F.col("__o") < F.col(order)) if order else F.lit(True))
-        d2 = (F.pow(F.col("x") - F.col("__x"), F.lit(2.0)) + F.pow(F.col("y") - F.col("__y"), F.lit(2.0))).cast("long")
-        found = F.min(F.when(usable, F.struct(d2.alias("d2"), F.col("__x").cast("long").alias("x"), F.col("__y").cast("long").alias("y"))))
-        merged = met.groupBy(*carried).agg(F.max("__done").alias("__done"), F.max("__best").alias("__old"), found.alias("__new"))
-        best = F.coalesce(F.when(F.col("__done"), F.col("__old")), F.col("__new"))
-        state = merged.withColumn("__best", best).withColumn("__done", F.col("__done") | F.coalesce(F.col("__best.d2") <= (size or 0) ** 2, F.lit(False))).drop("__old", "__new")
-    best = F.when(F.col("__best.d2") <= reach * reach, F.col("__best")) if reach else F.col("__best")
-    state = state.withColumn("__best", best)
-    return state.select(*carried, F.col("__best.x").alias("near_x"), F.col("__best.y").alias("near_y"), F.col("__best.d2").alias("near_d2"))
+        dx, dy = F.col("x") - F.col("__x"), F.col("y") - F.col("__y")
+        found = F.min(F.when(usable, F.struct((dx * dx + dy * dy).cast("long").alias("d2"), F.col("__x").cast("long").alias("x"), F.col("__y").cast("long").alias("y"))))
+        best = checkpoint(met.groupBy(*carried).agg(found.alias("__best")))
+        final = F.lit(True) if size in (None, reach) else F.coalesce(F.col("__best.d2") <= size * size, F.lit(False))
+        finished.append(best.where(final))
+        state = best.where(~final).drop("__best")
+        if size in (None, reach) or state.isEmpty():
+            break
+    merged = reduce(DataFrame.unionByName, finished)
+    if reach:
+        merged = merged.withColumn("__best", F.when(F.col("__best.d2") <= reach * reach, F.col("__best")))
+    return merged.select(*carried, F.col("__best.x").alias("near_x"), F.col("__best.y").alias("near_y"), F.col("__best.d2").alias("near_d2"))
 
 
 def disc(radius: int) -> Column:

@@ -75,8 +75,7 @@ def past_only_panel(t: Tables):
     counts = _counts(t)
     around = P.neighbourhood_counts(counts, t.sql(A.cells), "cell", DAY, "event_count", 10000)
     panel = _panel(t).select("cell", DAY, "label")
-    own = P.past_history(panel, counts, "cell", DAY, "event_count", [30, 365], "same", recency=True)
-    return P.past_history(own, around, "cell", DAY, "event_count", [30, 365], "around")
+    return P.past_histories(panel, {"same": (counts, [30, 365]), "around": (around, [30, 365])}, "cell", DAY, "event_count", ("same",))
 
 
 @query(

@@ -148,8 +148,15 @@ def weighted_daily_weather(t: Tables):
     )
 
 
+@query("D7 E13", lambda d: f"""{A.with_views(d, obs=A.observations)}, need as (select distinct day - k as day from obs, unnest([1, 2, 3]) as u(k) where flag = 'A') select station, day, seq from obs where day in (select day from need)""")
+def required_records(t: Tables):
+    """Records dated on a day that some accepted issue day looks back on."""
+    obs = t.sql(A.observations)
+    return obs.join(P.required_days(obs.where("flag = 'A'"), "day", 3), "day", "left_semi").select("station", "day", "seq")
+
+
 @query(
-    "D7 E6 G4",
+    "E6 G4",
     lambda d: f"""{A.with_views(d, obs=A.observations)},
       daily as (select station, day, arg_min(struct_pack(v := rain), case when fwi is null then seq + 4000000000000000000 else seq end).v as rain from obs group by station, day),
       issue as (select distinct station, day from obs)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from panelspark.plans import adapters as A
 from panelspark.plans.registry import Tables, query
-from panelspark.sources.sinks import shared_folder
+from panelspark.session import shared_folder
 from panelspark.streaming import incremental as N
 
 

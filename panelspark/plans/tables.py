@@ -10,13 +10,17 @@ from panelspark.operators import ordered as O, panel as P, profile as R, quality
 from panelspark.plans import adapters as A
 from panelspark.plans.panel import _panel, _panel_sql
 from panelspark.plans.registry import Tables, micro, micro_sql, query
+from panelspark.session import shared_folder
 from panelspark.sources import scan, sinks
 
-DATE0 = F.lit("1970-01-01").cast("date")
+
+
+def _from_day(column):
+    return F.date_add(F.lit("1970-01-01").cast("date"), column.cast("int"))
 
 
 def _dates(t: Tables):
-    return t.sql(A.ignitions).select("event_id", "cell", "day", F.date_add(DATE0, F.col("day").cast("int")).alias("date"), "size", "large", "cause", "status")
+    return t.sql(A.ignitions).select("event_id", "cell", "day", _from_day(F.col("day")).alias("date"), "size", "large", "cause", "status")
 
 
 _EV = lambda d: f"{A.with_views(d, ev=A.ignitions)}, dt as (select *, date '1970-01-01' + cast(day as integer) as date from ev)"
@@ -367,7 +371,7 @@ def null_profile(t: Tables):
 def monthly_rollup(t: Tables):
     """Daily totals rolled up to months without another pass over the rows."""
     daily = R.rollup_rates(t.sql(A.predictions), {"day": F.col("day")}, "y", "missing")
-    return _rates(R.coarser(daily, {"month": F.month(F.date_add(DATE0, F.col("day").cast("int"))).cast("bigint")}), "month")
+    return _rates(R.coarser(daily, {"month": F.month(_from_day(F.col("day"))).cast("bigint")}), "month")
 
 
 @query("F18", lambda d: f"""{A.with_views(d, pr=A.predictions, c=A.cells)} select c.cell, count(pr.id) as "rows", cast(coalesce(sum(pr.y), 0) as bigint) as positives, cast(coalesce(sum(missing), 0) as bigint) as flagged from c left join pr on pr.cell = c.cell group by c.cell""")
@@ -474,7 +478,7 @@ _SCHEMA = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("
 
 
 def _csv(t: Tables, codec: str = "none") -> str:
-    return sinks.write_csv(t.sql(A.ignitions).select(*_PLAIN), sinks.shared_folder(t.spark, "events"), compression=codec)
+    return sinks.write_csv(t.sql(A.ignitions).select(*_PLAIN), shared_folder(t.spark, "events"), compression=codec)
 
 
 def _plain_sql(d):
@@ -505,7 +509,7 @@ def scan_yearly_detections(t: Tables):
     rows = e.select(
         F.col("value").alias("latitude"), F.col("value").alias("longitude"), F.date_format("ts", "yyyy-MM-dd").alias("acq_date"), F.regexp_replace(F.date_format("ts", "HHmm"), "^0+(?=.)", "").alias("acq_time"),
         F.col("event_type").alias("satellite"), F.when(k % 3 == 0, "l").otherwise("n").alias("confidence"), F.col("value").alias("frp"), F.lit("D").alias("daynight"), F.when(k % 5 == 0, 2).otherwise(0).alias("type"))
-    folder = sinks.shared_folder(t.spark, "firms")
+    folder = shared_folder(t.spark, "firms")
     sinks.write_csv(rows.where("satellite < 'm'"), f"{folder}/viirs-a_2024")
     sinks.write_csv(rows.where("satellite >= 'm'"), f"{folder}/viirs-b_2024")
     found = scan.scan_detections(t.spark, f"{folder}/viirs-*_2024")
@@ -520,7 +524,7 @@ def scan_nested_hours(t: Tables):
     parts = {"time": "time", "temperature_2m": "temp", "relative_humidity_2m": "rh", "precipitation": "rain", "wind_speed_10m": "speed", "wind_direction_10m": "direction"}
     rows = h.groupBy(F.col("site").cast("string").alias("entity"), F.floor(F.col("t") / 86400).alias("d")).agg(F.array_sort(F.collect_list(F.struct(*[F.col(c).alias(n) for n, c in parts.items()]))).alias("r"))
     docs = rows.select("entity", F.struct(*[F.col(f"r.{n}").alias(n) for n in parts]).alias("hourly"))
-    folder = sinks.shared_folder(t.spark, "hourly")
+    folder = shared_folder(t.spark, "hourly")
     docs.write.json(folder)
     zone = F.to_timestamp(F.col("time"))
     return scan.scan_hourly_json(t.spark, folder).select("entity", F.unix_timestamp(zone).alias("t"), "temp", "rh", "speed")
@@ -536,7 +540,7 @@ def scan_geojson_edges(t: Tables):
     rings = ordered.select("poly", "ring", ring.alias("c")).groupBy("poly").agg(F.array_sort(F.collect_list(F.struct("ring", "c"))).alias("r"))
     ms = F.lit(1577836800000) + F.col("poly") * 86400000 + 3600000
     doc = rings.select(F.struct(F.col("poly"), ms.alias("started")).alias("properties"), F.struct(F.lit("Polygon").alias("type"), F.col("r.c").alias("coordinates")).alias("geometry"))
-    folder = sinks.shared_folder(t.spark, "geojson")
+    folder = shared_folder(t.spark, "geojson")
     doc.write.json(folder)
     features = scan.scan_geojson(t.spark, folder, "poly:bigint,started:bigint", lines=True).withColumn("start_date", scan.epoch_day(F.col("started")))
     edges = scan.ring_edges(features, "poly")
@@ -546,13 +550,13 @@ def scan_geojson_edges(t: Tables):
 @query("A8 K1", lambda d: f"{A.with_views(d, pr=A.predictions)} select id, year, y from pr where year between 1997 and 1998")
 def year_partitioned_panel(t: Tables):
     """Panel written by year, read back with partition pruning."""
-    path = sinks.write_panel(t.sql(A.predictions).select("id", "year", "y"), sinks.shared_folder(t.spark, "panel"))
+    path = sinks.write_panel(t.sql(A.predictions).select("id", "year", "y"), shared_folder(t.spark, "panel"))
     return scan.year_slice(t.spark.read.parquet(path), 1997, 1998).select("id", F.col("year").cast("long").alias("year"), "y")
 
 
 @query("K2", lambda d: f"{A.with_views(d, det=A.detections)} select entity, t, id from det")
 def ordered_table(t: Tables):
-    path = sinks.write_ordered(t.sql(A.detections).select("entity", "t", "id"), sinks.shared_folder(t.spark, "ordered"), ["entity", "t", "id"])
+    path = sinks.write_ordered(t.sql(A.detections).select("entity", "t", "id"), shared_folder(t.spark, "ordered"), ["entity", "t", "id"])
     return t.spark.read.parquet(path)
 
 
@@ -560,7 +564,7 @@ def ordered_table(t: Tables):
 def stored_fold_predictions(t: Tables):
     rows = t.sql(A.predictions).select("id", "y", "p", F.col("year").alias("fold"))
     parameters = {"depth": 4, "rate": 0.1}
-    path = sinks.write_predictions(rows, sinks.shared_folder(t.spark, "folds"), parameters)
+    path = sinks.write_predictions(rows, shared_folder(t.spark, "folds"), parameters)
     back = sinks.read_predictions(t.spark, path, parameters, rows, ["id"])
     return back.select("id", "y", "p", F.col("fold").cast("long").alias("fold"))
 

@@ -49,7 +49,7 @@ def interval_rows(t: Tables):
         avg(rh) as rh, min(rh) as rh_min, sum(rain) as rain from iv join w on w.site = iv.site and w.t > iv.start and w.t <= iv.stop group by entity, stop)
       select entity, stop, hours, {micro_sql('u')} as u_micro, {micro_sql('v')} as v_micro, {micro_sql('speed')} as speed_micro, cast(speed_max as bigint) as speed_max,
         {micro_sql('temp')} as temp_micro, temp_max, {micro_sql('rh')} as rh_micro, rh_min, cast(rain as bigint) as rain,
-        {micro_sql('sqrt(u * u + v * v) / speed')} as steady_micro,
+        {micro_sql('sqrt(u * u + v * v) / nullif(speed, 0)')} as steady_micro,
         case when sqrt(u * u + v * v) >= 1e-9 then {micro_sql('degrees(atan2(-u, -v)) + case when atan2(-u, -v) < 0 then 360 else 0 end')} end as direction_micro
       from s""",
 )

@@ -1,8 +1,9 @@
-"""Session settings and the shared-folder checkpoint used to cut long lineages."""
+"""Session settings and the shared folder used to cut long lineages."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,18 +25,21 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "12
     )
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the one the cluster names in ``spark.checkpoint.dir``; a temporary one only where none is set, as in tests."""
+    base = spark.conf.get(CHECKPOINT_CONF, None) or tempfile.mkdtemp(prefix="spark-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared checkpoint folder and return it with a short lineage.
+    """Write `df` once to the shared folder and read it back: a short lineage that outlives lost executors.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; a
-    temporary one is set only when the session has none, as in local tests.
+    A written table is used rather than `DataFrame.checkpoint`, which computes its
+    last stage twice, and it keeps column pruning and size estimates.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get(CHECKPOINT_CONF, None) or context.getConf().get(CHECKPOINT_CONF, None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint(eager=True)
+    path = shared_folder(df.sparkSession, "checkpoint")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def parts_for(df: DataFrame) -> int:

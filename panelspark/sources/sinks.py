@@ -3,20 +3,11 @@
 from __future__ import annotations
 
 import json
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelspark.contracts import ContractError
 from panelspark.operators.ordered import join_keys
-from panelspark.session import CHECKPOINT_CONF
-
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the cluster's shared folder; a temporary one only where none is configured."""
-    base = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF, None) or tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def write_panel(df: DataFrame, path: str, by: str = "year", force: bool = False) -> str:
