@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from panelspark.functions.geo import bearing
 from panelspark.operators.ordered import cut_points, join_keys, neighbour, quantiles, running
@@ -81,18 +81,19 @@ def growth_offsets(points: DataFrame, entity: str, session: str, origin: DataFra
     in cell units) when one is reported, and are left out otherwise. `reference`
     says which was used.
     """
-    arrivals = checkpoint(arrival_cells(points, entity, session))  # both sides of the search and the first sessions
-    found = nearest_cell(arrivals, arrivals, [entity], order="first_session")
-    first = arrivals.groupBy(entity).agg(F.min("first_session").alias("__start"))
-    found = found.join(first, entity)
-    from_cells = found.where(F.col("first_session") > F.col("__start")).select(
+    arrivals = arrival_cells(points, entity, session)
+    starts = arrivals.groupBy(entity).agg(F.min("first_session").alias("__start"))
+    arrivals = checkpoint(arrivals.join(starts, entity))  # both sides of the search
+    later, earliest = arrivals.where("first_session > __start"), arrivals.where("first_session = __start")
+    found = nearest_cell(later.drop("__start"), arrivals, [entity], order="first_session")
+    from_cells = found.select(
         entity, F.col("first_session").alias(session), "x", "y",
         (F.col("x") - F.col("near_x")).cast("double").alias("dx"), (F.col("y") - F.col("near_y")).cast("double").alias("dy"),
         F.lit("earlier_detections").alias("reference"),
     )
     if origin is None:
         return from_cells
-    from_origin = found.where(F.col("first_session") == F.col("__start")).join(origin, entity).select(
+    from_origin = earliest.join(origin, entity).select(
         entity, F.col("first_session").alias(session), "x", "y",
         (F.col("x") + 0.5 - F.col("ox")).alias("dx"), (F.col("y") + 0.5 - F.col("oy")).alias("dy"), F.lit("reported_origin").alias("reference"),
     )
@@ -148,7 +149,3 @@ def best_match(left: DataFrame, right: DataFrame, keys: list[str], a: str, b: st
         F.count(F.col(b)).alias("candidates"), F.min_by(F.struct(*rest), F.struct(gap.isNull(), gap, F.col(tie))).alias("__m")
     )
     return chosen.select(*left.columns, "candidates", *[F.col(f"__m.{c}").alias(c) for c in rest])
-
-
-def calendar_window(keys: list[str], order: str):
-    return W.partitionBy(*keys).orderBy(order)
