@@ -46,6 +46,11 @@ def _power(base: Column, exponent: float) -> Column:
     return F.pow(base, F.lit(exponent))
 
 
+def let(value: Column, body) -> Column:
+    """`body(value)` with the value worked out once; used inside folds, where repeated subexpressions are not shared."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def fuel_moisture(ffmc: Column) -> Column:
     return (F.lit(101.0) - ffmc) * 147.2 / (ffmc + 59.5)
 
@@ -78,19 +83,19 @@ def _next_moisture_code(temp, rh, wind, wet: Column, speed: float) -> Column:
     wet_end = _equilibrium(temp, rh, 0.618, 0.753, 10.0)
     drying = dry_end + (wet - dry_end) * _approach(temp, rh / 100, wind, speed)
     wetting = wet_end - (wet_end - wet) * _approach(temp, (F.lit(100.0) - rh) / 100, wind, speed)
-    return _moisture_code(F.when(wet > dry_end, drying).when(wet < wet_end, wetting).otherwise(wet))
+    return let(F.when(wet > dry_end, drying).when(wet < wet_end, wetting).otherwise(wet), _moisture_code)
 
 
 def next_ffmc(temp: Column, rh: Column, wind: Column, rain: Column, previous: Column) -> Column:
     """Daily fine fuel moisture code from the previous day's code."""
-    start = fuel_moisture(previous)
-    return _next_moisture_code(temp, rh, wind, F.when(rain > 0.5, _wetted(start, rain - 0.5)).otherwise(start), 0.581)
+    wet = let(fuel_moisture(previous), lambda m: F.when(rain > 0.5, _wetted(m, rain - 0.5)).otherwise(m))
+    return let(wet, lambda m: _next_moisture_code(temp, rh, wind, m, 0.581))
 
 
 def next_hourly_ffmc(temp: Column, rh: Column, wind: Column, rain: Column, previous: Column) -> Column:
     """Hourly fine fuel moisture code from the previous hour's code."""
-    start = fuel_moisture(previous)
-    return _next_moisture_code(temp, rh, wind, F.when(rain > 0, _wetted(start, rain)).otherwise(start), 0.0579)
+    wet = let(fuel_moisture(previous), lambda m: F.when(rain > 0, _wetted(m, rain)).otherwise(m))
+    return let(wet, lambda m: _next_moisture_code(temp, rh, wind, m, 0.0579))
 
 
 def next_dmc(temp: Column, rh: Column, rain: Column, month: Column, previous: Column) -> Column:

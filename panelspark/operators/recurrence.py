@@ -29,8 +29,13 @@ def daily_codes(daily: DataFrame, keys: list[str], day: str, temp: str = "temp",
         ffmc = fire.next_ffmc(d["temp"], d["rh"], d["wind"], d["rain"], state["ffmc"]).alias("ffmc")
         dmc = fire.next_dmc(d["temp"], d["rh"], d["rain"], d["month"], state["dmc"]).alias("dmc")
         dc = fire.next_dc(d["temp"], d["rain"], d["month"], state["dc"]).alias("dc")
-        row = F.struct(d["day"].alias("day"), ffmc, dmc, dc, d["wind"].alias("wind"))
-        return F.struct(ffmc, dmc, dc, F.concat(state["rows"], F.array(row)).alias("rows"))
+
+        def grown(codes):
+            values = [codes[n].alias(n) for n in ("ffmc", "dmc", "dc")]
+            row = F.struct(d["day"].alias("day"), *values, d["wind"].alias("wind"))
+            return F.struct(*values, F.concat(state["rows"], F.array(row)).alias("rows"))
+
+        return fire.let(F.struct(ffmc, dmc, dc), grown)
 
     folded = season.select(*keys, F.posexplode(F.aggregate("__days", start, step, lambda s: s["rows"])).alias("__i", "__r"))
     flat = folded.select(*keys, F.col("__r.day").alias(day), "__r.ffmc", "__r.dmc", "__r.dc", (F.col("__i") + 1).cast("long").alias("days_since_startup"), F.col("__r.wind").alias("__w"))
@@ -57,8 +62,8 @@ def hourly_ffmc(hourly: DataFrame, keys: list[str], time: str, hour: str, daily:
     start = F.struct(F.element_at("__h", 1)["first"].alias("code"), F.array().cast(f"array<struct<time:{time_type},ffmc:double>>").alias("rows"))
 
     def step(state, h):
-        code = F.when(h["seed"], h["code"]).otherwise(fire.next_hourly_ffmc(h["temp"], h["rh"], h["wind"], h["rain"], state["code"])).alias("code")
-        return F.struct(code, F.concat(state["rows"], F.array(F.struct(h["time"].alias("time"), code.alias("ffmc")))).alias("rows"))
+        code = F.when(h["seed"], h["code"]).otherwise(fire.next_hourly_ffmc(h["temp"], h["rh"], h["wind"], h["rain"], state["code"]))
+        return fire.let(code, lambda v: F.struct(v.alias("code"), F.concat(state["rows"], F.array(F.struct(h["time"].alias("time"), v.alias("ffmc")))).alias("rows")))
 
     folded = groups.select(*keys, F.explode(F.aggregate("__h", start, step, lambda s: s["rows"])).alias("__r"))
     return folded.select(*keys, F.col("__r.time").alias(time), "__r.ffmc")

@@ -8,6 +8,7 @@ from panelspark.functions.clean import matches
 from panelspark.operators import panel as P, stations as S
 from panelspark.plans import adapters as A
 from panelspark.plans.registry import Tables, micro, micro_sql, query
+from panelspark.session import checkpoint
 
 KEYS = ["station", "day"]
 
@@ -73,7 +74,8 @@ def nearest_stations(t: Tables):
 
 
 def _first_seen(t: Tables):
-    return t.sql(A.stations).join(S.registry(t.sql(A.observations), "station", "day"), "station")
+    """The station registry, written once: several steps read it and it is small next to the records."""
+    return checkpoint(t.sql(A.stations).join(S.registry(t.sql(A.observations), "station", "day"), "station"))
 
 
 def _as_of(t: Tables, k: int = 4):
