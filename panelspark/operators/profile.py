@@ -8,15 +8,27 @@ from panelspark.operators.ordered import quantiles
 
 
 def class_moments(df: DataFrame, columns: list[str], positive: Column) -> DataFrame:
-    """(column, class, observed, mean, deviation, min, max) for all, positive and negative rows, in one scan."""
-    rows = []
-    for c in columns:
-        for name, keep in (("all", F.lit(True)), ("positive", positive), ("negative", ~positive)):
-            v = F.when(keep, F.col(c).cast("double"))
-            rows.append(F.struct(
-                F.lit(c).alias("column"), F.lit(name).alias("class"), F.count(v).alias("observed"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("deviation"), F.min(v).alias("min"), F.max(v).alias("max")
-            ))
-    return df.agg(F.array(*rows).alias("__r")).select(F.explode("__r").alias("__r")).select("__r.*")
+    """(column, class, observed, mean, deviation, min, max) for all, positive and negative rows.
+
+    One scan aggregates the two classes; the few rows for all of them are merged
+    from those, so the aggregate holds each column once.
+    """
+    def moments(c: str) -> Column:
+        v = F.col(c).cast("double")
+        return F.struct(F.lit(c).alias("column"), F.count(v).alias("observed"), F.avg(v).alias("mean"), F.var_pop(v).alias("__var"), F.min(v).alias("min"), F.max(v).alias("max"))
+
+    name = F.when(positive, "positive").otherwise("negative").alias("class")
+    halves = df.groupBy(name).agg(F.array(*[moments(c) for c in columns]).alias("__m")).select("class", F.explode("__m").alias("__m")).select("class", "__m.*")
+    both = halves.withColumn("class", F.explode(F.array(F.lit("all"), F.col("class"))))
+    n, mean = F.col("observed"), F.col("mean")
+    # Spread of all rows: spread inside each class plus the distance of its mean from the overall mean.
+    table = both.groupBy("column", "class").agg(
+        F.sum("observed").alias("observed"), (F.sum(n * mean) / F.nullif(F.sum("observed"), F.lit(0))).alias("mean"), F.min("min").alias("min"), F.max("max").alias("max"),
+        F.collect_list(F.struct(n.alias("n"), mean.alias("m"), F.col("__var").alias("v"))).alias("__parts"),  # at most two entries
+    )
+    spread = F.aggregate("__parts", F.lit(0.0), lambda s, p: s + F.coalesce(p["n"] * (p["v"] + (p["m"] - F.col("mean")) * (p["m"] - F.col("mean"))), F.lit(0.0)))
+    deviation = F.when(F.col("observed") > 1, F.sqrt(spread / (F.col("observed") - 1)))
+    return table.select("column", "class", "observed", "mean", deviation.alias("deviation"), "min", "max")
 
 
 def rollup_rates(df: DataFrame, keys: dict[str, Column], label: str, flag: str) -> DataFrame:

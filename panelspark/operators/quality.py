@@ -166,3 +166,38 @@ def validated_join(left: DataFrame, right: DataFrame, keys: list[str], relation:
             checked = once.where(ok).select(*keys, *[F.col(f"__v.{c}").alias(c) for c in rest])
             left, right = (checked, right) if name == "left" else (left, checked)
     return join_keys(left, right, keys, how)
+
+
+def observation_suite(entities: DataFrame, observations: DataFrame, arrivals: DataFrame, hourly: DataFrame, entity: str, number: str) -> DataFrame:
+    """Structural checks of the spread tables as (check, violations).
+
+    Expected columns: entities - split, year, window_start, shares_total;
+    observations - time, new_cells, cumulative_cells, hours_since_previous, bearing,
+    direction, wind_u, wind_v, speed; arrivals - x, y; hourly - u, v, speed, temp,
+    rh, rain. Each table is scanned once for its own checks.
+    """
+    count = lambda df: df.agg(F.count(F.lit(1))).scalar()
+    repeats = lambda df, keys: df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    circle = lambda c: F.col(c).isNotNull() & ~F.col(c).between(0.0, 360.0)
+    keyed = entities.sparkSession.range(1)
+    final = observations.groupBy(entity).agg(F.max("cumulative_cells").alias("__final"))
+    reached = arrivals.groupBy(entity).agg(F.count(F.lit(1)).alias("__cells"))
+    unequal = final.join(reached, entity, "full").where(~F.col("__final").eqNullSafe(F.col("__cells")))
+    years = entities.where("split = 'calibration'").select("year").intersect(entities.where("split = 'holdout'").select("year"))
+    keys = keyed.select(F.explode(F.array(*[F.struct(F.lit(n).alias("check"), v.cast("long").alias("violations")) for n, v in {
+        "entity_repeats": count(repeats(entities, [entity])), "observation_repeats": count(repeats(observations, [entity, number])),
+        "arrival_repeats": count(repeats(arrivals, [entity, "x", "y"])), "entity_unknown": count(observations.select(entity).join(entities, entity, "left_anti")),
+        "arrivals_match_final_count": count(unequal), "split_years_shared": count(years),
+    }.items()])).alias("c")).select("c.*")
+    flagged = sequence_checks(observations, entity, number, "time", "cumulative_cells", "new_cells", 1e-9).join(entities.select(entity, "window_start"), entity)
+    rows = violations(flagged, [
+        ("numbering", F.col("gap")), ("time_order", F.col("backward")), ("cumulative_falls", F.col("falling")), ("increment_differs", F.col("unequal")),
+        ("hours_not_positive", F.col("hours_since_previous") <= 0), ("before_window", F.col("time") < F.col("window_start")), ("bearing_range", circle("bearing") | circle("direction")),
+        ("vector_mean_exceeds_speed", F.hypot("wind_u", "wind_v") > F.col("speed") + 0.01),
+    ])
+    weather = violations(hourly, [
+        ("components_differ_from_speed", F.abs(F.hypot("u", "v") - F.col("speed")) > 0.02),
+        ("implausible_weather", ~(F.col("speed").between(0, 120) & F.col("rh").between(0, 100) & F.col("temp").between(-40, 45) & (F.col("rain") >= 0))),
+    ])
+    shares = violations(entities, [("shares_total", F.abs(F.col("shares_total") - 1) > 0.001)])
+    return keys.unionByName(rows).unionByName(weather).unionByName(shares)

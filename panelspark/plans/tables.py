@@ -323,6 +323,36 @@ def sequence_checks(t: Tables):
     return Q.violations(flagged, [*[(c, F.col(c)) for c in ("gap", "backward", "falling", "unequal")], ("power_negative", F.col("power") < 0)])
 
 
+_SUITE = ("entity_repeats observation_repeats arrival_repeats entity_unknown arrivals_match_final_count split_years_shared numbering time_order cumulative_falls increment_differs "
+          "hours_not_positive before_window bearing_range vector_mean_exceeds_speed components_differ_from_speed implausible_weather shares_total").split()
+
+
+@query("L9", lambda d: f"""{A.with_views(d, det=A.detections, h=A.site_hours)}, z as (select (select count(*) from det) * 0 as nothing, (select count(case when temp > 20 then 1 end) from h) as warm, (select count(distinct entity) from det where entity % 7 = 0) as short)
+      select c as "check", cast(case c when 'implausible_weather' then warm when 'shares_total' then short else nothing end as bigint) as violations from z, unnest([{', '.join(f"'{c}'" for c in _SUITE)}]) as u(c)""")
+def spread_validation_suite(t: Tables):
+    """All structural checks over sessions, arrival cells, interval weather and hours, with two planted faults."""
+    from panelspark.functions.geo import wind_vector
+    from panelspark.operators import intervals as I, sessions as SE
+    from panelspark.plans.sessions import sessions
+    from panelspark.session import checkpoint
+
+    found = checkpoint(sessions(t).withColumn("site", F.col("entity") % 5))
+    u, v = wind_vector(F.col("speed"), F.col("direction"))
+    hours = t.sql(A.site_hours).withColumns({"u": u, "v": v})
+    table = checkpoint(SE.session_summary(found, "entity", "session", "t", "power", "daynight", "satellite").withColumn("site", F.col("entity") % 5))
+    before = table.select("entity", (F.col("session") + 1).alias("session"), F.col("middle_time").alias("start"))
+    spans = table.join(before, ["entity", "session"], "left").select("entity", "session", "site", F.coalesce("start", F.col("middle_time") - 43200).alias("start"), F.col("middle_time").alias("end"))
+    wind = I.wind_summary(I.interval_join(spans, hours.select("site", "t", "u", "v", "speed"), ["site"], "t", 86400), ["entity", "session"], "u", "v", "speed")
+    observations = table.join(wind, ["entity", "session"], "left").select(
+        "entity", "session", F.col("middle_time").alias("time"), "new_cells", "cumulative_cells", F.col("hours_since_previous"), F.lit(None).cast("double").alias("bearing"),
+        "direction", "wind_u", "wind_v", F.col("speed_mean").alias("speed"))
+    entities = found.groupBy("entity").agg(F.min("t").alias("window_start")).select(
+        "entity", "window_start", (F.col("entity") % 12 + 2012).alias("year"), F.when(F.col("entity") % 12 >= 9, "holdout").otherwise("calibration").alias("split"),
+        F.when(F.col("entity") % 7 == 0, 0.5).otherwise(1.0).alias("shares_total"))
+    planted = hours.withColumn("temp", F.when(F.col("temp") > 20, F.col("temp") + 50).otherwise(F.col("temp")))
+    return Q.observation_suite(entities, observations, SE.arrival_cells(found, "entity", "session"), planted, "entity", "session")
+
+
 @query("L10 F21 F23", lambda d: f"""{A.with_views(d, pr=A.predictions)}, r as (select *, rank() over (order by p) + (count(*) over (partition by p) - 1) / 2e0 as a, rank() over (order by p2) + (count(*) over (partition by p2) - 1) / 2e0 as b from pr)
       select {micro_sql('corr(a, b)')} as rank_micro, {micro_sql('corr(p, p2)')} as r_micro, {micro_sql('median(p)')} as median_micro, {micro_sql('avg(case when p <= 2e-1 then 1e0 else 0e0 end)')} as share_micro from r""")
 def sanity_block(t: Tables):
