@@ -246,9 +246,21 @@ def edges_and_block_counts(t: Tables):
     return counts.join(edge, [*KEYS, "x", "y"], "left").fillna(False, ["edge"])
 
 
-@query("G16")
+@query(
+    "G16",
+    lambda d: f"""{A.with_views(d, det=A.detections).replace('with det', 'with recursive det')}, {_WEEK},
+      o as (select i, j from unnest(generate_series(-2, 2)) as a(i), unnest(generate_series(-2, 2)) as b(j)),
+      dl as (select distinct entity, observation, x + i as x, y + j as y from wk, o),
+      er as (select entity, observation, x + i as x, y + j as y from dl, o group by entity, observation, x + i, y + j having count(*) = 25),
+      bx as (select entity, observation, min(x) - 1 as a, max(x) + 1 as b, min(y) - 1 as c, max(y) + 1 as e from er group by entity, observation),
+      fr as (select entity, observation, u.x, v.y from bx, unnest(generate_series(a, b)) as u(x), unnest(generate_series(c, e)) as v(y)
+        where not exists (select 1 from er where er.entity = bx.entity and er.observation = bx.observation and er.x = u.x and er.y = v.y)),
+      outside_ as (select entity, observation, a as x, c as y from bx union select f.entity, f.observation, f.x, f.y from outside_ s join fr f
+        on f.entity = s.entity and f.observation = s.observation and abs(f.x - s.x) + abs(f.y - s.y) = 1)
+      select * from er union select * from wk union (select * from fr except select * from outside_)""",
+)
 def burned_area(t: Tables):
-    """Gaps closed and holes filled per entity group and week; tested against a brute-force flood fill."""
+    """Gaps closed and holes filled per entity group and week (recursive flood fill as the oracle)."""
     return R.burned_area(checkpoint(_weekly(t)), KEYS)
 
 

@@ -231,9 +231,26 @@ def daily_fire_codes(t: Tables):
     return c.select("site", "season", "day", *[milli(n).alias(f"{n}_milli") for n in ("ffmc", "dmc", "dc", "isi", "bui", "fwi")], "days_since_startup")
 
 
-@query("G14")
+@query(
+    "G14",
+    lambda d: f"""{A.with_views(d, h=A.site_hours).replace('with h', 'with recursive h')},
+      b as (select site, t, temp, rh, speed as wind, cast(rain as double) as rain, (t // 3600) % 24 as hour, cast(60 + (t // 86400) % 30 as double) as code, row_number() over (partition by site order by t) as i from h),
+      e as (select *, 0.942 * pow(rh, 0.679) + 11 * exp((rh - 100) / 10.0::double) + 0.18 * (21.1 - temp) * (1 - exp(-0.115 * rh)) as ed,
+        0.618 * pow(rh, 0.753) + 10 * exp((rh - 100) / 10.0::double) + 0.18 * (21.1 - temp) * (1 - exp(-0.115 * rh)) as ew from b),
+      rec as (
+        select site, t, cast(0 as bigint) as i, code as ffmc from b where i = 1
+        union all
+        select site, t, i, case when hour = 16 then code else greatest(0, least(101, 59.5 * (250 - m2) / (147.2 + m2))) end as ffmc
+        from (select *, case
+              when mo > ed then ed + (mo - ed) * pow(10, -0.0579 * exp(0.0365 * temp) * (0.424 * (1 - pow(rh / 100.0::double, 1.7)) + 0.0694 * sqrt(wind) * (1 - pow(rh / 100.0::double, 8))))
+              when mo < ew then ew - (ew - mo) * pow(10, -0.0579 * exp(0.0365 * temp) * (0.424 * (1 - pow((100 - rh) / 100.0::double, 1.7)) + 0.0694 * sqrt(wind) * (1 - pow((100 - rh) / 100.0::double, 8))))
+              else mo end as m2
+          from (select *, case when rain > 0 then least(250, m1 + 42.5 * rain * exp(-100 / (251 - m1)) * (1 - exp(-6.93 / rain)) + case when m1 > 150 then 0.0015 * pow(m1 - 150, 2) * sqrt(rain) else 0 end) else m1 end as mo
+            from (select e.*, 147.2 * (101 - r.ffmc) / (59.5 + r.ffmc) as m1 from rec r join e on e.site = r.site and e.i = r.i + 1))))
+      select site, t, {milli_sql('ffmc')} as ffmc_milli from rec where i > 0""",
+)
 def hourly_fire_moisture(t: Tables):
-    """Hourly moisture code re-seeded at 16:00; tested against a plain loop in tests."""
+    """Hourly moisture code re-seeded at 16:00 (recursive CTE as the oracle)."""
     hours = t.sql(A.site_hours).select("site", "t", "temp", "rh", F.col("speed").alias("wind"), "rain").withColumns(
         {"hour": F.floor(F.col("t") / 3600) % 24, "code": 60.0 + F.floor(F.col("t") / 86400) % 30}
     )
