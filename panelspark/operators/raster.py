@@ -100,7 +100,7 @@ def fill_holes(cells: DataFrame, keys: list[str]) -> DataFrame:
     Each row of a set becomes its runs of empty cells. A run is open when part of
     it faces, in an adjacent row, the outside or an open run; opening spreads until
     nothing changes. Runs, not cells, are joined, on the adjacent row, and each
-    round is written to the checkpoint folder.
+    round of two rows is written to the checkpoint folder.
     """
     order = W.partitionBy(*keys, "y").orderBy("x")
     stepped = cells.select(*keys, "x", "y").distinct().withColumn("__before", F.lag("x").over(order))
@@ -110,17 +110,27 @@ def fill_holes(cells: DataFrame, keys: list[str]) -> DataFrame:
     beside = faced.join(rows.withColumnRenamed("y", "__y"), [*keys, "__y"], "left")
     out = F.col("__w").isNull() | (F.col("lo") < F.col("__w")) | (F.col("hi") > F.col("__e"))
     state = checkpoint(beside.groupBy(*keys, "y", "lo", "hi").agg(F.max(out.cast("int")).alias("open")))
+    still_closed = None
     while True:
-        fresh = state.where("open = 1").select(*keys, F.explode(F.array(F.col("y") - 1, F.col("y") + 1)).alias("y"), F.col("lo").alias("__lo"), F.col("hi").alias("__hi"))
-        touched = state.where("open = 0").join(fresh, [*keys, "y"]).where("__lo <= hi and lo <= __hi").select(*keys, "y", "lo", "hi").distinct().withColumn("__new", F.lit(1))
-        touched = checkpoint(touched)
-        if touched.isEmpty():
+        state = checkpoint(_open_further(_open_further(state, keys), keys))
+        closed_now = state.where("open = 0").count()
+        if closed_now in (0, still_closed):
             break
-        state = checkpoint(state.join(touched, [*keys, "y", "lo", "hi"], "left").withColumn("open", F.greatest("open", F.coalesce("__new", F.lit(0)))).drop("__new"))
+        still_closed = closed_now
     holes = state.where("open = 0").withColumn("x", F.explode(F.sequence("lo", "hi"))).select(*keys, "x", "y")
     return cells.select(*keys, "x", "y").union(holes).distinct()
 
 
+def _open_further(state: DataFrame, keys: list[str]) -> DataFrame:
+    """Open every closed run that faces an open run in an adjacent row."""
+    opened = state.where("open = 1").select(
+        *keys, F.explode(F.array(F.col("y") - 1, F.col("y") + 1)).alias("y"), F.col("lo").alias("__lo"), F.col("hi").alias("__hi")
+    )
+    met = state.where("open = 0").join(opened, [*keys, "y"], "left")
+    faces = F.coalesce((F.col("__lo") <= F.col("hi")) & (F.col("lo") <= F.col("__hi")), F.lit(False))
+    return state.where("open = 1").unionByName(met.groupBy(*keys, "y", "lo", "hi").agg(F.max(faces.cast("int")).alias("open")))
+
+
 def burned_area(detected: DataFrame, keys: list[str], passes: int = 2) -> DataFrame:
     """Detected cells with gaps closed and holes filled."""
     shape = checkpoint(closed(detected, keys, passes))
