@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelspark.llm import decontaminate, mixing, simhash
+from panelspark.llm import decontaminate, language, mixing, simhash, suffixes, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -18,6 +18,22 @@ def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal().alias("fingerprint"), "component_id")
 
 
+def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = suffixes.removed(_table(spark, folder, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def op4_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    named = docs.select("doc_id", "text", language.held_out().alias("held_out"))
+    return language.identify(named, language.learned_from(docs), ["doc_id", "held_out"])
+
+
+def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
+    members, place = warc.archive(_table(spark, folder, "pages"))
+    return warc.read(members, place, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
@@ -28,7 +44,7 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_simhash, op8_decontamination, op10_mixing)
+    f.__name__: f for f in (op2_suffix_dedup, op3_simhash, op4_language, op5_warc, op8_decontamination, op10_mixing)
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -43,6 +59,14 @@ def _shingles(table: str, key: str) -> str:
 
 
 ORACLES: dict[str, str] = {
+    "op5_warc": """
+with p as (select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha1(coalesce(html, '')) || '00' as hex from pages),
+d as (select page_id, cast(payload_bytes as bigint) as payload_bytes,
+        array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((cast('0x' || substr(hex, 1 + (5 * i) // 4, 3) as integer) >> (7 - (5 * i) % 4)) & 31), 1) for i in range(32)], '') as payload_digest from p)
+select page_id, payload_bytes, payload_digest,
+  case when page_id = min(page_id) over (partition by payload_digest) then 'response' else 'revisit' end as record_type,
+  case when page_id = min(page_id) over (partition by payload_digest) then null else min(page_id) over (partition by payload_digest) end as refers_to
+from d""",
     "op8_decontamination": f"""
 with items as ({_shingles('benchmark', 'item_id')}),
 sizes as (select row, count(*) as shingles from items group by row),
