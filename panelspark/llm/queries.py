@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelspark.llm import decontaminate, language, mixing, simhash, suffixes, warc
+from panelspark.llm import decontaminate, language, mixing, secrets, simhash, suffixes, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -34,6 +34,12 @@ def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.read(members, place, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.find_secrets(_table(spark, folder, "documents"), ["doc_id"])
+    counts = [secrets.counted("base_spans", k).alias(f"n_{secrets.KINDS[k]}") for k in range(3)]
+    return found.select("doc_id", *counts, F.sha2(secrets.listed("base_spans"), 256).alias("base_sha256"), secrets.listed("spans").alias("spans"))
+
+
 def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
@@ -44,7 +50,7 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_suffix_dedup, op3_simhash, op4_language, op5_warc, op8_decontamination, op10_mixing)
+    f.__name__: f for f in (op2_suffix_dedup, op3_simhash, op4_language, op5_warc, op6_secrets, op8_decontamination, op10_mixing)
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
