@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelspark.llm import decontaminate, language, mixing, secrets, simhash, suffixes, warc
+from panelspark.llm import decontaminate, imatch, language, mixing, secrets, simhash, suffixes, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -40,6 +40,12 @@ def op6_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(secrets.listed("base_spans"), 256).alias("base_sha256"), secrets.listed("spans").alias("spans"))
 
 
+def op7_imatch(spark: SparkSession, folder: str) -> DataFrame:
+    found = imatch.edited(_table(spark, folder, "documents"))
+    prints = [imatch.hexadecimal(c).alias(c) for c in ("fingerprint", "edited_fingerprint")]
+    return found.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), *prints, "near_edited", "near_next")
+
+
 def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
@@ -50,7 +56,7 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_suffix_dedup, op3_simhash, op4_language, op5_warc, op6_secrets, op8_decontamination, op10_mixing)
+    f.__name__: f for f in (op2_suffix_dedup, op3_simhash, op4_language, op5_warc, op6_secrets, op7_imatch, op8_decontamination, op10_mixing)
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
