@@ -17,10 +17,9 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from panelspark.llm.common import checkpoint
 
 #: The band, as shares of documents that have a term. A lexicon has at most (mean distinct terms per document) / BAND[0] terms.
-BAND = (0.005, 0.2)
-#: One in so many lexicon terms, per subset.
-DENSITIES = (1, 2, 4, 8, 16, 32, 64, 128)
-SUBSETS_EACH = 4
+BAND = (0.005, 0.3)
+#: (one in so many lexicon terms, number of such subsets): sparse subsets resist edits of long texts, denser ones serve short texts.
+SUBSETS = ((16, 4), (64, 16), (256, 20), (1024, 8))
 SEPARATOR = r"[^\p{L}\p{N}]+"
 
 
@@ -54,10 +53,10 @@ def fingerprint(text: Column, words: list[int], scope: DataFrame, name: str) ->
         def member(h: Column) -> Column:
             return F.pmod(F.xxhash64(h, F.lit(k)), F.lit(one_in)) == 0
 
-        own = F.filter(held, member) if one_in > 1 else F.col(held)
+        own = F.filter(held, member)
         return F.when(F.size(own) > 0, F.xxhash64(own, F.lit(k)).bitwiseAND(F.lit(0xFFFFFFFF)).bitwiseOR(F.lit(1))).otherwise(F.lit(0))
 
-    hashes = [signature(i * SUBSETS_EACH + j, one_in) for i, one_in in enumerate(DENSITIES) for j in range(SUBSETS_EACH if one_in > 1 else 1)]
+    hashes = [signature(k, one_in) for k, one_in in enumerate(one_in for one_in, number in SUBSETS for _ in range(number))]
     return terms.withColumn(name, F.array(*hashes)).drop(held)
 
 
