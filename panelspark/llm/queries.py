@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelspark.llm import decontaminate, imatch, language, mixing, secrets, simhash, suffixes, warc
+from panelspark.llm import decontaminate, imatch, language, mixing, secrets, simhash, suffixes, tokens, warc
+from panelspark.llm.common import checkpoint, shared_folder
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -50,13 +51,28 @@ def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
+def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Load all documents, try the load again, delete the toxic ones, revise those of low quality with white space collapsed."""
+    docs = _table(spark, folder, "documents")
+    marks = _table(spark, folder, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
+    counts = checkpoint(tokens.counted(docs, ["doc_id", "source", "lang"]))
+    rollup = tokens.Rollup(spark, shared_folder(spark, "rollup"))
+    rollup.commit("load", tokens.inserts(counts))
+    rollup.commit("load", tokens.inserts(counts))
+    rollup.commit("toxic", tokens.deletes(counts.join(marks.where("toxic = 1"), "doc_id", "left_semi")))
+    low = marks.where("quality = 0 and coalesce(toxic, 0) <> 1")
+    after = docs.join(low, "doc_id", "left_semi").withColumn("text", F.regexp_replace("text", r"\s+", " "))
+    rollup.commit("revise", tokens.revisions(counts.join(low, "doc_id", "left_semi"), tokens.counted(after, ["doc_id", "source", "lang"])))
+    return rollup.totals()
+
+
 def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     plan = mixing.mix(_table(spark, folder, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", "copies", "taken")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_suffix_dedup, op3_simhash, op4_language, op5_warc, op6_secrets, op7_imatch, op8_decontamination, op10_mixing)
+    f.__name__: f for f in (op2_suffix_dedup, op3_simhash, op4_language, op5_warc, op6_secrets, op7_imatch, op8_decontamination, op9_token_counts, op10_mixing)
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
