@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelspark.llm import decontaminate, imatch, language, mixing, secrets, simhash, suffixes, tokens, warc
+from panelspark.llm import decontaminate, imatch, language, licenses, mixing, secrets, simhash, suffixes, tokens, warc
 from panelspark.llm.common import checkpoint, shared_folder
 
 
@@ -19,6 +19,12 @@ def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal().alias("fingerprint"), "component_id")
 
 
+def op1_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    found = licenses.scan(_table(spark, folder, "documents"))
+    listed = F.transform("spans", lambda s: F.concat_ws(":", s["paragraph"], s["family"], F.round(s["probability"], 3)))
+    return found.select("doc_id", "n_paragraphs", "n_licences", F.array_join("families", ",").alias("families"), F.array_join(listed, ",").alias("spans"))
+
+
 def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = suffixes.removed(_table(spark, folder, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -72,7 +78,7 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_suffix_dedup, op3_simhash, op4_language, op5_warc, op6_secrets, op7_imatch, op8_decontamination, op9_token_counts, op10_mixing)
+    f.__name__: f for f in (op1_licenses, op2_suffix_dedup, op3_simhash, op4_language, op5_warc, op6_secrets, op7_imatch, op8_decontamination, op9_token_counts, op10_mixing)
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
