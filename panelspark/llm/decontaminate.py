@@ -86,6 +86,30 @@ class Sketches:
                     yield item_id, shared, len(grams), shared / len(grams)
 
 
+def passes(benchmark: DataFrame, size: int, threshold: float, item_bytes: int) -> Iterator[Sketches]:
+    """The items in as many bounded sets as their bytes ask for; sets without items are left out."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    number = 1 + int(total) // item_bytes * 2
+    for k in range(number):
+        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(number)) == k)
+        sketches = Sketches([(r.item_id, r.text.encode()) for r in part.collect()], size, threshold)  # bounded by item_bytes
+        if sketches.items:
+            yield sketches
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, *, size: int = 5, threshold: float = 0.8, item_bytes: int = ITEM_BYTES) -> DataFrame:
+    """The rows of `docs` that contain no item to `threshold` (see `contaminated`), with all their columns; nothing is shuffled."""
+    for sketches in passes(benchmark, size, threshold, item_bytes):
+
+        def keep(batches: Iterator[pa.RecordBatch], sketches: Sketches = sketches) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array([next(sketches.search(t), None) is None for t in texts_of(batch)], pa.bool_()))
+
+        docs = docs.mapInArrow(keep, docs.schema)
+    return docs
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, size: int = 5, threshold: float = 0.8, item_bytes: int = ITEM_BYTES) -> DataFrame:
     """One row (doc_id, item_id, shared, shingles, containment) per document and item it contains to `threshold` or more.
 
@@ -96,15 +120,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, size: int = 5, thresh
     The items of a pass are at most `item_bytes` of text on the driver and in each task;
     a larger benchmark takes more passes over the documents.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    passes = 1 + int(total) // item_bytes * 2
     corpus = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found: list[DataFrame] = []
-    for k in range(passes):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k)
-        sketches = Sketches([(r.item_id, r.text.encode()) for r in part.collect()], size, threshold)  # bounded by item_bytes
+    for sketches in passes(benchmark, size, threshold, item_bytes):
 
         def search(batches: Iterator[pa.RecordBatch], sketches: Sketches = sketches) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -114,10 +132,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, size: int = 5, thresh
                 kinds = [pa.int64()] * 4 + [pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["doc_id", "item_id", "shared", "shingles", "containment"])
 
-        if sketches.items:
-            found.append(corpus.mapInArrow(search, PAIRS))
+        found.append(corpus.mapInArrow(search, PAIRS))
     if not found:
-        return spark.createDataFrame([], PAIRS)
+        return docs.sparkSession.createDataFrame([], PAIRS)
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)

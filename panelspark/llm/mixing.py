@@ -16,6 +16,8 @@ WEIGHTS = (5, 2, 1)
 MOST = 3
 #: Bins of the rank axis in which words are summed before any rows are ordered.
 BINS = 1 << 14
+#: Times that documents are taken in rank order, each time leaving out those that are too long for what is left.
+PASSES = 3
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -52,33 +54,52 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, most: int = MOST
     optional positive column that scales a document's inclusion odds within its source
     (null counts as 1); without it all documents of a source share one probability. A
     source takes its documents' whole copies, then one more copy of the documents that
-    rank lowest, up to the document with which the words come nearest to the target. Null
+    rank lowest, as far as the target reaches, and of the document that fits what is left best. Null
     sources form one source. Ties in rank (equal or null ids) are broken by doc_id and
     size; repeated rows are documents of their own. Documents without words, and an empty
     table, take nothing. Extra columns are ignored.
 
     A source of any size is handled: words are summed by rank bin first, and only
-    the one bin per source in which the target falls is put in order.
+    the one bin per source in which the target falls is put in order, in each of PASSES rounds.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     scale = F.coalesce(F.col(importance).cast("double"), F.lit(1.0)) if importance else F.lit(1.0)
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     slim = checkpoint(docs.select("doc_id", "source", size.alias("size"), uniform(key, seed).alias("u"), scale.alias("importance")))
     aims = checkpoint(targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most))
-    ranked = _rank(_with_source(slim, aims))
-    per_bin = ranked.where("size > 0").groupBy("source", "bin", "extra").agg(F.sum("size").alias("words"))
+    state = _rank(_with_source(slim, aims)).withColumn("more", F.lit(False)).withColumn("goal", F.col("extra"))
+    for _ in range(PASSES):
+        state = checkpoint(_fill(checkpoint(state)))
+    # What is left goes to the document whose size comes nearest to it.
+    off = F.abs(F.col("goal") - F.col("size"))
+    others = state.where(~F.col("more") & (F.col("size") > 0) & (off < F.col("goal")))
+    filler = others.groupBy("source").agg(F.min(F.struct(off.alias("off"), "rank", "doc_id", "size")).alias("filler"))
+    placed = _with_source(state, checkpoint(filler))
+    is_filler = F.coalesce(~F.col("more") & (F.col("rank") == F.col("filler.rank")) & F.col("doc_id").eqNullSafe(F.col("filler.doc_id")) & (F.col("size") == F.col("filler.size")), F.lit(False))
+    # Of equal rows one is enough.
+    chosen = placed.where(is_filler).withColumn("nth", F.row_number().over(W.partitionBy("source").orderBy("rank", "doc_id", "size"))).withColumn("more", F.col("nth") == 1)
+    decided = placed.where(~is_filler).unionByName(chosen.drop("nth"))
+    decided = decided.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.col("more").cast("long")).alias("copies"))
+    return decided.withColumn("taken", F.col("copies") * F.col("size"))
+
+
+def _fill(state: DataFrame) -> DataFrame:
+    """Take open documents that fit in rank order while their words stay within the source's goal; lower the goal by them."""
+    fits = ~F.col("more") & (F.col("size") > 0) & (F.col("size") <= F.col("goal"))
+    per_bin = state.where(fits).groupBy("source", "bin").agg(F.sum("size").alias("words"), F.max("goal").alias("goal"))
     along = W.partitionBy("source").orderBy("bin").rowsBetween(W.unboundedPreceding, 0)  # at most BINS rows per source
-    per_bin = per_bin.withColumn("upto", F.sum("words").over(along)).withColumn("before", F.col("upto") - F.col("words"))
-    edges = checkpoint(per_bin.where("upto >= extra and before < extra").select("source", F.col("bin").alias("edge"), "before"))
-    placed = _with_source(ranked, edges)
-    at_edge = F.coalesce((F.col("bin") == F.col("edge")) & (F.col("size") > 0), F.lit(False))
+    per_bin = per_bin.withColumn("upto", F.sum("words").over(along))
+    beyond = F.when(F.col("upto") > F.col("goal"), F.struct("bin", (F.col("upto") - F.col("words")).alias("before")))
+    edges = per_bin.groupBy("source").agg(F.min(beyond).alias("edge"))
+    placed = _with_source(state, checkpoint(edges)).withColumn("fits", fits)
+    at_edge = F.coalesce(F.col("fits") & (F.col("bin") == F.col("edge.bin")), F.lit(False))
     inner = W.partitionBy("source").orderBy("rank", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
-    # A document is taken if at most half its words lie beyond what is left: that comes nearest to the target.
-    inside = placed.where(at_edge).withColumn("more", F.col("before") + F.sum("size").over(inner) - F.col("size") / 2 <= F.col("extra"))
-    outside = placed.where(~at_edge).withColumn("more", F.coalesce((F.col("bin") < F.col("edge")) & (F.col("size") > 0), F.lit(False)))
-    copies = (F.col("whole") + F.col("more").cast("long")).alias("copies")
-    decided = inside.unionByName(outside).select("doc_id", "source", "size", "source_size", "target", copies)
-    return decided.withColumn("taken", F.col("copies") * F.col("size"))
+    inside = placed.where(at_edge).withColumn("more", F.col("edge.before") + F.sum("size").over(inner) <= F.col("goal"))
+    outside = placed.where(~at_edge).withColumn("more", F.col("more") | F.coalesce(F.col("fits") & (F.col("edge").isNull() | (F.col("bin") < F.col("edge.bin"))), F.lit(False)))
+    taken = inside.unionByName(outside)
+    words = taken.where("more and fits").groupBy("source").agg(F.sum("size").alias("words"))
+    lowered = _with_source(taken, words).withColumn("goal", F.col("goal") - F.coalesce("words", F.lit(0)))
+    return lowered.drop("edge", "fits", "words")
 
 
 def copies_of(docs: DataFrame, plan: DataFrame) -> DataFrame:

@@ -130,7 +130,17 @@ r as (select d.*, t.source_size, t.target, case when t.source_size > 0 then t.ta
 e as (select *, cast(floor(ratio) as bigint) as whole, target - floor(ratio) * source_size as extra from r),
 q as (select *, case when source_size > 0 then extra / source_size else 0.0::double end as share from e),
 o as (select *, case when share <= 0 then 1e18::double when share < 1 then u / (1 - u) / (share / (1 - share)) else u / (1 - u) / 1e18::double end as rank from q),
-s as (select *, case when size > 0 and share > 0 then sum(size) over (partition by source order by rank, doc_id, size rows unbounded preceding) end as reached from o)
-select doc_id, size, source_size, target, whole + case when reached - size / 2 <= extra then 1 else 0 end as copies,
-  (whole + case when reached - size / 2 <= extra then 1 else 0 end) * size as taken from s""",
+o0 as (select *, false as more, extra as goal from o),
+a1 as (select *, not more and size > 0 and size <= goal as fits from o0),
+b1 as (select * exclude (more), more or coalesce(fits and sum(case when fits then size end) over (partition by source order by rank, doc_id, size rows unbounded preceding) <= goal, false) as more from a1),
+o1 as (select * exclude (goal, fits), goal - coalesce(sum(case when more and fits then size end) over (partition by source), 0) as goal from b1),
+a2 as (select *, not more and size > 0 and size <= goal as fits from o1),
+b2 as (select * exclude (more), more or coalesce(fits and sum(case when fits then size end) over (partition by source order by rank, doc_id, size rows unbounded preceding) <= goal, false) as more from a2),
+o2 as (select * exclude (goal, fits), goal - coalesce(sum(case when more and fits then size end) over (partition by source), 0) as goal from b2),
+a3 as (select *, not more and size > 0 and size <= goal as fits from o2),
+b3 as (select * exclude (more), more or coalesce(fits and sum(case when fits then size end) over (partition by source order by rank, doc_id, size rows unbounded preceding) <= goal, false) as more from a3),
+o3 as (select * exclude (goal, fits), goal - coalesce(sum(case when more and fits then size end) over (partition by source), 0) as goal from b3),
+n as (select *, row_number() over (partition by source order by more or size = 0 or abs(goal - size) >= goal, abs(goal - size), rank, doc_id) = 1 and not more and size > 0 and abs(goal - size) < goal as filler from o3),
+k as (select *, whole + case when more or filler then 1 else 0 end as copies from n)
+select doc_id, size, source_size, target, copies, copies * size as taken from k""",
 }

@@ -53,8 +53,8 @@ def votes(text: bytes, size: int, lanes: int) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, *, words: int = 3, bits: int = 64) -> DataFrame:
-    """(doc_id, f0, f1, ...) per document: `bits` / 64 longs, the first with bits 0-63.
+def fingerprints(docs: DataFrame, *, words: int = 3, bits: int = 64, label: F.Column | None = None) -> DataFrame:
+    """(label, f0, f1, ...) per document: `bits` / 64 longs, the first with bits 0-63; `label` defaults to doc_id.
 
     Words are split at ASCII white space and A-Z lower-cased; a text of fewer words has
     one shingle, a text without words (or null) fingerprint zero. Rows keep null and
@@ -66,10 +66,13 @@ def fingerprints(docs: DataFrame, *, words: int = 3, bits: int = 64) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([votes(t, words, lanes) for t in texts_of(batch)], dtype=np.uint64).reshape(-1, lanes).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(found[:, k]) for k in range(lanes)]], ["doc_id", *names])
+            yield pa.RecordBatch.from_arrays([batch.column("label"), *[pa.array(found[:, k]) for k in range(lanes)]], ["label", *names])
 
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
+    slim = docs.select((F.col("doc_id").cast("long") if label is None else label).alias("label"), F.col("text").cast("string").alias("text"))
+    schema = slim.select("label").schema
+    for n in names:
+        schema = schema.add(n, "long")
+    return slim.mapInArrow(run, schema)
 
 
 def _segment(column: F.Column, k: int) -> F.Column:
@@ -106,29 +109,38 @@ def ring_viable(keys: np.ndarray, differ: np.ndarray) -> np.ndarray:
     return ok
 
 
-def sampled_keys(names: list[str], tables: int, key_bits: int) -> F.Column:
-    """Files of a wide fingerprint: for each table a chain of `key_bits` bits drawn by a fixed rule."""
-    width, files = 64 * len(names), []
+def ring_files(prints: DataFrame) -> DataFrame:
+    """(node, f0, key, home) rows for `links` of 64-bit fingerprints at 3 bits."""
+    return prints.select("node", "f0", F.explode(ring_keys("f0")).alias("file")).select("node", "f0", "file.key", "file.home")
+
+
+def sampled_files(prints: DataFrame, names: list[str], tables: int, key_bits: int) -> DataFrame:
+    """(node, names, key, home) rows: for each table a chain of `key_bits` bits of a wide fingerprint, drawn by a fixed rule."""
     draw = np.random.default_rng(SEED)
-    for t in range(tables):
-        bits = draw.choice(width, key_bits, replace=False)
-        key = F.lit(t).cast("long")
-        for b in bits.tolist():
-            bit = F.shiftrightunsigned(F.col(names[b // 64]), b % 64).bitwiseAND(F.lit(1))
-            key = F.shiftleft(key, 1).bitwiseOR(bit)
-        files.append(F.struct(key.alias("key"), F.lit(True).alias("home")))
-    return F.array(*files)
+    chains = [draw.choice(64 * len(names), key_bits, replace=False) for _ in range(tables)]
+    weight = 1 << np.arange(key_bits, dtype=np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(k).to_numpy() for k in range(1 + len(names))]
+            bits = np.unpackbits(np.column_stack(columns[1:]).view(np.uint8), axis=1, bitorder="little")
+            for t, chain in enumerate(chains):
+                key = (t << key_bits) | (bits[:, chain].astype(np.int64) @ weight)
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(key), pa.array(np.ones(len(key), dtype=bool))], ["node", *names, "key", "home"])
 
+    schema = ", ".join(f"{n} long" for n in ("node", *names, "key"))
+    return prints.select("node", *names).mapInArrow(run, schema + ", home boolean")
 
-def links(prints: DataFrame, names: list[str], distance: int, keys: F.Column, viable: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
+
+def links(filed: DataFrame, names: list[str], distance: int, viable: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """(a, b) of nodes whose fingerprints differ in at most `distance` bits and meet in a file.
 
-    `prints` has a long `node` and one row per distinct fingerprint. Per file the links
+    `filed` has a row (node long, `names`, key, home) per distinct fingerprint and file it
+    is in or visits; only files that are someone's home count. Per file the links
     found connect exactly the members that are connected by close pairs: of a large file
     only a spanning forest is returned, so copies never expand into all pairs. Files
     beyond BLOCK members are cut into blocks, compared pair by pair of blocks.
     """
-    filed = prints.select("node", *names, F.explode(keys).alias("file")).select("node", *names, "file.key", "file.home")
     large = filed.where("home").groupBy("key").count().where(F.col("count") > BLOCK)
     large = large.select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
     filed = filed.join(large, "key", "left")
@@ -191,13 +203,13 @@ def forest(prints: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.n
 
 
 def groups(prints: DataFrame, names: list[str], edges: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """`prints` (doc_id and fingerprint columns) with component_id, the smallest doc_id reachable over links.
+    """`prints` (label and fingerprint columns) with component_id, the smallest label reachable over links.
 
     Equal fingerprints are one node, so a group of copies costs one row; the return
-    join can be split where copies are many. Null ids belong to a group but never name it
-    (a group of null ids only has a null id).
+    join can be split where copies are many. Null labels belong to a group but never name it
+    (a group of null labels only has a null id).
     """
-    nodes = checkpoint(prints.groupBy(*names).agg(F.min("doc_id").alias("lowest")).withColumn("node", F.xxhash64(*names) if len(names) > 1 else F.col(names[0])))
+    nodes = checkpoint(prints.groupBy(*names).agg(F.min("label").alias("lowest")).withColumn("node", F.xxhash64(*names) if len(names) > 1 else F.col(names[0])))
     roots = components(edges(nodes))
     joined = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = joined.groupBy("root").agg(F.min("lowest").alias("component_id"))
@@ -214,11 +226,12 @@ def near_duplicates(docs: DataFrame, *, words: int = 3, distance: int = 3) -> Da
     if distance > 3:
         raise ValueError("four segments guarantee links of at most 3 bits; use similar_documents beyond")
     prints = checkpoint(fingerprints(docs, words=words))
-    return groups(prints, ["f0"], lambda nodes: links(nodes, ["f0"], distance, ring_keys("f0"), ring_viable if distance == 3 else None))
+    found = groups(prints, ["f0"], lambda nodes: links(ring_files(nodes), ["f0"], distance, ring_viable if distance == 3 else None))
+    return found.withColumnRenamed("label", "doc_id")
 
 
-def similar_documents(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, bits: int = 256, tables: int = 64, key_bits: int = 16, slack: float = 1.0) -> DataFrame:
-    """(doc_id, f0 .., component_id) per document: groups of documents whose shingle sets have Jaccard `similarity` or more.
+def similar_documents(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, bits: int = 256, tables: int = 64, key_bits: int = 16, slack: float = 0.5, label: F.Column | None = None) -> DataFrame:
+    """(label, f0 .., component_id) per document: groups of documents whose shingle sets have Jaccard `similarity` or more.
 
     Sets of one size with that Jaccard meet at an angle whose share of 180 degrees is the
     expected share of differing bits; documents are linked up to that many bits plus
@@ -230,8 +243,21 @@ def similar_documents(docs: DataFrame, *, words: int = 5, similarity: float = 0.
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
     distance = math.floor(bits * share + slack * math.sqrt(bits * share * (1 - share)))
     names = [f"f{k}" for k in range(bits // 64)]
-    prints = checkpoint(fingerprints(docs, words=words, bits=bits))
-    return groups(prints, names, lambda nodes: links(nodes, names, distance, sampled_keys(names, tables, key_bits)))
+    prints = checkpoint(fingerprints(docs, words=words, bits=bits, label=label))
+    return groups(prints, names, lambda nodes: links(sampled_files(nodes, names, tables, key_bits), names, distance))
+
+
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """The rows of `docs` without near-duplicates: of each group of `similar_documents` the one with the smallest doc_id.
+
+    Null ids come after all others, equal ids follow the text, and of repeated rows one stays.
+    """
+    own = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("t"))
+    found = similar_documents(docs, label=own, **options)
+    kept = found.where(F.col("label") == F.col("component_id")).select(F.coalesce("label.id", F.lit(0)).alias("__id"), "label.t", "label.none").distinct()
+    rows = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "__none": F.col("doc_id").isNull(), "__t": F.xxhash64("text")})
+    kept = kept.select("__id", F.col("t").alias("__t"), F.col("none").alias("__none"))
+    return rows.join(kept, ["__id", "__t", "__none"], "left_semi").dropDuplicates(["__id", "__t", "__none"]).select(*docs.columns)
 
 
 def hexadecimal(column: str = "f0") -> F.Column:
