@@ -95,22 +95,19 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     # Piece 0 has the largest ids; nulls fall in the last piece.
     piece = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<double>"), lambda c: c > F.coalesce(F.col("doc_id").cast("double"), F.lit(float("-inf")))))
     placed = docs.withColumn("piece", piece)
-    order = F.struct(F.coalesce(-F.col("doc_id"), F.lit((1 << 63) - 1)).alias("down"), F.col("__tie"))
-    heads = {r.piece: r.head for r in placed.groupBy("piece").agg(F.min(order).alias("head")).collect()}  # one id per piece
-    have = sorted(heads)
-    before = {p: have[i - 1] for i, p in enumerate(have)}  # the first piece follows the last
-    own = F.struct(F.col("piece").alias("p"), F.lit(False).alias("guest"))
-    is_head = F.lit(False)
-    goes_to = F.lit(None).cast("int")
-    for p in have:
-        match = (F.col("piece") == p) & (order == F.struct(F.lit(heads[p].down).cast("long").alias("down"), F.lit(heads[p][1]).cast("long").alias("__tie")))
-        goes_to = F.when(match, before[p]).otherwise(goes_to)
-    dealt = placed.withColumn("__to", goes_to)
-    guest = F.struct(F.col("__to").alias("p"), F.lit(True).alias("guest"))
+    order = F.struct(F.coalesce(F.bitwise_not("doc_id"), F.lit((1 << 63) - 1)).alias("down"), F.col("__tie"))
+    # One row per piece: its first document, and the piece before it (the first follows the last).
+    heads = placed.groupBy("piece").agg(F.min(order).alias("head"))
+    by_piece = W.orderBy("piece")
+    heads = heads.withColumn("__to", F.coalesce(F.lag("piece").over(by_piece), F.max("piece").over(W.partitionBy())))
+    heads = heads.select(F.col("piece").alias("__piece"), "head", "__to")
+    dealt = placed.withColumn("__order", order)
+    dealt = dealt.join(F.broadcast(heads), (F.col("piece") == F.col("__piece")) & (F.col("__order") == F.col("head")), "left")
+    own, guest = F.struct(F.col("piece").alias("p"), F.lit(False).alias("guest")), F.struct(F.col("__to").alias("p"), F.lit(True).alias("guest"))
     dealt = dealt.withColumn("cell", F.explode(F.when(F.col("__to").isNull(), F.array(own)).otherwise(F.array(own, guest))))
     along = W.partitionBy("cell.p").orderBy("cell.guest", F.col("doc_id").desc_nulls_last(), "__tie")
     out = dealt.select("*", *[F.lead(c).over(along).alias(f"next_{c}") for c in columns], F.lead(F.lit(1)).over(along).alias("__has"))
-    return out.where(~F.col("cell.guest") & F.col("__has").isNotNull()).drop("piece", "cell", "__to", "__has")
+    return out.where(~F.col("cell.guest") & F.col("__has").isNotNull()).drop("piece", "cell", "__to", "__has", "__piece", "head", "__order")
 
 
 def edited(docs: DataFrame) -> DataFrame:

@@ -201,12 +201,12 @@ def fit(labelled: DataFrame, key: Column, *, per_language: int = PER_LANGUAGE, b
     return Model(languages, weights, np.frombuffer(bytes(found.b), dtype=np.float64), idf, found.t)
 
 
-def identify(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """Columns `keep` of every document with lang_pred and score (0 to 1).
+def identify(docs: DataFrame, model: Model, keep: list[str], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Columns `keep` of every document with the predicted language and its probability (0 to 1), named by `names`.
 
     Only the text is read: a null text or one without any letter is `und` with score 0.
     Ties between languages go to the first in code-point order. Repeated rows and
-    nulls in other columns are passed on; `keep` must not name lang_pred or score.
+    nulls in other columns are passed on; `keep` must not contain `names`.
     """
     slim = docs.select(*keep, F.col("text").cast("string").alias("__text"))
     schema = slim.drop("__text").schema
@@ -216,9 +216,9 @@ def identify(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
         for batch in batches:
             found = [box.value.predict(t) for t in batch.column("__text").to_pylist()]
             columns = [batch.column(k) for k in range(len(keep))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], [*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], [*keep, *names])
 
-    out = schema.add("lang_pred", "string").add("score", "double")
+    out = schema.add(names[0], "string").add(names[1], "double")
     return slim.mapInArrow(run, out)
 
 

@@ -107,18 +107,18 @@ def length_class(n: Column) -> Column:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """`docs` with base_spans and tokens: array<struct<start, stop, class, bin>> of the hypotheses no base span touches."""
+    """`docs` with __base (base spans) and __tokens: array<struct<start, stop, class, bin>> of the hypotheses no base span touches."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = F.concat(spans_of(text, ASSIGN, 0, 1, LEAST_VALUE), spans_of(text, ACCESS, 1), spans_of(text, HEX, 2))
-    out = docs.withColumn("base_spans", F.sort_array(base)).withColumn("__tokens", spans_of(text, TOKEN, 3))
+    out = docs.withColumn("__base", F.sort_array(base)).withColumn("__long", spans_of(text, TOKEN, 3))
 
     def judged(t: Column) -> Column:
         token = F.substring(text, t["start"] + 1, t["stop"] - t["start"])
         step = F.floor(F.greatest(evidence(token), F.lit(0.0)) * STEPS)
         return F.struct(t["start"].alias("start"), t["stop"].alias("stop"), length_class(t["stop"] - t["start"]).alias("class"), F.least(step, F.lit(STEPS * END)).cast("int").alias("bin"))
 
-    free = F.filter("__tokens", lambda t: ~F.exists("base_spans", lambda b: (b["start"] < t["stop"]) & (b["stop"] > t["start"])))
-    return out.withColumn("tokens", F.transform(free, judged)).drop("__tokens")
+    free = F.filter("__long", lambda t: ~F.exists("__base", lambda b: (b["start"] < t["stop"]) & (b["stop"] > t["start"])))
+    return out.withColumn("__tokens", F.transform(free, judged)).drop("__long")
 
 
 def limits(scanned: DataFrame, rate: float = RATE) -> list[int]:
@@ -127,7 +127,7 @@ def limits(scanned: DataFrame, rate: float = RATE) -> list[int]:
     Counts per class and bin, a bounded table whatever the corpus, give the
     Benjamini-Hochberg rule with every probability rounded up to its bin.
     """
-    counts = scanned.select(F.explode("tokens").alias("t")).groupBy("t.class", "t.bin").count().collect()  # CLASSES x bins at most
+    counts = scanned.select(F.explode("__tokens").alias("t")).groupBy("t.class", "t.bin").count().collect()  # CLASSES x bins at most
     out = []
     for k in range(len(CLASSES)):
         bins = sorted(((r["bin"], r["count"]) for r in counts if r["class"] == k), reverse=True)
@@ -141,11 +141,11 @@ def limits(scanned: DataFrame, rate: float = RATE) -> list[int]:
 
 
 def with_spans(scanned: DataFrame, least: list[int]) -> DataFrame:
-    """Add `spans`: base spans and discoveries, by start, then kind, as array<struct<start, kind, stop>>."""
+    """Add `__spans`: base spans and discoveries, by start, then kind, as array<struct<start, kind, stop>>."""
     bound = F.array(*[F.lit(x) for x in least])
-    hits = F.filter("tokens", lambda t: t["bin"] >= F.element_at(bound, t["class"] + 1))
+    hits = F.filter("__tokens", lambda t: t["bin"] >= F.element_at(bound, t["class"] + 1))
     added = F.transform(hits, lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("kind"), t["stop"].alias("stop")))
-    return scanned.withColumn("spans", F.sort_array(F.concat("base_spans", added)))
+    return scanned.withColumn("__spans", F.sort_array(F.concat("__base", added)))
 
 
 def listed(spans: str) -> Column:
@@ -163,10 +163,11 @@ def find_secrets(docs: DataFrame, keep: list[str], *, rate: float = RATE) -> Dat
 
     Offsets are code points, ends exclusive. A null text is empty and has no span;
     null and repeated ids and repeated rows are kept. A text's tokens are scored whole, however long. An
-    empty table has no discoveries. `keep` must not name base_spans, tokens or spans.
+    empty table has no discoveries. `keep` must not name base_spans or spans.
     """
-    scanned = checkpoint(scan(docs.select(*dict.fromkeys([*keep, "text"]))).select(*keep, "base_spans", "tokens"))
-    return with_spans(scanned, limits(scanned, rate)).drop("tokens")
+    scanned = checkpoint(scan(docs.select(*dict.fromkeys([*keep, "text"]))).select(*keep, "__base", "__tokens"))
+    found = with_spans(scanned, limits(scanned, rate))
+    return found.select(*keep, F.col("__base").alias("base_spans"), F.col("__spans").alias("spans"))
 
 
 def redact(docs: DataFrame, *, mark: str = "[SECRET]", rate: float = RATE) -> DataFrame:
@@ -180,8 +181,8 @@ def redact(docs: DataFrame, *, mark: str = "[SECRET]", rate: float = RATE) -> Da
         return F.struct(F.greatest(state["at"], s["stop"]).alias("at"), F.concat(state["out"], piece).alias("out"))
 
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    masked = F.aggregate("spans", zero, step, lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.length("text"))))
-    out = found.withColumn("text", F.when(F.size("spans") > 0, masked).otherwise(F.col("text")))
+    masked = F.aggregate("__spans", zero, step, lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.length("text"))))
+    out = found.withColumn("text", F.when(F.size("__spans") > 0, masked).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.size("__spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
