@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from panelspark.operators.ordered import running
 
 PRIME = 2147483647  # fixed value: modulus of the multiplicative generator
+BLOCK = 100  # replicates computed together by one task
 
 
 def draw(replicate: Column, slot: Column, seed: int, size: Column) -> Column:
@@ -16,14 +22,25 @@ def draw(replicate: Column, slot: Column, seed: int, size: Column) -> Column:
     return ((once + slot.cast("long") * 65539) % PRIME * 16807 % PRIME) % size
 
 
+def drawn_slots(replicate: int, slots: np.ndarray, seed: int, size: int) -> np.ndarray:
+    """`draw` for all slots of a replicate."""
+    start = (replicate * 1000003 + slots * 7919 + seed * 104729) % PRIME
+    return ((start * 48271 % PRIME + slots * 65539) % PRIME * 16807 % PRIME) % size
+
+
+def numbered(units: DataFrame, groups: list[str], unit: str) -> DataFrame:
+    """(groups, unit, __i, __size): units counted from 0 in order, and how many their group has."""
+    indexed = running(units.select(*groups, unit).distinct().withColumn("__one", F.lit(1)), groups, unit, {"__i": "__one"}, totals=True)
+    return indexed.select(*groups, unit, (F.col("__i") - 1).alias("__i"), F.col("__i_total").alias("__size"))
+
+
 def multiplicities(units: DataFrame, groups: list[str], unit: str, replicates: int, seed: int) -> DataFrame:
     """How often each unit is drawn in each replicate: as many draws as units, with replacement, per group.
 
     Each unit contributes one slot per replicate, so drawing is spread over tasks
     and the output has at most units x replicates rows.
     """
-    indexed = running(units.select(*groups, unit).distinct().withColumn("__one", F.lit(1)), groups, unit, {"__i": "__one"}, totals=True)
-    indexed = indexed.select(*groups, unit, (F.col("__i") - 1).alias("__i"), F.col("__i_total").alias("__size"))
+    indexed = numbered(units, groups, unit)
     slots = indexed.withColumn("replicate", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicates - 1).cast("long"))))
     drawn = slots.select(*groups, "replicate", draw(F.col("replicate"), F.col("__i"), seed, F.col("__size")).alias("__i"))
     counted = drawn.groupBy(*groups, "replicate", "__i").agg(F.count(F.lit(1)).alias("times"))
@@ -40,32 +57,93 @@ def cluster_bootstrap(pairs: DataFrame, cluster: str, difference: str, replicate
     return whole.select("mean", "steps", "clusters", spread.select("low").scalar().alias("low"), spread.select("high").scalar().alias("high"))
 
 
-def replicate_ap(rows: DataFrame, times: DataFrame, group: str, day: str, y: str, p: str) -> DataFrame:
-    """Exact average precision of every replicate of each group, ties included.
+def replicate_ap(rows: DataFrame, group: str, day: str, y: str, p: str, replicates: int, seed: int) -> DataFrame:
+    """Exact average precision of every replicate of each group, ties included: (group, replicate, ap).
 
     Only scores of positive rows are thresholds. Every other row is folded into
     the highest threshold at or below it, so what meets the replicates has at most
-    one row per day and threshold, not one per source row. A replicate without a
-    positive scores 0.
+    one row per day and threshold, not one per source row. Replicates are computed in
+    blocks: a task reads its group's folded rows in threshold order and keeps one running
+    sum per replicate, so rows are repeated once per block, never once per replicate. A
+    replicate without a positive scores 0.
     """
     levels = rows.groupBy(group, p).agg(F.max(F.col(y).cast("int")).alias("__pos"))
     marked = running(levels, [group], p, {"__k": "__pos"}, descending=True)
     slot = F.col("__k") + F.when(F.col("__pos") == 1, 0).otherwise(1)
     daily = rows.groupBy(group, day, p).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(y).cast("long")).alias("pos"))
     folded = daily.join(marked.select(group, p, slot.alias("slot")), [group, p]).groupBy(group, day, "slot").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
-    met = folded.join(times, [group, day])
-    weighted = met.groupBy(group, "replicate", "slot").agg(F.sum(F.col("n") * F.col("times")).alias("n"), F.sum(F.col("pos") * F.col("times")).alias("pos"))
-    upto = running(weighted, [group, "replicate"], "slot", {"n_upto": "n", "pos_upto": "pos"})
-    step = F.when(F.col("n_upto") > 0, F.col("pos") * F.col("pos_upto") / F.nullif(F.col("n_upto"), F.lit(0))).otherwise(0.0)
-    return upto.groupBy(group, "replicate").agg(F.coalesce(F.sum(step) / F.nullif(F.sum("pos"), F.lit(0)), F.lit(0.0)).alias("ap"))
+    met = folded.join(numbered(rows, [group], day), [group, day])
+    blocks = met.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // BLOCK))))
+    dealt = blocks.select(F.col(group).alias("group"), F.col("block").cast("long").alias("block"), F.col("slot").cast("long").alias("slot"), "n", "pos", F.col("__i").cast("long").alias("i"), F.col("__size").cast("long").alias("size"))
+    dealt = dealt.repartition("group", "block").sortWithinPartitions("group", "block", "slot")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state: Replicates | None = None
+        for batch in batches:
+            groups, block = batch.column("group").to_pylist(), batch.column("block").to_numpy()
+            slot, n, pos, i, size = (batch.column(c).to_numpy() for c in ("slot", "n", "pos", "i", "size"))
+            change = [0, *[k for k in range(1, len(groups)) if groups[k] != groups[k - 1] or block[k] != block[k - 1]], len(groups)]
+            for a, b in zip(change[:-1], change[1:]):
+                if a == b:
+                    continue
+                if state is None or (state.group, state.block) != (groups[a], int(block[a])):
+                    if state is not None:
+                        yield state.result(kind)
+                    state = Replicates(groups[a], int(block[a]), int(size[a]), replicates, seed)
+                state.add(slot[a:b], n[a:b], pos[a:b], i[a:b])
+        if state is not None:
+            yield state.result(kind)
+
+    schema = dealt.select("group").schema
+    kind = to_arrow_type(schema["group"].dataType)
+    out = dealt.mapInArrow(run, schema.add("replicate", "long").add("ap", "double"))
+    return out.withColumnRenamed("group", group)
+
+
+class Replicates:
+    """Running sums of one block of replicates of one group, fed in threshold order."""
+
+    def __init__(self, group, block: int, size: int, replicates: int, seed: int) -> None:
+        self.group, self.block = group, block
+        self.first, last = block * BLOCK, min(replicates, (block + 1) * BLOCK)
+        slots = np.arange(size, dtype=np.int64)
+        drawn = [drawn_slots(r, slots, seed, size) for r in range(self.first, last)]
+        self.times = np.column_stack([np.bincount(d, minlength=size) for d in drawn])
+        self.n, self.pos, self.ap = (np.zeros(len(drawn)) for _ in range(3))
+        self.slot, self.open_n, self.open_pos = None, np.zeros(len(drawn)), np.zeros(len(drawn))
+
+    def _close(self, n: np.ndarray, pos: np.ndarray) -> None:
+        """Rows are successive thresholds."""
+        n_upto, pos_upto = self.n + np.cumsum(n, axis=0), self.pos + np.cumsum(pos, axis=0)
+        self.ap += np.where(n_upto > 0, pos * pos_upto / np.maximum(n_upto, 1), 0.0).sum(axis=0)
+        self.n, self.pos = n_upto[-1], pos_upto[-1]
+
+    def add(self, slot: np.ndarray, n: np.ndarray, pos: np.ndarray, i: np.ndarray) -> None:
+        times = self.times[i]
+        starts = np.concatenate(([0], np.flatnonzero(np.diff(slot)) + 1))
+        ns = np.add.reduceat(times * n[:, None], starts, axis=0).astype(float)
+        ps = np.add.reduceat(times * pos[:, None], starts, axis=0).astype(float)
+        if self.slot == slot[0]:
+            ns[0] += self.open_n
+            ps[0] += self.open_pos
+        elif self.slot is not None:
+            self._close(self.open_n[None], self.open_pos[None])
+        if len(starts) > 1:
+            self._close(ns[:-1], ps[:-1])
+        self.slot, self.open_n, self.open_pos = slot[-1], ns[-1], ps[-1]
+
+    def result(self, kind: pa.DataType) -> pa.RecordBatch:
+        self._close(self.open_n[None], self.open_pos[None])
+        ap = np.where(self.pos > 0, self.ap / np.maximum(self.pos, 1), 0.0)
+        numbers = np.arange(self.first, self.first + len(ap), dtype=np.int64)
+        return pa.RecordBatch.from_arrays([pa.array([self.group] * len(ap), kind), pa.array(numbers), pa.array(ap)], ["group", "replicate", "ap"])
 
 
 def paired_day_bootstrap(rows: DataFrame, group: str, day: str, y: str, scores: dict[str, str], replicates: int = 2000, seed: int = 0) -> DataFrame:
     """Average precision of several models per replicate, on the same resampled days: (group, replicate, ap_<model>...)."""
-    times = multiplicities(rows, [group], day, replicates, seed)
     table = None
     for model, p in scores.items():
-        part = replicate_ap(rows, times, group, day, y, p).withColumnRenamed("ap", f"ap_{model}")
+        part = replicate_ap(rows, group, day, y, p, replicates, seed).withColumnRenamed("ap", f"ap_{model}")
         table = part if table is None else table.join(part, [group, "replicate"])
     return table
 

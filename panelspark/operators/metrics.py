@@ -10,13 +10,13 @@ from panelspark.operators.ranking import thin, top_k
 EPSILON = 2.220446049250313e-16  # fixed value: float64 machine epsilon, the clip of the log loss
 
 
-def score_levels(df: DataFrame, keys: list[str], y: str, p: str) -> DataFrame:
-    """Distinct scores with row and positive counts, and both counts from the top down."""
-    counts = df.groupBy(*keys, p).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(y).cast("long")).alias("pos"))
+def score_levels(df: DataFrame, keys: list[str], y: str, p: str, n: str | None = None) -> DataFrame:
+    """Distinct scores with row and positive counts, and both counts from the top down; `n` names a count of rows where rows are merged already."""
+    counts = df.groupBy(*keys, p).agg((F.sum(n) if n else F.count(F.lit(1))).alias("n"), F.sum(F.col(y).cast("long")).alias("pos"))
     return running(counts, keys, p, {"n_upto": "n", "pos_upto": "pos"}, descending=True, totals=True)
 
 
-def binary_metrics(df: DataFrame, keys: list[str], y: str, p: str) -> DataFrame:
+def binary_metrics(df: DataFrame, keys: list[str], y: str, p: str, n: str | None = None) -> DataFrame:
     """Counts, prevalence, average precision, ROC AUC, Brier score and log loss per key.
 
     Average precision is the tie-grouped step sum, NULL without positives; AUC is
@@ -25,7 +25,7 @@ def binary_metrics(df: DataFrame, keys: list[str], y: str, p: str) -> DataFrame:
     c = F.col
     clipped = F.greatest(F.lit(EPSILON), F.least(F.lit(1 - EPSILON), c(p)))
     neg, neg_upto, negatives = c("n") - c("pos"), c("n_upto") - c("pos_upto"), c("n_upto_total") - c("pos_upto_total")
-    table = score_levels(df, keys, y, p).groupBy(*keys).agg(
+    table = score_levels(df, keys, y, p, n).groupBy(*keys).agg(
         F.max("n_upto_total").alias("n_samples"), F.max("pos_upto_total").alias("n_positive"),
         F.sum(c("pos") * c("pos_upto") / c("n_upto")).alias("__ap"),
         F.sum(c("pos") * (negatives - neg_upto + neg / 2)).alias("__auc"),
@@ -42,10 +42,11 @@ def binary_metrics(df: DataFrame, keys: list[str], y: str, p: str) -> DataFrame:
 
 
 def stratified_metrics(df: DataFrame, y: str, p: str, strata: dict[str, Column]) -> DataFrame:
-    """`binary_metrics` of all rows and of every value of each stratum, in one pass over (stratum, value) labels."""
-    labels = F.array(F.struct(F.lit("all").alias("stratum"), F.lit("all").alias("value")), *[F.struct(F.lit(n).alias("stratum"), v.cast("string").alias("value")) for n, v in strata.items()])
-    long = df.select(y, p, F.explode(labels).alias("__l")).select(y, p, "__l.stratum", "__l.value")
-    return binary_metrics(long, ["stratum", "value"], y, p)
+    """`binary_metrics` of all rows and of every value of each stratum; rows are counted by score and strata before they are repeated per stratum."""
+    counts = df.groupBy(p, *[v.cast("string").alias(f"__v_{n}") for n, v in strata.items()]).agg(F.count(F.lit(1)).alias("__n"), F.sum(F.col(y).cast("long")).alias(y))
+    labels = F.array(F.struct(F.lit("all").alias("stratum"), F.lit("all").alias("value")), *[F.struct(F.lit(n).alias("stratum"), F.col(f"__v_{n}").alias("value")) for n in strata])
+    long = counts.select(y, p, "__n", F.explode(labels).alias("__l")).select(y, p, "__n", "__l.stratum", "__l.value")
+    return binary_metrics(long, ["stratum", "value"], y, p, "__n")
 
 
 def reliability(df: DataFrame, keys: list[str], y: str, p: str, bins: int = 10) -> DataFrame:
@@ -59,15 +60,17 @@ def reliability(df: DataFrame, keys: list[str], y: str, p: str, bins: int = 10)
 
 
 def quantile_reliability(df: DataFrame, keys: list[str], y: str, p: str, bins: int = 10) -> DataFrame:
-    """Bins by the mid-rank of each distinct score, so tied scores stay together; empty bins vanish."""
+    """Bins by the mid-rank of each distinct score, so tied scores stay together; bins that are not empty are numbered from 1."""
     counts = df.groupBy(*keys, p).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(y).cast("long")).alias("pos"))
     ranked = running(counts, keys, p, {"upto": "n"}, totals=True)
     middle = (F.col("upto") - F.col("n") / 2) / F.col("upto_total")
-    binned = ranked.withColumn("bin", F.least(F.floor(middle * bins), F.lit(bins - 1)).cast("long"))
-    return binned.groupBy(*keys, "bin").agg(
+    binned = ranked.withColumn("__cut", F.least(F.floor(middle * bins), F.lit(bins - 1)).cast("long"))
+    table = binned.groupBy(*keys, "__cut").agg(
         F.min(p).alias("min_probability"), F.max(p).alias("max_probability"), F.sum("n").alias("n_samples"), F.sum("pos").alias("n_positive"),
         (F.sum(F.col(p) * F.col("n")) / F.sum("n")).alias("mean_probability"), (F.sum("pos") / F.sum("n")).alias("observed"),
     )
+    numbered = F.dense_rank().over(W.partitionBy(*keys).orderBy("__cut"))  # at most `bins` rows per key
+    return table.withColumn("bin", numbered.cast("long")).drop("__cut")
 
 
 def threshold_table(df: DataFrame, keys: list[str], y: str, p: str, thresholds: list[float], day: str | None = None) -> DataFrame:

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from panelspark.session import parts_for, worth_cutting
+from panelspark.session import parts_for
 
 PIECE = "__piece"
 
@@ -30,9 +30,7 @@ def join_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "in
 
 
 def cut_points(df: DataFrame, order: str, parts: int | None = None) -> list[float]:
-    """At most `parts - 1` increasing cut points of a numeric column (a driver-sized list); none for small input."""
-    if not worth_cutting(df):
-        return []
+    """At most `parts - 1` increasing cut points of a numeric column (a driver-sized list)."""
     parts = parts or parts_for(df)
     probabilities = [i / parts for i in range(1, parts)]
     found = df.select(F.col(order).cast("double").alias("v")).approxQuantile("v", probabilities, 1.0 / (4 * parts))
@@ -41,7 +39,7 @@ def cut_points(df: DataFrame, order: str, parts: int | None = None) -> list[floa
 
 def with_piece(df: DataFrame, order: str, cuts: list[float]) -> DataFrame:
     """Add the number of the piece each row falls in; pieces follow the order of the column."""
-    if not cuts:
+    if not cuts:  # an empty or constant axis is one piece
         return df.withColumn(PIECE, F.lit(0))
     splits = [float("-inf"), *cuts, float("inf")]
     cast = df.withColumn("__v", F.col(order).cast("double"))
@@ -68,12 +66,6 @@ def running(
     """
     cuts = cut_points(df, order) if cuts is None else cuts
     direction = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
-    if not cuts:
-        ordered = W.partitionBy(*keys).orderBy(direction(order), *[F.col(c) for c in ties or []]).rowsBetween(W.unboundedPreceding, 0)
-        columns = {o: F.coalesce(F.sum(c).over(ordered), F.lit(0)) for o, c in sums.items()}
-        if totals:
-            columns |= {f"{o}_total": F.sum(c).over(W.partitionBy(*keys)) for o, c in sums.items()}
-        return df.withColumns(columns)
     group = [*keys, PIECE]
     pieces = with_piece(df, order, cuts).repartition(*[F.col(c) for c in group])
     per_piece = pieces.groupBy(*group).agg(*[F.sum(c).alias(f"__s_{o}") for o, c in sums.items()])
@@ -97,9 +89,6 @@ def neighbour(
     """`values` = {output: input} of the previous (or following) row along `order` within `keys`."""
     cuts = cut_points(df, order) if cuts is None else cuts
     step = F.lead if following else F.lag
-    if not cuts:
-        ordered = W.partitionBy(*keys).orderBy(order)
-        return df.withColumns({o: step(c).over(ordered) for o, c in values.items()})
     group = [*keys, PIECE]
     pieces = with_piece(df, order, cuts).repartition(*[F.col(c) for c in group])
     pick = F.min_by if following else F.max_by

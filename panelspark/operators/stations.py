@@ -194,9 +194,12 @@ def as_of_nearest(cells: DataFrame, stations: DataFrame, k: int, cell: str, stat
     return folded.select(cell, F.col(f"__v.{station}").alias(station), "__v.distance_km", "__v.since", "__v.until")
 
 
-def serve(validity: DataFrame, records: DataFrame, station: str, day: str) -> DataFrame:
-    """Records of the stations that serve each cell on their day (equi-join on the station, interval residual)."""
-    joined = validity.join(records, station)
+def served_days(validity: DataFrame, days: DataFrame, day: str, block: int = 64) -> DataFrame:
+    """Every (cell, station, day) of `days` inside a validity interval; intervals and days meet through blocks of days."""
+    at = lambda c: F.floor(c / block)
+    last = days.agg(F.max(day)).scalar()
+    spans = validity.withColumn("__b", F.explode(F.sequence(at(F.col("since")), at(F.greatest(F.col("since"), F.coalesce(F.col("until") - 1, last))))))
+    joined = spans.join(days.withColumn("__b", at(F.col(day))), "__b").drop("__b")
     return joined.where((F.col(day) >= F.col("since")) & (F.col("until").isNull() | (F.col(day) < F.col("until"))))
 
 

@@ -62,11 +62,12 @@ def candidate_features(start: DataFrame, active: DataFrame, keys: list[str], rad
     east, north = F.col("x") - F.col("near_x"), F.col("y") - F.col("near_y")
     distance = F.sqrt(F.col("near_d2").cast("double")) * size
     toward = F.pmod(bearing(east.cast("double"), north.cast("double")) + convergence, F.lit(360.0))
-    cosine = F.coalesce(F.cos(F.radians(toward - F.col("downwind_deg"))), F.lit(0.0))
+    # On the front itself there is no direction; an unknown wind stays unknown.
+    cosine = F.when(F.col("near_d2") == 0, F.lit(0.0)).otherwise(F.cos(F.radians(toward - F.col("downwind_deg"))))
     table = placed.withColumns(
         {"distance_to_burned": F.sqrt(F.col("burned_d2").cast("double")) * size, "distance_to_active": distance, "bearing_deg": toward, "downwind_cos": cosine}
     )
-    table = table.withColumn("crosswind_sin", F.sqrt(F.greatest(F.lit(0.0), 1 - F.col("downwind_cos") * F.col("downwind_cos"))))
+    table = table.withColumn("crosswind_sin", F.when(F.col("downwind_cos").isNotNull(), F.sqrt(F.greatest(F.lit(0.0), 1 - F.col("downwind_cos") * F.col("downwind_cos")))))
     table = table.withColumns({"along_wind": F.col("distance_to_active") * F.col("downwind_cos"), "across_wind": F.col("distance_to_active") * F.col("crosswind_sin")})
     for cells_of, name in ((active, "active_nearby"), (start, "burned_nearby")):
         table = table.join(neighbour_counts(cells_of.select(*keys, "x", "y"), keys, 3, name), [*keys, "x", "y"], "left").fillna(0, [name])

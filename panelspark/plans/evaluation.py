@@ -65,9 +65,9 @@ def reliability_bins(t: Tables):
 
 
 @query("M6", lambda d: f"""{_w(d)}, lv as (select p, count(*) as n, sum(y) as pos from pr group by p),
-      b as (select *, least(cast(floor((sum(n) over (order by p) - n / 2e0) / sum(n) over () * 10) as bigint), 9) as bin from lv)
-      select bin, {micro_sql('min(p)')} as low_micro, {micro_sql('max(p)')} as high_micro, cast(sum(n) as bigint) as n_samples, cast(sum(pos) as bigint) as n_positive,
-        {micro_sql('sum(p * n) / sum(n)')} as mean_micro, {micro_sql('sum(pos) / cast(sum(n) as double)')} as observed_micro from b group by bin""")
+      b as (select *, least(cast(floor((sum(n) over (order by p) - n / 2e0) / sum(n) over () * 10) as bigint), 9) as cut from lv)
+      select dense_rank() over (order by cut) as bin, {micro_sql('min(p)')} as low_micro, {micro_sql('max(p)')} as high_micro, cast(sum(n) as bigint) as n_samples, cast(sum(pos) as bigint) as n_positive,
+        {micro_sql('sum(p * n) / sum(n)')} as mean_micro, {micro_sql('sum(pos) / cast(sum(n) as double)')} as observed_micro from b group by cut""")
 def quantile_reliability_bins(t: Tables):
     r = M.quantile_reliability(t.sql(A.predictions), [], "y", "p")
     return r.select("bin", micro("min_probability").alias("low_micro"), micro("max_probability").alias("high_micro"), "n_samples", "n_positive",
@@ -315,17 +315,17 @@ def _draw_sql(rep: str, slot: str, size: str, seed: int) -> str:
 @query("M17 E16", lambda d: f"""{_w(d)}, a as (select cell, day, avg(case when id % 3 = 0 then p end) as m0, avg(case when id % 3 = 1 then p end) as m1 from pr group by cell, day),
       s as (select day, sum(m1 - m0) as s, count(*) as c from a where m0 is not null and m1 is not null group by day),
       i as (select *, row_number() over (order by day) - 1 as i, count(*) over () as f from s),
-      dr as (select r, {_draw_sql('r', 'i', 'f', 7)} as i from i, unnest(generate_series(0, 199)) as g(r)),
+      dr as (select r, {_draw_sql('r', 'i', 'f', 7)} as i from i, unnest(generate_series(0, 1999)) as g(r)),
       mn as (select r, sum(s) / sum(c) as m from dr join i using (i) group by r)
       select (select {micro_sql('sum(s) / sum(c)')} from s) as mean_micro, {micro_sql('quantile_cont(m, 0.025)')} as low_micro, {micro_sql('quantile_cont(m, 0.975)')} as high_micro, (select cast(sum(c) as bigint) from s) as steps, (select count(*) from s) as clusters from mn""")
 def cluster_bootstrap(t: Tables):
-    """Whole days resampled, 200 replicates."""
-    b = B.cluster_bootstrap(_pairs(t), "day", "difference", 200, 7)
+    """Whole days resampled, 2,000 replicates."""
+    b = B.cluster_bootstrap(_pairs(t), "day", "difference", 2000, 7)
     return b.select(micro("mean").alias("mean_micro"), micro("low").alias("low_micro"), micro("high").alias("high_micro"), "steps", "clusters")
 
 
 _REPS = f"""u as (select distinct year, day from pr), i as (select *, row_number() over (partition by year order by day) - 1 as i, count(*) over (partition by year) as f from u),
-      dr as (select year, r, {_draw_sql('r', 'i', 'f', 3)} as i from i, unnest(generate_series(0, 19)) as g(r)),
+      dr as (select year, r, {_draw_sql('r', 'i', 'f', 3)} as i from i, unnest(generate_series(0, 1999)) as g(r)),
       ml as (select dr.year, r, day, count(*) as times from dr join i using (year, i) group by dr.year, r, day),"""
 
 
@@ -337,12 +337,12 @@ def _rep_sql(p: str) -> str:
 
 @query("M18", lambda d: f"""{_w(d)}, {_REPS} {_rep_sql('p')}, {_rep_sql('p2')} select year, r as replicate, {micro_sql('ap.ap')} as a_micro, {micro_sql('ap2.ap')} as b_micro from ap join ap2 using (year, r)""")
 def paired_day_bootstrap(t: Tables):
-    """Yearly AP of two models on the same resampled days, 20 replicates."""
+    """Yearly AP of two models on the same resampled days, 2,000 replicates."""
     return _replicates(t).select("year", "replicate", micro("ap_a").alias("a_micro"), micro("ap_b").alias("b_micro"))
 
 
 def _replicates(t: Tables):
-    return B.paired_day_bootstrap(t.sql(A.predictions), "year", "day", "y", {"a": "p", "b": "p2"}, 20, 3)
+    return B.paired_day_bootstrap(t.sql(A.predictions), "year", "day", "y", {"a": "p", "b": "p2"}, 2000, 3)
 
 
 @query("M18", lambda d: f"""{_w(d)}, {_REPS} {_rep_sql('p')}, {_rep_sql('p2')}, dl as (select r, avg(ap2.ap) - avg(ap.ap) as d from ap join ap2 using (year, r) group by r)

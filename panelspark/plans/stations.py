@@ -98,21 +98,16 @@ _AS_OF = f"""reg as (select s.station, s.lon, s.lat, r.first_seen from st s join
 def as_of_nearest_stations(t: Tables):
     """Days served per cell and station, expanded from the validity intervals."""
     validity, _ = _as_of(t)
-    days = t.sql(A.observations).select("day").distinct()
-    # Days are a calendar-sized table; the interval is matched through 64-day blocks.
-    block = lambda c: F.floor(c / 64)
-    last = days.agg(F.max("day")).scalar()
-    spans = validity.withColumn("__b", F.explode(F.sequence(block(F.col("since")), block(F.coalesce(F.col("until") - 1, last)))))
-    joined = spans.join(days.withColumn("__b", block(F.col("day"))), "__b")
-    inside = joined.where((F.col("day") >= F.col("since")) & (F.col("until").isNull() | (F.col("day") < F.col("until"))))
+    inside = S.served_days(validity, t.sql(A.observations).select("day").distinct(), "day")
     return inside.groupBy("cell", "station").agg(F.count(F.lit(1)).alias("days"), F.min("day").alias("first_day"), F.max("day").alias("last_day"))
 
 
 def daily_weather(t: Tables):
-    """Corrected daily weather per cell: as-of stations, first-valid records, weighted means."""
+    """Corrected daily weather of every cell on every observed day: as-of stations, first-valid records, weighted means; a day without a record is missing."""
     validity, stations = _as_of(t)
     records = S.first_valid(t.sql(A.observations), KEYS, "seq", "fwi").withColumn("imputed", matches(F.col("flag"), "R|N"))
-    served = S.serve(validity, records, "station", "day")
+    chosen = S.served_days(validity, t.sql(A.observations).select("day").distinct(), "day")
+    served = chosen.join(records, ["station", "day"], "left")
     daily = S.weighted_day(served, ["cell", "day"], ["temp", "fwi", "rain"], "fwi", "imputed", "calcstatus")
     choices = S.eligible_counts(stations, daily, "day", 4)
     return daily.join(choices, "day").withColumn("coverage_fraction", F.col("station_count") / F.col("choices"))
@@ -122,7 +117,7 @@ _DAILY = f"""{_AS_OF},
       rec as (select station, day, arg_min(struct_pack(temp := temp, fwi := fwi, rain := rain, calcstatus := calcstatus, flag := flag),
           case when fwi is null then seq + 4000000000000000000 else seq end) as r from obs group by station, day),
       got as (select c.cell, c.day, c.km, rec.r.temp as temp, rec.r.fwi as fwi, rec.r.rain as rain, rec.r.calcstatus as calcstatus, rec.r.flag as flag,
-          1 / pow(greatest(c.km, 1), 2) as w from chosen c join rec on rec.station = c.station and rec.day = c.day where c.rn <= 4),
+          1 / pow(greatest(c.km, 1), 2) as w from chosen c left join rec on rec.station = c.station and rec.day = c.day where c.rn <= 4),
       daily as (select cell, day, count(fwi) as station_count, min(case when fwi is not null then km end) as nearest_km,
           avg(case when fwi is not null then case when flag in ('R', 'N') then 1e0 else 0e0 end end) as imputed_fraction,
           avg(case when fwi is not null then case when calcstatus <> 0 then 1e0 else 0e0 end end) as status_fraction,
@@ -150,11 +145,11 @@ def weighted_daily_weather(t: Tables):
     )
 
 
-@query("D7 E13", lambda d: f"""{A.with_views(d, obs=A.observations)}, need as (select distinct day - k as day from obs, unnest([1, 2, 3]) as u(k) where flag = 'A') select station, day, seq from obs where day in (select day from need)""")
+@query("D7 E13", lambda d: f"""{A.with_views(d, obs=A.observations)}, need as (select distinct day - k as day from obs, unnest([1, 2, 3, 4, 5, 6, 7]) as u(k) where flag = 'A') select station, day, seq from obs where day in (select day from need)""")
 def required_records(t: Tables):
     """Records dated on a day that some accepted issue day looks back on."""
     obs = t.sql(A.observations)
-    return obs.join(P.required_days(obs.where("flag = 'A'"), "day", 3), "day", "left_semi").select("station", "day", "seq")
+    return obs.join(P.required_days(obs.where("flag = 'A'"), "day", 7), "day", "left_semi").select("station", "day", "seq")
 
 
 @query(
@@ -162,14 +157,14 @@ def required_records(t: Tables):
     lambda d: f"""{A.with_views(d, obs=A.observations)},
       daily as (select station, day, arg_min(struct_pack(v := rain), case when fwi is null then seq + 4000000000000000000 else seq end).v as rain from obs group by station, day),
       issue as (select distinct station, day from obs)
-      select i.station, i.day, count(p.rain) as coverage_days, cast(case when count(p.rain) = 3 then sum(p.rain) end as bigint) as rain_3d
-      from issue i left join daily p on p.station = i.station and p.day between i.day - 3 and i.day - 1 group by i.station, i.day""",
+      select i.station, i.day, count(p.rain) as coverage_days, cast(case when count(p.rain) = 7 then sum(p.rain) end as bigint) as rain_7d
+      from issue i left join daily p on p.station = i.station and p.day between i.day - 7 and i.day - 1 group by i.station, i.day""",
 )
 def complete_rain_window(t: Tables):
-    """Rain of the three days before each issue day, only when all three are present (seven in the panel; records are sparse here)."""
+    """Rain of the seven days before each issue day, only when all seven are present."""
     obs = t.sql(A.observations)
     daily = S.first_valid(obs, KEYS, "seq", "fwi").select(*KEYS, "rain")
-    return P.complete_window_sum(daily, ["station"], "day", "rain", 3, obs.select(*KEYS).distinct())
+    return P.complete_window_sum(daily, ["station"], "day", "rain", 7, obs.select(*KEYS).distinct())
 
 
 @query(

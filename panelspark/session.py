@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -21,13 +22,24 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "12
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config(CHECKPOINT_CONF, tempfile.mkdtemp(prefix="spark-"))
         .getOrCreate()
     )
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the one the cluster names in ``spark.checkpoint.dir``; a temporary one only where none is set, as in tests."""
-    base = spark.conf.get(CHECKPOINT_CONF, None) or tempfile.mkdtemp(prefix="spark-")
+    """A fresh folder under the one the cluster names in ``spark.checkpoint.dir``.
+
+    A local session, whose only machine is this one, gets a temporary folder where the
+    setting is missing; on a cluster a missing setting is an error, as executors would
+    each write to a disk of their own.
+    """
+    base = spark.conf.get(CHECKPOINT_CONF, None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set(CHECKPOINT_CONF, base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -44,18 +56,4 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 def parts_for(df: DataFrame) -> int:
     """How many pieces to cut one large ordered group into."""
-    return max(2, min(4096, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))))
-
-
-CUT_CONF = "spark.panelspark.cutBytes"
-
-
-def input_bytes(df: DataFrame) -> int:
-    """Estimated bytes of everything the plan scans (the optimizer's own leaf sizes)."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-
-
-def worth_cutting(df: DataFrame) -> bool:
-    """Whether the input is large enough (32 MB unless configured) for one ordered group to need many tasks."""
-    return input_bytes(df) >= int(df.sparkSession.conf.get(CUT_CONF, str(32 << 20)))
+    return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))

@@ -13,11 +13,10 @@ from panelspark.operators.ordered import join_keys
 def write_panel(df: DataFrame, path: str, by: str = "year", force: bool = False) -> str:
     """Parquet by `by`, refusing to overwrite unless forced; the commit protocol makes it all or nothing.
 
-    Rows are spread by the partition column and a hash so that a large year is
-    written by many tasks.
+    Rows are dealt by the partition column and rebalanced by size, so a large year is
+    written by as many tasks as its size asks for.
     """
-    spread = df.repartition(F.col(by), F.pmod(F.xxhash64(*[c for c in df.columns if c != by]), F.lit(16)))
-    spread.write.mode("overwrite" if force else "errorifexists").partitionBy(by).parquet(path)
+    df.hint("rebalance", by).write.mode("overwrite" if force else "errorifexists").partitionBy(by).parquet(path)
     return path
 
 

@@ -2,7 +2,7 @@
 
     python tests/compare.py [name ...]
 
-SF_DIR names the folder; CUT_BYTES=0 makes every ordered group use the many-task path.
+SF_DIR names the folder.
 """
 
 from __future__ import annotations
@@ -65,8 +65,6 @@ def main(names):
 
     spark = local_session(8)
     spark.sparkContext.setLogLevel("ERROR")
-    if "CUT_BYTES" in os.environ:
-        spark.conf.set("spark.panelspark.cutBytes", os.environ["CUT_BYTES"])
     folder = os.environ.get("SF_DIR", "/root/testdata/sf0.01")
     every, oracles = queries(), oracle_sql()
     failed = 0

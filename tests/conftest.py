@@ -14,13 +14,3 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
-
-
-@pytest.fixture
-def cut(spark):
-    """Force the many-task path of the ordered operators."""
-    from panelspark.session import CUT_CONF
-
-    spark.conf.set(CUT_CONF, "0")
-    yield
-    spark.conf.unset(CUT_CONF)

@@ -19,7 +19,7 @@ def test_small_example(scored):
     assert (t.true_positive, t.false_positive, t.true_negative, t.false_negative, t.false_alerts_per_10000, t.alerts_per_day) == (1, 1, 1, 1, 2500.0, 1.0)
 
 
-def test_ties_and_single_class(spark, cut):
+def test_ties_and_single_class(spark):
     tied = M.binary_metrics(spark.createDataFrame([(0, 0.5), (1, 0.5)], "y int, p double"), [], "y", "p").first()
     assert (tied.average_precision, tied.roc_auc) == (0.5, 0.5)
     none = M.binary_metrics(spark.createDataFrame([(0, 0.1), (0, 0.2)], "y int, p double"), [], "y", "p").first()
@@ -32,7 +32,7 @@ def plain_ap(y, p, w=None):
     return sum((w * y)[p == s].sum() * (w * y)[p >= s].sum() / w[p >= s].sum() for s in np.unique(p) if w[p >= s].sum()) / total if total else 0.0
 
 
-def test_average_precision_against_plain_formula(spark, cut):
+def test_average_precision_against_plain_formula(spark):
     rng = np.random.default_rng(0)
     y, p = rng.integers(0, 2, 400), rng.integers(0, 50, 400) / 50
     df = spark.createDataFrame(list(zip(y.tolist(), p.tolist())), "y int, p double")
@@ -90,21 +90,21 @@ def test_cluster_bootstrap_mean_and_interval(spark):
     assert b["mean"] == pytest.approx(0.11) and b.low < 0.11 < b.high and 0.1 <= b.low and b.high <= 0.12 and (b.steps, b.clusters) == (36, 12)
 
 
-def test_day_bootstrap_equals_weighted_ap(spark, cut):
+def test_day_bootstrap_equals_weighted_ap(spark):
     rng = np.random.default_rng(3)
     rows = [(0, int(d), int(y), float(p)) for d, y, p in zip(rng.integers(0, 9, 500), rng.random(500) < 0.08, rng.integers(0, 60, 500) / 60)]
     df = spark.createDataFrame(rows, "g int, day int, y int, p double")
     times = B.multiplicities(df, ["g"], "day", 12, 5)
     drawn = times.toPandas()
     assert drawn.groupby("replicate").times.sum().eq(9).all() and drawn.replicate.nunique() == 12
-    got = B.replicate_ap(df, times, "g", "day", "y", "p").toPandas().set_index("replicate").ap
+    got = B.replicate_ap(df, "g", "day", "y", "p", 12, 5).toPandas().set_index("replicate").ap
     day, y, p = (np.array([r[i] for r in rows]) for i in (1, 2, 3))
     for replicate, part in drawn.groupby("replicate"):
         weights = part.set_index("day").times.reindex(range(9), fill_value=0)
         assert got[replicate] == pytest.approx(plain_ap(y, p, weights.to_numpy()[day]))
 
 
-def test_curves_end_where_they_should(spark, cut):
+def test_curves_end_where_they_should(spark):
     rng = np.random.default_rng(8)
     y, p = rng.integers(0, 2, 300), rng.integers(0, 80, 300) / 80
     df = spark.createDataFrame(list(zip(y.tolist(), p.tolist())), "y int, p double")

@@ -15,7 +15,7 @@ def skewed():
     return pd.DataFrame({"k": np.where(rng.random(n) < 0.7, "hot", rng.choice(["a", "b", "c"], n)), "id": np.arange(n), "t": rng.permutation(n), "v": rng.integers(0, 9, n), "s": rng.integers(0, 40, n) / 40})
 
 
-def test_running_sums(spark, cut, skewed):
+def test_running_sums(spark, skewed):
     df = spark.createDataFrame(skewed)
     got = O.running(df, ["k"], "t", {"r": "v"}, totals=True).toPandas().sort_values("id").reset_index(drop=True)
     ordered = skewed.sort_values("t")
@@ -24,31 +24,31 @@ def test_running_sums(spark, cut, skewed):
     assert got.r_total.tolist() == skewed.groupby("k").v.transform("sum").tolist()
 
 
-def test_descending_global(spark, cut, skewed):
+def test_descending_global(spark, skewed):
     got = O.running(spark.createDataFrame(skewed), [], "t", {"r": "v"}, descending=True).toPandas().sort_values("t", ascending=False)
     assert got.r.tolist() == got.v.cumsum().tolist()
 
 
 @pytest.mark.parametrize("following", [False, True])
-def test_neighbour(spark, cut, skewed, following):
+def test_neighbour(spark, skewed, following):
     got = O.neighbour(spark.createDataFrame(skewed), ["k"], "t", {"n": "id"}, following=following).toPandas().sort_values("id")
     ordered = skewed.sort_values("t")
     want = ordered.assign(n=ordered.groupby("k").id.shift(-1 if following else 1)).sort_values("id")
     assert np.array_equal(got.n.to_numpy(dtype=float), want.n.to_numpy(), equal_nan=True)
 
 
-def test_quantiles(spark, cut, skewed):
+def test_quantiles(spark, skewed):
     got = O.quantiles(spark.createDataFrame(skewed), ["k"], "v", {"a": 0.1, "b": 0.5, "c": 0.9}).toPandas().set_index("k")
     for key, group in skewed.groupby("k"):
         assert got.loc[key].tolist() == pytest.approx(np.quantile(group.v, [0.1, 0.5, 0.9]).tolist())
 
 
-def test_average_ranks(spark, cut, skewed):
+def test_average_ranks(spark, skewed):
     got = O.average_ranks(spark.createDataFrame(skewed), [], "s", "r").toPandas().set_index("s").r
     assert skewed.s.map(got).tolist() == skewed.s.rank().tolist()
 
 
-def test_ranks_and_ties(spark, cut, skewed):
+def test_ranks_and_ties(spark, skewed):
     got = K.ranks(spark.createDataFrame(skewed), ["k"], "s", "id").toPandas().sort_values("id")
     ordered = skewed.sort_values(["s", "id"], ascending=[False, True])
     assert got["rank"].tolist() == ordered.assign(r=ordered.groupby("k").cumcount() + 1).sort_values("id").r.tolist()
@@ -58,12 +58,12 @@ def test_ranks_and_ties(spark, cut, skewed):
     assert got.midrank.tolist() == by.rank(ascending=False).tolist()
 
 
-def test_null_keys_are_kept(spark, cut):
+def test_null_keys_are_kept(spark):
     df = spark.createDataFrame([(None, 1, 5), (None, 2, 7), ("a", 3, 1)], "k string, t int, v int")
     assert sorted(r.r for r in O.running(df, ["k"], "t", {"r": "v"}).collect()) == [1, 5, 12]
 
 
-def test_thinning_keeps_ends(spark, cut):
+def test_thinning_keeps_ends(spark):
     points = spark.range(1000).select(F.col("id").alias("o"))
     kept = sorted(r.o for r in K.thin(points, "o", 11).collect())
     assert kept == np.unique(np.linspace(0, 999, 11, dtype=int)).tolist()

@@ -16,7 +16,7 @@ def one(spark, **columns):
     return spark.range(1).select(*[c.alias(n) for n, c in columns.items()]).first()
 
 
-def test_gap_sessions_split_only_beyond_the_gap(spark, cut):
+def test_gap_sessions_split_only_beyond_the_gap(spark):
     times = [0, 5400, 10801, 10801, 30000]
     points = spark.createDataFrame([("f", i, t) for i, t in enumerate(times)], "entity string, id int, t long")
     got = {r.id: r.session for r in S.sessionise(points, "entity", "t", 5400).collect()}
@@ -33,7 +33,7 @@ def test_growth_geometry_and_angles(spark):
     assert r.u == pytest.approx(10) and r.v == pytest.approx(-10)
 
 
-def test_middle_row_and_mode(spark, cut):
+def test_middle_row_and_mode(spark):
     points = spark.createDataFrame([("f", 1, t, "D" if t < 4 else "N") for t in (1, 2, 3, 7, 7, 9)], "entity string, session int, t long, daynight string")
     assert S.middle_times(points, "entity", "session", "t").first().middle_time == 7
     assert S.modal_value(points, ["entity"], "daynight", "m").first().m == "D"
