@@ -14,7 +14,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from panelspark.llm.common import checkpoint
 
 #: The band, as shares of documents that have a term. A lexicon has at most (mean distinct terms per document) / BAND[0] terms.
 BAND = (0.005, 0.3)

@@ -18,7 +18,6 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelspark.llm.common import checkpoint
 
 GROUP = ["source", "lang", "version"]
 SUMS = ["docs", "chars", "tokens"]
