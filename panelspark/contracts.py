@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 
 class ContractError(ValueError):
@@ -56,8 +56,3 @@ def gate(audit: DataFrame, version: str, checksum: str) -> None:
     if row is None or row["status"] != "PASS" or row["version"] != version or row["checksum"] != checksum:
         raise ContractError(f"audit does not allow training: {row}")
 
-
-def table_fingerprint(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Order-free fingerprint of a table: rows, and the sum of row hashes modulo a prime."""
-    h = F.pmod(F.xxhash64(*[F.col(c) for c in sorted(df.columns)]), F.lit(2147483647))
-    return df.agg(F.count(F.lit(1)).alias("rows"), F.sum(h).alias("fingerprint"), F.count_distinct(*keys).alias("keys"))

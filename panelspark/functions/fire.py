@@ -6,7 +6,6 @@ The coefficients are fixed values of the published Canadian systems (Van Wagner
 
 from __future__ import annotations
 
-import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -202,9 +201,3 @@ def directional_rate(head: Column, back: Column, flank: Column, angle_deg: Colum
     rate = (offset * side * cos_t + half * flank * F.sqrt(_limit(root, 0.0))) / F.nullif(under, F.lit(0.0))
     return F.when(head > 0, rate).otherwise(0.0)
 
-
-def degrees_of(slope: Column) -> Column:
-    return F.degrees(F.atan(slope))
-
-
-TWO_PI = 2 * math.pi

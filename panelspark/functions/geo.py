@@ -80,10 +80,6 @@ class ConformalConic:
         return (longitude - self.meridian) * self.cone
 
 
-def to_true(grid_bearing: Column, convergence: Column) -> Column:
-    return F.pmod(grid_bearing + convergence, F.lit(360.0))
-
-
 def cell_index(value: Column, size: float) -> Column:
     return F.floor(value / size).cast("long")
 
@@ -96,14 +92,6 @@ def cell_name(prefix: str, x: Column, y: Column) -> Column:
     return F.concat_ws("_", F.lit(prefix), x.cast("string"), y.cast("string"))
 
 
-def cell_centre(origin: Column, size: float) -> Column:
-    return origin + size / 2
-
-
-def cell_hectares(size_m: float) -> float:
-    return size_m * size_m / 10_000
-
-
 def distance_km(lon_a: Column, lat_a: Column, lon_b: Column, lat_b: Column) -> Column:
     """Great-circle distance, with the haversine clipped to [0, 1]."""
     half_lat = F.pow(F.sin(F.radians(lat_b - lat_a) / 2), F.lit(2.0))

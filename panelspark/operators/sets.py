@@ -44,11 +44,6 @@ def without_duplicated(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(copies, keys, "left_anti")
 
 
-def key_gaps(have: DataFrame, need: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(missing, extra) keys by two anti-joins."""
-    return need.select(*keys).join(have, keys, "left_anti").distinct(), have.select(*keys).join(need, keys, "left_anti").distinct()
-
-
 def pinned_or_capped(df: DataFrame, key: str, size: str, cap: float, splits: list, split: str, flag: str, pinned: DataFrame) -> DataFrame:
     """Rows of the given splits with the flag set whose size is within the cap or whose key is pinned."""
     marked = df.join(pinned.select(key).distinct().withColumn("__pin", F.lit(True)), key, "left")

@@ -11,6 +11,7 @@ from panelspark.plans.registry import Tables, micro, micro_sql, query
 FEATURES = ("size_scaled", "season", "load", "cell_x")
 INDICATORS = ("load",)
 YEARS = (1997, 1998, 1999)
+FIRST_YEAR, FOLD_YEARS = 1995, (1997, 1998, 1999, 2000, 2001)
 
 
 def rows(t: Tables):
@@ -123,12 +124,12 @@ def boosted_scores(t: Tables):
 
 @query("J11 J17")
 def forest_scores(t: Tables):
-    return _scores(t, "forest", {"trees": 20, "depth": 6})
+    return _scores(t, "forest", {"trees": 200, "depth": 6})
 
 
 @query("J12 J17")
 def perceptron_scores(t: Tables):
-    return _scores(t, "perceptron", {"hidden": (16, 8), "iterations": 30})
+    return _scores(t, "perceptron", {"hidden": (64, 32), "iterations": 30})
 
 
 @query("J15")
@@ -139,11 +140,10 @@ def boosting_prefixes(t: Tables):
 
 @query("J13 J14 M19")
 def candidate_search(t: Tables):
-    """Seeded random settings against a baseline over expanding folds."""
+    """Seeded random settings against a baseline over five expanding folds."""
     drawn = L.random_candidates({"l2": (0.0, 0.01, 0.1), "iterations": (10, 20)}, 2, 7)
     candidates = {"baseline": ("logistic", {"l2": 0.01}, FEATURES)} | {f"r{i}": ("logistic", s, FEATURES) for i, s in enumerate(drawn)}
-    r = rows(t).where("year <= 1999")
-    return L.compare_candidates(r, L.expanding_folds(1995, (1998, 1999)), candidates, "y", ["id"], "baseline", indicators=INDICATORS)
+    return L.compare_candidates(rows(t), L.expanding_folds(FIRST_YEAR, FOLD_YEARS), candidates, "y", ["id"], "baseline", indicators=INDICATORS)
 
 
 @query("J16 J3")
@@ -152,8 +152,7 @@ def feature_ablation(t: Tables):
     base = ("size_scaled", "season")
     sets = {"neither": base, "load": (*base, "load"), "place": (*base, "cell_x"), "both": (*base, "load", "cell_x")}
     candidates = {n: ("logistic", {"l2": 0.01}, f) for n, f in sets.items()}
-    r = rows(t).where("year between 1998 and 1999")
-    summary = L.compare_candidates(r, L.leave_one_year_out((1998, 1999)), candidates, "y", ["id"], "neither")
+    summary = L.compare_candidates(rows(t), L.leave_one_year_out((FIRST_YEAR, *FOLD_YEARS)), candidates, "y", ["id"], "neither")
     return L.interaction(summary, "both", "load", "place", "neither")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from panelspark.contracts import ContractError, assert_columns
 from panelspark.functions.clean import strip_byte_order_mark
@@ -99,7 +99,3 @@ def fingerprint_gate(found: DataFrame, manifest: DataFrame) -> DataFrame:
     ok = F.coalesce(F.col("sha256") == F.col("__want"), F.lit(False))
     return both.where(F.when(ok, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("checksum differs: "), "file")).cast("boolean"))).drop("__want")
 
-
-def row_seq(df: DataFrame, order: list[str], name: str = "seq") -> DataFrame:
-    """An explicit source order for small sources that come without one; prefer a column written by the source."""
-    return df.withColumn(name, F.row_number().over(W.orderBy(*order)).cast("long"))

@@ -6,7 +6,6 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelspark.contracts import ContractError
 from panelspark.operators.ordered import join_keys
 
 
@@ -60,10 +59,3 @@ def write_csv(df: DataFrame, path: str, decimals: dict[str, int] | None = None,
     rounded.write.mode("overwrite" if force else "errorifexists").option("header", True).option("compression", compression).csv(path)
     return path
 
-
-def write_audit(audit: DataFrame, path: str) -> str:
-    """The one-row JSON audit as text."""
-    if audit.columns != ["audit"]:
-        raise ContractError("an audit has exactly one column")
-    audit.write.mode("overwrite").text(path)
-    return path

@@ -141,13 +141,6 @@ def eligible(stream: DataFrame, registry: DataFrame, station: str = "station", d
     return stream.join(registry, station).where(F.col("first_seen") <= F.col(day))
 
 
-def run_available(stream: DataFrame, table: str, checkpoint_folder: str, mode: str = "append") -> DataFrame:
-    """Process everything available into an in-memory table (tests and small results)."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(table).option("checkpointLocation", checkpoint_folder).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(table)
-
-
 def drain(stream: DataFrame, folder: str, checkpoint_folder: str) -> DataFrame:
     """Process everything available into parquet files and read them back."""
     query = stream.writeStream.outputMode("append").format("parquet").option("path", folder).option("checkpointLocation", checkpoint_folder).trigger(availableNow=True).start()
