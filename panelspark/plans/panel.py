@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from panelspark.operators import panel as P
 from panelspark.plans import adapters as A
-from panelspark.plans.registry import Tables, query
+from panelspark.plans.registry import Tables, micro, micro_sql, query
+from panelspark.plans.stations import _DAILY, daily_weather
+from panelspark.session import checkpoint
 
 DAY = "day"
 
@@ -88,3 +90,28 @@ def past_only_panel(t: Tables):
 def recent_neighbourhood(t: Tables):
     around = P.neighbourhood_counts(_counts(t), t.sql(A.cells), "cell", DAY, "event_count", 10000)
     return P.past_history(_panel(t).select("cell", DAY), around, "cell", DAY, "event_count", [1, 7], "around")
+
+
+@query(
+    "D4 D6 E1 E6 F1 F2 G1 G2 G3 G4 C11",
+    lambda d: f"""{A.with_views(d, cells=A.cells, ev=A.ignitions, st=A.stations, obs=A.observations)}, {_panel_sql(d)}, {_history_sql(d)}, {_neighbour_sql(d)}, {_DAILY},
+      rained as (select p.cell, p.day, count(w.rain) as coverage_days, case when count(w.rain) = 7 then sum(w.rain) end as rain_7d
+        from panel p left join daily w on w.cell = p.cell and w.day between p.day - 7 and p.day - 1 group by p.cell, p.day)
+      select h.cell, h.day, h.label, c.x, c.y, month(date '1970-01-01' + cast(h.day as integer)) as month, dayofyear(date '1970-01-01' + cast(h.day as integer)) as day_of_year,
+        cast(same_30d as bigint) as same_30d, cast(same_365d as bigint) as same_365d, same_days_since, case when same_days_since is null then 1 else 0 end as same_censored,
+        cast(around_30d as bigint) as around_30d, cast(around_365d as bigint) as around_365d, coalesce(w.missing, 1) as missing, w.station_count,
+        {micro_sql('w.temp')} as temp_micro, {micro_sql('w.fwi')} as fwi_micro, r.coverage_days, {micro_sql('r.rain_7d')} as rain_micro
+      from hist h join nb using (cell, day) join cells c on c.cell = h.cell left join daily w on w.cell = h.cell and w.day = h.day - 1
+        join rained r on r.cell = h.cell and r.day = h.day""",
+)
+def feature_panel(t: Tables):
+    """The panel end to end: calendar, place, prior-day weather, seven-day rain and past-only history in one row per cell and day."""
+    history = past_only_panel(t)
+    weather = checkpoint(daily_weather(t).select("cell", DAY, "missing", "station_count", "temp", "fwi", "rain"))
+    panel = P.dimension_join(history, t.sql(A.cells).select("cell", "x", "y"), ["cell"])
+    panel = P.prior_day(panel, weather.drop("rain"), ["cell"], DAY)
+    rain = P.complete_window_sum(weather, ["cell"], DAY, "rain", 7, history)
+    date = F.date_add(F.lit("1970-01-01").cast("date"), F.col(DAY).cast("int"))
+    table = panel.join(rain, ["cell", DAY]).withColumns({"month": F.month(date), "day_of_year": F.dayofyear(date), "missing": F.coalesce("missing", F.lit(1))})
+    kept = ["cell", DAY, "label", "x", "y", "month", "day_of_year", "same_30d", "same_365d", "same_days_since", "same_censored", "around_30d", "around_365d", "missing", "station_count", "coverage_days"]
+    return table.select(*kept, micro("temp").alias("temp_micro"), micro("fwi").alias("fwi_micro"), micro("rain_7d").alias("rain_micro"))
