@@ -170,12 +170,15 @@ def complete_rain_window(t: Tables):
 @query(
     "E6",
     lambda d: f"""{A.with_views(d, obs=A.observations)}, rec as (select distinct station, day from obs)
-      select count(case when p.day >= i.day then 1 end) as violations, count(p.day) as available, count(*) as "rows"
+      select count(case when i.station % 10 = 0 and p.day is not null then 1 end) as violations, count(p.day) as available, count(*) as "rows"
       from rec i left join rec p on p.station = i.station and p.day = i.day - 1""",
 )
 def prior_day_leakage(t: Tables):
+    """Features dated the day before, but for planted stations whose feature carries the issue day's own date."""
     records = t.sql(A.observations).select(*KEYS).distinct()
-    return P.leakage_violations(P.prior_day(records, records, ["station"], "day"), "day")
+    joined = P.prior_day(records, records, ["station"], "day")
+    leaking = (F.col("station") % 10 == 0) & F.col("observation_day").isNotNull()
+    return P.leakage_violations(joined.withColumn("observation_day", F.when(leaking, F.col("day")).otherwise(F.col("observation_day"))), "day")
 
 
 @query(

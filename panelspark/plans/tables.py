@@ -8,7 +8,8 @@ from panelspark import contracts as C
 from panelspark.functions import calendar as CAL, clean
 from panelspark.operators import ordered as O, panel as P, profile as R, quality as Q, sets as S
 from panelspark.plans import adapters as A
-from panelspark.plans.panel import _panel, _panel_sql
+from panelspark.plans.panel import _history_sql, _neighbour_sql, _panel, _panel_sql
+from panelspark.plans.stations import _DAILY, daily_weather
 from panelspark.plans.registry import Tables, micro, micro_sql, query
 from panelspark.session import shared_folder
 from panelspark.sources import scan, sinks
@@ -183,9 +184,12 @@ def allowed_station_records(t: Tables):
     return t.sql(A.observations).join(allowed, "station", "left_semi").select("station", "day", "seq")
 
 
-@query("E18", lambda d: f"{A.with_views(d, cells=A.cells, ev=A.ignitions)}, {_panel_sql(d)} select count(*) as keys_compared, cast(0 as bigint) as mismatches from panel")
+@query("E18", lambda d: f"{A.with_views(d, cells=A.cells, ev=A.ignitions)}, {_panel_sql(d)} select count(*) as keys_compared, count(case when (cell + day) % 101 = 0 then 1 end) as mismatches from panel")
 def label_reproduction(t: Tables):
-    return P.label_reproduction(t.sql(A.ignitions), _panel(t), "cell", "day")
+    """Labels rebuilt from the events, against a panel with wrong labels planted."""
+    wrong = (F.col("cell") + F.col("day")) % 101 == 0
+    panel = _panel(t).withColumn("label", F.when(wrong, 1 - F.col("label")).otherwise(F.col("label")))
+    return P.label_reproduction(t.sql(A.ignitions), panel, "cell", "day")
 
 
 @query("I1", lambda d: "select r_regionkey as k, 'region' as kind from region union all select n_nationkey, 'nation' from nation union all select c_nationkey, 'customer' from customer")
@@ -237,9 +241,9 @@ def panel_checks(t: Tables):
     return Q.violations(rows, [*Q.probability_checks("y", "p"), ("large_without_label", (F.col("size") >= 400000) & (F.col("y") == 0))])
 
 
-@query("L1", lambda d: f"{A.with_views(d, pr=A.predictions)} select case when max(p) > 2 then 'FAIL' else 'PASS' end as status, 3 as checks, 0 as failed from pr")
+@query("L1", lambda d: f"{A.with_views(d, pr=A.predictions)} select case when a + b + c > 0 then 'FAIL' else 'PASS' end as status, 3 as checks, a + b + c as failed from (select cast(coalesce(max(case when y not in (0, 1) then 1 end), 0) as bigint) as a, cast(coalesce(max(case when p > 3e-1 then 1 end), 0) as bigint) as b, cast(coalesce(max(case when day % 13 = 0 then 1 end), 0) as bigint) as c from pr)")
 def panel_verdict(t: Tables):
-    return Q.verdict(Q.violations(t.sql(A.predictions), [("label", ~F.col("y").isin(0, 1)), ("score", F.col("p") > 2), ("day", F.col("day") < 0)]))
+    return Q.verdict(Q.violations(t.sql(A.predictions), [("label", ~F.col("y").isin(0, 1)), ("score", F.col("p") > 0.3), ("day", F.col("day") % 13 == 0)]))
 
 
 @query("L12", lambda d: f"""{A.with_views(d, obs=A.observations)} select 'fwi_range' as "check", count(case when fwi < 0 or fwi > 101 then 1 end) as violations from obs union all select 'rain_negative', count(case when rain < 0 then 1 end) from obs""")
@@ -248,6 +252,30 @@ def weather_invariants(t: Tables):
     return Q.require(Q.violations(t.sql(A.observations), [("fwi_range", (F.col("fwi") < 0) | (F.col("fwi") > 101)), ("rain_negative", F.col("rain") < 0)]))
 
 
+_CORRECTED = {
+    "count_range": "station_count < 0 or station_count > 4", "fraction": "coverage_fraction is distinct from station_count / cast(choices as double)", "missing_flag": "(station_count = 0) <> (missing = 1)",
+    "fwi_without_station": "station_count = 0 and fwi is not null", "fwi_missing": "station_count > 0 and fwi is null", "nearest_pattern": "(nearest_km is null) <> (station_count = 0)", "imputed_range": "imputed_fraction < 0 or imputed_fraction > 1",
+}
+
+
+@query("L12", lambda d: f"""{A.with_views(d, cells=A.cells, st=A.stations, obs=A.observations)}, {_DAILY},
+      f as (select cell, day, case when (cell + day) % 89 = 0 then 9 else station_count end as station_count, choices, station_count / cast(choices as double) as coverage_fraction, nearest_km, imputed_fraction,
+        case when (cell + day) % 71 = 0 then 1 - missing else missing end as missing, case when (cell + day) % 61 = 0 then null else fwi end as fwi from daily join choices using (day))
+      {" union all ".join(f"""select '{n}' as "check", count(case when {c} then 1 end) as violations from f""" for n, c in _CORRECTED.items())}""")
+def corrected_weather_checks(t: Tables):
+    """Invariants of the completed daily weather, with faults planted in three columns."""
+    place, count = F.col("cell") + F.col("day"), F.col("station_count")
+    faulty = daily_weather(t).withColumns({
+        "station_count": F.when(place % 89 == 0, F.lit(9)).otherwise(count), "missing": F.when(place % 71 == 0, 1 - F.col("missing")).otherwise(F.col("missing")), "fwi": F.when(place % 61 == 0, F.lit(None)).otherwise(F.col("fwi")),
+    })
+    checks = [
+        ("count_range", (count < 0) | (count > 4)), ("fraction", ~F.col("coverage_fraction").eqNullSafe(count / F.col("choices"))), ("missing_flag", (count == 0) != (F.col("missing") == 1)),
+        ("fwi_without_station", (count == 0) & F.col("fwi").isNotNull()), ("fwi_missing", (count > 0) & F.col("fwi").isNull()), ("nearest_pattern", F.col("nearest_km").isNull() != (count == 0)),
+        ("imputed_range", (F.col("imputed_fraction") < 0) | (F.col("imputed_fraction") > 1)),
+    ]
+    return Q.violations(faulty, checks)
+
+
 @query("L3", lambda d: f"""{A.with_views(d, cells=A.cells, ev=A.ignitions)}, days as (select unnest(generate_series((select min(day) from ev), (select max(day) from ev))) as day),
       w as (select cell, day from cells, days), h as (select cell, day, count(*) as n from ev group by cell, day), b as (select coalesce(h.cell, w.cell) as cell, coalesce(h.day, w.day) as day, coalesce(n, 0) as n, case when w.cell is null then 0 else 1 end as w from w full join h on h.cell = w.cell and h.day = w.day)
       select cast(sum(greatest(n - 1, 0)) as bigint) as duplicate_excess, count(case when w = 1 and n = 0 then 1 end) as missing_keys, count(case when w = 0 then 1 end) as unknown_keys, cast(sum(n) as bigint) as "rows", cast(sum(w) as bigint) as expected_rows,
@@ -257,15 +285,27 @@ def universe_completeness(t: Tables):
     return Q.completeness(t.sql(A.ignitions).select("cell", "day"), _panel(t).select("cell", "day"), ["cell", "day"], "cell", "day")
 
 
-@query("L4 L5", lambda d: f"""{A.with_views(d, cells=A.cells, ev=A.ignitions)}, {_panel_sql(d)} select c as "check", cast(0 as bigint) as violations
-      from unnest(['same_exceeds_around:30', 'same_exceeds_around:365', 'window_order:same_30d', 'window_order:around_30d', 'days_since_not_positive', 'censor_flag', 'days_since_window:30', 'days_since_window:365']) as u(c)
-      where (select count(*) from panel) > 0""")
+_PLANTED = f"""f as (select same_30d + case when (cell * 7 + day) % 97 = 0 then 1000 else 0 end as s30, same_365d as s365, around_30d as a30, around_365d as a365,
+        case when (cell * 7 + day) % 89 = 0 then 0 else same_days_since end as ds, case when (same_days_since is null) <> ((cell * 7 + day) % 83 = 0) then 1 else 0 end as ce from hist join nb using (cell, day))"""
+_RELATIONS = {
+    "same_exceeds_around:30": "s30 > a30", "same_exceeds_around:365": "s365 > a365", "window_order:same_30d": "s30 > s365", "window_order:around_30d": "a30 > a365", "days_since_not_positive": "ds <= 0",
+    "censor_flag": "(ds is null) <> (ce = 1)", "days_since_window:30": "(s30 > 0) <> coalesce(ds <= 30, false)", "days_since_window:365": "(s365 > 0) <> coalesce(ds <= 365, false)",
+}
+
+
+@query("L4 L5", lambda d: f"""{A.with_views(d, cells=A.cells, ev=A.ignitions)}, {_panel_sql(d)}, {_history_sql(d)}, {_neighbour_sql(d)}, {_PLANTED} {" union all ".join(f"""select '{n}' as "check", count(case when {c} then 1 end) as violations from f""" for n, c in _RELATIONS.items())}""")
 def history_consistency(t: Tables):
-    """The past-only panel obeys every order relation (zero violations expected over all rows)."""
+    """Order relations of the past-only panel, with faults planted in three columns for the checks to find."""
     from panelspark.plans.panel import past_only_panel
 
+    place = F.col("cell") * 7 + F.col("day")
+    faulty = past_only_panel(t).withColumns({
+        "same_30d": F.col("same_30d") + F.when(place % 97 == 0, 1000).otherwise(0),
+        "same_censored": (F.col("same_days_since").isNull() != (place % 83 == 0)).cast("int"),
+        "same_days_since": F.when(place % 89 == 0, F.lit(0)).otherwise(F.col("same_days_since")),
+    })
     checks = Q.history_checks({30: "same_30d", 365: "same_365d"}, {30: "around_30d", 365: "around_365d"}, "same_days_since", "same_censored")
-    return Q.violations(past_only_panel(t), checks)
+    return Q.violations(faulty, checks)
 
 
 @query("L6", lambda d: f"""{A.with_views(d, ev=A.ignitions)}, k as (select cell, max(size) - min(size) > 1e-5 as a, max(cell * 2) - min(cell * 2) > 1e-5 as b from ev group by cell)
