@@ -100,8 +100,9 @@ class Rollup:
     def commit(self, batch: str, deltas: DataFrame) -> bool:
         """Add signed `deltas` (GROUP and SUMS columns) as `batch`; False if that batch is committed already.
 
-        Rows are summed per group before the shuffle. The entry names the data folder and
-        is created without overwriting, so of two writers of one batch the first wins.
+        Rows are summed per group before the shuffle. The entry names one data folder, so a
+        batch counts once however often it is tried; two writers of one batch at the same
+        moment leave the entry of one of them.
         """
         if not batch.replace("-", "").replace("_", "").isalnum():
             raise ValueError("a batch is named by letters, digits, - and _")
@@ -111,7 +112,7 @@ class Rollup:
         name = f"{batch}-{uuid.uuid4().hex}"
         sums = deltas.groupBy(*GROUP).agg(*[F.sum(c).cast("long").alias(c) for c in SUMS])
         sums.write.parquet(f"{self.folder}/data/{name}")
-        # The whole entry is staged first; a rename fails where the entry exists.
+        # The whole entry is staged first and moved in one step, so a reader sees all of it or nothing.
         staged = self._path(f"{self.folder}/staged/{name}")
         self.spark.createDataFrame([(f"{batch} {name}",)], "value string").coalesce(1).write.text(staged.toString())
         part = next(s.getPath() for s in self._files.listStatus(staged) if s.getPath().getName().startswith("part-"))
