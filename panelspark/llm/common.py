@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from panelspark.session import checkpoint, shared_folder
 
-__all__ = ["checkpoint", "components", "powers", "shared_folder", "whole_groups", "word_hashes", "WORD"]
+__all__ = ["Scratch", "checkpoint", "components", "powers", "shared_folder", "slices", "whole_groups", "word_hashes", "WORD"]
 
 #: A word: a maximal run of other characters than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -78,6 +79,13 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> Iterator[bytes]:
         yield value or b""
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that what is made from one stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], least: int = 1 << 16) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Cut a stream sorted by `keys` (integers) into tables of whole groups, with the first row of each group and the end.
 
@@ -112,6 +120,29 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], least: int
         yield table, np.append(starts(table), table.num_rows)
 
 
+class Scratch:
+    """Written intermediate tables that can be dropped once what was built from them is written."""
+
+    def __init__(self, spark) -> None:
+        self.spark, self.places = spark, {}
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = shared_folder(self.spark, "scratch")
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.places[id(out)] = out, path
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables, and let Spark clean up shuffles that nothing refers to any more."""
+        jvm = self.spark.sparkContext._jvm
+        for table in tables:
+            path = jvm.org.apache.hadoop.fs.Path(self.places.pop(id(table))[1])
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        gc.collect()
+        jvm.System.gc()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node that occurs in `edges` (a, b long): the smallest node of its connected component.
 
