@@ -139,14 +139,14 @@ def repeated_spans(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM) -
             at = bounds[:-1][row] + anchor[row]
             core = slice_hash(prefix, at - block * BLOCK, at - block * BLOCK - BLOCK + 1 + window, SECOND)
             core = mixed(core + block.astype(np.uint64) * np.uint64(BASE))
-            columns = [batch.column(k).to_numpy(zero_copy_only=False)[row] for k in ("gram", "content", "repeats")]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(block.astype(np.int32)), pa.array(core.view(np.int64))], ["gram", "content", "repeats", "block", "core"])
+            content = batch.column("content").to_numpy()[row]
+            yield pa.RecordBatch.from_arrays([pa.array(content), pa.array(block.astype(np.int32)), pa.array(core.view(np.int64))], ["content", "block", "core"])
 
-    parts = pieces.mapInArrow(blocks, "gram long, content long, repeats boolean, block int, core long")
+    # The common bytes hold the gram, so they are a key by themselves; equal keys only select what pass 4 compares.
+    parts = pieces.select("content", "bytes").mapInArrow(blocks, "content long, block int, core long")
     # Copies of a text may repeat their rows, so distinct contents count (a run has each window once).
-    cores = parts.groupBy("gram", "core").agg(F.min("content").alias("low"), F.max("content").alias("high")).where("low <> high").select("gram", "core")
-    # A core that occurs in repeating runs only needs no further digits: those runs are decided.
-    left = parts.join(cores, ["gram", "core"], "left_semi").groupBy("gram", "content").agg(F.collect_set("block").alias("blocks"))
+    cores = parts.groupBy("core").agg(F.min("content").alias("low"), F.max("content").alias("high")).where("low <> high").select("core")
+    left = parts.join(cores, "core", "left_semi").groupBy("content").agg(F.collect_set("block").alias("blocks"))
 
     # Pass 4: the single windows of the blocks that remain.
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +169,7 @@ def repeated_spans(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM) -
             columns = [batch.column(k).to_numpy(zero_copy_only=False)[each] for k in ("gram", "content", "repeats")]
             yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(digits.view(np.int64)), pa.array(at.astype(np.int32))], ["gram", "content", "repeats", "digits", "at"])
 
-    windows = pieces.join(left, ["gram", "content"]).mapInArrow(single, "gram long, content long, repeats boolean, digits long, at int")
+    windows = pieces.join(left, "content").mapInArrow(single, "gram long, content long, repeats boolean, digits long, at int")
     windows = scratch.keep(windows)
     scratch.drop(pieces)
     counted = windows.groupBy("gram", "digits").agg(F.min("content").alias("low"), F.max("content").alias("high"))
