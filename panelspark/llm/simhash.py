@@ -9,7 +9,8 @@ in one bit of the second segment, so every close pair meets in a file of 32 equa
 bits; longer chains prune what meets there before the full Hamming check.
 
 For a similarity too low for this guarantee (many differing bits), wide fingerprints
-are filed under many sampled chains of bits instead.
+are filed under many sampled chains of bits instead. They only make candidates: their
+groups are taken apart again by the exact Jaccard similarity of the shingle sets.
 """
 
 from __future__ import annotations
@@ -22,13 +23,17 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from panelspark.llm.common import checkpoint, components, mixed, texts_of, whole_groups
+from panelspark.llm.common import checkpoint, components, mixed, shingle_hashes, slices, texts_of, whole_groups, word_hashes
 
 SEED = 42
 #: A file with more members is cut into blocks, and pairs of blocks go to tasks of their own.
 BLOCK = 1 << 15
 #: Up to this many members all pairs are compared at once; beyond it a spanning forest is searched.
 FEW = 12
+#: Candidates whose sets have more shingles together are cut into blocks of about this many (8 bytes each).
+SHINGLES = 1 << 21
+#: Bits of the node filter: nodes without a candidate are dropped before their sets are shuffled.
+FILTER_BITS = 1 << 23
 
 
 def votes(text: bytes, size: int, lanes: int) -> np.ndarray:
@@ -42,6 +47,11 @@ def votes(text: bytes, size: int, lanes: int) -> np.ndarray:
     starts = np.concatenate(([0], ends[:-1] + 1))
     digest = xxhash.xxh64_intdigest
     hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[: len(words) - size + 1].tolist(), ends[size - 1 :].tolist())], dtype=np.uint64)
+    return voted(hashes, lanes)
+
+
+def voted(hashes: np.ndarray, lanes: int) -> np.ndarray:
+    """The majority of every bit of the hashes, and of hashes mixed from them for the lanes after the first; zero of none."""
     out = np.zeros(lanes, dtype=np.uint64)
     for lane in range(lanes):
         lane_hashes = hashes if not lane else mixed(hashes + np.uint64((lane * 0x9E3779B97F4A7C15) % (1 << 64)))
@@ -230,12 +240,131 @@ def near_duplicates(docs: DataFrame, *, words: int = 3, distance: int = 3) -> Da
     return found.withColumnRenamed("label", "doc_id")
 
 
-def similar_documents(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, bits: int = 256, tables: int = 64, key_bits: int = 16, slack: float = 0.5, label: F.Column | None = None) -> DataFrame:
-    """(label, f0 .., component_id) per document: groups of documents whose shingle sets have Jaccard `similarity` or more.
+def shingle_set(text: bytes, size: int) -> np.ndarray:
+    """The distinct shingles of a text as sorted 64-bit hashes."""
+    return np.unique(shingle_hashes(word_hashes(text.lower()), size))
+
+
+def set_name(found: np.ndarray) -> int:
+    """One signed 64-bit name for a shingle set, equal for equal sets; zero for the empty set."""
+    return int(np.uint64(xxhash.xxh64_intdigest(found.tobytes(), SEED)).astype(np.int64)) if len(found) else 0
+
+
+def set_prints(docs: DataFrame, label: F.Column, words: int, lanes: int) -> DataFrame:
+    """(label, node, size, f0, ...) per document: the name and size of its shingle set, and the majority bits of the set."""
+    names = [f"f{k}" for k in range(lanes)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, size, prints = [], [], []
+            for text in texts_of(batch):
+                found = shingle_set(text, words)
+                node.append(set_name(found))
+                size.append(len(found))
+                prints.append(voted(found, lanes))
+            prints = np.array(prints, dtype=np.uint64).reshape(-1, lanes).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(node, pa.int64()), pa.array(size, pa.int64()), *[pa.array(prints[:, k]) for k in range(lanes)]], ["label", "node", "size", *names])
+
+    slim = docs.select(label.alias("label"), F.col("text").cast("string").alias("text"))
+    schema = slim.select("label").schema
+    for n in ("node", "size", *names):
+        schema = schema.add(n, "long")
+    return slim.mapInArrow(run, schema)
+
+
+def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(node, shingles) once per shingle set whose `node` is in `wanted`, and a few others.
+
+    A bit map of fixed size leaves out most other sets, and every task emits a set
+    once, so copies are not shuffled.
+    """
+    place = F.pmod(F.col("node"), F.lit(FILTER_BITS)) + 1
+    found = wanted.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+    # Places count from 1: bucket b has a byte for every eight from (b - 1) * 32768 + 1.
+    marks = np.zeros(FILTER_BITS >> 3, dtype=np.uint8)
+    for row in found.collect():
+        marks[(row.bucket - 1) << 12 : row.bucket << 12] = np.frombuffer(row.bits, dtype=np.uint8)
+    packed = docs.sparkSession.sparkContext.broadcast(marks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, seen = packed.value, set()
+        for batch in slices(batches):
+            nodes, sets = [], []
+            for text in texts_of(batch):
+                one = shingle_set(text, words)
+                node = set_name(one)
+                at = node % FILTER_BITS
+                if held[at >> 3] >> (at & 7) & 1 and node not in seen:
+                    seen.add(node)
+                    nodes.append(node)
+                    sets.append(one.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"])
+
+
+def exact_forest(sets: list[np.ndarray], similarity: float) -> Iterator[tuple[int, int]]:
+    """Edges of a spanning forest of the pairs of sets with Jaccard `similarity` or more, breadth first."""
+    size = np.array([len(s) for s in sets])
+    waiting = np.arange(len(sets))
+    while len(waiting):
+        queue, waiting = [int(waiting[0])], waiting[1:]
+        while queue and len(waiting):
+            at = queue.pop()
+            mine = sets[at]
+            # Sets of other sizes cannot reach the similarity.
+            low, high = np.minimum(size[waiting], len(mine)), np.maximum(size[waiting], len(mine))
+            near = np.zeros(len(waiting), dtype=bool)
+            for k in np.flatnonzero(low >= similarity * high):
+                other = sets[waiting[k]]
+                if not len(mine) or not len(other):
+                    near[k] = len(mine) == len(other)
+                    continue
+                slot = np.minimum(np.searchsorted(mine, other), len(mine) - 1)
+                common = int((mine[slot] == other).sum())
+                near[k] = common >= similarity * (len(mine) + len(other) - common)
+            for k in waiting[near].tolist():
+                yield at, k
+            queue += waiting[near].tolist()
+            waiting = waiting[~near]
+
+
+def exact_links(docs: DataFrame, nodes: DataFrame, loose: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(a, b) of nodes whose shingle sets have Jaccard `similarity` or more, enough of them to connect the nodes that such pairs connect.
+
+    `loose` (node, root) has the groups in which such pairs are looked for. A group with more than
+    SHINGLES shingles is cut into blocks, and each pair of blocks is a task of its own.
+    """
+    sized = checkpoint(loose.join(nodes.select("node", "size"), "node"))
+    blocks = sized.groupBy("root").agg(F.greatest(F.lit(1), F.ceil(F.sum("size") / SHINGLES)).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    across = F.sequence(F.lit(0), F.col("blocks") - 1)
+    pairs = F.transform(across, lambda j: F.struct(F.least(own, j).alias("x"), F.greatest(own, j).alias("y")))
+    dealt = sized.join(blocks, "root").select("root", "node", F.explode(pairs).alias("cell")).select("root", "node", "cell.x", "cell.y")
+    dealt = sets_of(docs, sized, words).join(dealt, "node").repartition("root", "x", "y").sortWithinPartitions("root", "x", "y", "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, first in whole_groups(slices(batches), ["root", "x", "y"], 1):
+            node, held = table.column("node").to_numpy(), pa.concat_arrays(table.column("shingles").chunks)
+            ends, values = held.offsets.to_numpy(), held.values.to_numpy().view(np.uint64)
+            a, b = [], []
+            for start, stop in zip(first[:-1].tolist(), first[1:].tolist()):
+                sets = [values[ends[i] : ends[i + 1]] for i in range(start, stop)]
+                for left, right in exact_forest(sets, similarity):
+                    a.append(node[start + left])
+                    b.append(node[start + right])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return dealt.select("root", "x", "y", "node", "shingles").mapInArrow(run, "a long, b long").distinct()
+
+
+def similar_documents(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, bits: int = 256, tables: int = 64, key_bits: int = 16, slack: float = 3.0, label: F.Column | None = None) -> DataFrame:
+    """(label, f0 .., component_id) per document: groups linked by pairs whose shingle sets have Jaccard `similarity` or more.
 
     Sets of one size with that Jaccard meet at an angle whose share of 180 degrees is the
-    expected share of differing bits; documents are linked up to that many bits plus
-    `slack` standard deviations. A pair at the threshold is found in at least one of
+    expected share of differing bits; documents are candidates up to that many bits plus
+    `slack` standard deviations, and linked if the Jaccard similarity of their sets (of 64-bit
+    hashes) is high enough. A pair at the threshold is found in at least one of
     `tables` files with probability about 1 - (1 - p ** key_bits) ** tables, p the share of
     equal bits; more key bits suit larger corpora and need more tables. Nulls and short
     texts as in `fingerprints`; texts without words form one group.
@@ -243,8 +372,13 @@ def similar_documents(docs: DataFrame, *, words: int = 5, similarity: float = 0.
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
     distance = math.floor(bits * share + slack * math.sqrt(bits * share * (1 - share)))
     names = [f"f{k}" for k in range(bits // 64)]
-    prints = checkpoint(fingerprints(docs, words=words, bits=bits, label=label))
-    return groups(prints, names, lambda nodes: links(sampled_files(nodes, names, tables, key_bits), names, distance))
+    prints = checkpoint(set_prints(docs, F.col("doc_id").cast("long") if label is None else label, words, len(names)))
+    nodes = checkpoint(prints.groupBy("node", "size", *names).agg(F.min("label").alias("lowest")))
+    loose = checkpoint(components(links(sampled_files(nodes, names, tables, key_bits), names, distance)))
+    roots = components(exact_links(docs, nodes, loose, words, similarity))
+    joined = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    lowest = joined.groupBy("root").agg(F.min("lowest").alias("component_id"))
+    return prints.select("label", "node", *names).join(joined.select("node", "root").join(lowest, "root").drop("root"), "node").drop("node")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:

@@ -149,6 +149,31 @@ def test_similar_documents_recall(spark):
     assert sum(found[2 * k] == 2 * k for k in range(40)) == 40
 
 
+def edited(body, edits, seed):
+    """The words with `edits` of them changed, far apart, so that each changes five shingles."""
+    out = list(body)
+    for at in np.random.default_rng(seed).choice(np.arange(5, len(body) - 5, 6), edits, replace=False):
+        out[at] = f"edit{seed}"
+    return out
+
+
+def test_similar_documents_exact(spark, monkeypatch):
+    """Links follow the Jaccard similarity of distinct shingles: not below 0.8, repeats do not count, chains connect; blocks change nothing."""
+    texts, want = [], {}
+    for k in range(30):
+        body = words(200, 500 + k).split()
+        near, far = edited(body, 4, k), edited(body, 5, 100 + k)
+        # 176 of 216 shingles, 171 of 221, and a step further from `near` (with it 176 of 216, with the body fewer).
+        for at, (text, group) in enumerate([(body, 0), (near, 0), (far, 2), (edited(near, 4, 200 + k), 0), (body[:100] * 2 + body[100:], 0)]):
+            texts.append((5 * k + at, " ".join(text)))
+            want[5 * k + at] = 5 * k + group
+    docs = frame(spark, texts)
+    found = {r.label: r.component_id for r in simhash.similar_documents(docs).collect()}
+    assert found == want
+    monkeypatch.setattr(simhash, "SHINGLES", 300)
+    assert {r.label: r.component_id for r in simhash.similar_documents(docs).collect()} == want
+
+
 def brute_removed(texts, window):
     counts = collections.Counter()
     data = [(t or "").encode() for t in texts]
