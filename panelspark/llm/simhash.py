@@ -8,9 +8,11 @@ under its first two segments at each of the 4 starts and also visits the files t
 in one bit of the second segment, so every close pair meets in a file of 32 equal
 bits; longer chains prune what meets there before the full Hamming check.
 
-For a similarity too low for this guarantee (many differing bits), wide fingerprints
-are filed under many sampled chains of bits instead. They only make candidates: their
-groups are taken apart again by the exact Jaccard similarity of the shingle sets.
+For a similarity too low for this guarantee (many differing bits), documents are filed
+under the first shingles of their sets instead: in any fixed order of all shingles, two sets
+with Jaccard s or more share one of their first n - ceil(s * n) + 1, n the size of the set.
+Wide fingerprints leave out the distant pairs that meet there, and the groups that remain
+are taken apart by the exact Jaccard similarity of the shingle sets.
 """
 
 from __future__ import annotations
@@ -124,22 +126,39 @@ def ring_files(prints: DataFrame) -> DataFrame:
     return prints.select("node", "f0", F.explode(ring_keys("f0")).alias("file")).select("node", "f0", "file.key", "file.home")
 
 
-def sampled_files(prints: DataFrame, names: list[str], tables: int, key_bits: int) -> DataFrame:
-    """(node, names, key, home) rows: for each table a chain of `key_bits` bits of a wide fingerprint, drawn by a fixed rule."""
-    draw = np.random.default_rng(SEED)
-    chains = [draw.choice(64 * len(names), key_bits, replace=False) for _ in range(tables)]
-    weight = 1 << np.arange(key_bits, dtype=np.int64)
+def prefix_files(docs: DataFrame, nodes: DataFrame, names: list[str], words: int, similarity: float) -> DataFrame:
+    """(node, names, key, home) rows: each shingle set under the smallest hashes of its set, as many as `similarity` asks for.
+
+    Every pair of sets with that Jaccard similarity shares a file. Files of one set are left out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = [batch.column(k).to_numpy() for k in range(1 + len(names))]
-            bits = np.unpackbits(np.column_stack(columns[1:]).view(np.uint8), axis=1, bitorder="little")
-            for t, chain in enumerate(chains):
-                key = (t << key_bits) | (bits[:, chain].astype(np.int64) @ weight)
-                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(key), pa.array(np.ones(len(key), dtype=bool))], ["node", *names, "key", "home"])
+        seen = set()
+        for batch in slices(batches):
+            node, keys = [], []
+            for text in texts_of(batch):
+                found = shingle_set(text, words)
+                name = set_name(found)
+                if len(found) and name not in seen:
+                    seen.add(name)
+                    # Rounded down in favour of one more key.
+                    first = found[: len(found) - math.ceil(similarity * len(found) - 1e-6) + 1].view(np.int64)
+                    keys.append(first)
+                    node.append(np.full(len(first), name, dtype=np.int64))
+            if node:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(node))], ["key", "node"])
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, first in whole_groups(batches, ["key"]):
+            key, node = table.column("key").to_numpy(), table.column("node").to_numpy()
+            new = np.ones(len(key), dtype=bool)
+            new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
+            keep = new & np.repeat(np.add.reduceat(new.astype(np.int64), first[:-1]) > 1, np.diff(first))
+            yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(node[keep])], ["key", "node"])
 
-    schema = ", ".join(f"{n} long" for n in ("node", *names, "key"))
-    return prints.select("node", *names).mapInArrow(run, schema + ", home boolean")
+    filed = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "key long, node long")
+    filed = filed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(shared, "key long, node long")
+    return filed.join(nodes.select("node", *names), "node").withColumn("home", F.lit(True))
 
 
 def links(filed: DataFrame, names: list[str], distance: int, viable: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
@@ -358,15 +377,15 @@ def exact_links(docs: DataFrame, nodes: DataFrame, loose: DataFrame, words: int,
     return dealt.select("root", "x", "y", "node", "shingles").mapInArrow(run, "a long, b long").distinct()
 
 
-def similar_documents(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, bits: int = 256, tables: int = 64, key_bits: int = 16, slack: float = 3.0, label: F.Column | None = None) -> DataFrame:
+def similar_documents(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, bits: int = 256, slack: float = 7.0, label: F.Column | None = None) -> DataFrame:
     """(label, f0 .., component_id) per document: groups linked by pairs whose shingle sets have Jaccard `similarity` or more.
 
-    Sets of one size with that Jaccard meet at an angle whose share of 180 degrees is the
-    expected share of differing bits; documents are candidates up to that many bits plus
-    `slack` standard deviations, and linked if the Jaccard similarity of their sets (of 64-bit
-    hashes) is high enough. A pair at the threshold is found in at least one of
-    `tables` files with probability about 1 - (1 - p ** key_bits) ** tables, p the share of
-    equal bits; more key bits suit larger corpora and need more tables. Nulls and short
+    All such pairs meet in a file (see `prefix_files`). Sets of one size with that Jaccard
+    meet at an angle whose share of 180 degrees is the expected share of differing bits;
+    documents are candidates up to that many bits plus `slack` standard deviations (the
+    only step that could lose a pair: by the binomial about 2 in a million at 0.8 for sets of 4 and 5
+    shingles, whose bits differ most, and under 1 in 100 million for the other sizes up to 80), and linked if the
+    Jaccard similarity of their sets (of 64-bit hashes) is high enough. Nulls and short
     texts as in `fingerprints`; texts without words form one group.
     """
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
@@ -374,7 +393,7 @@ def similar_documents(docs: DataFrame, *, words: int = 5, similarity: float = 0.
     names = [f"f{k}" for k in range(bits // 64)]
     prints = checkpoint(set_prints(docs, F.col("doc_id").cast("long") if label is None else label, words, len(names)))
     nodes = checkpoint(prints.groupBy("node", "size", *names).agg(F.min("label").alias("lowest")))
-    loose = checkpoint(components(links(sampled_files(nodes, names, tables, key_bits), names, distance)))
+    loose = checkpoint(components(links(prefix_files(docs, nodes, names, words, similarity), names, distance)))
     roots = components(exact_links(docs, nodes, loose, words, similarity))
     joined = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = joined.groupBy("root").agg(F.min("lowest").alias("component_id"))

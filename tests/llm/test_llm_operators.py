@@ -174,6 +174,18 @@ def test_similar_documents_exact(spark, monkeypatch):
     assert {r.label: r.component_id for r in simhash.similar_documents(docs).collect()} == want
 
 
+def test_similar_documents_complete(spark):
+    """Every pair at a Jaccard similarity of exactly 0.8 is linked, short texts too."""
+    texts = []
+    for k in range(600):
+        # 160 of 200 shingles, or 40 of 50.
+        body = words(184 if k % 2 else 49, 2000 + k).split()
+        for at, text in enumerate((body, edited(body, 4 if k % 2 else 1, k))):
+            texts.append((2 * k + at, " ".join(text)))
+    found = {r.label: r.component_id for r in simhash.similar_documents(frame(spark, texts)).collect()}
+    assert [k for k in range(600) if not found[2 * k] == found[2 * k + 1] == 2 * k] == []
+
+
 def brute_removed(texts, window):
     counts = collections.Counter()
     data = [(t or "").encode() for t in texts]
