@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelspark.llm import decontaminate, imatch, language, licenses, mixing, secrets, simhash, suffixes, tokens, warc
+from panelspark.llm import decontaminate, imatch, language, licenses, merkle, mixing, ngram_join, search, secrets, simhash, suffixes, tokens, warc
 from panelspark.llm.common import checkpoint, shared_folder
 
 
@@ -79,11 +79,27 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "copies", "taken")
 
 
+def op11_search(spark: SparkSession, folder: str) -> DataFrame:
+    return search.search(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+def op12_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Every leaf's proof folded again, after the texts of half of the documents have lost their newlines."""
+    without_lines = F.replace(F.col("text"), F.lit("\n"), F.lit(""))
+    found = merkle.manifest(_table(spark, folder, "documents"), merkle.tampered(), without_lines)
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op13_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.linked(_table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_licenses, op2_suffix_dedup, op3_simhash, op4_language, op5_warc, op6_secrets, op7_imatch, op8_decontamination, op9_token_counts, op10_mixing)
+    f.__name__: f for f in (op1_licenses, op2_suffix_dedup, op3_simhash, op4_language, op5_warc, op6_secrets, op7_imatch, op8_decontamination, op9_token_counts, op10_mixing, op11_search, op12_manifest, op13_ngram_join)
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+')"
 
 
@@ -94,6 +110,55 @@ def _shingles(table: str, key: str) -> str:
           from (select row_number() over () as row, {key}, {_WORDS} as w from {table}) where len(w) > 0)"""
 
 
+#: Levels of the trees of the manifest's SQL, which has one step for each: trees of up to 3**12 leaves.
+_LEVELS = 12
+
+
+def _tree_levels(key: str, first: int) -> list[str]:
+    """Steps from a (the nodes of a level) and f (each leaf's fold and proof so far), numbered `first`, to those _LEVELS on.
+
+    A node that is alone in its tree stays as it is.
+    """
+    out = []
+    for k in range(first, first + _LEVELS):
+        run = f"string_agg(node, '' order by pos) over (partition by {key}, pos // 3 order by pos rows between"
+        up = "case when total > 1 then pos // 3 else pos end"
+        out += [
+            f"""s{k} as materialized (select *, coalesce({run} unbounded preceding and 1 preceding), '') as l,
+  coalesce({run} 1 following and unbounded following), '') as r from a{k})""",
+            f"""a{k + 1} as materialized (select {key}, {up} as pos, case when total > 1 then sha256(string_agg(node, '' order by pos)) else any_value(node) end as node,
+  (total + 2) // 3 as total from a{k} group by {key}, {up}, total)""",
+            f"""f{k + 1} as materialized (select f.* exclude (fold, place, proof), case when s.total > 1 then sha256(s.l || f.fold || s.r) else f.fold end as fold,
+  case when s.total > 1 then f.place // 3 else f.place end as place, case when s.total > 1 then f.proof || s.l || s.r else f.proof end as proof
+  from f{k} f join s{k} s on f.{key} is not distinct from s.{key} and f.place = s.pos)""",
+        ]
+    return out
+
+
+def _manifest_sql() -> str:
+    def leaf(text: str) -> str:
+        return "sha256(" + " || ".join(f"coalesce(octet_length(encode(cast({c} as varchar))) || ':' || cast({c} as varchar), '-')" for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+    # CRC-32 of the decimal id, bit by bit; its lowest bit tells whether 2 divides it.
+    bits = "list_reduce(range(8), lambda b, i: case when b & 1 = 1 then xor(b >> 1, 3988292384) else b >> 1 end, xor(c, ch))"
+    crc = f"xor(list_reduce(list_transform(string_split(cast(doc_id as varchar), ''), lambda x: cast(ord(x) as bigint)), lambda c, ch: {bits}, cast(4294967295 as bigint)), 4294967295)"
+    base, top = _LEVELS + 1, 2 * _LEVELS + 1
+    steps = [
+        f"d as (select *, case when {crc} & 1 = 0 then replace(text, chr(10), '') else text end as altered from documents)",
+        f"h as (select doc_id, source, {leaf('text')} as leaf, {leaf('altered')} as now from d)",
+        "n as materialized (select *, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as pos, count(*) over (partition by source) as total from h)",
+        "a0 as materialized (select source, pos, leaf as node, total from n)",
+        "f0 as materialized (select doc_id, source, leaf, now as fold, pos as place, '' as proof from n)",
+        *_tree_levels("source", 0),
+        f"b as materialized (select source, node as subroot, row_number() over (order by source nulls first) - 1 as pos, count(*) over () as total from a{_LEVELS})",
+        f"a{base} as materialized (select 1 as one, pos, subroot as node, total from b)",
+        f"f{base} as materialized (select f.* exclude (place), b.pos as place, b.subroot, 1 as one from f{_LEVELS} f join b on f.source is not distinct from b.source)",
+        *_tree_levels("one", base),
+    ]
+    root = f"(select node from a{top})"
+    return "with " + ",\n".join(steps) + f"\nselect doc_id, leaf, subroot, {root} as root, sha256(proof) as proof_sha256, fold as folded_root, fold = {root} as verified from f{top}"
+
+
 ORACLES: dict[str, str] = {
     "op5_warc": """
 with p as (select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha1(coalesce(html, '')) || '00' as hex from pages),
@@ -145,4 +210,25 @@ o3 as (select * exclude (goal, fits), goal - coalesce(sum(case when more and fit
 n as (select *, row_number() over (partition by source order by more or size = 0 or abs(goal - size) >= goal, abs(goal - size), rank, doc_id) = 1 and not more and size > 0 and abs(goal - size) < goal as filler from o3),
 k as (select *, whole + case when more or filler then 1 else 0 end as copies from n)
 select doc_id, size, source_size, target, copies, copies * size as taken from k""",
+    "op11_search": rf"""
+with d as (select row_number() over () as row, doc_id, regexp_extract_all({_LOWER}, '{_TERM}') as w from documents),
+i as (select row_number() over () as row, item_id, regexp_extract_all({_LOWER}, '{_TERM}') as w from benchmark),
+c as (select cast(count(*) as bigint) as docs, cast(sum(len(w)) as bigint) as length from d where len(w) > 0),
+q as (select distinct row, item_id, unnest(w) as term from i),
+t as (select row, doc_id, n, term, count(*) as tf from (select row, doc_id, len(w) as n, unnest(w) as term from d) where term in (select term from q) group by all),
+g as (select term, cast(floor(1000 * ln((2 * any_value(docs) + 2)::double / (2 * count(*) + 1))) as bigint) as w from t, c group by term),
+s as (select q.row, q.item_id, t.row as doc, t.doc_id, cast(sum(g.w * ((1000000000 * t.tf) // (1000 * t.tf + 8 * (10 + (90 * t.n * c.docs) // c.length)))) as bigint) as score
+      from q join t using (term) join g using (term), c group by all having score > 0),
+r as (select *, row_number() over (partition by row order by score desc, doc_id nulls last, doc) as rank from s)
+select item_id, cast(rank as int) as rank, doc_id, score from r where rank <= 10""",
+    "op12_manifest": _manifest_sql(),
+    "op13_ngram_join": rf"""
+with recursive d as (select row_number() over () as row, doc_id, {_WORDS} as w from documents),
+s as materialized (select distinct row, array_to_string(w[i:i + least(4, len(w)) - 1], ' ') as gram from (select row, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) as i from d where len(w) > 0)),
+z as materialized (select row, count(*) as size from s group by row),
+l as materialized (select a.row as x, b.row as y from s a join s b on a.gram = b.gram and a.row <> b.row join z p on p.row = a.row join z q on q.row = b.row
+      group by a.row, b.row, p.size, q.size having 100 * count(*) >= 85 * (p.size + q.size - count(*))),
+reach as (select row, row as other from d union select r.row, l.y from reach r join l on l.x = r.other),
+m as (select r.row, min(o.doc_id) as component_id from reach r join d o on o.row = r.other group by r.row)
+select d.doc_id, cast(coalesce(z.size, 0) as bigint) as n_shingles, m.component_id from d join m on m.row = d.row left join z on z.row = d.row""",
 }
