@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from panelspark.functions.geo import bearing
 from panelspark.operators.ordered import cut_points, join_keys, neighbour, quantiles, running
-from panelspark.operators.spatial import nearest_cell
+from panelspark.operators.nearest import nearest_cell
 from panelspark.session import checkpoint
 
 

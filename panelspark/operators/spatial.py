@@ -1,13 +1,10 @@
-"""Point-in-polygon, point-to-edge, nearest-cell and area-weight operators on tables of edges and cells."""
+"""Point-in-polygon, point-to-edge, morphology and area-weight operators on tables of edges and cells."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from panelspark.functions.geo import crosses, point_segment_distance
-from panelspark.session import checkpoint
 
 EDGE = ("x1", "y1", "x2", "y2")
 
@@ -115,52 +112,6 @@ def regrid(native: DataFrame, weights: DataFrame, keys: list[str], target: str,
     return met.groupBy(target, *keys).agg(F.when(~unknown, F.sum(F.col(weight) * F.col(value))).alias(value))
 
 
-def nearest_cell(
-    wanted: DataFrame, cells: DataFrame, keys: list[str], *, order: str | None = None, sizes: tuple[int | None, ...] = (6, 64, 1024, None), reach: int | None = None
-) -> DataFrame:
-    """For each wanted cell, the nearest cell of the same group: adds `near_x`, `near_y`, `near_d2` (squared cells).
-
-    With `order`, only cells whose `order` is smaller than the wanted cell's count
-    (for growth: cells first seen earlier). Ties go to the smallest (x, y).
-
-    The search widens: at tile size T every cell within distance T is in the 3 x 3
-    tiles around, so a hit within T is final and only the rest moves on to larger
-    tiles. Candidates per step are bounded by the tile area, never by group size;
-    the last step (None) has no bound and serves the few cells with nothing within
-    1024. Each step is written to the checkpoint folder, and the search stops when
-    no cell is left. With `reach`, cells without a neighbour within it stay NULL.
-    """
-    other = cells.select(*keys, F.col("x").alias("__x"), F.col("y").alias("__y"), *([F.col(order).alias("__o")] if order else []))
-    steps = [s for s in sizes if reach is None or (s or reach) < reach] + ([reach] if reach else [])
-    carried, state, finished = wanted.columns, wanted, []
-    for size in steps:
-        tile = lambda c: F.floor(F.col(c) / size).cast("long") if size else F.lit(0).cast("long")  # noqa: E731,B023
-        shifts = (-1, 0, 1) if size else (0,)
-        around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in shifts for j in shifts])
-        looking = state.withColumn("__t", F.explode(around)).withColumns({"__tx": tile("x") + F.col("__t.i"), "__ty": tile("y") + F.col("__t.j")}).drop("__t")
-        met = looking.join(other.withColumns({"__tx": tile("__x"), "__ty": tile("__y")}), [*keys, "__tx", "__ty"], "left")
-        usable = F.col("__x").isNotNull() & ((F.col("__o") < F.col(order)) if order else F.lit(True))
-        dx, dy = F.col("x") - F.col("__x"), F.col("y") - F.col("__y")
-        found = F.min(F.when(usable, F.struct((dx * dx + dy * dy).cast("long").alias("d2"), F.col("__x").cast("long").alias("x"), F.col("__y").cast("long").alias("y"))))
-        best = checkpoint(met.groupBy(*carried).agg(found.alias("__best")))
-        final = F.lit(True) if size in (None, reach) else F.coalesce(F.col("__best.d2") <= size * size, F.lit(False))
-        finished.append(best.where(final))
-        state = best.where(~final).drop("__best")
-        if size in (None, reach) or state.isEmpty():
-            break
-    merged = reduce(DataFrame.unionByName, finished)
-    if reach:
-        merged = merged.withColumn("__best", F.when(F.col("__best.d2") <= reach * reach, F.col("__best")))
-    return merged.select(*carried, F.col("__best.x").alias("near_x"), F.col("__best.y").alias("near_y"), F.col("__best.d2").alias("near_d2"))
-
-
-def disc(radius: int) -> Column:
-    """Array of lattice offsets within `radius` cells."""
-    steps = range(-radius, radius + 1)
-    inside = [(x, y) for x in steps for y in steps if x * x + y * y <= radius * radius]
-    return F.from_json(F.lit(str([{"dx": x, "dy": y} for x, y in inside]).replace("'", '"')), "array<struct<dx:bigint,dy:bigint>>")
-
-
 def square(radius: int) -> Column:
     return F.array(*[
         F.struct(F.lit(x).cast("long").alias("dx"), F.lit(y).cast("long").alias("dy"))
@@ -195,21 +146,6 @@ def neighbour_counts(cells: DataFrame, keys: list[str], radius: int, name: str)
     return moved(cells, keys, square(radius)).groupBy(*keys, "x", "y").agg(F.count(F.lit(1)).alias(name))
 
 
-def candidate_cells(burned: DataFrame, keys: list[str], radius: int) -> DataFrame:
-    """Unburned cells within `radius` cells of the burned set, with the squared distance to it.
-
-    The nearest burned cell of an unburned one is always an edge cell, so only
-    those are spread over the disc; distances are reduced before the shuffle.
-    """
-    offsets = edge_cells(burned, keys).withColumn("__o", F.explode(disc(radius)))
-    reached = offsets.select(
-        *keys, (F.col("x") + F.col("__o.dx")).alias("x"), (F.col("y") + F.col("__o.dy")).alias("y"),
-        (F.col("__o.dx") * F.col("__o.dx") + F.col("__o.dy") * F.col("__o.dy")).alias("d2"),
-    )
-    best = reached.groupBy(*keys, "x", "y").agg(F.min("d2").alias("burned_d2"))
-    return best.join(burned.select(*keys, "x", "y"), [*keys, "x", "y"], "left_anti")
-
-
 def quadrature(cells: DataFrame, size: float) -> DataFrame:
     """Nine equal-area sample points per cell, ordered south to north, then west to east."""
     third = size / 3

@@ -10,7 +10,8 @@ from panelspark.operators.ordered import neighbour
 from panelspark.operators.ranking import top_k
 from panelspark.operators.raster import burned_area
 from panelspark.operators.sessions import growth_geometry
-from panelspark.operators.spatial import candidate_cells, dilate, edge_cells, nearest_cell, neighbour_counts
+from panelspark.operators.nearest import candidate_cells, nearest_cell
+from panelspark.operators.spatial import dilate, edge_cells, neighbour_counts
 from panelspark.session import checkpoint
 
 
@@ -57,7 +58,7 @@ def candidate_features(start: DataFrame, active: DataFrame, keys: list[str], rad
     active cell.
     """
     cells = candidate_cells(start, keys, radius)
-    placed = nearest_cell(cells, active, keys)
+    placed = nearest_cell(cells, active, keys, close=radius)
     placed = placed.join(downwind, keys)
     east, north = F.col("x") - F.col("near_x"), F.col("y") - F.col("near_y")
     distance = F.sqrt(F.col("near_d2").cast("double")) * size

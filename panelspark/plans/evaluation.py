@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelspark.operators import bootstrap as B, metrics as M, ranking as K, spatial as G, steps as T
+from panelspark.operators import bootstrap as B, metrics as M, nearest as N, ranking as K, spatial as G, steps as T
 from panelspark.plans import adapters as A
-from panelspark.plans.raster import KEYS, _EDGE, _WEEK, _weekly
+from panelspark.plans.raster import KEYS, RADIUS, _EDGE, _WEEK, _weekly
 from panelspark.plans.registry import Tables, micro, micro_sql, query
 from panelspark.session import checkpoint
 
@@ -390,7 +390,7 @@ def even_growth_baseline(t: Tables):
 
 
 @query("M14 I5 F9 H7", lambda d: f"""{A.with_views(d, det=A.detections)}, {_WEEK}, {_EDGE},
-      o as (select i, j from unnest(generate_series(-3, 3)) as a(i), unnest(generate_series(-3, 3)) as b(j) where i * i + j * j <= 9),
+      o as (select i, j from unnest(generate_series(-{RADIUS}, {RADIUS})) as a(i), unnest(generate_series(-{RADIUS}, {RADIUS})) as b(j) where i * i + j * j <= {RADIUS * RADIUS}),
       cd as (select distinct entity, observation, x + i as x, y + j as y from wk, o),
       ca as (select * from cd where not exists (select 1 from wk where wk.entity = cd.entity and wk.observation = cd.observation and wk.x = cd.x and wk.y = cd.y)),
       ds as (select c.entity, c.observation, c.x, c.y, min((c.x - e.x) * (c.x - e.x) + (c.y - e.y) * (c.y - e.y)) as d2 from ca c join edg e using (entity, observation) group by all),
@@ -413,7 +413,7 @@ def step_scores(t: Tables):
     """Predicted against observed new cells around each group's weekly burned set."""
     start = checkpoint(_weekly(t))
     active = checkpoint(G.edge_cells(start, KEYS))
-    near = G.nearest_cell(G.candidate_cells(start, KEYS, 3), active, KEYS)
+    near = N.nearest_cell(N.candidate_cells(start, KEYS, RADIUS), active, KEYS, close=RADIUS)
     cells = checkpoint(near.withColumns({"distance_to_active": F.col("near_d2"), "cell": F.col("x") * 1000 + F.col("y")}))
     predicted = cells.where((F.col("x") * 7 + F.col("y")) % 5 == 0)
     observed = cells.where((F.col("x") + F.col("y") * 3) % 4 == 0)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelspark.functions import geo
-from panelspark.operators import raster as R, sessions as S, spatial as G, steps as T
+from panelspark.operators import nearest as N, raster as R, sessions as S, spatial as G, steps as T
 from panelspark.plans import adapters as A
 from panelspark.plans.registry import Tables, micro, micro_sql, query
 from panelspark.plans.sessions import sessions
@@ -19,6 +19,8 @@ CODES = (
 )
 GROUPS = ["conifer", "mixedwood", "deciduous", "open", "non_fuel", "water"]
 KEYS = ["entity", "observation"]
+#: Candidates are unburned cells within 6 km of the burned area, in cells of 375 m.
+RADIUS = 16
 
 
 def _codes(t: Tables):
@@ -225,12 +227,13 @@ _EDGE = """nbc as (select a.entity, a.observation, a.x, a.y, count(*) as n from
 @query(
     "D8",
     lambda d: f"""{A.with_views(d, det=A.detections)}, {_WEEK},
-      o as (select i, j from unnest(generate_series(-4, 4)) as a(i), unnest(generate_series(-4, 4)) as b(j) where i * i + j * j <= 16),
-      c as (select entity, observation, x + i as x, y + j as y, min(i * i + j * j) as burned_d2 from wk, o group by entity, observation, x + i, y + j)
+      o as (select i, j from unnest(generate_series(-{RADIUS}, {RADIUS})) as a(i), unnest(generate_series(-{RADIUS}, {RADIUS})) as b(j) where i * i + j * j <= {RADIUS * RADIUS}),
+      m as (select entity, observation, x + i as x, y + j as y, min((i * i + j * j, x, y)) as b from wk, o group by entity, observation, x + i, y + j),
+      c as (select entity, observation, x, y, b[1] as burned_d2, b[2] as burned_x, b[3] as burned_y from m)
       select * from c where not exists (select 1 from wk where wk.entity = c.entity and wk.observation = c.observation and wk.x = c.x and wk.y = c.y)""",
 )
 def candidate_cells(t: Tables):
-    return G.candidate_cells(checkpoint(_weekly(t)), KEYS, 4)
+    return N.candidate_cells(checkpoint(_weekly(t)), KEYS, RADIUS)
 
 
 @query(
@@ -267,7 +270,7 @@ def burned_area(t: Tables):
 @query(
     "G18 G15 G19 G20 D8 C6 C8",
     lambda d: f"""{A.with_views(d, det=A.detections)}, {_WEEK}, {_EDGE},
-      o as (select i, j from unnest(generate_series(-3, 3)) as a(i), unnest(generate_series(-3, 3)) as b(j) where i * i + j * j <= 9),
+      o as (select i, j from unnest(generate_series(-{RADIUS}, {RADIUS})) as a(i), unnest(generate_series(-{RADIUS}, {RADIUS})) as b(j) where i * i + j * j <= {RADIUS * RADIUS}),
       cd as (select entity, observation, x + i as x, y + j as y, min(i * i + j * j) as bd from wk, o group by entity, observation, x + i, y + j),
       ca as (select * from cd where not exists (select 1 from wk where wk.entity = cd.entity and wk.observation = cd.observation and wk.x = cd.x and wk.y = cd.y)),
       ne as (select c.*, e.x as nx, e.y as ny, (c.x - e.x) * (c.x - e.x) + (c.y - e.y) * (c.y - e.y) as d2, row_number() over (partition by c.entity, c.observation, c.x, c.y
@@ -283,11 +286,11 @@ def burned_area(t: Tables):
       from gm g left join bn using (entity, observation, x, y) left join an using (entity, observation, x, y) left join hs using (entity, observation)""",
 )
 def candidate_features(t: Tables):
-    """Wind-relative geometry, neighbourhood counts, history lookup and rise for candidates within three cells."""
+    """Wind-relative geometry, neighbourhood counts, history lookup and rise for candidates within 6 km."""
     burned = checkpoint(_weekly(t))
     active = checkpoint(G.edge_cells(burned, KEYS))
     wind = burned.select(*KEYS).distinct().withColumn("downwind_deg", (F.col("observation") % 360).cast("double"))
-    f = T.candidate_features(burned, active, KEYS, 3, wind, 375.0)
+    f = T.candidate_features(burned, active, KEYS, RADIUS, wind, 375.0)
     spots = f.select(*KEYS, "x", "y").union(active.select(*KEYS, "x", "y")).distinct()
     elevation = spots.withColumn("elevation", ((F.col("x") * 7 + F.col("y") * 3) % 50).cast("double"))
     f = T.rise_from_front(f, elevation, KEYS)

@@ -77,17 +77,6 @@ def test_burned_area_against_flood_fill(spark):
         assert burned[k] == brute_fill(brute_close(s)) | s, k
 
 
-def test_nearest_cell_against_brute_force_with_far_cells(spark):
-    rng = random.Random(2)
-    cells = [("hot", rng.randrange(60), rng.randrange(60), rng.randrange(5)) for _ in range(250)] + [("hot", 5000, 9000, 4), ("b", 0, 0, 0), ("b", 700, 20, 1)]
-    unique = list({(k, x, y): (k, x, y, o) for k, x, y, o in cells}.values())
-    df = spark.createDataFrame(unique, "k string, x long, y long, o int")
-    for r in G.nearest_cell(df, df, ["k"], order="o").collect():
-        earlier = [(x, y) for k, x, y, o in unique if k == r.k and o < r.o]
-        want = min(((x - r.x) ** 2 + (y - r.y) ** 2, x, y) for x, y in earlier) if earlier else (None, None, None)
-        assert (r.near_d2, r.near_x, r.near_y) == want
-
-
 def test_category_shares(spark):
     pixels = [2] * 50 + [650] * 20 + [13] * 10 + [102] * 15 + [101] * 5
     table = spark.createDataFrame([(2, "conifer", 100), (650, "mixedwood", 50), (13, "deciduous", 0), (102, "water", None), (101, "non_fuel", None)], "code int, `group` string, percent int")
