@@ -2,10 +2,10 @@
 
 All n-grams have one global order: those that repeat within many parts of the corpus come
 last, the others go by their hash. Two sets whose Jaccard similarity is s or more share one of their
-first n - ceil(s * n) + 1 n-grams, so sets are filed under these. In a file, pairs whose sizes or whose
-parity bits rule the similarity out are left aside: the bits in which the parities of two sets
-differ are never more than the n-grams in which they differ. What remains are
-groups of like sets; each is stored in a prefix tree, and every set walks the tree
+first n - ceil(s * n) + 1 n-grams, so sets are filed under these; files with the same members are one. In
+a file, pairs whose sizes or whose parity bits rule the similarity out are left aside: the bits in
+which the parities of two sets differ are never more than the n-grams in which they differ. What
+remains are groups of like sets; each is stored in a prefix tree, and every set walks the tree
 once: nodes share the overlap of the sets below them, and subtrees whose remaining
 lengths cannot reach the similarity, or whose sets are all linked already, are not entered.
 """
@@ -16,18 +16,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from panelspark.llm.common import checkpoint, components, shingle_hashes, slices, texts_of, whole_groups, word_hashes
 from panelspark.llm.simhash import set_name, sets_of
 
-#: Words of parity bits that go with a set.
+#: Words of parity bits that go with a set; sets of more than twice their bits have wider ones besides.
 LANES = 4
 PARITY = [f"p{k}" for k in range(LANES)]
+MEMBER = ["size", *PARITY, "wide"]
 #: N-grams are counted in parts of about this many; an n-gram that occurs once in a part does not count there.
 PART = 1 << 22
 #: At most so many n-grams are known as frequent (16 bytes each): those with the highest counts, from LEAST on.
-FREQUENT, LEAST = 1 << 18, 8
+FREQUENT, LEAST = 1 << 18, 4
 #: A file with more sets is cut into blocks, and pairs of blocks go to tasks of their own.
 FILE_BLOCK = 1 << 14
 #: A group of like sets with more n-grams is cut into blocks likewise.
@@ -44,25 +45,41 @@ def least_overlap(a, b, percent: int):
     return -(-percent * (a + b) // (100 + percent))
 
 
-def parities(found: np.ndarray) -> np.ndarray:
-    """64 * LANES bits: whether an odd number of n-grams falls to each."""
-    place = (found * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - (LANES * 64).bit_length() + 1)
-    odd = (np.bincount(place.astype(np.int64), minlength=LANES * 64) & 1).astype(np.uint8)
-    return np.packbits(odd, bitorder="little").view(np.uint64)
+def parities(found: np.ndarray) -> tuple[np.ndarray, bytes | None]:
+    """Whether an odd number of n-grams falls to each of 64 * LANES bits; and to each of more bits (half the set's size to all of it) for a large set.
+
+    The wider bits fold into the narrower ones by exclusive or of their halves.
+    """
+    bits = 64 * LANES
+    width = max(bits, 1 << (len(found) - 1).bit_length() - 1) if len(found) > 2 * bits else bits
+    place = (found * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(24) & np.uint64(width - 1)
+    odd = (np.bincount(place.astype(np.int64), minlength=width) & 1).astype(np.uint8)
+    narrow = np.bitwise_xor.reduce(odd.reshape(-1, bits), axis=0)
+    return np.packbits(narrow, bitorder="little").view(np.uint64), np.packbits(odd, bitorder="little").tobytes() if width > bits else None
+
+
+def folded(bits: int, width: int, to: int) -> int:
+    """Parity bits of a width as those of a smaller one."""
+    while width > to:
+        width //= 2
+        bits = (bits >> width) ^ (bits & ((1 << width) - 1))
+    return bits
 
 
 def set_table(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, node, size, p0, ...) per document: the name, size and parities of its n-gram set."""
+    """(doc_id, node, size, p0, ..., wide) per document: the name, size and parities of its n-gram set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = [gram_set(t, words) for t in texts_of(batch)]
-            bits = np.array([parities(s) for s in sets], dtype=np.uint64).reshape(-1, LANES).view(np.int64)
+            pairs = [parities(s) for s in sets]
+            bits = np.array([narrow for narrow, _ in pairs], dtype=np.uint64).reshape(-1, LANES).view(np.int64)
             columns = [batch.column("doc_id"), pa.array([set_name(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*columns, *[pa.array(bits[:, k]) for k in range(LANES)]], ["doc_id", "node", "size", *PARITY])
+            columns += [pa.array(bits[:, k]) for k in range(LANES)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([wide for _, wide in pairs], pa.binary())], ["doc_id", "node", *MEMBER])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(run, "doc_id long, node long, size long, " + ", ".join(f"{p} long" for p in PARITY))
+    return slim.mapInArrow(run, "doc_id long, node long, size long, " + ", ".join(f"{p} long" for p in PARITY) + ", wide binary")
 
 
 def frequent(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -71,6 +88,7 @@ def frequent(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     Each part of the corpus reports its repeated n-grams, less one: what a summary with a counter for
     each would keep after a decrement. Texts with one set count once per task.
     """
+    part = PART
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, held, size = set(), [], 0
@@ -80,7 +98,7 @@ def frequent(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
             more = counts > 1
             return pa.RecordBatch.from_arrays([pa.array(grams[more].view(np.int64)), pa.array(counts[more] - 1)], ["gram", "times"])
 
-        for batch in batches:
+        for batch in slices(batches):
             for text in texts_of(batch):
                 found = gram_set(text, words)
                 name = set_name(found)
@@ -89,7 +107,7 @@ def frequent(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
                 seen.add(name)
                 held.append(found)
                 size += len(found)
-                if size >= PART:
+                if size >= part:
                     yield counted()
                     held, size = [], 0
         yield counted()
@@ -112,7 +130,10 @@ def ordered(found: np.ndarray, known: tuple[np.ndarray, np.ndarray]) -> np.ndarr
 
 
 def filed(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(gram, node): every set under the first n-grams of its order that cannot all miss a similar set. N-grams of one set only are left out."""
+    """(file, node): the sets that have one of the first n-grams of their orders in common, which similar sets cannot all miss.
+
+    A file is named by its members' hashes; n-grams of one set only are left out.
+    """
     known = docs.sparkSession.sparkContext.broadcast(frequent(docs, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,15 +149,11 @@ def filed(docs: DataFrame, words: int, percent: int) -> DataFrame:
                     nodes.append(np.full(len(grams[-1]), name, dtype=np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams).view(np.int64)), pa.array(np.concatenate(nodes))], ["gram", "node"])
 
-    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, first in whole_groups(batches, ["gram"]):
-            gram, node = table.column("gram").to_numpy(), table.column("node").to_numpy()
-            new = np.append(True, (gram[1:] != gram[:-1]) | (node[1:] != node[:-1]))
-            keep = new & np.repeat(np.add.reduceat(new.astype(np.int64), first[:-1]) > 1, np.diff(first))
-            yield pa.RecordBatch.from_arrays([pa.array(gram[keep]), pa.array(node[keep])], ["gram", "node"])
-
-    found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "gram long, node long")
-    return found.repartition("gram").sortWithinPartitions("gram", "node").mapInArrow(shared, "gram long, node long")
+    found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "gram long, node long").repartition("gram").dropDuplicates(["gram", "node"])
+    gram = Window.partitionBy("gram")
+    named = found.select("node", F.bit_xor(F.xxhash64("node")).over(gram).alias("file"), F.count(F.lit(1)).over(gram).alias("members"))
+    # Two sets that share many n-grams meet in one file, not in as many.
+    return named.where("members > 1").select("file", "node").dropDuplicates(["file", "node"])
 
 
 def least_share(size: int, percent: int) -> int:
@@ -153,26 +170,31 @@ def in_blocks(members: DataFrame, key: str, blocks: DataFrame) -> DataFrame:
 
 def like_pairs(files: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """(a, b) of sets of one file whose sizes and parities allow the similarity, enough of them to connect all that such pairs connect."""
-    blocks = files.groupBy("gram").agg(F.ceil(F.count(F.lit(1)) / FILE_BLOCK).cast("int").alias("blocks"))
-    dealt = in_blocks(files, "gram", blocks).join(nodes.select("node", "size", *PARITY), "node")
-    dealt = dealt.select("gram", "x", "y", "size", "node", *PARITY).repartition("gram", "x", "y").sortWithinPartitions("gram", "x", "y", "size", "node")
+    blocks = files.groupBy("file").agg(F.ceil(F.count(F.lit(1)) / FILE_BLOCK).cast("int").alias("blocks"))
+    dealt = in_blocks(files, "file", blocks).join(nodes.select("node", *MEMBER), "node")
+    dealt = dealt.select("file", "x", "y", "node", *MEMBER).repartition("file", "x", "y").sortWithinPartitions("file", "x", "y", "size", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, first in whole_groups(batches, ["gram", "x", "y"]):
+        for table, first in whole_groups(slices(batches, 4096), ["file", "x", "y"], 1 << 13):
             node, size = table.column("node").to_numpy(), table.column("size").to_numpy()
             bits = np.column_stack([table.column(p).to_numpy() for p in PARITY]).view(np.uint64)
+            wide = table.column("wide").to_pylist()
             a, b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
 
-            def like(i, j) -> np.ndarray:
-                differ = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=-1, dtype=np.int64)
-                return differ <= size[i] + size[j] - 2 * least_overlap(size[i], size[j], percent)
+            def like(at: int, others: np.ndarray) -> np.ndarray:
+                most = size[at] + size[others] - 2 * least_overlap(size[at], size[others], percent)
+                ok = np.bitwise_count(bits[at] ^ bits[others]).sum(axis=1, dtype=np.int64) <= most
+                if wide[at] is not None:
+                    own, width = int.from_bytes(wide[at], "little"), 8 * len(wide[at])
+                    for k in np.flatnonzero(ok).tolist():
+                        other = wide[others[k]]
+                        if other is not None:
+                            to = min(width, 8 * len(other))
+                            differ = folded(own, width, to) ^ folded(int.from_bytes(other, "little"), 8 * len(other), to)
+                            ok[k] = differ.bit_count() <= most[k]
+                return others[ok]
 
-            few = np.diff(first) == 2  # most files: one pair
-            left = first[:-1][few]
-            ok = like(left, left + 1)
-            a.append(node[left[ok]])
-            b.append(node[left[ok] + 1])
-            for start, stop in zip(first[:-1][~few].tolist(), first[1:][~few].tolist()):
+            for start, stop in zip(first[:-1].tolist(), first[1:].tolist()):
                 waiting = np.arange(start, stop)
                 while len(waiting) > 1:
                     queue, waiting = [int(waiting[0])], waiting[1:]
@@ -181,12 +203,12 @@ def like_pairs(files: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
                         # By size: sets of other sizes than these cannot be similar.
                         low = np.searchsorted(size[waiting], -(-percent * size[at] // 100))
                         high = np.searchsorted(size[waiting], 100 * size[at] // percent, side="right")
-                        near = low + np.flatnonzero(like(at, waiting[low:high]))
+                        near = like(at, waiting[low:high])
                         if len(near):
                             a.append(np.full(len(near), node[at]))
-                            b.append(node[waiting[near]])
-                            queue += waiting[near].tolist()
-                            waiting = np.delete(waiting, near)
+                            b.append(node[near])
+                            queue += near.tolist()
+                            waiting = np.setdiff1d(waiting, near, assume_unique=True)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
     return dealt.mapInArrow(run, "a long, b long").distinct()
@@ -254,11 +276,15 @@ class Trie:
             depth, end, longest = self.depth[at], self.end[at], self.longest[at]
             need = least_overlap(size, self.shortest[at], percent)
             path = self.sets[self.low[at]]
-            # What both sides have left bounds the overlap; the more of a path is known the tighter.
-            if end > depth:
-                overlap += int(mark[path[depth:end]].sum())
-            rest = size - int(np.searchsorted(mine, path[end - 1], side="right")) if end else size
-            if overlap + min(rest, longest - end) < need:
+            # What both sides have left bounds the overlap. The more of a path is known the tighter: a long one is read step by step.
+            step, possible = 64, True
+            while possible and depth < end:
+                to = min(end, depth + step)
+                overlap += int(mark[path[depth:to]].sum())
+                rest = size - int(np.searchsorted(mine, path[to - 1], side="right"))
+                possible = overlap + min(rest, longest - to) >= need
+                depth, step = to, 2 * step
+            if not possible:
                 continue
             if self.children[at]:
                 todo += [(child, overlap) for child in self.children[at]]
@@ -337,7 +363,7 @@ def linked(docs: DataFrame, *, words: int = 4, percent: int = 85) -> DataFrame:
     if not 0 < percent <= 100:
         raise ValueError("percent must be above 0 and at most 100")
     sets = checkpoint(set_table(docs, words))
-    nodes = checkpoint(sets.where("size > 0").groupBy("node", "size", *PARITY).agg(F.min("doc_id").alias("lowest")))
+    nodes = checkpoint(sets.where("size > 0").groupBy("node", *MEMBER).agg(F.min("doc_id").alias("lowest")))
     loose = checkpoint(components(like_pairs(checkpoint(filed(docs, words, percent)), nodes, percent)))
     roots = components(tree_links(docs, nodes, loose, words, percent))
     joined = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
