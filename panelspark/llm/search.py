@@ -132,6 +132,7 @@ def best_classes(found: DataFrame, pairs: list, k: int) -> DataFrame:
     at = {t: i for i, t in enumerate(terms)}
     pairs = sorted((at[p.term], int(np.searchsorted(items, p.item)), p.weight) for p in pairs)
     of, col, weight = (np.array(x, dtype=np.int64) for x in zip(*pairs))
+    cells = CELLS
     held = found.sparkSession.sparkContext.broadcast((items, pa.array(terms, pa.string()), np.searchsorted(of, np.arange(len(terms) + 1)), col, weight))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,7 +140,7 @@ def best_classes(found: DataFrame, pairs: list, k: int) -> DataFrame:
         kind = pa.list_(pa.struct([("doc_id", pa.int64())]))
         kept = pa.table({"item": pa.array([], pa.int64()), "score": pa.array([], pa.int64()), "first": pa.array([], pa.int64()), "members": pa.array([], kind)})
         least = np.ones(len(items), dtype=np.int64)  # a class below it is not among the best k of the item
-        for batch in slices(batches, max(1, min(4096, CELLS // len(items)))):
+        for batch in slices(batches, max(1, min(4096, cells // len(items)))):
             held_terms = batch.column("terms")
             sizes = held_terms.value_lengths().to_numpy()
             row = np.repeat(np.arange(batch.num_rows), sizes)
@@ -208,6 +209,9 @@ def search(docs: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
         best = spark.read.parquet(out)
     else:
         best = spark.createDataFrame([], "item long, score long, members array<struct<doc_id: long>>")
+    # Every class before another gives a document before it, so the k best classes hold the k best documents.
+    leader = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("score"), F.col("members")[0]["doc_id"].asc_nulls_last()))
+    best = best.withColumn("leader", leader).where(F.col("leader") <= k)
     rows = best.select("item", "score", F.explode("members").alias("member")).select("item", "score", "member.doc_id")
     rank = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last()))
     names = terms.select("item", "item_id").distinct()
