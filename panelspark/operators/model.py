@@ -7,14 +7,13 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import Model
-from pyspark.ml.classification import (
-    GBTClassificationModel, GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier,
-)
+from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from panelspark.contracts import ContractError, guard
+from panelspark.operators import boosting
 from panelspark.operators.metrics import binary_metrics, fold_summary
 from panelspark.operators.profile import quantile_table
 
@@ -100,12 +99,6 @@ def logistic(params: dict, width: int):
     return LogisticRegression(featuresCol=VECTOR, labelCol="__y", weightCol="__w", regParam=params.get("l2", 0.01), maxIter=params.get("iterations", 25), standardization=False)
 
 
-def boosted(params: dict, width: int):
-    return GBTClassifier(
-        featuresCol=VECTOR, labelCol="__y", weightCol="__w", maxIter=params.get("rounds", 20), maxDepth=params.get("depth", 4), stepSize=params.get("rate", 0.1),
-        minInstancesPerNode=params.get("min_leaf", 20), seed=params.get("seed", 42))
-
-
 def forest(params: dict, width: int):
     return RandomForestClassifier(
         featuresCol=VECTOR, labelCol="__y", weightCol="__w", numTrees=params.get("trees", 200), maxDepth=params.get("depth", 8), subsamplingRate=params.get("share", 0.25),
@@ -116,7 +109,7 @@ def perceptron(params: dict, width: int):
     return MultilayerPerceptronClassifier(featuresCol=VECTOR, labelCol="__y", layers=[width, *params.get("hidden", (64, 32)), 2], maxIter=params.get("iterations", 60), seed=params.get("seed", 42))
 
 
-FAMILIES: dict[str, Callable] = {"logistic": logistic, "boosted": boosted, "forest": forest, "perceptron": perceptron}
+FAMILIES: dict[str, Callable] = {"logistic": logistic, "forest": forest, "perceptron": perceptron}
 
 
 @dataclass(frozen=True)
@@ -134,9 +127,14 @@ class Fitted:
         return scored.select(*[F.col(f"__k_{k}").alias(k) for k in keys], vector_to_array("probability")[1].alias(name))
 
 
-def fit(family: str, params: dict, train: DataFrame, features: Sequence[str], y: str, *, indicators: Sequence[str] = (), exempt: Sequence[str] = (), balanced: bool = False, forbidden=()) -> Fitted:
-    """Preprocess on the training rows and fit one family; forbidden columns and the label are refused as features."""
+def fit(family: str, params: dict, train: DataFrame, features: Sequence[str], y: str, *, indicators: Sequence[str] = (), exempt: Sequence[str] = (), balanced: bool = False, forbidden=()) -> Fitted | boosting.Boosted:
+    """Preprocess on the training rows and fit one family; forbidden columns and the label are refused as features.
+
+    Boosting takes the columns as they are, unknown values included.
+    """
     guard(features, {y, *forbidden})
+    if family == "boosted":
+        return boosting.fit(train, features, y, boosting.Settings(**params), class_weight(train, y) if balanced else None)
     preprocessor = Preprocessor.fit(train, features, indicators, exempt)
     weight = class_weight(train, y) if balanced else F.lit(1.0)
     ready = train.withColumns({"__y": F.col(y).cast("double"), "__w": weight})
@@ -189,19 +187,12 @@ def interaction(summary: DataFrame, both: str, first: str, second: str, neither:
     return summary.agg((m["f"] - m["n"]).alias("first_effect"), (m["s"] - m["n"]).alias("second_effect"), (m["b"] - m["f"] - m["s"] + m["n"]).alias("interaction"))
 
 
-def prefix_scores(fitted: Fitted, df: DataFrame, keys: list[str], prefixes: Sequence[int]) -> DataFrame:
-    """Scores of the first n boosting rounds of one fit, for several n."""
-    model = fitted.model
-    if not isinstance(model, GBTClassificationModel):
+def prefix_scores(fitted: boosting.Boosted, df: DataFrame, keys: list[str], prefixes: Sequence[int]) -> DataFrame:
+    """Scores of the first n boosting rounds of one fit, for several n, from one walk down the trees."""
+    if not isinstance(fitted, boosting.Boosted):
         raise ContractError("prefix scores need a boosted model")
-    kept = df.withColumns({f"__k_{k}": F.col(k) for k in keys})
-    scored, margin, columns = fitted.vectors(kept), F.lit(0.0), {}
-    for i, (tree, weight) in enumerate(zip(model.trees[: max(prefixes)], model.treeWeights)):
-        scored = tree.setPredictionCol(f"__t{i}").setFeaturesCol(VECTOR).transform(scored)
-        margin = margin + F.col(f"__t{i}") * float(weight)
-        if i + 1 in prefixes:
-            columns[f"p_{i + 1}"] = F.lit(1.0) / (F.exp(margin * -2) + 1)
-    return scored.select(*[F.col(f"__k_{k}").alias(k) for k in keys], *[c.alias(n) for n, c in columns.items()])
+    margins = fitted.margins(df, keys, prefixes)
+    return margins.select(*keys, *[boosting.probability(F.col(f"m_{n}")).alias(f"p_{n}") for n in prefixes])
 
 
 def objective_history(fitted: Fitted, df: DataFrame) -> DataFrame:

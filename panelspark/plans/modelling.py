@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelspark.operators import metrics as M, model as L
+from panelspark.operators import boosting as B, metrics as M, model as L
 from panelspark.plans import adapters as A
 from panelspark.plans.registry import Tables, micro, micro_sql, query
 
@@ -117,9 +117,74 @@ def logistic_objective(t: Tables):
     return L.objective_history(fitted, r)
 
 
+#: Declared settings: 200 rounds for scores, 160 for the prefixes of 40, 80 and 160.
+BOOSTED = {"rounds": 200, "rate": 0.05, "leaves": 15, "min_leaf": 100, "l2": 1.0}
+PREFIXES = (40, 80, 160)
+STUMPS = B.Settings(rounds=3, rate=0.1, leaves=2, min_leaf=20, l2=1.0, bins=64)
+
+
 @query("J10 J17")
 def boosted_scores(t: Tables):
-    return _scores(t, "boosted", {"rounds": 10})
+    return _scores(t, "boosted", BOOSTED)
+
+
+@query("J10")
+def boosted_trees(t: Tables):
+    """The nodes of twenty trees as rows; a leaf has a value and no feature."""
+    fitted, r = _fit(t, "boosted", {"rounds": 20, "rate": 0.1}, balanced=False)
+    return fitted.table(t.spark)
+
+
+def _stump_rounds() -> str:
+    """Quantile bins with one for unknown values, then per round the sums by column and bin, the best cut, and the next margins."""
+    s, columns = STUMPS, ("size_scaled", "season", "load_", "cell_x")
+    steps = [
+        f"""tr as (select * from rw where year <= 1998), ap as (select id, year, y, {', '.join(columns)} from rw),
+      lv as (select id, unnest(range({len(columns)})) as f, unnest([{', '.join(columns)}]) as v from tr),
+      cv as (select f, v, count(*) as n from lv where v is not null group by f, v),
+      cw as (select *, sum(n) over (partition by f order by v) as upto, sum(n) over (partition by f) as total, count(*) over (partition by f) as several, row_number() over (partition by f order by v) as place from cv),
+      ce as (select *, place < several and (several <= {s.bins} or upto * {s.bins} // total > (upto - n) * {s.bins} // total) as edge from cw),
+      cb as materialized (select *, coalesce(sum(edge::int) over (partition by f order by v rows between unbounded preceding and 1 preceding), 0) as b from ce),
+      lb as materialized (select lv.id, lv.f, coalesce(cb.b, -1) as b from lv left join cb on cb.f = lv.f and cb.v = lv.v),
+      m0 as materialized (select id, ln((select avg(y) from tr) / (1 - (select avg(y) from tr))) as m from ap)"""
+    ]
+    for r in range(s.rounds):
+        steps.append(f"""g{r} as materialized (select id, 1 / (1 + exp(-m)) - y as g, 1 / (1 + exp(-m)) * (1 - 1 / (1 + exp(-m))) as h from tr join m{r} using (id)),
+      h{r} as materialized (select f, b, sum(g) as g, sum(h) as h, count(*) as n from lb join g{r} using (id) group by f, b),
+      k{r} as (select f, b, sum(g) over w as g, sum(h) over w as h, sum(n) over w as n from h{r} where b >= 0 window w as (partition by f order by b)),
+      u{r} as (select c.f, coalesce(sum(g), 0) as g, coalesce(sum(h), 0) as h, coalesce(sum(n), 0) as n from (select distinct f from cv) c left join h{r} x on x.f = c.f and x.b = -1 group by c.f),
+      t{r} as (select sum(g) as tg, sum(h) as th, count(*) as tn from g{r}),
+      c{r} as (select k.f, k.b, false as side, k.g, k.h, k.n, u.n as un from k{r} k join u{r} u using (f) union all select k.f, k.b, true, k.g + u.g, k.h + u.h, k.n + u.n, u.n from k{r} k join u{r} u using (f) where u.n > 0),
+      s{r} as (select *, g * g / (h + {s.l2}) + (tg - g) * (tg - g) / (th - h + {s.l2}) - tg * tg / (th + {s.l2}) as gain from c{r}, t{r}
+        where least(n, tn - n) >= {s.min_leaf} and least(h, th - h) >= {B.LEAST_CURVATURE}),
+      b{r} as materialized (select s.f, s.gain, case when un > 0 then side else n > tn - n end as side, (select max(v) from cb where cb.f = s.f and cb.b = s.b and cb.edge) as threshold,
+        -{s.rate} * g / (h + {s.l2}) as l, -{s.rate} * (tg - g) / (th - h + {s.l2}) as r from s{r} s order by gain desc, s.f, side, s.b limit 1),
+      m{r + 1} as materialized (select ap.id, m + case when case when x is null then side else x <= coalesce(threshold, 1e300) end then l else r end as m
+        from (select *, [{', '.join(columns)}][(select f from b{r}) + 1] as x from ap) ap join m{r} using (id), b{r})""")
+    return ",\n".join(steps)
+
+
+@query("J10", lambda d: f"""{A.with_views(d, pr=A.predictions)}, {_ROWS}, {_stump_rounds()}
+      {' union all '.join(f"select {r} as tree, ['size_scaled', 'season', 'load', 'cell_x'][f + 1] as feature, {micro_sql('threshold')} as threshold_micro, side as unknown_left, {micro_sql('l')} as left_micro, {micro_sql('r')} as right_micro from b{r}" for r in range(STUMPS.rounds))}""")
+def boosted_stumps(t: Tables):
+    """The cuts of three rounds of two leaves, with a learned side for unknown values."""
+    r = rows(t)
+    fitted = B.fit(r.where("year <= 1998"), FEATURES, "y", STUMPS)
+    nodes = fitted.table(t.spark)
+    leaf = nodes.select("tree", F.col("node").alias("leaf"), F.col("value"))
+    cut = nodes.where("feature is not null").join(leaf.withColumnsRenamed({"leaf": "left", "value": "l"}), ["tree", "left"]).join(leaf.withColumnsRenamed({"leaf": "right", "value": "r"}), ["tree", "right"])
+    threshold = F.when(F.col("threshold") < float("inf"), F.col("threshold"))
+    return cut.select("tree", "feature", micro(threshold).alias("threshold_micro"), "unknown_left", micro("l").alias("left_micro"), micro("r").alias("right_micro"))
+
+
+@query("J10 J15 J17", lambda d: f"""{A.with_views(d, pr=A.predictions)}, {_ROWS}, {_stump_rounds()}
+      select id, {', '.join(f"{micro_sql(f'1 / (1 + exp(-m{n}.m))')} as p_{n}_micro" for n in (1, 2, 3))} from m1 join m2 using (id) join m3 using (id) join rw using (id) where year > 1998""")
+def stump_scores(t: Tables):
+    """Scores of later years after one, two and three rounds of two leaves."""
+    r = rows(t)
+    fitted = B.fit(r.where("year <= 1998"), FEATURES, "y", STUMPS)
+    scored = L.prefix_scores(fitted, r.where("year > 1998"), ["id"], (1, 2, 3))
+    return scored.select("id", *[micro(f"p_{n}").alias(f"p_{n}_micro") for n in (1, 2, 3)])
 
 
 @query("J11 J17")
@@ -134,8 +199,8 @@ def perceptron_scores(t: Tables):
 
 @query("J15")
 def boosting_prefixes(t: Tables):
-    fitted, r = _fit(t, "boosted", {"rounds": 12})
-    return L.prefix_scores(fitted, r.where("year > 1998"), ["id"], (3, 6, 12))
+    fitted, r = _fit(t, "boosted", {**BOOSTED, "rounds": max(PREFIXES), "rate": 0.1}, balanced=False)
+    return L.prefix_scores(fitted, r.where("year > 1998"), ["id"], PREFIXES)
 
 
 @query("J13 J14 M19")
