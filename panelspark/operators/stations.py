@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from panelspark.functions.geo import EARTH_KM, distance_km
-from panelspark.operators.ordered import join_keys, neighbour, with_piece
+from panelspark.operators.ordered import join_keys, neighbour, running
+from panelspark.session import checkpoint
 
-TILES = 24  # tiles per axis: fixes the size of every tile-to-tile table
+#: Places in a leaf, and nodes of a level in a node of the next.
+LEAF = 16
+#: Bits of a coordinate on the curve that orders places.
+BITS = 20
 
 
 def first_valid(records: DataFrame, keys: list[str], seq: str, valid: str) -> DataFrame:
@@ -62,22 +66,30 @@ def buffered_extent_filter(rows: DataFrame, extent_of: DataFrame, lon: str = "lo
     )
 
 
-def tile_cuts(places: DataFrame) -> list[list[float]]:
-    """Equal-count cut points of both axes."""
-    shares = [i / TILES for i in range(1, TILES)]
-    lon, lat = places.select("lon", "lat").approxQuantile(["lon", "lat"], shares, 1.0 / (4 * TILES))
-    return [sorted(set(lon)), sorted(set(lat))]
+def _curve() -> Column:
+    """Place along the curve that visits each quarter of the map, and of each quarter, in turn: the interleaved bits of both coordinates."""
 
+    def spread(c: Column) -> Column:
+        for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+            c = c.bitwiseOR(F.shiftleft(c, shift)).bitwiseAND(F.lit(mask))
+        return c
 
-def _tiled(df: DataFrame, x_cuts: list[float], y_cuts: list[float], name: str) -> DataFrame:
-    placed = with_piece(df, "lon", x_cuts).withColumnRenamed("__piece", "__tx")
-    placed = with_piece(placed, "lat", y_cuts).withColumnRenamed("__piece", "__ty")
-    return placed.withColumn(name, F.col("__tx") * 10000 + F.col("__ty")).drop("__tx", "__ty")
+    step = lambda v, low, width: F.greatest(F.lit(0), F.least(F.lit((1 << BITS) - 1), F.floor((F.col(v) - low) / width * (1 << BITS)))).cast("long")
+    return spread(step("lon", -180.0, 360.0)).bitwiseOR(F.shiftleft(spread(step("lat", -90.0, 180.0)), 1))
 
 
-def _boxes(df: DataFrame, tile: str, prefix: str, *more: Column) -> DataFrame:
-    bounds = [f(c).alias(f"{prefix}{n}") for f, c, n in ((F.min, "lon", "w"), (F.max, "lon", "e"), (F.min, "lat", "s"), (F.max, "lat", "n"))]
-    return df.groupBy(tile).agg(*bounds, *more)
+def leaves(places: DataFrame, key: str, name: str, group: str) -> DataFrame:
+    """`places` with the number of its leaf: LEAF neighbours along the curve of its group, so dense regions have small leaves."""
+    ranked = running(places.withColumns({"__curve": _curve(), "__one": F.lit(1)}), [group], "__curve", {"__place": "__one"}, ties=[key])
+    return ranked.withColumn(name, F.floor((F.col("__place") - 1) / LEAF).cast("long")).drop("__curve", "__one", "__place")
+
+
+def strata(stations: DataFrame, first_day: int, k: int, station: str) -> DataFrame:
+    """`stations` with `__stratum`: 0 for those seen by `first_day`, then 1, 2, ... by order of first_seen, each twice as large as the one before."""
+    early = stations.where(F.col("first_seen") <= first_day).withColumn("__stratum", F.lit(0))
+    late = running(stations.where(F.col("first_seen") > first_day).withColumn("__one", F.lit(1)), [], "first_seen", {"__rank": "__one"}, ties=[station])
+    late = late.withColumn("__stratum", (1 + F.floor(F.log2(1 + (F.col("__rank") - 1) / k))).cast("int"))
+    return early.unionByName(late.drop("__one", "__rank"))
 
 
 def _box_distance(low: bool) -> Column:
@@ -89,53 +101,76 @@ def _box_distance(low: bool) -> Column:
     half = lambda d: F.pow(F.sin(F.radians(F.least(d, F.lit(180.0)) / 2)), F.lit(2.0))
     if low:
         d_lon, d_lat = gap("aw", "be", "bw", "ae"), gap("as", "bn", "bs", "an")
-        widest = F.greatest(F.abs(c("ae") - c("bw")), F.abs(c("be") - c("aw")))
-        lon_part = F.when(widest > 180, 0.0).otherwise(half(d_lon))  # around the date line: no lower bound
-        h = half(d_lat) + F.least(*cosines("a")) * F.least(*cosines("b")) * lon_part
+        # The other way round the globe.
+        d_lon = F.least(d_lon, F.greatest(F.lit(0.0), 360 - (F.greatest(c("ae"), c("be")) - F.least(c("aw"), c("bw")))))
+        h = half(d_lat) + F.least(*cosines("a")) * F.least(*cosines("b")) * half(d_lon)
     else:
         crosses = lambda x: F.when((c(f"{x}s") <= 0) & (c(f"{x}n") >= 0), 1.0).otherwise(F.greatest(*cosines(x)))
-        h = half(reach("ae", "bw", "be", "aw")) * crosses("a") * crosses("b") + half(reach("an", "bs", "bn", "as"))
+        # Longitudes at least half a turn apart are nearer the other way round.
+        apart = gap("aw", "be", "bw", "ae")
+        d_lon = F.when(apart >= 180, 360 - apart).otherwise(reach("ae", "bw", "be", "aw"))
+        h = half(d_lon) * crosses("a") * crosses("b") + half(reach("an", "bs", "bn", "as"))
     slack = -1e-6 if low else 1e-6
     return F.asin(F.sqrt(F.least(F.lit(1.0), h))) * (2 * EARTH_KM) + slack
 
 
-def _all_tiles(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Every tile of `a` with every tile of `b`; `b` is one array of at most TILES * TILES boxes, whatever it was made from."""
-    boxes = b.agg(F.collect_list(F.struct(*b.columns))).scalar()
-    return a.withColumn("__b", F.explode(boxes)).select(*a.columns, "__b.*")
-
+def _useful(pairs: DataFrame, k: int, cell: str) -> DataFrame:
+    """Of the (cell, station node) pairs those that may hold a station serving the cell.
 
-def _tile_pairs(cells: DataFrame, stations: DataFrame, k: int) -> DataFrame:
-    """Tile pairs that can hold one of a cell's k nearest stations.
-
-    Both sides have at most TILES * TILES tiles whatever the tables hold, so this
-    pairing is the only all-to-all step and its size is a constant. The radius of
-    a cell tile is the smallest upper-bound distance within which k stations lie
-    for sure.
+    A node is of no use beyond the radius within which k stations of an earlier stratum lie for sure; for
+    stratum 0, whose stations count from the first day, k of its own.
+    """
+    far = pairs.withColumns({"__lo": _box_distance(True), "__hi": _box_distance(False)})
+    own = W.partitionBy(cell, "__stratum")
+    far = far.withColumn("__upto", F.sum("__n").over(own.orderBy("__hi", "__bt").rowsBetween(W.unboundedPreceding, 0)))
+    far = far.withColumn("__sure", F.min(F.when(F.col("__upto") >= k, F.col("__hi"))).over(own))
+    before = F.min("__sure").over(W.partitionBy(cell).orderBy("__stratum").rangeBetween(W.unboundedPreceding, -1))
+    radius = F.coalesce(F.when(F.col("__stratum") == 0, F.col("__sure")).otherwise(before), F.lit(float("inf")))
+    kept = far.withColumn("__radius", radius).where("__lo <= __radius")
+    return kept.select(cell, "aw", "ae", "as", "an", "__stratum", "__bt")
+
+
+def leaf_pairs(cells: DataFrame, stations: DataFrame, k: int, cell: str) -> DataFrame:
+    """(cell, __stratum, __bt) of cells and the station leaves that may serve them; `stations` has `__stratum` and `__bt`.
+
+    The leaves of a stratum are the lowest level of a tree of boxes. Each cell goes down the trees from at most LEAF
+    nodes at the top of each, through the nodes that stay of use: its pairs depend on k and the
+    number of strata, not on how many stations there are.
     """
-    a = _boxes(cells, "__at", "a")
-    b = _boxes(stations, "__bt", "b", F.count(F.lit(1)).alias("__n"))
-    pairs = _all_tiles(a, b).withColumns({"__lo": _box_distance(True), "__hi": _box_distance(False)})
-    order = W.partitionBy("__at").orderBy("__hi")
-    pairs = pairs.withColumn("__upto", F.sum("__n").over(order))
-    radius = F.coalesce(F.min(F.when(F.col("__upto") >= k, F.col("__hi"))).over(W.partitionBy("__at")), F.lit(float("inf")))
-    return pairs.withColumn("__radius", radius).where("__lo <= __radius").select("__at", "__bt")
+    bounds = [f(c).alias(f"b{n}") for f, c, n in ((F.min, "lon", "w"), (F.max, "lon", "e"), (F.min, "lat", "s"), (F.max, "lat", "n"))]
+    levels = [checkpoint(stations.groupBy("__stratum", "__bt").agg(*bounds, F.count(F.lit(1)).alias("__n")))]
+    top = levels[0].agg(F.max("__bt")).first()[0] or 0
+    above = F.floor(F.col("__bt") / LEAF).cast("long")
+    while top >= LEAF:
+        up = levels[-1].withColumn("__bt", above)
+        levels.append(up.groupBy("__stratum", "__bt").agg(*[f(c).alias(c) for f, c in ((F.min, "bw"), (F.max, "be"), (F.min, "bs"), (F.max, "bn"), (F.sum, "__n"))]))
+        top //= LEAF
+    boxes = levels[-1].agg(F.collect_list(F.struct(*levels[-1].columns))).scalar()  # LEAF for each doubling of the stations
+    points = cells.select(cell, F.col("lon").alias("aw"), F.col("lon").alias("ae"), F.col("lat").alias("as"), F.col("lat").alias("an"))
+    pairs = _useful(points.withColumn("__b", F.explode(boxes)).select(*points.columns, "__b.*"), k, cell)
+    for level in reversed(levels[:-1]):
+        below = level.withColumn("__up", above)
+        pairs = _useful(pairs.withColumnRenamed("__bt", "__up").join(below, ["__stratum", "__up"]).drop("__up"), k, cell)
+    return pairs.select(cell, "__stratum", "__bt")
+
+
+def _candidates(cells: DataFrame, stations: DataFrame, k: int, cell: str, station: str) -> DataFrame:
+    """Cells with the stations that may serve them and their distance; `stations` has `__stratum`."""
+    placed = F.col("lon").isNotNull() & F.col("lat").isNotNull()
+    left = cells.select(cell, "lon", "lat").where(placed)
+    right = checkpoint(leaves(stations.where(placed), station, "__bt", "__stratum"))
+    far = right.withColumnsRenamed({"lon": "__lon", "lat": "__lat"})
+    met = left.join(leaf_pairs(left, right, k, cell), cell).join(far, ["__stratum", "__bt"])
+    return met.withColumn("distance_km", distance_km(F.col("lon"), F.col("lat"), F.col("__lon"), F.col("__lat"))).drop("__stratum", "__bt", "__lon", "__lat")
 
 
 def nearest(cells: DataFrame, stations: DataFrame, k: int, cell: str, station: str, tie: str) -> DataFrame:
     """The k stations nearest to each cell: (cell, station, distance_km, rank); ties by `tie`, then station.
 
-    Cells meet stations through an equi-join on tiles near enough to matter, and
-    the rank filter is applied inside each task before the shuffle.
+    Cells meet the stations of a few leaves, and the rank filter is applied inside each task before the shuffle.
     """
     here = stations.select(station, tie, "lon", "lat") if tie != station else stations.select(station, "lon", "lat")
-    cuts = tile_cuts(here)
-    left = _tiled(cells.select(cell, "lon", "lat"), *cuts, "__at")
-    right = _tiled(here, *cuts, "__bt")
-    pairs = _tile_pairs(left, right, k)
-    far = right.withColumnsRenamed({"lon": "__lon", "lat": "__lat"})
-    candidates = left.join(pairs, "__at").join(far, "__bt")
-    candidates = candidates.withColumn("distance_km", distance_km(F.col("lon"), F.col("lat"), F.col("__lon"), F.col("__lat")))
+    candidates = _candidates(cells, here.withColumn("__stratum", F.lit(0)), k, cell, station)
     order = W.partitionBy(cell).orderBy("distance_km", tie, station)
     return candidates.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(cell, station, "distance_km", "rank")
 
@@ -150,28 +185,15 @@ def as_of_nearest(cells: DataFrame, stations: DataFrame, k: int, cell: str, stat
     station that appears later can never change an earlier day. `first_day` is the
     earliest day that will be asked for.
 
-    Stations farther than the k-th nearest of those already seen on `first_day`
-    can never serve; of the stations first seen on one day only the nearest k can.
-    What is folded per cell is therefore at most k entries per calendar day.
+    Stations farther than k that were surely seen before can never serve: they are searched in strata of
+    first_seen, each bounded by the ones before it. Of the stations first seen on one day only the
+    nearest k can. What is folded per cell is therefore at most k entries per calendar day.
     """
-    early = stations.where(F.col("first_seen") <= first_day)
-    reach = nearest(cells, early, k, cell, station, "first_seen").groupBy(cell).agg(
-        F.max("distance_km").alias("__far"), F.count(F.lit(1)).alias("__have")
-    )
-    limit = F.when(F.col("__have") >= k, F.col("__far")).otherwise(float("inf"))
-    cuts = tile_cuts(stations)
-    left = _tiled(cells.select(cell, "lon", "lat").join(reach, cell, "left").withColumn("__limit", F.coalesce(limit, F.lit(float("inf")))), *cuts, "__at")
-    right = _tiled(stations.select(station, "first_seen", "lon", "lat"), *cuts, "__bt")
-    a = _boxes(left, "__at", "a", F.max("__limit").alias("__reach"))
-    b = _boxes(right, "__bt", "b")
-    pairs = _all_tiles(a, b).where(_box_distance(True) <= F.col("__reach")).select("__at", "__bt")
-    far = right.withColumnsRenamed({"lon": "__lon", "lat": "__lat"})
-    candidates = left.join(pairs, "__at").join(far, "__bt")
-    candidates = candidates.withColumn("distance_km", distance_km(F.col("lon"), F.col("lat"), F.col("__lon"), F.col("__lat")))
-    candidates = candidates.where(F.col("distance_km") <= F.col("__limit"))
     seen = F.greatest(F.col("first_seen"), F.lit(first_day))
+    kept = strata(stations.select(station, "first_seen", "lon", "lat"), first_day, k, station)
+    candidates = _candidates(cells, kept, k, cell, station).withColumn("__seen", seen)
     same_day = W.partitionBy(cell, "__seen").orderBy("distance_km", "first_seen", station)
-    kept = candidates.withColumn("__seen", seen).withColumn("__r", F.row_number().over(same_day)).where(F.col("__r") <= k)
+    kept = candidates.withColumn("__r", F.row_number().over(same_day)).where(F.col("__r") <= k)
     entry = F.struct("distance_km", "first_seen", F.col(station))
     per_cell = kept.groupBy(cell).agg(F.array_sort(F.collect_list(entry)).alias("__all"))
 
