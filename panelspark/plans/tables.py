@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F, types as T
 
 from panelspark import contracts as C
@@ -11,8 +12,8 @@ from panelspark.plans import adapters as A
 from panelspark.plans.panel import _history_sql, _neighbour_sql, _panel, _panel_sql
 from panelspark.plans.stations import _DAILY, daily_weather
 from panelspark.plans.registry import Tables, micro, micro_sql, query
-from panelspark.session import shared_folder
-from panelspark.sources import scan, sinks
+from panelspark.session import checkpoint, shared_folder
+from panelspark.sources import scan, sinks, stored
 
 
 
@@ -415,12 +416,67 @@ def build_audit(t: Tables):
 
 @query("L15 B14", lambda d: f"{A.with_views(d, ev=A.ignitions)} select cell, day, size, large from ev")
 def gated_features(t: Tables):
-    """Features released only after the audit row allows it and the allowlist holds no outcome."""
-    ev = t.sql(A.ignitions)
-    audit = Q.verdict(Q.violations(ev, [("size", F.col("size") <= 0)])).select("status", F.lit("v1").alias("version"), F.lit("abc").alias("checksum"))
-    C.gate(audit, "v1", "abc")
+    """Features released only where the stored table's audit, version, columns and files allow it and the allowlist holds no outcome."""
+    ev, path = t.sql(A.ignitions), shared_folder(t.spark, "gated")
+    stored.store(ev, path, "v1", {"size is not positive": F.coalesce(F.col("size") <= 0, F.lit(True))})
     C.guard(["size", "large"], {"cause", "status"})
-    return ev.select("cell", "day", "size", "large")
+    return stored.load(t.spark, path, "v1", ev.columns).select("cell", "day", "size", "large")
+
+
+FAULTS = ("none", "failed audit", "wrong version", "wrong columns", "changed file", "added file", "missing table", "second table", "forbidden feature", "broken boundary")
+
+
+@query("L15 B14 A11 K3", lambda d: f"{A.with_views(d, pr=A.predictions)} select f as fault, f <> 'none' and (select count(*) from pr where y = 1) > 0 as refused from unnest([{', '.join(repr(f) for f in FAULTS)}]) as u(f)")
+def gate_refusals(t: Tables):
+    """Faults planted in stored tables, and whether the gate refuses each; a table without one is released."""
+    rows = t.sql(A.predictions).select("id", "year", "y", "p")
+    folder = lambda: shared_folder(t.spark, "fault")
+    good, bad, changed, added = folder(), folder(), folder(), folder()
+    for path in (good, changed, added):
+        stored.store(rows, path, "v1", {"score out of range": ~F.col("p").between(0, 1)}, by=["year"])
+    stored.store(rows, bad, "v1", {"label is set": F.col("y") == 1})
+    part = f"{stored.gate(t.spark, changed, 'v1')}/" + stored.fingerprints(t.spark, stored.gate(t.spark, changed, "v1")).agg(F.min("file")).first()[0]
+    stored.spoil(t.spark, part)
+    rows.limit(1).write.mode("append").partitionBy("year").parquet(stored.gate(t.spark, added, "v1"))
+    attempts = {
+        "none": lambda: stored.gate(t.spark, good, "v1", rows.columns), "failed audit": lambda: stored.gate(t.spark, bad, "v1"),
+        "wrong version": lambda: stored.gate(t.spark, good, "v2"), "wrong columns": lambda: stored.gate(t.spark, good, "v1", rows.columns[::-1]),
+        "changed file": lambda: stored.gate(t.spark, changed, "v1"), "added file": lambda: stored.gate(t.spark, added, "v1"),
+        "missing table": lambda: stored.gate(t.spark, folder(), "v1"), "second table": lambda: stored.store(rows, good, "v1"),
+        "forbidden feature": lambda: C.guard(["p", "y"], {"y"}),
+        "broken boundary": lambda: Q.audit(rows, "v1", {"rows": F.count(F.lit(1))}, F.col("y") == 1, {}).collect(),
+    }
+
+    def refused(attempt) -> bool:
+        try:
+            attempt()
+        except (C.ContractError, PySparkException) as error:
+            if isinstance(error, PySparkException) and "boundary broken" not in str(error):
+                raise
+            return True
+        return False
+
+    return t.spark.createDataFrame([(f, refused(attempts[f])) for f in FAULTS], "fault string, refused boolean")
+
+
+@query("A11", lambda d: f"{A.with_views(d, pr=A.predictions)} select distinct year, year <> 1996 as same from pr")
+def manifest_differences(t: Tables):
+    """Files of a table by year against its stored manifest, after one year was written again with other scores."""
+    rows, path = t.sql(A.predictions).select("id", "year", "p"), shared_folder(t.spark, "manifest")
+    stored.store(rows.repartition("year"), path, "v1", by=["year"])
+    data = stored.gate(t.spark, path, "v1")
+    rows.where("year = 1996").select("id", F.col("p") + 1).write.mode("overwrite").parquet(f"{data}/year=1996")
+    found = stored.differences(stored.fingerprints(t.spark, data), t.spark.read.parquet(f"{stored.current(t.spark, path)[0]}/manifest"))
+    year = F.regexp_extract("file", r"year=(\d+)/", 1).cast("bigint")
+    return found.groupBy(year.alias("year")).agg(F.every("same").alias("same"))
+
+
+@query("B13", lambda d: f"{A.with_views(d, ev=A.ignitions)} select event_id, size, cell, large, cause, status from ev")
+def contract_parts(t: Tables):
+    """Predictors, labels and metadata of a contract as tables of their own, met again by key."""
+    contract = C.Contract("v1", "large", ("size", "cell"), ("cause",), ("status",))
+    predictors, labels, metadata = contract.split(t.sql(A.ignitions), ["event_id"])
+    return predictors.join(labels, "event_id").join(metadata, "event_id")
 
 
 # --- profile --------------------------------------------------------------
@@ -624,6 +680,15 @@ def year_partitioned_panel(t: Tables):
     return scan.year_slice(t.spark.read.parquet(path), 1997, 1998).select("id", F.col("year").cast("long").alias("year"), "y")
 
 
+@query("K1 K3 L15", lambda d: f"{A.with_views(d, pr=A.predictions)} select id, year, y from pr")
+def replaced_panel(t: Tables):
+    """A stored table replaced as a whole by its next version, loaded through the gate."""
+    rows, path = t.sql(A.predictions).select("id", "year", "y"), shared_folder(t.spark, "replaced")
+    stored.store(rows.where("year < 1997"), path, "v1", by=["year"])
+    stored.store(rows, path, "v2", {"label is not binary": ~F.col("y").isin(0, 1)}, by=["year"], replace=True)
+    return stored.load(t.spark, path, "v2", ["id", "year", "y"]).select("id", F.col("year").cast("long").alias("year"), "y")
+
+
 @query("K2", lambda d: f"{A.with_views(d, det=A.detections)} select entity, t, id from det")
 def ordered_table(t: Tables):
     path = sinks.write_ordered(t.sql(A.detections).select("entity", "t", "id"), shared_folder(t.spark, "ordered"), ["entity", "t", "id"])
@@ -645,9 +710,9 @@ def day_export(t: Tables):
     return e.select("cell", "id", "p", "y", "missing", micro("lon").alias("lon_micro"), micro("lat").alias("lat_micro"))
 
 
-@query("A11", lambda d: "select 'orders.parquet' as file, true as same where (select count(*) from orders) > 0")
+@query("A11", lambda d: f"select 'orders.parquet' as file, true as same where (select count(*) from orders) > 0")
 def source_fingerprint(t: Tables):
-    """Checksums of a source file against a manifest; the job fails on a difference."""
+    """Checksums of a source file against a manifest written beforehand; the job fails on a difference."""
+    manifest = checkpoint(scan.fingerprint(t.spark, f"{t.folder}/orders.parquet").select("file", "sha256"))
     found = scan.fingerprint(t.spark, f"{t.folder}/orders.parquet")
-    manifest = found.select("file", "sha256")
     return scan.fingerprint_gate(found, manifest).select("file", (F.col("bytes") > 0).alias("same"))

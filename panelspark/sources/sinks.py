@@ -9,13 +9,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from panelspark.operators.ordered import join_keys
 
 
-def write_panel(df: DataFrame, path: str, by: str = "year", force: bool = False) -> str:
-    """Parquet by `by`, refusing to overwrite unless forced; the commit protocol makes it all or nothing.
+def write_panel(df: DataFrame, path: str, by: str = "year") -> str:
+    """Parquet by `by`, refusing to overwrite; `stored.store` replaces a table as a whole.
 
     Rows are dealt by the partition column and rebalanced by size, so a large year is
     written by as many tasks as its size asks for.
     """
-    df.hint("rebalance", by).write.mode("overwrite" if force else "errorifexists").partitionBy(by).parquet(path)
+    df.hint("rebalance", by).write.mode("errorifexists").partitionBy(by).parquet(path)
     return path
 
 

@@ -61,7 +61,6 @@ def test_panel_write_refuses_overwrite_and_prunes_years(spark, tmp_path):
     sinks.write_panel(df, path)
     with pytest.raises(Exception, match="exist"):
         sinks.write_panel(df, path)
-    sinks.write_panel(df, path, force=True)
     back = scan.year_slice(spark.read.parquet(path), 2011, 2011)
     assert [r.v for r in back.collect()] == [20110]
     assert "PartitionFilters: [isnotnull(year" in back._jdf.queryExecution().toString()
