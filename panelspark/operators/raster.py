@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from panelspark.operators.connect import labels
 from panelspark.operators.ordered import join_keys, quantiles
 from panelspark.operators.spatial import dilate, erode
 from panelspark.session import checkpoint
@@ -94,43 +95,37 @@ def closed(cells: DataFrame, keys: list[str], passes: int = 2) -> DataFrame:
     return grown
 
 
+#: Columns of a tile in which runs of adjacent rows meet.
+STRIP = 64
+
+
 def fill_holes(cells: DataFrame, keys: list[str]) -> DataFrame:
     """Cells plus every empty cell that cannot reach the outside through edge-adjacent empty cells.
 
-    Each row of a set becomes its runs of empty cells. A run is open when part of
-    it faces, in an adjacent row, the outside or an open run; opening spreads until
-    nothing changes. Runs, not cells, are joined, on the adjacent row, and each
-    round of two rows is written to the checkpoint folder.
+    Each row of a set becomes its runs of empty cells between set cells. Runs that touch in adjacent rows are connected, and
+    those that face the outside are connected with it (node 0); runs of other components are holes. Runs,
+    not cells, are joined, by strips of STRIP columns, and labelled in rounds that grow with the
+    logarithm of the longest way out. Runs that touch nothing are settled without a round.
     """
     order = W.partitionBy(*keys, "y").orderBy("x")
     stepped = cells.select(*keys, "x", "y").distinct().withColumn("__before", F.lag("x").over(order))
-    runs = checkpoint(stepped.where(F.col("x") - F.col("__before") > 1).select(*keys, "y", (F.col("__before") + 1).alias("lo"), (F.col("x") - 1).alias("hi")))
+    runs = stepped.where(F.col("x") - F.col("__before") > 1).select(*keys, "y", (F.col("__before") + 1).alias("lo"), (F.col("x") - 1).alias("hi"))
+    runs = checkpoint(runs.withColumn("node", F.monotonically_increasing_id() + 1))
     rows = cells.groupBy(*keys, "y").agg(F.min("x").alias("__w"), F.max("x").alias("__e"))
     faced = runs.withColumn("__y", F.explode(F.array(F.col("y") - 1, F.col("y") + 1)))
     beside = faced.join(rows.withColumnRenamed("y", "__y"), [*keys, "__y"], "left")
     out = F.col("__w").isNull() | (F.col("lo") < F.col("__w")) | (F.col("hi") > F.col("__e"))
-    state = checkpoint(beside.groupBy(*keys, "y", "lo", "hi").agg(F.max(out.cast("int")).alias("open")))
-    still_closed = None
-    while True:
-        state = checkpoint(_open_further(_open_further(state, keys), keys))
-        closed_now = state.where("open = 0").count()
-        if closed_now in (0, still_closed):
-            break
-        still_closed = closed_now
-    holes = state.where("open = 0").withColumn("x", F.explode(F.sequence("lo", "hi"))).select(*keys, "x", "y")
+    open_ = beside.where(out).select(F.lit(0).cast("long").alias("a"), F.col("node").alias("b")).distinct()
+    strips = runs.withColumn("__s", F.explode(F.sequence(F.floor(F.col("lo") / STRIP), F.floor(F.col("hi") / STRIP))))
+    above = strips.select(*keys, "__s", (F.col("y") - 1).alias("y"), F.col("node").alias("b"), F.col("lo").alias("__lo"), F.col("hi").alias("__hi"))
+    touching = strips.join(above, [*keys, "y", "__s"]).where((F.col("__lo") <= F.col("hi")) & (F.col("lo") <= F.col("__hi"))).select(F.col("node").alias("a"), "b")
+    edges = checkpoint(touching.unionByName(open_).distinct())
+    joined = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    reached = labels(joined, edges).where("label = 0").select("node")
+    holes = runs.join(reached, "node", "left_anti").withColumn("x", F.explode(F.sequence("lo", "hi"))).select(*keys, "x", "y")
     return cells.select(*keys, "x", "y").union(holes).distinct()
 
 
-def _open_further(state: DataFrame, keys: list[str]) -> DataFrame:
-    """Open every closed run that faces an open run in an adjacent row."""
-    opened = state.where("open = 1").select(
-        *keys, F.explode(F.array(F.col("y") - 1, F.col("y") + 1)).alias("y"), F.col("lo").alias("__lo"), F.col("hi").alias("__hi")
-    )
-    met = state.where("open = 0").join(opened, [*keys, "y"], "left")
-    faces = F.coalesce((F.col("__lo") <= F.col("hi")) & (F.col("lo") <= F.col("__hi")), F.lit(False))
-    return state.where("open = 1").unionByName(met.groupBy(*keys, "y", "lo", "hi").agg(F.max(faces.cast("int")).alias("open")))
-
-
 def burned_area(detected: DataFrame, keys: list[str], passes: int = 2) -> DataFrame:
     """Detected cells with gaps closed and holes filled."""
     shape = checkpoint(closed(detected, keys, passes))

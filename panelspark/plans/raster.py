@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelspark.functions import geo
-from panelspark.operators import nearest as N, raster as R, sessions as S, spatial as G, steps as T
+from panelspark.operators import nearest as N, raster as R, spatial as G, steps as T
 from panelspark.plans import adapters as A
 from panelspark.plans.registry import Tables, micro, micro_sql, query
-from panelspark.plans.sessions import sessions
 from panelspark.session import checkpoint
 
 # Fuel map code, group, conifer percent (NULL: does not burn).
@@ -19,6 +18,7 @@ CODES = (
 )
 GROUPS = ["conifer", "mixedwood", "deciduous", "open", "non_fuel", "water"]
 KEYS = ["entity", "observation"]
+KEYS_SQL = ", ".join(KEYS)
 #: Candidates are unburned cells within 6 km of the burned area, in cells of 375 m.
 RADIUS = 16
 
@@ -185,31 +185,57 @@ def angles_and_local_time(t: Tables):
     return det.select("id", angle.alias("angle"), local_seconds(F.col("t"), F.col("x") % 20 - 100.0).alias("local_t"))
 
 
-def _observations(t: Tables):
-    """Detections sessionised by 12-hour gaps; sessions are the observations of an entity."""
-    return sessions(t, 12 * 3600).withColumnRenamed("session", "observation")
+#: Fewest newly seen cells of a usable replay step.
+LEAST_NEW = 5
+
+
+def _flood(cells: str, keys: str) -> str:
+    """Oracle steps from the table `cells`: gaps closed (er), and all that the outside does not reach (in `filled`)."""
+    same = lambda a, b: " and ".join(f"{a}.{k} = {b}.{k}" for k in keys.split(", "))
+    of = lambda a: ", ".join(f"{a}.{k}" for k in keys.split(", "))
+    return f"""o as (select i, j from unnest(generate_series(-2, 2)) as a(i), unnest(generate_series(-2, 2)) as b(j)),
+      dl as (select distinct {keys}, x + i as x, y + j as y from {cells}, o),
+      er as materialized (select {keys}, x + i as x, y + j as y from dl, o group by {keys}, x + i, y + j having count(*) = 25),
+      bx as (select {keys}, min(x) - 1 as a, max(x) + 1 as b, min(y) - 1 as c, max(y) + 1 as e from er group by {keys}),
+      fr as materialized (select {keys}, u.x, v.y from bx, unnest(generate_series(a, b)) as u(x), unnest(generate_series(c, e)) as v(y)
+        where not exists (select 1 from er where {same('er', 'bx')} and er.x = u.x and er.y = v.y)),
+      outside_ as (select {keys}, a as x, c as y from bx union select {of('f')}, f.x, f.y from outside_ s, (values (0, 1), (0, -1), (1, 0), (-1, 0)) m(i, j), fr f
+        where {same('f', 's')} and f.x = s.x + m.i and f.y = s.y + m.j),
+      filled as materialized (select * from er union select {keys}, x, y from {cells} union (select * from fr except select * from outside_))"""
 
 
 @query(
-    "G17",
-    lambda d: f"""{A.with_views(d, det=A.detections)},
-      st as (select *, case when t - lag(t) over w <= 43200 then 0 else 1 end as fresh from det window w as (partition by entity order by t, id)),
-      se as (select *, sum(fresh) over (partition by entity order by t, id) as o, cast(floor(x / 375e0) as bigint) as cx, cast(floor(y / 375e0) as bigint) as cy from st),
-      ob as (select entity, o, min(t) as t from se group by entity, o),
-      ar as (select entity, cx, cy, min(o) as f from se group by entity, cx, cy), ne as (select entity, f, count(*) as n from ar group by entity, f)
-      select a.entity, cast(a.o as bigint) as observation, cast(b.o as bigint) as next_observation, {micro_sql('(b.t - a.t) / 3600e0')} as hours_micro, coalesce(n, 0) as observed_new,
-        (b.t - a.t) / 3600e0 between 6 and 30 and coalesce(n, 0) >= 2 as usable
-      from ob a join ob b on b.entity = a.entity and b.o = a.o + 1 left join ne on ne.entity = a.entity and ne.f = b.o""",
+    "G17 G16",
+    lambda d: f"""{A.with_views(d, det=A.detections).replace('with det', 'with recursive det')},
+      se as (select entity % 20 as entity, cast(floor(t / 86400e0) as bigint) as o, t, cast(floor(x / 375e0) as bigint) as x, cast(floor(y / 375e0) as bigint) as y from det),
+      ob as (select entity, o, min(t) as t from se group by entity, o), ar as (select entity, x, y, min(o) as f from se group by entity, x, y),
+      st as materialized (select a.entity, a.o as observation, b.o as next_observation, (b.t - a.t) / 3600e0 as hours from ob a join ob b on b.entity = a.entity and b.o = a.o + 1),
+      wk as materialized (select s.entity, s.observation, r.x, r.y from st s join ar r on r.entity = s.entity and r.f <= s.observation),
+      {_flood('wk', KEYS_SQL)},
+      fs as (select s.entity, s.observation, r.x, r.y from st s join ar r on r.entity = s.entity and r.f = s.next_observation
+        where not exists (select 1 from filled f where f.entity = s.entity and f.observation = s.observation and f.x = r.x and f.y = r.y)),
+      eg as materialized (select f.* from filled f join (select entity, observation, x + i as x, y + j as y, count(*) as n from filled, o where abs(i) <= 1 and abs(j) <= 1 group by all) c using (entity, observation, x, y) where c.n < 9),
+      re as (select distinct s.entity, s.observation, e.x + i as x, e.y + j as y from st s join se e on e.entity = s.entity and e.o = s.observation, o where abs(i) <= 1 and abs(j) <= 1),
+      nr as (select eg.* from eg join re using (entity, observation, x, y)),
+      ac as (select entity, observation, count(*) as n from (select * from nr union all select * from eg where not exists (select 1 from nr where nr.entity = eg.entity and nr.observation = eg.observation)) group by all),
+      nf as (select entity, observation, count(*) as n from fs group by all), ns as (select entity, observation, count(*) as n from filled group by all)
+      select s.entity, s.observation, s.next_observation, {micro_sql('hours')} as hours_micro, ns.n as start_cells, ac.n as active_cells, coalesce(nf.n, 0) as observed_new,
+        hours between 6 and 30 and coalesce(nf.n, 0) >= {LEAST_NEW} as usable
+      from st s left join nf using (entity, observation) left join ns using (entity, observation) left join ac using (entity, observation)""",
 )
 def replay_steps(t: Tables):
-    """Consecutive observations with hours, newly seen cells and the usable flag (no shape repair)."""
-    obs = checkpoint(_observations(t))
-    steps = T.consecutive_steps(obs.groupBy("entity", "observation").agg(F.min("t").alias("t")), "entity", "observation", "t")
-    arrivals = S.arrival_cells(obs, "entity", "observation")
-    new = steps.select("entity", "observation", "next_observation").join(
-        arrivals.withColumnRenamed("first_session", "next_observation"), ["entity", "next_observation"])
-    steps = T.usable_steps(steps, new, "entity", "observation", least=2)
-    return steps.select("entity", "observation", "next_observation", micro("hours").alias("hours_micro"), "observed_new", "usable")
+    """Steps from day to day: the repaired burned area at the start, its active edge, the cells newly seen at the end, and the usable flag."""
+    day = F.floor(F.col("t") / 86400).cast("long").alias("observation")
+    obs = checkpoint(t.sql(A.detections).select((F.col("entity") % 20).alias("entity"), day, "t", geo.cell_index(F.col("x"), 375).alias("x"), geo.cell_index(F.col("y"), 375).alias("y")))
+    steps = checkpoint(T.consecutive_steps(obs.groupBy("entity", "observation").agg(F.min("t").alias("t")), "entity", "observation", "t"))
+    arrivals = obs.groupBy("entity", "x", "y").agg(F.min("observation").alias("first_session"))
+    start, fresh = T.step_cells(steps, arrivals, "entity", "observation")
+    recent = obs.select("entity", "observation", "x", "y").distinct().join(steps.select("entity", "observation"), KEYS, "left_semi")
+    sizes = [c.groupBy(*KEYS).agg(F.count(F.lit(1)).alias(n)) for c, n in ((start, "start_cells"), (T.active_edge(start, recent, KEYS), "active_cells"))]
+    steps = T.usable_steps(steps, fresh, "entity", "observation", least=LEAST_NEW)
+    for size in sizes:
+        steps = steps.join(size, KEYS, "left")
+    return steps.select(*KEYS, "next_observation", micro("hours").alias("hours_micro"), "start_cells", "active_cells", "observed_new", "usable")
 
 
 def _weekly(t: Tables):
@@ -252,15 +278,8 @@ def edges_and_block_counts(t: Tables):
 @query(
     "G16",
     lambda d: f"""{A.with_views(d, det=A.detections).replace('with det', 'with recursive det')}, {_WEEK},
-      o as (select i, j from unnest(generate_series(-2, 2)) as a(i), unnest(generate_series(-2, 2)) as b(j)),
-      dl as (select distinct entity, observation, x + i as x, y + j as y from wk, o),
-      er as (select entity, observation, x + i as x, y + j as y from dl, o group by entity, observation, x + i, y + j having count(*) = 25),
-      bx as (select entity, observation, min(x) - 1 as a, max(x) + 1 as b, min(y) - 1 as c, max(y) + 1 as e from er group by entity, observation),
-      fr as (select entity, observation, u.x, v.y from bx, unnest(generate_series(a, b)) as u(x), unnest(generate_series(c, e)) as v(y)
-        where not exists (select 1 from er where er.entity = bx.entity and er.observation = bx.observation and er.x = u.x and er.y = v.y)),
-      outside_ as (select entity, observation, a as x, c as y from bx union select f.entity, f.observation, f.x, f.y from outside_ s join fr f
-        on f.entity = s.entity and f.observation = s.observation and abs(f.x - s.x) + abs(f.y - s.y) = 1)
-      select * from er union select * from wk union (select * from fr except select * from outside_)""",
+      {_flood('wk', KEYS_SQL)}
+      select * from filled""",
 )
 def burned_area(t: Tables):
     """Gaps closed and holes filled per entity group and week (recursive flood fill as the oracle)."""
