@@ -16,6 +16,7 @@ from panelspark.contracts import ContractError, guard
 from panelspark.operators import boosting
 from panelspark.operators.metrics import binary_metrics, fold_summary
 from panelspark.operators.profile import quantile_table
+from panelspark.session import checkpoint
 
 VECTOR = "__features"
 
@@ -127,20 +128,35 @@ class Fitted:
         return scored.select(*[F.col(f"__k_{k}").alias(k) for k in keys], vector_to_array("probability")[1].alias(name))
 
 
-def fit(family: str, params: dict, train: DataFrame, features: Sequence[str], y: str, *, indicators: Sequence[str] = (), exempt: Sequence[str] = (), balanced: bool = False, forbidden=()) -> Fitted | boosting.Boosted:
-    """Preprocess on the training rows and fit one family; forbidden columns and the label are refused as features.
+@dataclass(frozen=True)
+class Prepared:
+    """Training rows as they are fitted: the statistics, and the vectors, labels and weights as a written table."""
 
-    Boosting takes the columns as they are, unknown values included.
-    """
+    preprocessor: Preprocessor
+    vectors: DataFrame
+
+
+def prepare(train: DataFrame, features: Sequence[str], y: str, *, indicators: Sequence[str] = (), exempt: Sequence[str] = (), balanced: bool = False, forbidden=()) -> Prepared:
+    """Preprocess on the training rows; forbidden columns and the label are refused as features. Trainers read the written rows, however often they pass over them."""
     guard(features, {y, *forbidden})
-    if family == "boosted":
-        return boosting.fit(train, features, y, boosting.Settings(**params), class_weight(train, y) if balanced else None)
     preprocessor = Preprocessor.fit(train, features, indicators, exempt)
     weight = class_weight(train, y) if balanced else F.lit(1.0)
     ready = train.withColumns({"__y": F.col(y).cast("double"), "__w": weight})
     vectors = VectorAssembler(inputCols=preprocessor.outputs, outputCol=VECTOR).transform(preprocessor.transform(ready)).select(VECTOR, "__y", "__w")
-    estimator = FAMILIES[family](params, len(preprocessor.outputs))
-    return Fitted(preprocessor, estimator.fit(vectors))
+    return Prepared(preprocessor, checkpoint(vectors))
+
+
+def estimate(family: str, params: dict, prepared: Prepared) -> Fitted:
+    """Fit one family with one setting on prepared rows."""
+    return Fitted(prepared.preprocessor, FAMILIES[family](params, len(prepared.preprocessor.outputs)).fit(prepared.vectors))
+
+
+def fit(family: str, params: dict, train: DataFrame, features: Sequence[str], y: str, *, balanced: bool = False, forbidden=(), **options) -> Fitted | boosting.Boosted:
+    """Prepare and fit one family. Boosting takes the columns as they are, unknown values included."""
+    if family == "boosted":
+        guard(features, {y, *forbidden})
+        return boosting.fit(train, features, y, boosting.Settings(**params), class_weight(train, y) if balanced else None)
+    return estimate(family, params, prepare(train, features, y, balanced=balanced, forbidden=forbidden, **options))
 
 
 # --- search ---------------------------------------------------------------
@@ -158,24 +174,35 @@ def random_candidates(grid: dict[str, Sequence], n: int, seed: int) -> list[dict
     return found
 
 
-def out_of_fold(df: DataFrame, folds, family: str, params: dict, features, y: str, keys: list[str], **options) -> DataFrame:
-    """Validation scores of every fold: (fold, keys, y, p); each fold is fitted on its own training rows only."""
-    parts = None
+def out_of_fold(df: DataFrame, folds, family: str, params: dict, features, y: str, keys: list[str], prepared: dict | None = None, **options) -> DataFrame:
+    """Validation scores of every fold: (fold, keys, y, p); each fold is fitted on its own training rows only.
+
+    `prepared` keeps each fold's training rows for further settings of the same features.
+    """
+    parts, prepared = None, {} if prepared is None else prepared
     for name, train, valid in folds:
-        fitted = fit(family, params, df.where(train), features, y, **options)
-        held = df.where(valid)
-        scored = fitted.score(held, [*keys, y]).withColumn("fold", F.lit(name))
+        if family == "boosted":
+            fitted = fit(family, params, df.where(train), features, y, **options)
+        else:
+            if (name, tuple(features)) not in prepared:
+                prepared[name, tuple(features)] = prepare(df.where(train), features, y, **options)
+            fitted = estimate(family, params, prepared[name, tuple(features)])
+        scored = fitted.score(df.where(valid), [*keys, y]).withColumn("fold", F.lit(name))
         parts = scored if parts is None else parts.unionByName(scored)
     return parts
 
 
 def compare_candidates(df: DataFrame, folds, candidates: dict[str, tuple[str, dict, Sequence[str]]], y: str, keys: list[str], baseline: str, **options) -> DataFrame:
-    """Fold metrics summary per candidate = {name: (family, params, features)}; best mean average precision first, ties in declared order."""
-    metrics = None
+    """Fold metrics summary per candidate = {name: (family, params, features)}; best mean average precision first, ties in declared order.
+
+    Training rows are prepared once per fold and feature set, and all scores are written once before they are measured.
+    """
+    parts, prepared = None, {}
     for position, (name, (family, params, features)) in enumerate(candidates.items()):
-        scored = out_of_fold(df, folds, family, params, features, y, keys, **options)
-        rows = binary_metrics(scored, ["fold"], y, "p").select(F.lit(name).alias("candidate"), F.lit(position).alias("position"), "fold", "average_precision", "roc_auc", "brier_score", "log_loss")
-        metrics = rows if metrics is None else metrics.unionByName(rows)
+        scored = out_of_fold(df, folds, family, params, features, y, keys, prepared, **options).withColumns({"candidate": F.lit(name), "position": F.lit(position)})
+        parts = scored if parts is None else parts.unionByName(scored)
+    measured = ["candidate", "position", "fold", "average_precision", "roc_auc", "brier_score", "log_loss"]
+    metrics = checkpoint(binary_metrics(checkpoint(parts), ["candidate", "position", "fold"], y, "p").select(*measured))
     summary = fold_summary(metrics, "candidate", "fold", "average_precision", baseline)
     others = metrics.groupBy("candidate").agg(F.min("position").alias("position"), F.avg("roc_auc").alias("mean_roc_auc"), F.avg("brier_score").alias("mean_brier"), F.avg("log_loss").alias("mean_log_loss"))
     return summary.join(others, "candidate").orderBy(F.desc("mean_metric"), "position")

@@ -205,8 +205,8 @@ def boosting_prefixes(t: Tables):
 
 @query("J13 J14 M19")
 def candidate_search(t: Tables):
-    """Seeded random settings against a baseline over five expanding folds."""
-    drawn = L.random_candidates({"l2": (0.0, 0.01, 0.1), "iterations": (10, 20)}, 2, 7)
+    """Eight seeded random settings against a baseline over five expanding folds."""
+    drawn = L.random_candidates({"l2": (0.0, 0.001, 0.01, 0.1, 1.0), "iterations": (5, 10, 20)}, 8, 385)
     candidates = {"baseline": ("logistic", {"l2": 0.01}, FEATURES)} | {f"r{i}": ("logistic", s, FEATURES) for i, s in enumerate(drawn)}
     return L.compare_candidates(rows(t), L.expanding_folds(FIRST_YEAR, FOLD_YEARS), candidates, "y", ["id"], "baseline", indicators=INDICATORS)
 
