@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from panelspark.operators.ordered import running
+from panelspark.session import checkpoint
 
 PRIME = 2147483647  # fixed value: modulus of the multiplicative generator
 BLOCK = 100  # replicates computed together by one task
+SLOTS = 1 << 12  # thresholds of a group in one task: at most so many times its days in rows
+ROWS = 1 << 13  # of these rows, as many as are multiplied at a time
 
 
 def draw(replicate: Column, slot: Column, seed: int, size: Column) -> Column:
@@ -63,8 +63,9 @@ def replicate_ap(rows: DataFrame, group: str, day: str, y: str, p: str, replicat
     Only scores of positive rows are thresholds. Every other row is folded into
     the highest threshold at or below it, so what meets the replicates has at most
     one row per day and threshold, not one per source row. Replicates are computed in
-    blocks: a task reads its group's folded rows in threshold order and keeps one running
-    sum per replicate, so rows are repeated once per block, never once per replicate. A
+    blocks and thresholds in pieces: a first pass sums each piece's rows for every replicate of a block, the sums of
+    the pieces before it are where a piece starts, and a second pass adds up its part of the
+    average precision. So a group of any size is spread over tasks of SLOTS thresholds. A
     replicate without a positive scores 0.
     """
     levels = rows.groupBy(group, p).agg(F.max(F.col(y).cast("int")).alias("__pos"))
@@ -72,45 +73,57 @@ def replicate_ap(rows: DataFrame, group: str, day: str, y: str, p: str, replicat
     slot = F.col("__k") + F.when(F.col("__pos") == 1, 0).otherwise(1)
     daily = rows.groupBy(group, day, p).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(y).cast("long")).alias("pos"))
     folded = daily.join(marked.select(group, p, slot.alias("slot")), [group, p]).groupBy(group, day, "slot").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
-    met = folded.join(numbered(rows, [group], day), [group, day])
+    met = checkpoint(folded.join(numbered(rows, [group], day), [group, day]))
     blocks = met.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // BLOCK))))
-    dealt = blocks.select(F.col(group).alias("group"), F.col("block").cast("long").alias("block"), F.col("slot").cast("long").alias("slot"), "n", "pos", F.col("__i").cast("long").alias("i"), F.col("__size").cast("long").alias("size"))
-    dealt = dealt.repartition("group", "block").sortWithinPartitions("group", "block", "slot")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state: Replicates | None = None
-        for batch in batches:
-            groups, block = batch.column("group").to_pylist(), batch.column("block").to_numpy()
-            slot, n, pos, i, size = (batch.column(c).to_numpy() for c in ("slot", "n", "pos", "i", "size"))
-            change = [0, *[k for k in range(1, len(groups)) if groups[k] != groups[k - 1] or block[k] != block[k - 1]], len(groups)]
-            for a, b in zip(change[:-1], change[1:]):
-                if a == b:
-                    continue
-                if state is None or (state.group, state.block) != (groups[a], int(block[a])):
-                    if state is not None:
-                        yield state.result(kind)
-                    state = Replicates(groups[a], int(block[a]), int(size[a]), replicates, seed)
-                state.add(slot[a:b], n[a:b], pos[a:b], i[a:b])
-        if state is not None:
-            yield state.result(kind)
-
-    schema = dealt.select("group").schema
-    kind = to_arrow_type(schema["group"].dataType)
-    out = dealt.mapInArrow(run, schema.add("replicate", "long").add("ap", "double"))
-    return out.withColumnRenamed("group", group)
+    piece = F.floor(F.col("slot") / SLOTS).cast("long").alias("piece")
+    keys = ["group", "block", "piece"]
+    dealt = blocks.select(F.col(group).alias("group"), F.col("block").cast("long").alias("block"), piece, F.col("slot").cast("long").alias("slot"), "n", "pos", F.col("__i").cast("long").alias("i"), F.col("__size").cast("long").alias("size"))
+    schema, step, width = dealt.select("group").schema, ROWS, BLOCK
+
+    def times(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """The block's replicates, and how often each draws each day."""
+        block, size = table.column("block")[0].as_py(), table.column("size")[0].as_py()
+        own = np.arange(block * width, min(replicates, (block + 1) * width))
+        days = np.arange(size, dtype=np.int64)
+        return own, np.column_stack([np.bincount(drawn_slots(r, days, seed, size), minlength=size) for r in own.tolist()])
+
+    def keyed(table: pa.Table, names: list[str], own: np.ndarray, columns: dict[str, np.ndarray]) -> pa.Table:
+        heads = table.select(names).take(pa.array(np.zeros(len(own), dtype=np.int64)))
+        return pa.table([*heads.columns, pa.array(own), *map(pa.array, columns.values())], names=[*names, "replicate", *columns])
+
+    def total(table: pa.Table) -> pa.Table:
+        own, drawn = times(table)
+        i, n, pos = (table.column(c).to_numpy() for c in ("i", "n", "pos"))
+        by_day = [np.bincount(i, weights=v, minlength=len(drawn)) @ drawn for v in (n, pos)]
+        return keyed(table, keys, own, dict(zip(("n", "pos"), by_day)))
+
+    def part(table: pa.Table, start: pa.Table) -> pa.Table:
+        own, drawn = times(table)
+        start = start.sort_by("replicate")
+        order = np.argsort(table.column("slot").to_numpy(), kind="stable")
+        slot, n, pos, i = (table.column(c).to_numpy()[order] for c in ("slot", "n", "pos", "i"))
+        state = Replicates(start.column("n").to_numpy(), start.column("pos").to_numpy())
+        for at in range(0, len(slot), step):
+            own_rows = slice(at, at + step)
+            state.add(slot[own_rows], n[own_rows], pos[own_rows], drawn[i[own_rows]])
+        return keyed(table, ["group"], own, {"ap": state.finish(), "pos": state.pos - start.column("pos").to_numpy()})
+
+    for name in ("block", "piece", "replicate"):
+        schema = schema.add(name, "long")
+    sums = dealt.groupBy(*keys).applyInArrow(total, schema.add("n", "double").add("pos", "double"))
+    before = W.partitionBy("group", "replicate").orderBy("piece").rowsBetween(W.unboundedPreceding, -1)
+    starts = sums.select(*keys, "replicate", *[F.coalesce(F.sum(c).over(before), F.lit(0.0)).alias(c) for c in ("n", "pos")])
+    parts = dealt.groupBy(*keys).cogroup(starts.groupBy(*keys)).applyInArrow(part, dealt.select("group").schema.add("replicate", "long").add("ap", "double").add("pos", "double"))
+    ap = F.when(F.sum("pos") > 0, F.sum("ap") / F.sum("pos")).otherwise(0.0)
+    return parts.groupBy("group", "replicate").agg(ap.alias("ap")).withColumnRenamed("group", group)
 
 
 class Replicates:
-    """Running sums of one block of replicates of one group, fed in threshold order."""
+    """Running sums of a block of replicates, fed in threshold order from where the thresholds before left them."""
 
-    def __init__(self, group, block: int, size: int, replicates: int, seed: int) -> None:
-        self.group, self.block = group, block
-        self.first, last = block * BLOCK, min(replicates, (block + 1) * BLOCK)
-        slots = np.arange(size, dtype=np.int64)
-        drawn = [drawn_slots(r, slots, seed, size) for r in range(self.first, last)]
-        self.times = np.column_stack([np.bincount(d, minlength=size) for d in drawn])
-        self.n, self.pos, self.ap = (np.zeros(len(drawn)) for _ in range(3))
-        self.slot, self.open_n, self.open_pos = None, np.zeros(len(drawn)), np.zeros(len(drawn))
+    def __init__(self, n: np.ndarray, pos: np.ndarray) -> None:
+        self.n, self.pos, self.ap = n, pos, np.zeros(len(n))
+        self.slot, self.open_n, self.open_pos = None, np.zeros(len(n)), np.zeros(len(n))
 
     def _close(self, n: np.ndarray, pos: np.ndarray) -> None:
         """Rows are successive thresholds."""
@@ -118,8 +131,7 @@ class Replicates:
         self.ap += np.where(n_upto > 0, pos * pos_upto / np.maximum(n_upto, 1), 0.0).sum(axis=0)
         self.n, self.pos = n_upto[-1], pos_upto[-1]
 
-    def add(self, slot: np.ndarray, n: np.ndarray, pos: np.ndarray, i: np.ndarray) -> None:
-        times = self.times[i]
+    def add(self, slot: np.ndarray, n: np.ndarray, pos: np.ndarray, times: np.ndarray) -> None:
         starts = np.concatenate(([0], np.flatnonzero(np.diff(slot)) + 1))
         ns = np.add.reduceat(times * n[:, None], starts, axis=0).astype(float)
         ps = np.add.reduceat(times * pos[:, None], starts, axis=0).astype(float)
@@ -132,11 +144,10 @@ class Replicates:
             self._close(ns[:-1], ps[:-1])
         self.slot, self.open_n, self.open_pos = slot[-1], ns[-1], ps[-1]
 
-    def result(self, kind: pa.DataType) -> pa.RecordBatch:
+    def finish(self) -> np.ndarray:
+        """The sum of precision over the positives fed."""
         self._close(self.open_n[None], self.open_pos[None])
-        ap = np.where(self.pos > 0, self.ap / np.maximum(self.pos, 1), 0.0)
-        numbers = np.arange(self.first, self.first + len(ap), dtype=np.int64)
-        return pa.RecordBatch.from_arrays([pa.array([self.group] * len(ap), kind), pa.array(numbers), pa.array(ap)], ["group", "replicate", "ap"])
+        return self.ap
 
 
 def paired_day_bootstrap(rows: DataFrame, group: str, day: str, y: str, scores: dict[str, str], replicates: int = 2000, seed: int = 0) -> DataFrame:

@@ -1,5 +1,7 @@
 """Metrics with hand-worked values, ties, one-class data and bootstrap checks."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -112,3 +114,25 @@ def test_curves_end_where_they_should(spark):
     roc = M.roc_curve(df, "y", "p", 50).toPandas().sort_values(["false_positive_rate", "true_positive_rate"])
     assert len(pr) <= 50 and (pr.recall.iloc[0], pr.precision.iloc[0], pr.recall.iloc[-1]) == (0.0, 1.0, 1.0)
     assert tuple(roc.iloc[0][:2]) == (0.0, 0.0) and tuple(roc.iloc[-1][:2]) == (1.0, 1.0) and np.isinf(roc.threshold).sum() == 1
+
+
+def test_replicates_in_pieces(spark, monkeypatch):
+    """Cut along the thresholds into pieces of a few, and rows into small steps: the same replicates."""
+    rng = random.Random(9)
+    rows = [(g, d, int(rng.random() < 0.2), round(rng.random(), 2)) for g in (1, 2) for d in range(12) for _ in range(20)] + [(3, 0, 0, 0.5)]
+    df = spark.createDataFrame(rows, "g int, d int, y int, p double")
+    whole = {(r.g, r.replicate): r.ap for r in B.replicate_ap(df, "g", "d", "y", "p", 30, 5).collect()}
+    monkeypatch.setattr(B, "SLOTS", 3)
+    monkeypatch.setattr(B, "ROWS", 7)
+    monkeypatch.setattr(B, "BLOCK", 11)
+    pieces = {(r.g, r.replicate): r.ap for r in B.replicate_ap(df, "g", "d", "y", "p", 30, 5).collect()}
+    assert pieces.keys() == whole.keys() and len(whole) == 90
+    assert all(pieces[k] == pytest.approx(whole[k], abs=1e-12) for k in whole) and whole[3, 0] == 0
+    # Against the definition, for one replicate.
+    days = [B.drawn_slots(4, np.arange(12), 5, 12).tolist().count(d) for d in range(12)]
+    drawn = [(p, y) for g, d, y, p in rows if g == 1 for _ in range(days[d])]
+    found, total = 0.0, sum(y for _, y in drawn)
+    for t in {p for p, _ in drawn}:
+        above = [y for p, y in drawn if p >= t]
+        found += sum(y for p, y in drawn if p == t) * sum(above) / len(above)
+    assert whole[1, 4] == pytest.approx(found / total, abs=1e-12)
