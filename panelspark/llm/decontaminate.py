@@ -19,11 +19,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from panelspark.llm.common import shingle_hashes, texts_of, word_hashes
+from panelspark.llm.common import WORD, shingle_hashes, texts_of, word_hashes
 
 #: UTF-8 bytes of item texts that one pass over the documents holds in memory; more items take more passes.
 ITEM_BYTES = 64 << 20
-#: The partition's smallest size sets the sketch of all its items; partitions double in size.
+#: Words that an item needs before `clean` drops documents for it: shorter ones stand in ordinary text.
+LEAST_WORDS = 8
 PAIRS = "doc_id long, item_id long, shared long, shingles long, containment double"
 
 
@@ -98,9 +99,14 @@ def passes(benchmark: DataFrame, size: int, threshold: float, item_bytes: int) -
             yield sketches
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, *, size: int = 5, threshold: float = 0.8, item_bytes: int = ITEM_BYTES) -> DataFrame:
-    """The rows of `docs` that contain no item to `threshold` (see `contaminated`), with all their columns; nothing is shuffled."""
-    for sketches in passes(benchmark, size, threshold, item_bytes):
+def clean(docs: DataFrame, benchmark: DataFrame, *, size: int = 5, threshold: float = 0.8, item_bytes: int = ITEM_BYTES, least_words: int = LEAST_WORDS) -> DataFrame:
+    """The rows of `docs` that contain no item to `threshold` (see `contaminated`), with all their columns; nothing is shuffled.
+
+    Items of fewer than `least_words` words, null and empty ones included, drop nothing: an answer of one word would
+    take most of a corpus with it. `contaminated` reports them all the same. Null and empty texts are kept.
+    """
+    telling = benchmark.where(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)) >= least_words)
+    for sketches in passes(telling, size, threshold, item_bytes):
 
         def keep(batches: Iterator[pa.RecordBatch], sketches: Sketches = sketches) -> Iterator[pa.RecordBatch]:
             for batch in batches:
