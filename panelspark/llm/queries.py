@@ -21,7 +21,7 @@ def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 def op1_licenses(spark: SparkSession, folder: str) -> DataFrame:
     found = licenses.scan(_table(spark, folder, "documents"))
-    listed = F.transform("spans", lambda s: F.concat_ws(":", s["paragraph"], s["family"], F.round(s["probability"], 3)))
+    listed = F.transform("spans", lambda s: F.concat_ws(":", F.concat_ws("-", s["first_line"], s["last_line"]), s["family"], F.round(s["probability"], 3)))
     return found.select("doc_id", "n_paragraphs", "n_licences", F.array_join("families", ",").alias("families"), F.array_join(listed, ",").alias("spans"))
 
 

@@ -335,7 +335,12 @@ def test_decontaminate(spark):
     got = sorted(((r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, benchmark).collect()), key=str)
     assert got == sorted([(1, 1), (1, 5), (3, 1), (3, 5), (4, 2), (1, 2), (None, None)], key=str)
     # Shares: 12 of 16 shingles are under the threshold, 15 of 16 above.
-    assert sorted(r.text for r in decontaminate.clean(docs, benchmark).where("text is not null").collect()) == sorted(["", texts[1][1], texts[7][1]])
+    # The item of two words drops nothing unless asked to.
+    kept = sorted(r.text for r in decontaminate.clean(docs, benchmark).where("text is not null").collect())
+    assert kept == sorted(["", texts[1][1], texts[3][1], texts[7][1], texts[8][1]])
+    assert sorted(r.text for r in decontaminate.clean(docs, benchmark, least_words=1).where("text is not null").collect()) == sorted(["", texts[1][1], texts[7][1]])
+    everywhere = spark.createDataFrame([(1, "the")], "item_id long, text string")
+    assert decontaminate.clean(frame(spark, [(1, "the mill"), (2, "the river")]), everywhere).count() == 2
     assert decontaminate.clean(docs, benchmark).where("text is null").count() == 1
     assert sorted(((r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, benchmark, item_bytes=64).collect()), key=str) == got
     assert decontaminate.contaminated(docs.limit(0), benchmark).count() == 0 and decontaminate.contaminated(docs, benchmark.limit(0)).count() == 0
@@ -419,8 +424,8 @@ def test_licenses(spark, hard):
     found = {r.line: r.family for r in licenses.classify(spark.createDataFrame([(x,) for x in lines], "line string"), model).collect()}
     assert found == lines
     texts = [(i, words(40, i) + "\n\n" + line + "\n" + words(5, 90 + i)) for i, line in enumerate(lines)] + [(50, None), (51, ""), (0, "Released under the MIT License.\nReleased under the MIT License.")]
-    got = sorted((r.doc_id, r.n_paragraphs, r.n_licences, tuple(r.families), tuple(s.paragraph for s in r.spans)) for r in licenses.scan(frame(spark, texts), model).collect())
-    assert got == [(0, 2, 2, ("mit",), (0, 1)), (0, 3, 1, ("mit",), (2,)), (1, 3, 1, ("gpl-3.0",), (2,)), (2, 3, 1, ("cc-by-nc-4.0",), (2,)), (3, 3, 1, ("apache-2.0",), (2,)), (4, 3, 1, ("unknown",), (2,)), (5, 3, 0, (), ()), (50, 0, 0, (), ()), (51, 0, 0, (), ())]
+    got = sorted((r.doc_id, r.n_paragraphs, r.n_licences, tuple(r.families), tuple((s.first_line, s.last_line) for s in r.spans)) for r in licenses.scan(frame(spark, texts), model).collect())
+    assert got == [(0, 1, 2, ("mit",), ((0, 0), (1, 1))), (0, 2, 1, ("mit",), ((2, 2),)), (1, 2, 1, ("gpl-3.0",), ((2, 2),)), (2, 2, 1, ("cc-by-nc-4.0",), ((2, 2),)), (3, 2, 1, ("apache-2.0",), ((2, 2),)), (4, 2, 1, ("unknown",), ((2, 2),)), (5, 2, 0, (), ()), (50, 0, 0, (), ()), (51, 0, 0, (), ())]
     assert licenses.scan(hard, model).count() == 14 and licenses.scan(hard.limit(0), model).count() == 0
 
 
