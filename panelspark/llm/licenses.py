@@ -119,7 +119,7 @@ NONE, UNKNOWN = "none", "unknown"
 VARIANTS, FEATURES, CONFIRM = 12, 20000, 0.7
 #: Share of the held-out family notices that the acceptance level takes.
 ACCEPT = 0.98
-STEPS = 41
+STEPS = 21
 #: Bits that tell which bigrams can begin a feature; others pass by chance and meet no weight.
 FLAGS = 1 << 17
 
@@ -193,7 +193,7 @@ def train(spark: SparkSession) -> Model:
     number = F.element_at(F.create_map(*[F.lit(x) for k, label in enumerate(labels) for x in (label, float(k))]), F.col("label"))
     early = examples.coalesce(2).withColumn("number", number)
     counter = CountVectorizer(inputCol="grams", outputCol="features", vocabSize=FEATURES, minDF=2.0, binary=True).fit(early)
-    fitted = LogisticRegression(labelCol="number", featuresCol="features", family="multinomial", regParam=5e-4, elasticNetParam=0.3, maxIter=50, standardization=False).fit(counter.transform(early))
+    fitted = LogisticRegression(labelCol="number", featuresCol="features", family="multinomial", regParam=5e-4, elasticNetParam=0.3, maxIter=40, standardization=False).fit(counter.transform(early))
     matrix = fitted.coefficientMatrix.toArray()
     rows = [(g, [float(x) for x in matrix[:, i]]) for i, g in enumerate(counter.vocabulary) if abs(matrix[:, i]).sum() > 0]
     bias = [float(x) for x in fitted.interceptVector]
@@ -229,15 +229,15 @@ def judge(units: DataFrame, model: Model, keys: list[str]) -> DataFrame:
     names = F.array(*[F.lit(x) for x in model.labels])
     best = F.array_position("margins", F.array_max("margins")).cast("int")
     scored = margins(units, model, keys).select(*keys, F.element_at(names, best).alias("label"), F.exp(F.array_max("margins") / model.temperature - _log_sum("margins", model.temperature)).alias("probability"))
-    rows = [(label, family == label, t) for label in NOTICES for family, ts in NOTICES.items() for t in ts]
-    notices = units.sparkSession.createDataFrame(rows, "label string, own boolean, notice string").withColumn("tokens", words(F.col("notice"))).withColumn("n", ngrams("tokens", 2))
-    notices = notices.groupBy("label").agg(F.collect_list(F.when(F.col("own"), F.col("n"))).alias("own"), F.collect_list(F.when(~F.col("own"), F.col("n"))).alias("others"))
-    met = scored.where(F.col("label") != NONE).join(units.select(*keys, "grams"), keys).join(F.broadcast(notices), "label", "left")  # the fixed notices, once a family
-
-    def share(of: str) -> Column:
-        return F.coalesce(F.array_max(F.transform(of, lambda n: F.size(F.array_intersect(n, F.col("grams"))) / F.size(n))), F.lit(0.0))
-
-    met = met.withColumns({"containment": share("own"), "rival": share("others")})
+    met = scored.where(F.col("label") != NONE)
+    rows = [(f, f"{f} {k}", t) for f, ts in NOTICES.items() for k, t in enumerate(ts)]
+    notices = units.sparkSession.createDataFrame(rows, "of string, notice string, text string").withColumn("tokens", words(F.col("text"))).withColumn("grams", ngrams("tokens", 2))
+    notices = notices.select("of", "notice", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+    # Grams of a unit and of a notice are distinct, so pairs count what both hold.
+    pairs = units.join(met.select(*keys), keys).select(*keys, F.explode("grams").alias("gram")).join(F.broadcast(notices), "gram")  # the bigrams of the fixed notices
+    shares = pairs.groupBy(*keys, "of", "notice").agg((F.count(F.lit(1)) / F.first("n")).alias("share")).groupBy(*keys, "of").agg(F.max("share").alias("share"))
+    best = met.select(*keys, "label").join(shares, keys).groupBy(*keys).agg(F.max(F.when(F.col("of") == F.col("label"), F.col("share"))).alias("containment"), F.max(F.when(F.col("of") != F.col("label"), F.col("share"))).alias("rival"))
+    met = met.join(best, keys, "left").fillna(0.0, ["containment", "rival"])
     sure = (F.col("probability") >= model.least) & (F.col("containment") >= CONFIRM) & (F.col("containment") >= F.col("rival")) & (F.col("label") != UNKNOWN)
     judged = met.select(*keys, F.when(sure, F.col("label")).otherwise(UNKNOWN).alias("family"), "probability", "containment")
     return judged.unionByName(scored.where(F.col("label") == NONE).select(*keys, F.lit(NONE).alias("family"), "probability", F.lit(0.0).alias("containment")))
