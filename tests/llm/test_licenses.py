@@ -1,4 +1,9 @@
-"""Licence notices kept from the training: wrapped, commented, on one line, and of licences without a family."""
+"""Licence notices: wrapped, commented, on one line, in new wordings, and of licences without a family.
+
+LONG are the standard notices, whose words the training has too; SHORT, UNSEEN and PLAIN are other wordings, but the training
+was changed after looking at cases that failed here. FRESH was written and measured once after the last change of the
+training; its names of licences are in the training, its sentences are not.
+"""
 
 import textwrap
 
@@ -26,6 +31,42 @@ SHORT = [
     ("cc-by-sa-4.0", "Reuse is allowed under the Creative Commons Attribution-ShareAlike 4.0 International License."), ("cc0-1.0", "The tables are in the public domain under CC0 1.0."), ("mpl-2.0", "The extension is under the Mozilla Public License version 2.0."),
     ("isc", "Published under an ISC license."), ("unlicense", "We put it out under the Unlicense."), ("bsl-1.0", "Use it under the Boost Software License, Version 1.0."), ("epl-2.0", "This plug-in is under the Eclipse Public License 2.0."),
 ]
+FRESH = [
+    ("mit", "Feel free to reuse these scripts; the MIT License applies."),
+    ("mit", "License: MIT License"),
+    ("mit", "The theme comes with the MIT license, so do as you please."),
+    ("apache-2.0", "Source and examples fall under the Apache License 2.0."),
+    ("apache-2.0", "License: Apache License, Version 2.0"),
+    ("apache-2.0", "We chose the Apache License, Version 2.0 for all modules."),
+    ("bsd", "License: BSD 3-Clause License"),
+    ("bsd", "The driver ships with a BSD 2-Clause License."),
+    ("bsd", "We use the New BSD License for this kit."),
+    ("gpl-2.0", "License: GNU General Public License version 2"),
+    ("gpl-2.0", "The kernel module falls under the GNU GPL v2."),
+    ("gpl-2.0", "Our patches carry the GNU General Public License, version 2."),
+    ("gpl-3.0", "License: GNU General Public License version 3"),
+    ("gpl-3.0", "The game falls under the GNU GPL version 3."),
+    ("agpl-3.0", "License: GNU Affero General Public License version 3"),
+    ("agpl-3.0", "Hosting this service means following the GNU AGPL version 3."),
+    ("lgpl-2.1", "License: GNU Lesser General Public License version 2.1"),
+    ("lgpl-2.1", "Linking is allowed by the GNU LGPL version 2.1."),
+    ("lgpl-3.0", "License: GNU Lesser General Public License version 3"),
+    ("lgpl-3.0", "The codec falls under the GNU LGPL v3."),
+    ("cc-by-4.0", "Text and tables: CC BY 4.0 license"),
+    ("cc-by-4.0", "Slides are shared with a Creative Commons Attribution 4.0 International License."),
+    ("cc-by-nc-4.0", "Music: Creative Commons Attribution-NonCommercial 4.0 International"),
+    ("cc-by-nc-4.0", "The recordings carry the CC BY-NC 4.0 license."),
+    ("cc-by-sa-4.0", "Maps: CC BY-SA 4.0 license"),
+    ("cc-by-sa-4.0", "Articles carry the Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("cc0-1.0", "The icons are given away as CC0 1.0 Universal."),
+    ("mpl-2.0", "License: Mozilla Public License 2.0"),
+    ("mpl-2.0", "Parts fall under the Mozilla Public License, v. 2.0."),
+    ("isc", "License: ISC License"),
+    ("unlicense", "We apply The Unlicense to this code."),
+    ("epl-2.0", "License: Eclipse Public License 2.0"),
+    ("bsl-1.0", "The headers fall under the Boost Software License 1.0."),
+    ("zlib", "Textures and code use the zlib license."),
+]
 UNSEEN = ["Licensed under the Quokka Public License, version 3.", "Copyright 2021 by Harbor Films. All rights reserved.", "This firmware is licensed under the terms of the Vendor Source Agreement.", "This game is proprietary and confidential and may not be copied without written permission of the publisher."]
 PLAIN = ["The warden gave a license to every fisher in the bay, version or no version.", "Any person who wants a copy of the map may ask in the library.", "She sold the software and the rights to use it for a small fee.", "The general public was free to use the terms of the deal."]
 
@@ -39,7 +80,7 @@ def wrapped(text: str, width: int, mark: str) -> str:
     return "\n".join(mark + line for line in textwrap.wrap(text, width))
 
 
-def test_held_out_notices(spark, model):
+def test_notices_in_all_forms(spark, model):
     prose = "The river rose in the night and the mill stood still.\nNobody came until noon."
     cases = [(family, text) for family, text in SHORT + LONG] + [(family, wrapped(text, width, mark)) for family, text in LONG for width, mark in ((76, " * "), (60, "# "), (44, "// "))]
     rows = [(i, f"{prose}\n\n{text}\n\n{prose}") for i, (_, text) in enumerate(cases)]
@@ -51,6 +92,12 @@ def test_held_out_notices(spark, model):
     assert all(r.n_paragraphs == 3 for r in got.values())
 
 
+def test_fresh_wordings(spark, model):
+    got = {r.doc_id: r.families for r in licenses.scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(FRESH)], "doc_id long, text string"), model).collect()}
+    right = sum(got[i] == [family] for i, (family, _) in enumerate(FRESH))
+    assert len(FRESH) >= 30 and right >= 0.9 * len(FRESH)
+
+
 def test_unknown_and_plain(spark, model):
     rows = [(i, text) for i, text in enumerate(UNSEEN + PLAIN)]
     got = {r.doc_id: r.families for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
