@@ -84,18 +84,22 @@ def running(
 
 
 def neighbour(
-    df: DataFrame, keys: list[str], order: str, values: dict[str, str], *, following: bool = False, cuts: list[float] | None = None
+    df: DataFrame, keys: list[str], order: str, values: dict[str, str], *, following: bool = False, cuts: list[float] | None = None, ties: list[str] | None = None
 ) -> DataFrame:
-    """`values` = {output: input} of the previous (or following) row along `order` within `keys`."""
+    """`values` = {output: input} of the previous (or following) row along `order` within `keys`.
+
+    Rows with equal `order` share a piece; the `ties` columns order them, inside pieces and across cuts alike.
+    """
     cuts = cut_points(df, order) if cuts is None else cuts
     step = F.lead if following else F.lag
     group = [*keys, PIECE]
     pieces = with_piece(df, order, cuts).repartition(*[F.col(c) for c in group])
     pick = F.min_by if following else F.max_by
-    edge = pieces.groupBy(*group).agg(pick(F.struct(*values.values()), F.col(order)).alias("__edge"))
+    along = [order, *(ties or [])]
+    edge = pieces.groupBy(*group).agg(pick(F.struct(*values.values()), F.struct(*along)).alias("__edge"))
     across = W.partitionBy(*keys).orderBy(PIECE)
     edge = edge.withColumn("__edge", step("__edge").over(across))
-    inside = W.partitionBy(*group).orderBy(order)
+    inside = W.partitionBy(*group).orderBy(*along)
     local = pieces.withColumn("__near", step(F.struct(*values.values())).over(inside))
     joined = join_keys(local, edge, group)
     near = F.coalesce("__near", "__edge")

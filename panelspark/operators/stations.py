@@ -47,8 +47,8 @@ def duplicate_counts(records: DataFrame, keys: list[str], seq: str, valid: str)
 
 
 def backward_dates(records: DataFrame, seq: str, day: str) -> DataFrame:
-    """Rows dated before the row preceding them in source order."""
-    with_previous = neighbour(records.select(seq, day), [], seq, {"previous_day": day})
+    """Rows dated before the row preceding them in source order; of rows with one place in that order the earlier dated comes first."""
+    with_previous = neighbour(records.select(seq, day), [], seq, {"previous_day": day}, ties=[day])
     return with_previous.where(F.col(day) < F.col("previous_day"))
 
 

@@ -37,6 +37,18 @@ def test_neighbour(spark, skewed, following):
     assert np.array_equal(got.n.to_numpy(dtype=float), want.n.to_numpy(), equal_nan=True)
 
 
+def test_backward_dates_order_tied_rows_alike_inside_pieces_and_across_cuts(spark):
+    from panelspark.operators.stations import backward_dates
+
+    rng = np.random.default_rng(7)
+    rows = pd.DataFrame({"seq": np.repeat(np.arange(400), 5), "day": rng.integers(0, 50, 2000)})
+    got = backward_dates(spark.createDataFrame(rows).repartition(7), "seq", "day").toPandas()
+    ordered = rows.sort_values(["seq", "day"])
+    want = ordered.assign(previous_day=ordered.day.shift()).dropna()
+    want = want[want.day < want.previous_day]
+    assert sorted(map(tuple, got.to_numpy().tolist())) == sorted(map(tuple, want.astype("int64").to_numpy().tolist()))
+
+
 def test_quantiles(spark, skewed):
     got = O.quantiles(spark.createDataFrame(skewed), ["k"], "v", {"a": 0.1, "b": 0.5, "c": 0.9}).toPandas().set_index("k")
     for key, group in skewed.groupby("k"):
