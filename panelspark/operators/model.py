@@ -5,7 +5,9 @@ from __future__ import annotations
 import random
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Model
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -15,10 +17,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from panelspark.contracts import ContractError, guard
 from panelspark.operators import boosting
 from panelspark.operators.metrics import binary_metrics, fold_summary
+from panelspark.operators.ordered import quantiles
 from panelspark.operators.profile import quantile_table
 from panelspark.session import checkpoint
 
 VECTOR = "__features"
+#: Fits that run at the same time in a search.
+AT_ONCE = 8
 
 
 # --- splits ---------------------------------------------------------------
@@ -73,6 +78,34 @@ class Preprocessor:
         scales = {c: 1.0 if c in exempt or not stats[f"s{i}"] else stats[f"s{i}"] for i, c in enumerate(features)}
         return cls(tuple(features), tuple(indicators), medians, means, scales)
 
+    @classmethod
+    def fit_folds(cls, df: DataFrame, trains: Sequence[str], features: Sequence[str], indicators: Sequence[str] = (), exempt: Sequence[str] = ()) -> list[Preprocessor]:
+        """`fit` for several overlapping training sets, marked by the boolean columns `trains`: all share the two passes of one.
+
+        Values are counted once per set of marks, and the counts are what each fold repeats.
+        """
+        long = F.array(*[F.struct(F.lit(i).alias("column"), F.col(c).cast("double").alias("value")) for i, c in enumerate(features)])
+        counted = df.select(*trains, F.explode(long).alias("__v")).select(*trains, "__v.*").where("value is not null").groupBy(*trains, "column", "value").agg(F.count(F.lit(1)).alias("__rows"))
+        own = F.filter(F.array(*[F.when(F.col(t), F.lit(k)) for k, t in enumerate(trains)]), lambda k: k.isNotNull())
+        repeated = counted.select("column", "value", "__rows", F.explode(own).alias("fold"))
+        found = {(r["fold"], r["column"]): r["median"] for r in quantiles(repeated, ["fold", "column"], "value", {"median": 0.5}, "__rows").collect()}  # one row per fold and feature
+        medians = [[found.get((k, i), 0.0) for i in range(len(features))] for k in range(len(trains))]
+        cells = []
+        for k, t in enumerate(trains):
+            for i, c in enumerate(features):
+                v = F.when(F.col(t), F.coalesce(F.col(c).cast("double"), F.lit(medians[k][i])))
+                cells += [F.avg(v).alias(f"m{k}_{i}"), F.stddev_pop(v).alias(f"s{k}_{i}")]
+        stats, out = df.agg(*cells).first(), []
+        for k in range(len(trains)):
+            means = {c: 0.0 if c in exempt else stats[f"m{k}_{i}"] for i, c in enumerate(features)}
+            scales = {c: 1.0 if c in exempt or not stats[f"s{k}_{i}"] else stats[f"s{k}_{i}"] for i, c in enumerate(features)}
+            out.append(cls(tuple(features), tuple(indicators), dict(zip(features, medians[k])), means, scales))
+        return out
+
+    def of(self, features: Sequence[str]) -> Preprocessor:
+        """The part for some of the features; indicators stay as they are."""
+        return Preprocessor(tuple(features), self.indicators, *[{c: held[c] for c in features} for held in (self.medians, self.means, self.scales)])
+
     @property
     def outputs(self) -> list[str]:
         return [*self.features, *[f"{c}__missing" for c in self.indicators]]
@@ -174,35 +207,65 @@ def random_candidates(grid: dict[str, Sequence], n: int, seed: int) -> list[dict
     return found
 
 
-def out_of_fold(df: DataFrame, folds, family: str, params: dict, features, y: str, keys: list[str], prepared: dict | None = None, **options) -> DataFrame:
-    """Validation scores of every fold: (fold, keys, y, p); each fold is fitted on its own training rows only.
-
-    `prepared` keeps each fold's training rows for further settings of the same features.
-    """
-    parts, prepared = None, {} if prepared is None else prepared
+def out_of_fold(df: DataFrame, folds, family: str, params: dict, features, y: str, keys: list[str], **options) -> DataFrame:
+    """Validation scores of every fold: (fold, keys, y, p); each fold is fitted on its own training rows only."""
+    parts = None
     for name, train, valid in folds:
-        if family == "boosted":
-            fitted = fit(family, params, df.where(train), features, y, **options)
-        else:
-            if (name, tuple(features)) not in prepared:
-                prepared[name, tuple(features)] = prepare(df.where(train), features, y, **options)
-            fitted = estimate(family, params, prepared[name, tuple(features)])
-        scored = fitted.score(df.where(valid), [*keys, y]).withColumn("fold", F.lit(name))
+        scored = fit(family, params, df.where(train), features, y, **options).score(df.where(valid), [*keys, y]).withColumn("fold", F.lit(name))
         parts = scored if parts is None else parts.unionByName(scored)
     return parts
 
 
+def fold_models(rows: DataFrame, trains: Sequence[str], candidates: dict[str, tuple[str, dict, Sequence[str]]], y: str, *, indicators: Sequence[str] = (), exempt: Sequence[str] = (), balanced: bool = False, forbidden=()) -> dict:
+    """{(fold number, candidate): fitted model}, each fitted on the rows that its fold's boolean column of `trains` marks, and no others.
+
+    The statistics of all folds and features come from one preparation. Fits are independent and small
+    jobs for the most part, so AT_ONCE of them run at a time.
+    """
+    for _, _, features in candidates.values():
+        guard(features, {y, *forbidden})
+    plain = list(dict.fromkeys(c for family, _, features in candidates.values() if family != "boosted" for c in features))
+    prepared = Preprocessor.fit_folds(rows, trains, plain, indicators, exempt) if plain else []
+    weights = [class_weight(rows.where(t), y) if balanced else F.lit(1.0) for t in trains]
+
+    def one(task: tuple[int, str]) -> tuple:
+        fold, name = task
+        family, params, features = candidates[name]
+        train = rows.where(trains[fold])
+        if family == "boosted":
+            return task, boosting.fit(train, features, y, boosting.Settings(**params), weights[fold] if balanced else None)
+        found = prepared[fold].of(features)
+        ready = found.transform(train.withColumns({"__y": F.col(y).cast("double"), "__w": weights[fold]}))
+        vectors = VectorAssembler(inputCols=found.outputs, outputCol=VECTOR).transform(ready).select(VECTOR, "__y", "__w")
+        return task, estimate(family, params, Prepared(found, vectors))
+
+    with ThreadPool(AT_ONCE) as pool:
+        return dict(pool.map(inheritable_thread_target(rows.sparkSession)(one), [(k, name) for k in range(len(trains)) for name in candidates], chunksize=1))
+
+
 def compare_candidates(df: DataFrame, folds, candidates: dict[str, tuple[str, dict, Sequence[str]]], y: str, keys: list[str], baseline: str, **options) -> DataFrame:
     """Fold metrics summary per candidate = {name: (family, params, features)}; best mean average precision first, ties in declared order.
 
-    Training rows are prepared once per fold and feature set, and all scores are written once before they are measured.
+    The columns used are written once. Each fold's validation rows are read once and scored by all of its models, one row with
+    a score per candidate, and these rows are written before they are measured.
     """
-    parts, prepared = None, {}
-    for position, (name, (family, params, features)) in enumerate(candidates.items()):
-        scored = out_of_fold(df, folds, family, params, features, y, keys, prepared, **options).withColumns({"candidate": F.lit(name), "position": F.lit(position)})
+    trains, names = [f"__t{k}" for k in range(len(folds))], list(candidates)
+    used = list(dict.fromkeys([*options.get("indicators", ()), *(c for _, _, features in candidates.values() for c in features)]))
+    marks = {f"__{kind}{k}": F.coalesce(f[at], F.lit(False)) for k, f in enumerate(folds) for kind, at in (("t", 1), ("v", 2))}
+    rows = checkpoint(df.select(*dict.fromkeys([*used, y]), *[m.alias(n) for n, m in marks.items()]))
+    models, parts = fold_models(rows, trains, candidates, y, **options), None
+    for k, (fold, _, _) in enumerate(folds):
+        scored = rows.where(f"__v{k}").select(*dict.fromkeys([*used, y]))
+        for i, name in enumerate(names):
+            scored = models[k, name].score(scored, scored.columns, f"__p{i}")
+        scored = scored.select(F.lit(fold).alias("fold"), y, *[f"__p{i}" for i in range(len(names))])
         parts = scored if parts is None else parts.unionByName(scored)
-    measured = ["candidate", "position", "fold", "average_precision", "roc_auc", "brier_score", "log_loss"]
-    metrics = checkpoint(binary_metrics(checkpoint(parts), ["candidate", "position", "fold"], y, "p").select(*measured))
+    each = F.array(*[F.struct(F.lit(i).alias("position"), F.col(f"__p{i}").alias("p")) for i in range(len(names))])
+    long = checkpoint(parts).select("fold", y, F.explode(each).alias("__s")).select("fold", y, "__s.*")
+    levels = checkpoint(long.groupBy("position", "fold", "p").agg(F.count(F.lit(1)).alias("__n"), F.sum(F.col(y).cast("long")).alias(y)))
+    candidate = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("position") + 1).alias("candidate")
+    measured = ["position", "fold", "average_precision", "roc_auc", "brier_score", "log_loss"]
+    metrics = checkpoint(binary_metrics(levels, ["position", "fold"], y, "p", "__n").select(candidate, *measured))
     summary = fold_summary(metrics, "candidate", "fold", "average_precision", baseline)
     others = metrics.groupBy("candidate").agg(F.min("position").alias("position"), F.avg("roc_auc").alias("mean_roc_auc"), F.avg("brier_score").alias("mean_brier"), F.avg("log_loss").alias("mean_log_loss"))
     return summary.join(others, "candidate").orderBy(F.desc("mean_metric"), "position")

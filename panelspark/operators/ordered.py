@@ -106,9 +106,9 @@ def neighbour(
     return joined.withColumns({o: near[c] for o, c in values.items()}).drop(PIECE, "__near", "__edge")
 
 
-def quantiles(df: DataFrame, keys: list[str], value: str, probabilities: dict[str, float]) -> DataFrame:
-    """Exact linearly interpolated quantiles per group; equal values are merged before any sort."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
+def quantiles(df: DataFrame, keys: list[str], value: str, probabilities: dict[str, float], n: str | None = None) -> DataFrame:
+    """Exact linearly interpolated quantiles per group; equal values are merged before any sort. `n` names a count of rows where rows are merged already."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg((F.sum(n) if n else F.count(F.lit(1))).alias("__n"))
     ranked = running(counts, keys, value, {"__upto": "__n"}, totals=True)
     before = F.col("__upto") - F.col("__n")
     picks = []

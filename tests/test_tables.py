@@ -159,3 +159,19 @@ def test_random_candidates_are_seeded_and_distinct():
     drawn = L.random_candidates(grid, 5, 1)
     assert drawn == L.random_candidates(grid, 5, 1) and len({tuple(sorted(d.items())) for d in drawn}) == 5
     assert len(L.random_candidates(grid, 50, 1)) == 6
+
+
+def test_a_search_prepares_all_folds_at_once_and_fits_like_single_folds(spark, monkeypatch):
+    df = spark.createDataFrame([(y, i, int((i * y) % 7 < 3), float(i % 11) if i % 4 else None, float(i % 5)) for y in (2010, 2011, 2012, 2013) for i in range(60)], "year int, id int, y int, a double, b double")
+    folds = L.expanding_folds(2010, (2012, 2013))
+    marked = df.select("*", *[f[1].alias(f"t{k}") for k, f in enumerate(folds)])
+    calls, real = [], L.quantiles
+    monkeypatch.setattr(L, "quantiles", lambda *a, **o: calls.append(a) or real(*a, **o))
+    candidates = {"one": ("logistic", {"l2": 0.1}, ["a"]), "two": ("logistic", {"l2": 0.01}, ["a", "b"])}
+    models = L.fold_models(marked, ["t0", "t1"], candidates, "y", indicators=["a"])
+    assert len(calls) == 1
+    for (k, name), model in models.items():
+        single = L.fit("logistic", candidates[name][1], df.where(folds[k][1]), candidates[name][2], "y", indicators=["a"])
+        assert model.preprocessor.medians == pytest.approx(single.preprocessor.medians) and model.preprocessor.scales == pytest.approx(single.preprocessor.scales)
+        assert model.model.coefficients.toArray() == pytest.approx(single.model.coefficients.toArray(), rel=1e-6, abs=1e-9)
+        assert model.preprocessor.outputs == single.preprocessor.outputs
