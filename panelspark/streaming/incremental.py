@@ -2,7 +2,7 @@
 
 Event time is a timestamp column; lateness is bounded by its watermark. State per
 key is bounded: a history holds at most one count per day of its lookback, a
-record holds one row.
+record holds one row per station and day.
 """
 
 from __future__ import annotations
@@ -68,44 +68,18 @@ def past_history(stream: DataFrame, lookback: int, late: str = "1 day") -> DataF
     return timed.groupBy("cell").applyInPandasWithState(update, HISTORY, HISTORY_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-RECORD = "station long, day long, seq long, valid double"
-RECORD_STATE = "days array<long>, seqs array<long>, valids array<double>"
+def first_valid_records(stream: DataFrame, late: str = "2 days") -> DataFrame:
+    """One record per (station, day): the first in source order, replaced once by the first valid one; emitted when its day is closed. Append mode.
 
-
-def first_valid_records(stream: DataFrame, late: str = "2 days", spread: int = 4) -> DataFrame:
-    """One record per (station, day): the first in source order, replaced once by the first valid one; emitted when its day is closed.
-
-    Input rows: station, day, seq, valid (nullable), ts. Rows arriving after the
-    watermark has passed the end of their day are dropped, which is the lateness
-    policy. State is keyed by station and day modulo `spread`, so the open days of
-    a very busy station are kept by several tasks.
+    Input rows: station, day, seq, valid (nullable; NaN is not valid), ts (a time within the day). A day is
+    closed by the first trigger that starts with the watermark past its end; rows that arrive later are dropped, which is the
+    lateness policy. State is one record per open (station, day), kept and merged by Spark's own aggregate, so no station is in one task's hands.
     """
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        watermark = state.getCurrentWatermarkMs()
-        days, seqs, valids = state.get if state.exists else ([], [], [])
-        parts = [pd.DataFrame({"day": days, "seq": seqs, "valid": valids}).astype({"day": "int64", "seq": "int64", "valid": "float64"})]
-        for batch in batches:
-            rows = batch.loc[(batch["day"] + 1) * DAY_MS > watermark, ["day", "seq", "valid"]]
-            parts = [_earliest_valid(pd.concat([*parts, rows.astype(parts[0].dtypes)]))]
-        held = parts[0]
-        closed = (held["day"] + 1) * DAY_MS <= watermark
-        done, still_open = held[closed], held[~closed]
-        if len(still_open):
-            state.update((still_open["day"].tolist(), still_open["seq"].tolist(), [None if pd.isna(v) else float(v) for v in still_open["valid"]]))
-            state.setTimeoutTimestamp(int(max((still_open["day"].min() + 1) * DAY_MS, watermark + 1)))
-        elif state.exists:
-            state.remove()
-        yield done.assign(station=int(key[0]))[["station", "day", "seq", "valid"]]
-
-    timed = stream.withWatermark("ts", late).withColumn("slot", F.pmod("day", F.lit(spread)))
-    return timed.groupBy("station", "slot").applyInPandasWithState(update, RECORD, RECORD_STATE, "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def _earliest_valid(rows: pd.DataFrame) -> pd.DataFrame:
-    """Per day, the valid row of smallest sequence, or the smallest one when none is valid."""
-    ordered = rows.assign(missing=rows["valid"].isna()).sort_values(["day", "missing", "seq"])
-    return ordered.drop_duplicates("day")[["day", "seq", "valid"]].reset_index(drop=True)
+    valid = F.nanvl("valid", F.lit(None).cast("double"))
+    best = F.min(F.struct(valid.isNull().alias("missing"), F.col("seq").cast("long").alias("seq"), valid.alias("valid")))
+    # `day` is the window's day; as a key it only comes along.
+    kept = stream.withWatermark("ts", late).groupBy("station", F.col("day").cast("long").alias("day"), F.window("ts", "1 day")).agg(best.alias("r"))
+    return kept.select(F.col("station").cast("long").alias("station"), "day", "r.seq", "r.valid")
 
 
 def registry_sink(spark: SparkSession, folder: str, station: str = "station", day: str = "day") -> Callable[[DataFrame, int], None]:
@@ -141,8 +115,20 @@ def eligible(stream: DataFrame, registry: DataFrame, station: str = "station", d
     return stream.join(registry, station).where(F.col("first_seen") <= F.col(day))
 
 
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ON_DISK = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def drain(stream: DataFrame, folder: str, checkpoint_folder: str) -> DataFrame:
-    """Process everything available into parquet files and read them back."""
-    query = stream.writeStream.outputMode("append").format("parquet").option("path", folder).option("checkpointLocation", checkpoint_folder).trigger(availableNow=True).start()
+    """Process everything available into parquet files and read them back. State beyond memory goes to the executors' disks, unless the session names a store."""
+    conf = stream.sparkSession.conf
+    named = STORE in conf.getAll
+    if not named:
+        conf.set(STORE, ON_DISK)
+    try:
+        query = stream.writeStream.outputMode("append").format("parquet").option("path", folder).option("checkpointLocation", checkpoint_folder).trigger(availableNow=True).start()
+    finally:
+        if not named:
+            conf.unset(STORE)
     query.awaitTermination()
     return stream.sparkSession.read.parquet(folder)

@@ -41,3 +41,18 @@ def test_sessions_close_behind_the_watermark_and_drop_late_rows(spark, tmp_path)
     stream = files(spark, tmp_path / "in", batches, "entity string, ts timestamp")
     done = N.drain(N.gap_sessions(stream, "entity", "ts", "90 minutes", "10 minutes"), str(tmp_path / "out"), str(tmp_path / "state"))
     assert sorted(r["rows"] for r in done.where(F.col("first_time") < F.lit(at(5000))).collect()) == [1, 2]
+
+
+def test_first_valid_records_keep_the_first_valid_row_of_a_closed_day_in_one_aggregate(spark, tmp_path):
+    at = lambda d, hour=0: dt.datetime(1970, 1, 1) + dt.timedelta(days=d, hours=hour)
+    row = lambda station, d, seq, valid, hour=0: (station, d, seq, valid, at(d, hour))
+    batches = [
+        [row(1, 5, 3, 2.0), row(1, 5, 2, None), row(2, 5, 9, None), row(2, 5, 8, float("nan"), 7)], [row(1, 5, 4, 1.0, 3), row(1, 6, 1, 4.0)],
+        [row(3, 40, 1, 1.0)], [row(3, 41, 1, 2.0)], [row(1, 5, 1, 9.0), row(3, 40, 0, 5.0)], [row(9, 90, 1, 1.0)],
+    ]
+    stream = files(spark, tmp_path / "in", batches, "station long, day long, seq long, valid double, ts timestamp")
+    found = N.first_valid_records(stream)
+    assert "InPandas" not in found._jdf.queryExecution().analyzed().toString()
+    done = N.drain(found, str(tmp_path / "out"), str(tmp_path / "state"))
+    assert sorted(map(tuple, done.collect())) == [(1, 5, 3, 2.0), (1, 6, 1, 4.0), (2, 5, 8, None), (3, 40, 0, 5.0), (3, 41, 1, 2.0)]
+    assert N.STORE not in spark.conf.getAll
