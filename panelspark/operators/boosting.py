@@ -13,7 +13,7 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +28,8 @@ UNKNOWN = 255
 BLOCK, PARTITION, ROUNDS = 1 << 15, 1 << 18, 10
 #: (node, column) pairs that one task joins; rows up to which a node is grown in one task.
 JOINED, LOCAL = 64, 1 << 18
+#: Leaves of the trees whose rows are located through sets of leaves (16-bit).
+MASKED = 16
 #: A child must have so much curvature.
 LEAST_CURVATURE = 1e-3
 CUT = "gain double, feature int, bin int, unknown_left boolean, left_g double, left_h double, left_n double, g double, h double, n double"
@@ -82,12 +84,46 @@ def _binned(bins: np.ndarray) -> Callable[[Tree, int, np.ndarray], np.ndarray]:
     return goes_left
 
 
-def _raw(values: list[np.ndarray]) -> Callable[[Tree, int, np.ndarray], np.ndarray]:
-    def goes_left(tree: Tree, at: int, rows: np.ndarray) -> np.ndarray:
-        own = values[tree.feature[at]][rows]
-        return np.where(np.isnan(own), tree.unknown_left[at], own <= tree.threshold[at])
+def leaf_finder(tree: Tree, bins: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """A function that gives, for an array of one entry per node, every row's entry at its leaf.
 
-    return goes_left
+    Each column has a table of 256 sets of leaves that a bin leaves open; the sets of all columns have one leaf
+    in common. Trees of more than MASKED leaves are walked.
+    """
+    ends: list[int] = []
+    inner = []
+
+    def visit(at: int) -> None:
+        if tree.left[at] < 0:
+            ends.append(at)
+            return
+        start = len(ends)
+        visit(int(tree.left[at]))
+        middle = len(ends)
+        visit(int(tree.right[at]))
+        inner.append((at, start, middle, len(ends)))
+
+    visit(0)
+    if len(ends) > MASKED:
+        found = tree.leaves(bins.shape[1], _binned(bins))
+        return lambda entries: entries[found]
+    spans = lambda a, b: (1 << b) - (1 << a)
+    tables: dict[int, np.ndarray] = {}
+    for at, start, middle, stop in inner:
+        left = np.arange(256) <= tree.bin[at]
+        left[UNKNOWN] = tree.unknown_left[at]
+        table = tables.setdefault(int(tree.feature[at]), np.full(256, spans(0, len(ends)), dtype=np.uint16))
+        table &= np.where(left, 0xFFFF ^ spans(middle, stop), 0xFFFF ^ spans(start, middle)).astype(np.uint16)
+    open_ = np.full(bins.shape[1], spans(0, len(ends)), dtype=np.uint16)
+    for column, table in tables.items():
+        open_ &= table[bins[column]]
+
+    def entries_of(entries: np.ndarray) -> np.ndarray:
+        by_set = np.zeros(1 << len(ends), dtype=entries.dtype)
+        by_set[1 << np.arange(len(ends))] = entries[ends]
+        return by_set[open_]
+
+    return entries_of
 
 
 def bin_edges(df: DataFrame, features: Sequence[str], bins: int) -> list[np.ndarray]:
@@ -133,9 +169,8 @@ def _unpacked(batches: Iterator[pa.RecordBatch], trees: list[Tree]) -> Iterator[
             n = block["rows"]
             bins = np.frombuffer(block["bins"], dtype=np.uint8).reshape(-1, n)
             y, weight, margin = (np.frombuffer(block[c]) for c in ("y", "weight", "margin"))
-            goes_left = _binned(bins)
             for tree in trees:
-                margin = margin + tree.value[tree.leaves(n, goes_left)]
+                margin = margin + leaf_finder(tree, bins)(tree.value)
             yield n, bins, y, weight, margin
 
 
@@ -232,10 +267,12 @@ def cuts(blocks: DataFrame, trees: list[Tree], tree: Tree, wanted: dict[int, str
 
     def located(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         for n, bins, y, weight, margin in _unpacked(batches, trees):
-            slot = slots[tree.leaves(n, _binned(bins))]
+            slot = leaf_finder(tree, bins)(slots)
             own = np.flatnonzero(slot >= 0)
-            p = 1 / (1 + np.exp(-margin[own]))
-            yield slot[own], bins[:, own], weight[own] * (p - y[own]), weight[own] * p * (1 - p)
+            if len(own) < n:
+                slot, bins, y, weight, margin = slot[own], bins[:, own], y[own], weight[own], margin[own]
+            p = 1 / (1 + np.exp(-margin))
+            yield slot, bins, weight * (p - y), weight * p * (1 - p)
 
     def keep(rows) -> None:
         for r in rows:
@@ -243,41 +280,38 @@ def cuts(blocks: DataFrame, trees: list[Tree], tree: Tree, wanted: dict[int, str
             best = (*best[:4], best[4:7], best[7:])
             found[path] = _best(iter([best, found[path]])) if path in found else best
 
-    if local.any():
-
-        def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for slot, bins, g, h in located(batches):
-                for k in np.flatnonzero(local):
-                    own = slot == k
-                    if own.any():
-                        packed = [pa.array([x.tobytes()], pa.binary()) for x in (bins[:, own], g[own], h[own])]
-                        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *packed], ["node", "bins", "g", "h"])
-
-        def below(table: pa.Table) -> pa.Table:
-            g, h = (np.concatenate([np.frombuffer(x) for x in table.column(c).to_pylist()]) for c in ("g", "h"))
-            bins = np.concatenate([np.frombuffer(x, dtype=np.uint8).reshape(width, -1) for x in table.column("bins").to_pylist()], axis=1)
-            node = table.column("node")[0].as_py()
-            return _table([(node, path, *cut) for path, cut in subtree(bins, g, h, settings).items()], ["node", "path"], [pa.int32(), pa.string()])
-
-        dealt = blocks.mapInArrow(gather, "node int, bins binary, g binary, h binary").repartition(int(local.sum()), "node")
-        keep(dealt.groupBy("node").applyInArrow(below, f"node int, path string, {CUT}").collect())
-    if not local.all():
-        wide = np.flatnonzero(~local)
-
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums = np.zeros((len(names), width, 3, 256))
-            for slot, bins, g, h in located(batches):
+    wide = np.flatnonzero(~local)
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows of small nodes, block by block (column -1), and the sums of the others by column."""
+        sums = np.zeros((len(names), width, 3, 256))
+        for slot, bins, g, h in located(batches):
+            for k in np.flatnonzero(local):
+                own = slot == k
+                if own.any():
+                    packed = [pa.array([x.tobytes()], pa.binary()) for x in (bins[:, own], g[own], h[own])]
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([-1], pa.int32()), *packed], ["node", "column", "values", "g", "h"])
+            if local.any() and len(wide):
+                own = ~local[slot]
+                slot, bins, g, h = slot[own], bins[:, own], g[own], h[own]
+            if len(wide):
                 sums += _counted(bins, slot, len(names), g, h)
-            packed = [s.tobytes() for s in sums[wide].reshape(-1, 3 * 256)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(wide, width), pa.int32()), pa.array(np.tile(np.arange(width), len(wide)), pa.int32()), pa.array(packed, pa.binary())], ["node", "column", "sums"])
-
-        def join(table: pa.Table) -> pa.Table:
-            gain, *rest = best_cut(sum(np.frombuffer(x) for x in table.column("sums").to_pylist()).reshape(3, 256), settings)
-            node, column = (table.column(c)[0].as_py() for c in ("node", "column"))
+        if len(wide):
+            packed, none = [s.tobytes() for s in sums[wide].reshape(-1, 3 * 256)], pa.nulls(len(wide) * width, pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(wide, width), pa.int32()), pa.array(np.tile(np.arange(width), len(wide)), pa.int32()), pa.array(packed, pa.binary()), none, none], ["node", "column", "values", "g", "h"])
+
+    def meet(table: pa.Table) -> pa.Table:
+        node, column = (table.column(c)[0].as_py() for c in ("node", "column"))
+        if column >= 0:
+            gain, *rest = best_cut(sum(np.frombuffer(x) for x in table.column("values").to_pylist()).reshape(3, 256), settings)
             return _table([(node, "", gain, column, *rest)], ["node", "path"], [pa.int32(), pa.string()])
+        g, h = (np.concatenate([np.frombuffer(x) for x in table.column(c).to_pylist()]) for c in ("g", "h"))
+        bins = np.concatenate([np.frombuffer(x, dtype=np.uint8).reshape(width, -1) for x in table.column("values").to_pylist()], axis=1)
+        return _table([(node, path, *cut) for path, cut in subtree(bins, g, h, settings).items()], ["node", "path"], [pa.int32(), pa.string()])
 
-        dealt = blocks.mapInArrow(count, "node int, column int, sums binary").repartition(-(-len(wide) * width // JOINED), "node", "column")
-        keep(dealt.groupBy("node", "column").applyInArrow(join, f"node int, path string, {CUT}").collect())
+    # One pass serves both kinds of nodes.
+    dealt = blocks.mapInArrow(look, "node int, column int, values binary, g binary, h binary").repartition(int(local.sum()) + -(-len(wide) * width // JOINED), "node", "column")
+    keep(dealt.groupBy("node", "column").applyInArrow(meet, f"node int, path string, {CUT}").collect())
     return found
 
 
@@ -352,14 +386,20 @@ class Boosted:
         if wanted and wanted[-1] > len(trees):
             raise ContractError(f"the model has {len(trees)} rounds")
         width = len(keys)
+        # The thresholds in use, at most one a bin, put every value in a place that decides all of its cuts.
+        places = [np.unique(np.concatenate([np.zeros(0), *[t.threshold[(t.left >= 0) & (t.feature == i)] for t in trees]])) for i in range(len(self.features))]
+        trees = [replace(t, bin=np.array([np.searchsorted(places[f], x) if f >= 0 else -1 for f, x in zip(t.feature, t.threshold)], dtype=np.int32)) for t in trees]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                values = [c.to_numpy(zero_copy_only=False).astype(np.float64) for c in batch.columns[width:]]
-                margin, out, goes_left = np.full(batch.num_rows, self.start), {}, _raw(values)
+                bins = np.empty((len(places), batch.num_rows), dtype=np.uint8)
+                for i, c in enumerate(batch.columns[width:]):
+                    values = c.to_numpy(zero_copy_only=False).astype(np.float64)
+                    bins[i] = np.where(np.isnan(values), UNKNOWN, np.searchsorted(places[i], values))
+                margin, out = np.full(batch.num_rows, self.start), {}
                 for n in range(wanted[-1] + 1):
                     if n:
-                        margin = margin + trees[n - 1].value[trees[n - 1].leaves(batch.num_rows, goes_left)]
+                        margin = margin + leaf_finder(trees[n - 1], bins)(trees[n - 1].value)
                     if n in wanted:
                         out[f"m_{n}"] = pa.array(margin)
                 yield pa.RecordBatch.from_arrays([*batch.columns[:width], *out.values()], [*keys, *out])

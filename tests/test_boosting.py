@@ -162,3 +162,17 @@ def test_refusals(spark):
     assert len(model.trees) == 2 and all(len(t.left) == 1 for t in model.trees)  # nothing to split: the rate alone
     with pytest.raises(ContractError):
         model.margins(df, ["id"], [3])
+
+
+def test_leaves_found_through_sets_are_those_of_the_walk():
+    rng = np.random.default_rng(3)
+    bins = rng.integers(0, 256, (3, 500)).astype(np.uint8)
+    for leaves in (1, 2, 15, 16, 40):
+        split, names = {}, [""]
+        while len(split) < leaves - 1:
+            name = names.pop(int(rng.integers(len(names))))
+            split[name] = (1.0, int(rng.integers(3)), int(rng.integers(255)), bool(rng.integers(2)), (1.0, 1.0, 1.0), (2.0, 2.0, 2.0))
+            names += [name + "l", name + "r"]
+        tree, _ = B._assembled(split, [np.arange(254.0)] * 3, B.Settings(), (1.0, 1.0, 1.0))
+        numbers = np.arange(len(tree.left))
+        assert B.leaf_finder(tree, bins)(numbers).tolist() == tree.leaves(500, B._binned(bins)).tolist()
