@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import gc
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from panelspark.session import checkpoint, shared_folder
 
-__all__ = ["Scratch", "checkpoint", "components", "powers", "shared_folder", "slices", "whole_groups", "word_hashes", "WORD"]
+__all__ = ["Scratch", "checkpoint", "components", "let", "powers", "shared_folder", "slices", "whole_groups", "word_hashes", "WORD"]
 
 #: A word: a maximal run of other characters than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -23,6 +23,11 @@ BASE, SECOND, MIX = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD
 _tables: dict[int, np.ndarray] = {}
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once, however often the body names it; the expression holds it once, too."""
+    return F.transform(F.array(value), body)[0]
+
+
 def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64, kept and grown per worker."""
     have = _tables.get(base)

@@ -14,14 +14,13 @@ Only DataFrame expressions and Spark's own trainer are used.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from panelspark.llm.common import checkpoint
+from panelspark.llm.common import checkpoint, let
 
 #: Function words; an n-gram of these alone is no feature.
 FUNCTION_WORDS = "a an and any are as at be been but by can do does for from has have he her his i if in is it its may no not of on or our she should so such that the their there these they this those to was we were which who will with you your".split()
@@ -124,11 +123,6 @@ STEPS = 21
 FLAGS = 1 << 17
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """`body` of a value that is computed once, however often the body names it."""
-    return F.transform(F.array(value), body)[0]
-
-
 def words(text: Column) -> Column:
     """Lower-case words of letters and digits."""
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")

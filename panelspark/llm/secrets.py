@@ -18,7 +18,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from panelspark.llm.common import checkpoint
+from panelspark.llm.common import checkpoint, let
 
 #: The pattern kinds in the order in which spans are listed. Runs of hex digits and of key
 #: characters are maximal, so their least length may stand in the pattern; an assignment's is tested on its value.
@@ -51,9 +51,7 @@ SPAN = "array<struct<start:int,kind:int,stop:int>>"
 
 def spans_of(text: Column, pattern: str, kind: int, value: int = 0, least: int = 0) -> Column:
     """Spans of leftmost non-overlapping matches, in code points; with `least`, of those whose group `value` is that long."""
-    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(value))
-    zipped = F.arrays_zip(F.transform(found, F.length).alias("n"), F.slice(F.transform(gaps, F.length), 1, F.size(found)).alias("gap"), F.transform(values, F.length).alias("v"))
+    gaps, values = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(value))
 
     def step(state: Column, m: Column) -> Column:
         start = state["at"] + m["1"]
@@ -63,40 +61,59 @@ def spans_of(text: Column, pattern: str, kind: int, value: int = 0, least: int =
 
     empty = F.array().cast(SPAN)
     zero = F.struct(F.lit(0).alias("at"), empty.alias("out"))
-    walked = F.aggregate(F.transform(zipped, lambda m: F.struct(m["n"].alias("0"), m["gap"].alias("1"), m["v"].alias("2"))), zero, step, lambda s: s["out"])
-    return F.when(F.regexp_like(text, F.lit(pattern)), walked).otherwise(empty)
+
+    def walked(found: Column) -> Column:
+        zipped = F.arrays_zip(F.transform(found, F.length).alias("n"), F.slice(F.transform(gaps, F.length), 1, F.size(found)).alias("gap"), F.transform(values, F.length).alias("v"))
+        return F.aggregate(F.transform(zipped, lambda m: F.struct(m["n"].alias("0"), m["gap"].alias("1"), m["v"].alias("2"))), zero, step, lambda s: s["out"])
+
+    return F.when(F.regexp_like(text, F.lit(pattern)), let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), walked)).otherwise(empty)
 
 
 def log_phi(z: Column) -> Column:
     """Natural logarithm of the normal distribution function, by its logistic approximation."""
-    return -F.log1p(F.exp(F.least(-(1.5976 * z + 0.07056 * z * z * z), F.lit(700.0))))
+    return let(z, lambda z: -F.log1p(F.exp(F.least(-(1.5976 * z + 0.07056 * z * z * z), F.lit(700.0)))))
 
 
 def evidence(token: Column) -> Column:
-    """-log10 of the combined probability that ordinary text of this length looks as random as the token."""
-    n = F.length(token).cast("double")
+    """-log10 of the combined probability that ordinary text of this length looks as random as the token.
+
+    Every value that a formula names repeatedly is bound once: written out in place, they multiply to an
+    expression whose analysis takes hundreds of MB of the driver.
+    """
     alphabet, excess = F.lit(float(ENCODINGS[-1][1])), F.lit(ENCODINGS[-1][2])
     for pattern, symbols, delta in reversed(ENCODINGS[:-1]):
         fits = F.regexp_like(token, F.lit(pattern))
         alphabet, excess = F.when(fits, float(symbols)).otherwise(alphabet), F.when(fits, delta).otherwise(excess)
-    chars = F.split(token, "")
-    squares = F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda a, c: a + F.pow(n - F.length(F.replace(token, c, F.lit(""))), F.lit(2.0)))
-    # Under the hypothesis the statistic is non-central chi-squared, taken as normal.
-    freedom, shift = alphabet - 1, n * excess
-    uniformity = (alphabet * squares / n - n - freedom - shift) / F.sqrt(2 * (freedom + 2 * shift))
     classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(token, "[a-z]", "a"), "[A-Z]", "A"), "[0-9]", "0"), "[^aA0]", "+")
     switches = F.regexp_count(classes, F.lit(r"a+|A+|0+|[+]+")).cast("double") - 1
-    runs = (switches - (n - 1) * SWITCHES) / F.sqrt((n - 1) * SWITCHES * (1 - SWITCHES))
-    codes = F.transform(chars, lambda c: F.ascii(c).cast("double"))
-    total = F.aggregate(codes, F.lit(0.0), lambda a, x: a + x)
-    square = F.aggregate(codes, F.lit(0.0), lambda a, x: a + x * x)
-    rotated = F.concat(F.slice(codes, 2, F.size(codes) - 1), F.slice(codes, 1, 1))
-    product = F.aggregate(F.zip_with(codes, rotated, lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-    spread = n * square - total * total
-    serial = F.when(spread > 0, F.abs((n * product - total * total) / spread)).otherwise(1.0)
-    correlation = (serial - CORRELATION) * F.sqrt(n)
-    half = -(log_phi(uniformity) + log_phi(-runs) + log_phi(correlation))
-    return (half - F.log(1 + half + half * half / 2)) / math.log(10.0)
+
+    def uniformity(n: Column, chars: Column) -> Column:
+        """Under the hypothesis the statistic is non-central chi-squared, taken as normal."""
+        squares = F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda a, c: a + F.pow(n - F.length(F.replace(token, c, F.lit(""))), F.lit(2.0)))
+
+        def deviation(alphabet: Column, shift: Column) -> Column:
+            return let(alphabet - 1, lambda freedom: (alphabet * squares / n - n - freedom - shift) / F.sqrt(2 * (freedom + 2 * shift)))
+
+        return let(alphabet, lambda symbols: let(n * excess, lambda shift: deviation(symbols, shift)))
+
+    def correlation(n: Column, codes: Column) -> Column:
+        total = F.aggregate(codes, F.lit(0.0), lambda a, x: a + x)
+        square = F.aggregate(codes, F.lit(0.0), lambda a, x: a + x * x)
+        rotated = F.concat(F.slice(codes, 2, F.size(codes) - 1), F.slice(codes, 1, 1))
+        product = F.aggregate(F.zip_with(codes, rotated, lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+
+        def serial(total: Column) -> Column:
+            return let(n * square - total * total, lambda spread: F.when(spread > 0, F.abs((n * product - total * total) / spread)).otherwise(1.0))
+
+        return (let(total, serial) - CORRELATION) * F.sqrt(n)
+
+    def combined(n: Column, chars: Column) -> Column:
+        runs = (switches - (n - 1) * SWITCHES) / F.sqrt((n - 1) * SWITCHES * (1 - SWITCHES))
+        serial = let(F.transform(chars, lambda c: F.ascii(c).cast("double")), lambda codes: correlation(n, codes))
+        half = -(log_phi(uniformity(n, chars)) + log_phi(-runs) + log_phi(serial))
+        return let(half, lambda half: (half - F.log(1 + half + half * half / 2)) / math.log(10.0))
+
+    return let(F.length(token).cast("double"), lambda n: let(F.split(token, ""), lambda chars: combined(n, chars)))
 
 
 def length_class(n: Column) -> Column:
@@ -114,7 +131,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
     def judged(t: Column) -> Column:
         token = F.substring(text, t["start"] + 1, t["stop"] - t["start"])
-        step = F.floor(F.greatest(evidence(token), F.lit(0.0)) * STEPS)
+        step = F.floor(F.greatest(let(token, evidence), F.lit(0.0)) * STEPS)
         return F.struct(t["start"].alias("start"), t["stop"].alias("stop"), length_class(t["stop"] - t["start"]).alias("class"), F.least(step, F.lit(STEPS * END)).cast("int").alias("bin"))
 
     free = F.filter("__long", lambda t: ~F.exists("__base", lambda b: (b["start"] < t["stop"]) & (b["stop"] > t["start"])))
