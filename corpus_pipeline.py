@@ -25,7 +25,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group with 5-word shingle similarity of 0.8 or more."""
+    """Keep one document of each group linked by fingerprints within 3 bits (pigeonring search) or by 5-word shingle similarity of 0.8 or more."""
     return simhash.keep_one(docs)
 
 

@@ -269,9 +269,13 @@ def set_name(found: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(found.tobytes(), SEED)).astype(np.int64)) if len(found) else 0
 
 
-def set_prints(docs: DataFrame, label: F.Column, words: int, lanes: int) -> DataFrame:
-    """(label, node, size, f0, ...) per document: the name and size of its shingle set, and the majority bits of the set."""
+def set_prints(docs: DataFrame, label: F.Column, words: int, lanes: int, near: int = 0) -> DataFrame:
+    """(label, node, size, f0, ...) per document: the name and size of its shingle set, and the majority bits of the set.
+
+    With `near`, also s0: the 64-bit fingerprint of `fingerprints` from shingles of so many words, repeats included.
+    """
     names = [f"f{k}" for k in range(lanes)]
+    extra = ["s0"] if near else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -280,13 +284,13 @@ def set_prints(docs: DataFrame, label: F.Column, words: int, lanes: int) -> Data
                 found = shingle_set(text, words)
                 node.append(set_name(found))
                 size.append(len(found))
-                prints.append(voted(found, lanes))
-            prints = np.array(prints, dtype=np.uint64).reshape(-1, lanes).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(node, pa.int64()), pa.array(size, pa.int64()), *[pa.array(prints[:, k]) for k in range(lanes)]], ["label", "node", "size", *names])
+                prints.append(np.concatenate([voted(found, lanes), votes(text, near, 1)]) if near else voted(found, lanes))
+            prints = np.array(prints, dtype=np.uint64).reshape(-1, lanes + len(extra)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(node, pa.int64()), pa.array(size, pa.int64()), *[pa.array(prints[:, k]) for k in range(prints.shape[1])]], ["label", "node", "size", *names, *extra])
 
     slim = docs.select(label.alias("label"), F.col("text").cast("string").alias("text"))
     schema = slim.select("label").schema
-    for n in ("node", "size", *names):
+    for n in ("node", "size", *names, *extra):
         schema = schema.add(n, "long")
     return slim.mapInArrow(run, schema)
 
@@ -377,36 +381,71 @@ def exact_links(docs: DataFrame, nodes: DataFrame, loose: DataFrame, words: int,
     return dealt.select("root", "x", "y", "node", "shingles").mapInArrow(run, "a long, b long").distinct()
 
 
-def similar_documents(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, bits: int = 256, slack: float = 7.0, label: F.Column | None = None) -> DataFrame:
-    """(label, f0 .., component_id) per document: groups linked by pairs whose shingle sets have Jaccard `similarity` or more.
+def set_links(docs: DataFrame, nodes: DataFrame, names: list[str], words: int, similarity: float, slack: float) -> DataFrame:
+    """(a, b) of `nodes` (node, size, names), enough of them to connect all whose shingle sets have Jaccard `similarity` or more.
 
     All such pairs meet in a file (see `prefix_files`). Sets of one size with that Jaccard
     meet at an angle whose share of 180 degrees is the expected share of differing bits;
     documents are candidates up to that many bits plus `slack` standard deviations (the
     only step that could lose a pair: by the binomial about 2 in a million at 0.8 for sets of 4 and 5
     shingles, whose bits differ most, and under 1 in 100 million for the other sizes up to 80), and linked if the
-    Jaccard similarity of their sets (of 64-bit hashes) is high enough. Nulls and short
-    texts as in `fingerprints`; texts without words form one group.
+    Jaccard similarity of their sets (of 64-bit hashes) is high enough.
     """
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    share, bits = math.acos(2 * similarity / (1 + similarity)) / math.pi, 64 * len(names)
     distance = math.floor(bits * share + slack * math.sqrt(bits * share * (1 - share)))
+    loose = checkpoint(components(links(prefix_files(docs, nodes, names, words, similarity), names, distance)))
+    return exact_links(docs, nodes, loose, words, similarity)
+
+
+def similar_documents(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, bits: int = 256, slack: float = 7.0, label: F.Column | None = None) -> DataFrame:
+    """(label, f0 .., component_id) per document: groups linked by pairs whose shingle sets have Jaccard `similarity` or more.
+
+    See `set_links`. Nulls and short texts as in `fingerprints`; texts without words form one group.
+    """
     names = [f"f{k}" for k in range(bits // 64)]
     prints = checkpoint(set_prints(docs, F.col("doc_id").cast("long") if label is None else label, words, len(names)))
     nodes = checkpoint(prints.groupBy("node", "size", *names).agg(F.min("label").alias("lowest")))
-    loose = checkpoint(components(links(prefix_files(docs, nodes, names, words, similarity), names, distance)))
-    roots = components(exact_links(docs, nodes, loose, words, similarity))
+    roots = components(set_links(docs, nodes, names, words, similarity, slack))
     joined = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = joined.groupBy("root").agg(F.min("lowest").alias("component_id"))
     return prints.select("label", "node", *names).join(joined.select("node", "root").join(lowest, "root").drop("root"), "node").drop("node")
 
 
+def near_or_similar(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, bits: int = 256, slack: float = 7.0, near: int = 3, label: F.Column | None = None) -> DataFrame:
+    """(label, component_id) per document: groups linked by the pigeonring search of `near_duplicates` or as in `similar_documents`.
+
+    The 64-bit fingerprints of `near`-word shingles are linked at 3 bits, without loss; at that distance the search misses
+    many pairs of high Jaccard similarity, which the links of the shingle sets add. Fingerprints and sets
+    are nodes of one graph, with an edge between a text's fingerprint and its set.
+    """
+    names = [f"f{k}" for k in range(bits // 64)]
+    prints = checkpoint(set_prints(docs, F.col("doc_id").cast("long") if label is None else label, words, len(names), near))
+    nodes = checkpoint(prints.groupBy("node", "size", *names).agg(F.min("label").alias("lowest")))
+    close = prints.select(F.col("s0").alias("node"), F.col("s0").alias("f0")).distinct()
+    close = links(ring_files(close), ["f0"], 3, ring_viable)
+
+    def a_print(column: str) -> F.Column:
+        return F.xxhash64(F.lit("fingerprint"), column)
+
+    def a_set(column: str) -> F.Column:
+        return F.xxhash64(F.lit("set"), column)
+
+    edges = prints.select(a_set("node").alias("a"), a_print("s0").alias("b"))
+    edges = edges.unionByName(close.select(a_print("a").alias("a"), a_print("b").alias("b")))
+    edges = edges.unionByName(set_links(docs, nodes, names, words, similarity, slack).select(a_set("a").alias("a"), a_set("b").alias("b")))
+    # Every set has an edge, so all have a root.
+    joined = nodes.select("node", "lowest", a_set("node").alias("at")).join(components(edges).withColumnRenamed("node", "at"), "at")
+    lowest = joined.groupBy("root").agg(F.min("lowest").alias("component_id"))
+    return prints.select("label", "node").join(joined.select("node", "root").join(lowest, "root").drop("root"), "node").drop("node")
+
+
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of `docs` without near-duplicates: of each group of `similar_documents` the one with the smallest doc_id.
+    """The rows of `docs` without near-duplicates: of each group of `near_or_similar` the one with the smallest doc_id.
 
     Null ids come after all others, equal ids follow the text, and of repeated rows one stays.
     """
     own = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("t"))
-    found = similar_documents(docs, label=own, **options)
+    found = near_or_similar(docs, label=own, **options)
     kept = found.where(F.col("label") == F.col("component_id")).select(F.coalesce("label.id", F.lit(0)).alias("__id"), "label.t", "label.none").distinct()
     rows = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "__none": F.col("doc_id").isNull(), "__t": F.xxhash64("text")})
     kept = kept.select("__id", F.col("t").alias("__t"), F.col("none").alias("__none"))

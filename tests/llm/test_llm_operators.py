@@ -136,6 +136,21 @@ def test_keep_one(spark, hard):
     assert simhash.keep_one(hard.limit(0)).count() == 0
 
 
+def test_keep_one_searches_fingerprints(spark):
+    """Documents within 3 bits are one group below a Jaccard similarity of 0.8, too, and links of both kinds chain."""
+    pairs = []
+    for k in range(400):
+        body = words(200, 9000 + k).split()
+        other = edited(body, 5, k)
+        a, b = (" ".join(x) for x in (body, other))
+        if (simhash.votes(a.encode(), 3, 1) ^ simhash.votes(b.encode(), 3, 1)).item().bit_count() <= 3:
+            sets = [set(simhash.shingle_set(x.encode(), 5).tolist()) for x in (a, b)]
+            assert len(sets[0] & sets[1]) < 0.8 * len(sets[0] | sets[1])
+            pairs += [(3 * k, a), (3 * k + 1, b), (3 * k + 2, " ".join(edited(other, 3, 5000 + k)))]
+    assert len(pairs) >= 9
+    assert sorted(r.doc_id for r in simhash.keep_one(frame(spark, pairs)).collect()) == [i for i, _ in pairs[::3]]
+
+
 def test_similar_documents_recall(spark):
     texts = []
     for k in range(40):
