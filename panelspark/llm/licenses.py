@@ -206,6 +206,18 @@ def train(spark: SparkSession) -> Model:
     return model
 
 
+#: The last session and its model.
+_kept: list[tuple[SparkSession, Model]] = []
+
+
+def trained(spark: SparkSession) -> Model:
+    """The model of this session. It depends on the fixed notices alone, so one training serves every scan; each
+    training leaves hundreds of MB of coefficient vectors for the driver to collect."""
+    if not _kept or _kept[0][0] is not spark:
+        _kept[:] = [(spark, train(spark))]
+    return _kept[0][1]
+
+
 def _log_sum(margins: str, t: float) -> Column:
     top = F.array_max(margins) / t
     return top + F.log(F.aggregate(margins, F.lit(0.0), lambda a, m: a + F.exp(m / t - top)))
@@ -328,7 +340,7 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     Every word is read. Equal texts, and equal paragraphs and lines, are judged once, so a notice that a third of
     the documents share costs one row.
     """
-    model = model or train(docs.sparkSession)
+    model = model or trained(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     bits = flags(model)
     # A paragraph starts at a line with a letter or digit after one without.

@@ -125,3 +125,14 @@ def test_paragraph_and_line_spans(spark, model):
     first, second = len(textwrap.wrap(MIT, 50)), len(textwrap.wrap(BSD, 40))
     want = [(1, 1, [(1, 1, "apache-2.0"), (2, 2, "mit")]), (2, 2, [(0, first - 1, "mit"), (first + 1, first + second, "bsd")]), (3, 0, []), (4, 1, [(3000, 3000, "mit")]), (0, 1, [(0, 0, "mit")]), (0, 0, [])]
     assert got == sorted(want, key=str)
+
+
+def test_one_training_serves_a_session(spark, monkeypatch):
+    """A second scan in a session uses the model of the first and finds the same."""
+    calls, real = [], licenses.train
+    monkeypatch.setattr(licenses, "train", lambda session: calls.append(session) or real(session))
+    monkeypatch.setattr(licenses, "_kept", [])
+    docs = spark.createDataFrame([(1, "# SPDX-License-Identifier: MIT"), (2, "nothing here")], "doc_id long, text string")
+    first, second = (sorted(map(str, licenses.scan(docs).collect())) for _ in range(2))
+    assert first == second and "mit" in first[0]
+    assert calls == [spark]
