@@ -14,6 +14,8 @@ from panelspark.session import checkpoint
 TILE = 64
 #: Side of the smallest tiles of the pyramid, and how many times larger each level's are.
 LEAF, FACTOR = 8, 4
+#: Cells of a group up to which every pair is compared, and bits of the offsets of such a pair.
+PAIRED, BITS = 1 << 9, 16
 FAR = np.iinfo(np.int64).max // 4
 
 
@@ -125,14 +127,39 @@ def tile_candidates(wanted: DataFrame, levels: list[DataFrame], keys: Sequence[s
     return state
 
 
+def _in_small_groups(wanted: DataFrame, cells: DataFrame, keys: list[str]) -> tuple[DataFrame | None, DataFrame | None]:
+    """`wanted` of the groups whose cells are few and close enough to be met in pairs, and of the others; None where there are none."""
+    placed = cells.select(*keys, "x", "y", F.lit(1).alias("__c")).unionByName(wanted.select(*keys, "x", "y", F.lit(0).alias("__c")))
+    span = lambda c: F.max(c) - F.min(c)
+    sizes = placed.groupBy(*keys).agg(((F.sum("__c") <= PAIRED) & (F.greatest(span("x"), span("y")) < 1 << BITS - 1)).alias("__small"))
+    small, large = sizes.agg(F.count(F.when(F.col("__small"), 1)), F.count(F.when(~F.col("__small"), 1))).first()
+    if not large or not small:
+        return (wanted, None) if not large else (None, wanted)
+    sizes = checkpoint(sizes.where("__small").select(*keys))
+    return wanted.join(sizes, keys, "left_semi"), wanted.join(sizes, keys, "left_anti")
+
+
+def _nearest_of_pairs(wanted: DataFrame, cells: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """`nearest_cell` by meeting every cell of the group: distance and offset share one whole number, whose smallest is the answer."""
+    half, c = 1 << BITS - 1, F.col
+    other = cells.select(*keys, c("x").cast("long").alias("__x"), c("y").cast("long").alias("__y"), c(order).alias("__o"))
+    met = wanted.withColumn("__w", F.monotonically_increasing_id()).join(other.withColumnsRenamed({k: f"__r_{k}" for k in keys}), [c(k) == c(f"__r_{k}") for k in keys] + [c("__o") < c(order)], "left")
+    x, y = c("__x") - c("x"), c("__y") - c("y")
+    packed = F.shiftleft(_square(x, y), 2 * BITS) + F.shiftleft((x + half).cast("long"), BITS) + (y + half)
+    found = met.groupBy(*wanted.columns, "__w").agg(F.min(packed).alias("__p"))
+    offset = lambda bits: F.shiftright("__p", bits).bitwiseAND(F.lit((1 << BITS) - 1).cast("long")) - half
+    near = {"near_x": c("x").cast("long") + offset(BITS), "near_y": c("y").cast("long") + offset(0), "near_d2": F.shiftright("__p", 2 * BITS)}
+    return found.withColumns(near).select(*wanted.columns, *near)
+
+
 def nearest_cell(wanted: DataFrame, cells: DataFrame, keys: Sequence[str], *, order: str | None = None, reach: int | None = None, close: int = LEAF) -> DataFrame:
     """For each wanted cell, the nearest cell of the same group: adds `near_x`, `near_y`, `near_d2` (squared cells).
 
     With `order`, only cells whose `order` is smaller than the wanted cell's count
     (for growth: cells first seen earlier). Ties go to the smallest (x, y); NULL where no cell counts, or with `reach`
-    none within it. Without `order`, cells within `close` are found by the distance transform; the rest, and all with
-    `order`, search a pyramid of tile summaries, so the cells compared for each are those of a few
-    smallest tiles, however large or far the group is.
+    none within it. Without `order`, cells within `close` are found by the distance transform; with it, groups of at most
+    PAIRED cells are compared pair by pair. The rest search a pyramid of tile summaries, so the cells
+    compared for each are those of a few smallest tiles, however large or far the group is.
     """
     keys, near = list(keys), ["near_x", "near_y", "near_d2"]
     if order is None:
@@ -145,7 +172,12 @@ def nearest_cell(wanted: DataFrame, cells: DataFrame, keys: Sequence[str], *, or
         placed = checkpoint(placed)
         done, rest = placed.where("near_d2 is not null"), placed.where("near_d2 is null").drop(*near)
     else:
-        done, rest = None, wanted
+        paired, rest = _in_small_groups(wanted, cells, keys)
+        done = None if paired is None else _nearest_of_pairs(paired, cells, keys, order)
+        if reach and done is not None:
+            done = done.withColumns({n: F.when(F.col("near_d2") <= reach * reach, F.col(n)) for n in near})
+        if rest is None:
+            return done
     numbered = checkpoint(rest.withColumn("__w", F.monotonically_increasing_id()))
     tiles = tile_candidates(numbered.select("__w", *keys, "x", "y", *([order] if order else [])), pyramid(cells, keys, order), keys, order)
     at = lambda c: F.floor(F.col(c) / LEAF).cast("long")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from panelspark.functions.geo import bearing
-from panelspark.operators.ordered import cut_points, join_keys, neighbour, quantiles, running
+from panelspark.operators.ordered import group_cuts, join_keys, neighbour, quantiles, running
 from panelspark.operators.nearest import nearest_cell
 from panelspark.session import checkpoint
 
@@ -13,15 +13,15 @@ from panelspark.session import checkpoint
 def sessionise(points: DataFrame, entity: str, time: str, gap: float, session: str = "session") -> DataFrame:
     """Number the sessions 1..n of each entity: a step longer than `gap` starts a new one.
 
-    Works on the distinct times of an entity, cut into pieces, so one very busy
-    entity is spread over many tasks; `time` is in seconds.
+    Rows without an entity or a time are left out. A very busy entity is cut into pieces,
+    so it is spread over many tasks; `time` is in seconds.
     """
-    times = points.select(entity, time).distinct()
-    cuts = cut_points(times, time)
-    stepped = neighbour(times, [entity], time, {"__before": time}, cuts=cuts)
+    points = points.where(F.col(entity).isNotNull() & F.col(time).isNotNull())
+    cuts = group_cuts(points, [entity], time)
+    stepped = neighbour(points, [entity], time, {"__before": time}, cuts=cuts)
     starts = stepped.withColumn("__start", (F.col("__before").isNull() | (F.col(time) - F.col("__before") > gap)).cast("long"))
-    numbered = running(starts, [entity], time, {session: "__start"}, cuts=cuts).select(entity, time, session)
-    return points.join(numbered, [entity, time])
+    # Of rows at one time only one starts a session, and which one is not fixed: all of them take its number.
+    return running(starts, [entity], time, {session: "__start"}, peers=True, cuts=cuts).drop("__before", "__start")
 
 
 def arrival_cells(points: DataFrame, entity: str, session: str, cell_x: str = "cx", cell_y: str = "cy") -> DataFrame:
@@ -32,7 +32,8 @@ def arrival_cells(points: DataFrame, entity: str, session: str, cell_x: str = "c
 def middle_times(points: DataFrame, entity: str, session: str, time: str) -> DataFrame:
     """Time of the middle row (index n div 2) of each session, whatever its size."""
     counted = points.groupBy(entity, session, time).agg(F.count(F.lit(1)).alias("__n"))
-    placed = running(counted, [entity, session], time, {"__upto": "__n"}, totals=True)
+    cuts = group_cuts(counted, [entity, session], time, points)
+    placed = running(counted, [entity, session], time, {"__upto": "__n"}, totals=True, cuts=cuts)
     target = F.floor(F.col("__upto_total") / 2)
     hit = (F.col("__upto") - F.col("__n") <= target) & (target < F.col("__upto"))
     return placed.where(hit).select(entity, session, F.col(time).alias("middle_time"))
@@ -44,14 +45,17 @@ def modal_value(points: DataFrame, keys: list[str], value: str, name: str) -> Da
     return counted.groupBy(*keys).agg(F.min_by(F.col(value), F.struct(-F.col("__n"), F.col(value))).alias(name))
 
 
-def session_summary(points: DataFrame, entity: str, session: str, time: str, power: str, category: str, label: str) -> DataFrame:
+def session_summary(points: DataFrame, entity: str, session: str, time: str, power: str, category: str, label: str, *, written: bool = False) -> DataFrame:
     """One row per session: counts, cells, areas in cells, power, modal category, labels, middle time and hours.
 
     Distinct cells and labels are reduced to their own keys first; nothing is
-    collected per session but the (few) distinct labels.
+    collected per session but the (few) distinct labels. Points that are not a
+    `written` table are written first, as five reductions read them.
     """
     keys = [entity, session]
-    points = checkpoint(points)  # five reductions read the sessions; compute them once
+    points = points if written else checkpoint(points)
+    if not group_cuts(points, keys, time):
+        points = points.repartition(*keys)  # small sessions: four of the reductions and their joins share this shuffle
     cells = points.groupBy(*keys, "cx", "cy").agg(F.count(F.lit(1)).alias("__n"), F.sum(power).alias("__p"), F.max(power).alias("__m"))
     base = cells.groupBy(*keys).agg(
         F.sum("__n").alias("detections"), F.count(F.lit(1)).alias("cells_detected"), F.sum("__p").alias("power_total"), F.max("__m").alias("power_max")
@@ -61,10 +65,10 @@ def session_summary(points: DataFrame, entity: str, session: str, time: str, pow
     table = base.join(arrivals, keys, "left").fillna(0, ["new_cells"])
     table = table.join(modal_value(points, keys, category, "category"), keys).join(labels, keys)
     table = checkpoint(table.join(middle_times(points, entity, session, time), keys))
-    cuts = cut_points(table, session)
+    first = table.where(F.col(session) == 1).select(entity, F.col("middle_time").alias("__first"))
+    cuts = group_cuts(table, [entity], session)
     table = running(table, [entity], session, {"cumulative_cells": "new_cells"}, cuts=cuts)
     table = neighbour(table, [entity], session, {"__previous": "middle_time"}, cuts=cuts)
-    first = table.where(F.col(session) == 1).select(entity, F.col("middle_time").alias("__first"))
     table = table.join(first, entity)
     return table.withColumns(
         {
@@ -81,11 +85,9 @@ def growth_offsets(points: DataFrame, entity: str, session: str, origin: DataFra
     in cell units) when one is reported, and are left out otherwise. `reference`
     says which was used.
     """
-    arrivals = arrival_cells(points, entity, session)
-    starts = arrivals.groupBy(entity).agg(F.min("first_session").alias("__start"))
-    arrivals = checkpoint(arrivals.join(starts, entity))  # both sides of the search
-    later, earliest = arrivals.where("first_session > __start"), arrivals.where("first_session = __start")
-    found = nearest_cell(later.drop("__start"), arrivals, [entity], order="first_session")
+    arrivals = checkpoint(arrival_cells(points, entity, session))  # both sides of the search
+    # Only the cells of an entity's first session have no earlier one.
+    found = nearest_cell(arrivals, arrivals, [entity], order="first_session").where("near_d2 is not null")
     from_cells = found.select(
         entity, F.col("first_session").alias(session), "x", "y",
         (F.col("x") - F.col("near_x")).cast("double").alias("dx"), (F.col("y") - F.col("near_y")).cast("double").alias("dy"),
@@ -93,7 +95,8 @@ def growth_offsets(points: DataFrame, entity: str, session: str, origin: DataFra
     )
     if origin is None:
         return from_cells
-    from_origin = earliest.join(origin, entity).select(
+    starts = arrivals.groupBy(entity).agg(F.min("first_session").alias("__start"))
+    from_origin = arrivals.join(starts, entity).where("first_session = __start").join(origin, entity).select(
         entity, F.col("first_session").alias(session), "x", "y",
         (F.col("x") + 0.5 - F.col("ox")).alias("dx"), (F.col("y") + 0.5 - F.col("oy")).alias("dy"), F.lit("reported_origin").alias("reference"),
     )
@@ -102,7 +105,7 @@ def growth_offsets(points: DataFrame, entity: str, session: str, origin: DataFra
 
 def growth_geometry(offsets: DataFrame, keys: list[str], size: float, quantile: float = 0.9) -> DataFrame:
     """Distance and direction of growth: mean, quantile and maximum distance, mean and head bearing, directionality."""
-    measured = offsets.withColumn("__d", F.hypot("dx", "dy") * size)
+    measured = checkpoint(offsets.select(*keys, "dx", "dy", (F.hypot("dx", "dy") * size).alias("__d")))  # the search is behind both sides of the join
     cut = quantiles(measured, keys, "__d", {"distance_p90": quantile})
     joined = join_keys(measured, cut, keys)
     head = F.col("__d") >= F.col("distance_p90")

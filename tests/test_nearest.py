@@ -103,3 +103,17 @@ def test_tiles_of_the_transform_are_bounded(spark):
     plan = N.nearest_within(cells, ["k"], 16)
     assert plan.count() > 409_600
     assert N.TILE >= 2 * 16
+
+
+@pytest.mark.parametrize("paired", [0, 60, 1 << 9])
+def test_earlier_cells_of_small_groups_are_met_in_pairs(spark, sets, monkeypatch, paired):
+    monkeypatch.setattr(N, "PAIRED", paired)
+    pyramids, real = [], N.pyramid
+    monkeypatch.setattr(N, "pyramid", lambda *a, **o: pyramids.append(a) or real(*a, **o))
+    wide = {"wide": {(-40000, 5), (40000, 5), (0, -40000)}, "far": {(-16000, -16000), (16000, 16000), (16000, -16000)}}
+    placed = [(k, x, y, (x * 7 + y * 3) % 5) for k, s in (sets | wide).items() for x, y in s]
+    df = spark.createDataFrame(placed, "k string, x int, y int, o int")
+    earlier = lambda k, o: [(u, v) for kk, u, v, oo in placed if kk == k and oo < o]
+    got = {(r.k, r.x, r.y): (r.near_d2, r.near_x, r.near_y) for r in N.nearest_cell(df, df, ["k"], order="o").collect()}
+    assert got == {(k, x, y): brute(x, y, earlier(k, o)) if earlier(k, o) else (None, None, None) for k, x, y, o in placed}
+    assert len(pyramids) == 1  # the wide group is never met in pairs

@@ -85,3 +85,27 @@ def test_sample_is_fixed_size_and_repeatable(spark):
     df = spark.range(5000)
     a = {r.id for r in K.uniform_sample(df, 50, K.seeded_priority("id", seed=1)).collect()}
     assert len(a) == 50 and a == {r.id for r in K.uniform_sample(df.repartition(7), 50, K.seeded_priority("id", seed=1)).collect()}
+
+
+@pytest.mark.parametrize("whole", [10, 1 << 18])
+def test_groups_are_cut_only_where_one_is_large(spark, skewed, monkeypatch, whole):
+    calls, real = [], O.cut_points
+    monkeypatch.setattr(O, "cut_points", lambda *a, **o: calls.append(a) or real(*a, **o))
+    monkeypatch.setattr(O, "WHOLE", whole)
+    df, ordered = spark.createDataFrame(skewed), skewed.sort_values("t")
+    got = O.running(df, ["k"], "t", {"r": "v"}, totals=True).toPandas().set_index("id").sort_index()
+    assert got.r.tolist() == ordered.assign(r=ordered.groupby("k").v.cumsum()).sort_values("id").r.tolist()
+    assert got.r_total.tolist() == skewed.groupby("k").v.transform("sum").tolist()
+    near = O.neighbour(df, ["k"], "t", {"n": "id"}).toPandas().set_index("id").sort_index().n
+    assert np.array_equal(near.to_numpy(dtype=float), ordered.assign(n=ordered.groupby("k").id.shift()).sort_values("id").n.to_numpy(), equal_nan=True)
+    cut = O.quantiles(df, ["k"], "v", {"a": 0.3}).toPandas().set_index("k").a
+    assert cut.to_dict() == pytest.approx(skewed.groupby("k").v.quantile(0.3).to_dict())
+    assert bool(calls) == (whole == 10)
+
+
+def test_peers_share_the_sum_of_the_last_of_them(spark, monkeypatch):
+    df = spark.createDataFrame([("a", 1, 1), ("a", 1, 2), ("a", 2, 4), ("b", 1, 8)], "k string, t int, v int")
+    for whole in (1, 10):
+        monkeypatch.setattr(O, "WHOLE", whole)
+        got = O.running(df, ["k"], "t", {"r": "v"}, peers=True).collect()
+        assert sorted((r.k, r.t, r.r) for r in got) == [("a", 1, 3), ("a", 1, 3), ("a", 2, 7), ("b", 1, 8)]

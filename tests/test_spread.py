@@ -176,3 +176,30 @@ def test_later_passes_leave_step_features_unchanged(spark):
         wind = start.select("entity", "observation").distinct().withColumn("downwind_deg", F.lit(90.0))
         out.append((sorted(map(tuple, fresh.collect())), sorted(map(tuple, T.candidate_features(start, active, ["entity", "observation"], 2, wind, 375.0).collect()))))
     assert out[0] == out[1] and len(out[0][0]) == 12
+
+
+@pytest.mark.parametrize("whole", [1, 1 << 18])
+def test_sessions_of_detections_at_one_time(spark, monkeypatch, whole):
+    from panelspark.operators import ordered as O
+
+    monkeypatch.setattr(O, "WHOLE", whole)
+    rows = [(e, t, n) for e in (1, 2) for t in (0, 5, 5, 5, 30, 30, 36, 60, 60) for n in range(3)]
+    got = S.sessionise(spark.createDataFrame([*rows, (None, 1, 0), (1, None, 0)], "e int, t int, n int").repartition(5), "e", "t", 10).collect()
+    numbers = {0: 1, 5: 1, 30: 2, 36: 2, 60: 3}
+    assert sorted((r.e, r.t, r.n, r.session) for r in got) == sorted((e, t, n, numbers[t]) for e, t, n in rows)
+
+
+def test_session_summary_of_small_sessions_shuffles_the_points_once_for_four_reductions(spark):
+    import re
+
+    rows = [(e, t, 1, t % 3, t % 2, "D", "s") for e in range(4) for t in range(0, 400, 7)]
+    points = S.sessionise(spark.createDataFrame(rows, "e int, t int, p int, cx int, cy int, c string, l string"), "e", "t", 10)
+    seen = []
+    real, S.checkpoint = S.checkpoint, lambda df: seen.append(df) or real(df)
+    try:
+        S.session_summary(points, "e", "session", "t", "p", "c", "l").collect()
+    finally:
+        S.checkpoint = real
+    plan = seen[-1]._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"hashpartitioning\(e#\d+, session#\d+[^,]*, \d+\), REPARTITION_BY_COL", plan)) >= 1
+    assert not re.search(r"hashpartitioning\(e#\d+, session#\d+L?, (cx|cy|c|l|t)#", plan)
