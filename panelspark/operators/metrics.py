@@ -10,13 +10,13 @@ from panelspark.operators.ranking import thin, top_k
 EPSILON = 2.220446049250313e-16  # fixed value: float64 machine epsilon, the clip of the log loss
 
 
-def score_levels(df: DataFrame, keys: list[str], y: str, p: str, n: str | None = None) -> DataFrame:
-    """Distinct scores with row and positive counts, and both counts from the top down; `n` names a count of rows where rows are merged already."""
-    counts = df.groupBy(*keys, p).agg((F.sum(n) if n else F.count(F.lit(1))).alias("n"), F.sum(F.col(y).cast("long")).alias("pos"))
+def score_levels(df: DataFrame, keys: list[str], y: str, p: str, n: str | None = None, *, merged: bool = False) -> DataFrame:
+    """Distinct scores with row and positive counts, and both counts from the top down; `n` names a count of rows where rows stand for several, and `merged` says that each score has one row."""
+    counts = df.select(*keys, p, F.col(n).alias("n"), F.col(y).cast("long").alias("pos")) if merged else df.groupBy(*keys, p).agg((F.sum(n) if n else F.count(F.lit(1))).alias("n"), F.sum(F.col(y).cast("long")).alias("pos"))
     return running(counts, keys, p, {"n_upto": "n", "pos_upto": "pos"}, descending=True, totals=True)
 
 
-def binary_metrics(df: DataFrame, keys: list[str], y: str, p: str, n: str | None = None) -> DataFrame:
+def binary_metrics(df: DataFrame, keys: list[str], y: str, p: str, n: str | None = None, *, merged: bool = False) -> DataFrame:
     """Counts, prevalence, average precision, ROC AUC, Brier score and log loss per key.
 
     Average precision is the tie-grouped step sum, NULL without positives; AUC is
@@ -25,7 +25,7 @@ def binary_metrics(df: DataFrame, keys: list[str], y: str, p: str, n: str | None
     c = F.col
     clipped = F.greatest(F.lit(EPSILON), F.least(F.lit(1 - EPSILON), c(p)))
     neg, neg_upto, negatives = c("n") - c("pos"), c("n_upto") - c("pos_upto"), c("n_upto_total") - c("pos_upto_total")
-    table = score_levels(df, keys, y, p, n).groupBy(*keys).agg(
+    table = score_levels(df, keys, y, p, n, merged=merged).groupBy(*keys).agg(
         F.max("n_upto_total").alias("n_samples"), F.max("pos_upto_total").alias("n_positive"),
         F.sum(c("pos") * c("pos_upto") / c("n_upto")).alias("__ap"),
         F.sum(c("pos") * (negatives - neg_upto + neg / 2)).alias("__auc"),

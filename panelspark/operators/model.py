@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
@@ -22,8 +23,10 @@ from panelspark.operators.profile import quantile_table
 from panelspark.session import checkpoint
 
 VECTOR = "__features"
-#: Fits that run at the same time in a search.
-AT_ONCE = 8
+#: Most iterations of a logistic fit where its setting names none.
+ITERATIONS = 25
+#: Fits that run at the same time in a search, and rows that they may hold between them (two run in any case).
+AT_ONCE, HELD = 8, 1 << 25
 
 
 # --- splits ---------------------------------------------------------------
@@ -130,7 +133,7 @@ def censor_mismatches(df: DataFrame, value: str, flag: str) -> DataFrame:
 # --- families -------------------------------------------------------------
 
 def logistic(params: dict, width: int):
-    return LogisticRegression(featuresCol=VECTOR, labelCol="__y", weightCol="__w", regParam=params.get("l2", 0.01), maxIter=params.get("iterations", 25), standardization=False)
+    return LogisticRegression(featuresCol=VECTOR, labelCol="__y", weightCol="__w", regParam=params.get("l2", 0.01), maxIter=params.get("iterations", ITERATIONS), standardization=False)
 
 
 def forest(params: dict, width: int):
@@ -154,6 +157,10 @@ class Fitted:
     def vectors(self, df: DataFrame) -> DataFrame:
         return VectorAssembler(inputCols=self.preprocessor.outputs, outputCol=VECTOR).transform(self.preprocessor.transform(df))
 
+    def on_vectors(self, df: DataFrame, name: str) -> DataFrame:
+        """`df`, which has this model's vectors, with the probability of class 1."""
+        return self.model.transform(df).withColumn(name, vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
+
     def score(self, df: DataFrame, keys: list[str], name: str = "p") -> DataFrame:
         """Keys with the probability of class 1; the original columns of the keys are kept as they came."""
         kept = df.withColumns({f"__k_{k}": F.col(k) for k in keys})
@@ -219,53 +226,95 @@ def out_of_fold(df: DataFrame, folds, family: str, params: dict, features, y: st
 def fold_models(rows: DataFrame, trains: Sequence[str], candidates: dict[str, tuple[str, dict, Sequence[str]]], y: str, *, indicators: Sequence[str] = (), exempt: Sequence[str] = (), balanced: bool = False, forbidden=()) -> dict:
     """{(fold number, candidate): fitted model}, each fitted on the rows that its fold's boolean column of `trains` marks, and no others.
 
-    The statistics of all folds and features come from one preparation. Fits are independent and small
-    jobs for the most part, so AT_ONCE of them run at a time.
+    The statistics of all folds and features come from one preparation, and vectors that several candidates
+    of a fold are fitted on are written once. Fits are independent and small jobs for the most part, so AT_ONCE of them
+    run at a time, fewer over many rows. Of settings that differ in iterations alone the one with the most is
+    fitted first; where it has converged within the iterations of another, that is the same model and the same object.
     """
     for _, _, features in candidates.values():
         guard(features, {y, *forbidden})
     plain = list(dict.fromkeys(c for family, _, features in candidates.values() if family != "boosted" for c in features))
     prepared = Preprocessor.fit_folds(rows, trains, plain, indicators, exempt) if plain else []
     weights = [class_weight(rows.where(t), y) if balanced else F.lit(1.0) for t in trains]
-
-    def one(task: tuple[int, str]) -> tuple:
-        fold, name = task
-        family, params, features = candidates[name]
-        train = rows.where(trains[fold])
-        if family == "boosted":
-            return task, boosting.fit(train, features, y, boosting.Settings(**params), weights[fold] if balanced else None)
+    alike, uses = {}, Counter(tuple(features) for family, _, features in candidates.values() if family != "boosted")
+    for name, (family, params, features) in candidates.items():
+        rest = {k: v for k, v in params.items() if k != "iterations"} if family == "logistic" else {"name": name}
+        alike.setdefault((family, tuple(features), tuple(sorted(rest.items()))), []).append(name)
+    for names in alike.values():
+        names.sort(key=lambda n: -candidates[n][1].get("iterations", ITERATIONS))
+
+    def ready(task: tuple[int, tuple[str, ...]]) -> tuple:
+        fold, features = task
         found = prepared[fold].of(features)
-        ready = found.transform(train.withColumns({"__y": F.col(y).cast("double"), "__w": weights[fold]}))
-        vectors = VectorAssembler(inputCols=found.outputs, outputCol=VECTOR).transform(ready).select(VECTOR, "__y", "__w")
-        return task, estimate(family, params, Prepared(found, vectors))
-
-    with ThreadPool(AT_ONCE) as pool:
-        return dict(pool.map(inheritable_thread_target(rows.sparkSession)(one), [(k, name) for k in range(len(trains)) for name in candidates], chunksize=1))
+        marked = found.transform(rows.where(trains[fold]).withColumns({"__y": F.col(y).cast("double"), "__w": weights[fold]}))
+        vectors = VectorAssembler(inputCols=found.outputs, outputCol=VECTOR).transform(marked).select(VECTOR, "__y", "__w")
+        return task, Prepared(found, checkpoint(vectors) if uses[features] > 1 else vectors)
+
+    def fits(task: tuple[int, list[str]]) -> dict:
+        fold, names = task
+        done, last = {}, None
+        for name in names:
+            family, params, features = candidates[name]
+            if family == "boosted":
+                last = boosting.fit(rows.where(trains[fold]), features, y, boosting.Settings(**params), weights[fold] if balanced else None)
+            elif last is None or last.model.summary.totalIterations > params.get("iterations", ITERATIONS):
+                last = estimate(family, params, tables[fold, tuple(features)])
+            done[fold, name] = last
+        return done
+
+    with ThreadPool(max(2, min(AT_ONCE, HELD // max(1, rows.count())))) as pool:
+        run = lambda f, tasks: pool.map(inheritable_thread_target(rows.sparkSession)(f), tasks, chunksize=1)
+        tables = dict(run(ready, [(k, features) for k in range(len(trains)) for features in uses]))
+        found = run(fits, [(k, names) for k in range(len(trains)) for names in alike.values()])
+    return {task: model for part in found for task, model in part.items()}
+
+
+def score_all(df: DataFrame, models: dict[str, Fitted | boosting.Boosted]) -> DataFrame:
+    """`df` with a score per model, {column: model}; models with the same preprocessing share its vectors."""
+    columns, groups = df.columns, []
+    for name, model in models.items():
+        own = getattr(model, "preprocessor", None)
+        group = next((g for p, g in groups if own is not None and p == own), None)
+        if group is None:
+            groups.append((own, group := {}))
+        group[name] = model
+    for own, group in groups:
+        if own is None:
+            for name, model in group.items():
+                df = model.score(df, df.columns, name)
+            continue
+        before = df.columns
+        df = next(iter(group.values())).vectors(df.withColumns({f"__k_{c}": F.col(c) for c in columns}))
+        for name, model in group.items():
+            df = model.on_vectors(df, name)
+        df = df.select(*[F.col(f"__k_{c}").alias(c) if c in columns else c for c in before], *group)
+    return df
 
 
 def compare_candidates(df: DataFrame, folds, candidates: dict[str, tuple[str, dict, Sequence[str]]], y: str, keys: list[str], baseline: str, **options) -> DataFrame:
     """Fold metrics summary per candidate = {name: (family, params, features)}; best mean average precision first, ties in declared order.
 
-    The columns used are written once. Each fold's validation rows are read once and scored by all of its models, one row with
-    a score per candidate, and these rows are written before they are measured.
+    The columns used are written once. Each fold's validation rows are read once, made vectors once per set of features and
+    scored by each of its different models; these rows are written before they are measured.
     """
     trains, names = [f"__t{k}" for k in range(len(folds))], list(candidates)
     used = list(dict.fromkeys([*options.get("indicators", ()), *(c for _, _, features in candidates.values() for c in features)]))
     marks = {f"__{kind}{k}": F.coalesce(f[at], F.lit(False)) for k, f in enumerate(folds) for kind, at in (("t", 1), ("v", 2))}
     rows = checkpoint(df.select(*dict.fromkeys([*used, y]), *[m.alias(n) for n, m in marks.items()]))
-    models, parts = fold_models(rows, trains, candidates, y, **options), None
-    for k, (fold, _, _) in enumerate(folds):
-        scored = rows.where(f"__v{k}").select(*dict.fromkeys([*used, y]))
+    models, parts, owners = fold_models(rows, trains, candidates, y, **options), None, []
+    for k in range(len(folds)):
+        first = {}  # the first candidate of each different model
         for i, name in enumerate(names):
-            scored = models[k, name].score(scored, scored.columns, f"__p{i}")
-        scored = scored.select(F.lit(fold).alias("fold"), y, *[f"__p{i}" for i in range(len(names))])
+            owners.append((k, first.setdefault(id(models[k, name]), i), i, name))
+        scored = score_all(rows.where(f"__v{k}").select(*dict.fromkeys([*used, y])), {f"__p{i}": models[k, names[i]] for i in first.values()})
+        each = F.array(*[F.struct(F.lit(i).alias("model"), F.col(f"__p{i}").alias("p")) for i in first.values()])
+        scored = scored.select(F.lit(k).alias("fold"), y, each.alias("__s"))
         parts = scored if parts is None else parts.unionByName(scored)
-    each = F.array(*[F.struct(F.lit(i).alias("position"), F.col(f"__p{i}").alias("p")) for i in range(len(names))])
-    long = checkpoint(parts).select("fold", y, F.explode(each).alias("__s")).select("fold", y, "__s.*")
-    levels = checkpoint(long.groupBy("position", "fold", "p").agg(F.count(F.lit(1)).alias("__n"), F.sum(F.col(y).cast("long")).alias(y)))
-    candidate = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("position") + 1).alias("candidate")
-    measured = ["position", "fold", "average_precision", "roc_auc", "brier_score", "log_loss"]
-    metrics = checkpoint(binary_metrics(levels, ["position", "fold"], y, "p", "__n").select(candidate, *measured))
+    long = checkpoint(parts).select("fold", y, F.explode("__s").alias("__s")).select("fold", y, "__s.*")
+    levels = checkpoint(long.groupBy("model", "fold", "p").agg(F.count(F.lit(1)).alias("__n"), F.sum(F.col(y).cast("long")).alias(y)))
+    owned = df.sparkSession.createDataFrame(owners, "fold int, model int, position int, candidate string")
+    measured = binary_metrics(levels, ["model", "fold"], y, "p", "__n", merged=True).join(F.broadcast(owned), ["fold", "model"])  # a row per fold and candidate
+    metrics = checkpoint(measured.select("candidate", "position", "fold", "average_precision", "roc_auc", "brier_score", "log_loss"))
     summary = fold_summary(metrics, "candidate", "fold", "average_precision", baseline)
     others = metrics.groupBy("candidate").agg(F.min("position").alias("position"), F.avg("roc_auc").alias("mean_roc_auc"), F.avg("brier_score").alias("mean_brier"), F.avg("log_loss").alias("mean_log_loss"))
     return summary.join(others, "candidate").orderBy(F.desc("mean_metric"), "position")

@@ -175,3 +175,21 @@ def test_a_search_prepares_all_folds_at_once_and_fits_like_single_folds(spark, m
         assert model.preprocessor.medians == pytest.approx(single.preprocessor.medians) and model.preprocessor.scales == pytest.approx(single.preprocessor.scales)
         assert model.model.coefficients.toArray() == pytest.approx(single.model.coefficients.toArray(), rel=1e-6, abs=1e-9)
         assert model.preprocessor.outputs == single.preprocessor.outputs
+
+
+def test_settings_that_converge_within_their_iterations_are_fitted_and_scored_once(spark, monkeypatch):
+    df = spark.createDataFrame([(y, i, int((i * y) % 7 < 3), float(i % 11) if i % 4 else None, float(i % 5)) for y in (2010, 2011, 2012) for i in range(60)], "year int, id int, y int, a double, b double")
+    marked = df.select("*", (F.col("year") < 2012).alias("t0"))
+    fits, real = [], L.estimate
+    monkeypatch.setattr(L, "estimate", lambda family, params, prepared: fits.append(params) or real(family, params, prepared))
+    features = ["a", "b"]
+    candidates = {"short": ("logistic", {"l2": 0.1, "iterations": 1}, features), "long": ("logistic", {"l2": 0.1, "iterations": 50}, features),
+                  "plain": ("logistic", {"l2": 0.1}, features), "other": ("logistic", {"l2": 1.0}, features), "less": ("logistic", {"l2": 1.0}, ["b"])}
+    models = L.fold_models(marked, ["t0"], candidates, "y", indicators=["a"])
+    assert len(fits) == 4 and models[0, "plain"] is models[0, "long"] and models[0, "short"] is not models[0, "long"]
+    scored = L.score_all(df, {n: models[0, n] for n in candidates})
+    assert scored.columns == [*df.columns, *candidates]
+    got = {(r.year, r.id): r for r in scored.collect()}
+    for n in candidates:
+        single = L.fit("logistic", candidates[n][1], df.where("year < 2012"), candidates[n][2], "y", indicators=["a"]).score(df, ["year", "id", "a"]).collect()
+        assert all(got[r.year, r.id][n] == pytest.approx(r.p, rel=1e-6) and got[r.year, r.id].a == r.a for r in single)
