@@ -10,7 +10,8 @@ bits; longer chains prune what meets there before the full Hamming check.
 
 For a similarity too low for this guarantee (many differing bits), documents are filed
 under the first shingles of their sets instead: in any fixed order of all shingles, two sets
-with Jaccard s or more share one of their first n - ceil(s * n) + 1, n the size of the set.
+with Jaccard s or more share one of their first n - ceil(s * n) + 1, n the size of the set. Frequent
+shingles come last in that order, so that the many texts with a common line don't meet in its files.
 Wide fingerprints leave out the distant pairs that meet there, and the groups that remain
 are taken apart by the exact Jaccard similarity of the shingle sets.
 """
@@ -24,8 +25,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import ArrayType, LongType
 
-from panelspark.llm.common import checkpoint, components, mixed, shingle_hashes, slices, texts_of, whole_groups, word_hashes
+from panelspark.llm.common import BASE, SECOND, checkpoint, components, mixed, prefix_hash, shingle_hashes, slice_hash, slices, texts_of, whole_groups
+from panelspark.session import parts_for
 
 SEED = 42
 #: A file with more members is cut into blocks, and pairs of blocks go to tasks of their own.
@@ -34,37 +37,147 @@ BLOCK = 1 << 15
 FEW = 12
 #: Candidates whose sets have more shingles together are cut into blocks of about this many (8 bytes each).
 SHINGLES = 1 << 21
-#: Bits of the node filter: nodes without a candidate are dropped before their sets are shuffled.
+#: One text in so many tells which shingles are frequent: at most COMMON of them, from LEAST repeats on, counted in parts of about PART.
+TOLD, COMMON, LEAST, PART = 8, 1 << 18, 3, 1 << 22
+#: Hashes, with their sets, that are packed and that meet in a task (16 bytes each).
+BUCKET = 1 << 19
+#: Bits of the bit maps of nodes and of frequent shingles: nodes without a candidate are dropped before their sets are shuffled.
 FILTER_BITS = 1 << 23
 
 
-def votes(text: bytes, size: int, lanes: int) -> np.ndarray:
-    """`lanes` words of 64 bits: a bit is set if more than half of the shingles' hashes (repeats included) set it."""
-    words = text.lower().split()
-    if not words:
-        return np.zeros(lanes, dtype=np.uint64)
-    size = min(size, len(words))
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[: len(words) - size + 1].tolist(), ends[size - 1 :].tolist())], dtype=np.uint64)
-    return voted(hashes, lanes)
-
-
-def voted(hashes: np.ndarray, lanes: int) -> np.ndarray:
-    """The majority of every bit of the hashes, and of hashes mixed from them for the lanes after the first; zero of none."""
-    out = np.zeros(lanes, dtype=np.uint64)
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+_LOWEST = np.uint64(0x0101010101010101)
+#: Blanks for ASCII white space, lower case for A-Z; and whether a byte of that is part of a word.
+_PLAIN = bytes(0x20 if c == 0x20 or 0x09 <= c <= 0x0D else c + 0x20 if 0x41 <= c <= 0x5A else c for c in range(256))
+_WORDS = bytes(c != 0x20 for c in range(256))
+#: Bytes of text that are worked on at once, so that the arrays stay in a core's cache.
+AT_ONCE = 1 << 16
+
+
+class Words:
+    """The words of several texts, split at ASCII white space and A-Z lower-cased: `data` has them with single
+    blanks between, from `start` to `stop`; those of text i are numbered from first[i] to first[i + 1]."""
+
+    def __init__(self, texts: list[bytes]) -> None:
+        padded = b"".join((b" ", b" ".join(texts), b" " * 40)).translate(_PLAIN)
+        self.data, known = np.frombuffer(padded, dtype=np.uint8), np.frombuffer(padded.translate(_WORDS), dtype=np.int8)
+        change = np.diff(known)
+        self.start, self.stop = np.flatnonzero(change == 1) + 1, np.flatnonzero(change == -1) + 1
+        places = np.cumsum([1, *[len(t) + 1 for t in texts]])
+        self.first = np.searchsorted(self.start, places)
+        if (self.start[1:] - self.stop[:-1] > 1).any():
+            keep = known.astype(bool)
+            keep[1:] |= keep[:-1].copy()
+            keep[-40:] = True
+            moved = np.cumsum(keep) - 1
+            self.data, self.start, self.stop = self.data[keep], moved[self.start], moved[self.stop]
+
+    def runs(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First word and the word after the last of all runs of `size` words, text by text (a shorter text has its whole sequence), and where each text's runs begin."""
+        words = np.diff(self.first)
+        count = np.where(words < size, np.minimum(words, 1), words - size + 1)
+        begin = np.concatenate(([0], np.cumsum(count)))
+        at = np.arange(begin[-1]) + np.repeat(self.first[:-1] - begin[:-1], count)
+        return at, at + np.repeat(np.minimum(words, size), count), begin
+
+    def digests(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """XXH64 of the shingles of `size` words, text by text with repeats, and where each text's begin."""
+        at, end, begin = self.runs(size)
+        return xxh64(self.data, self.start[at], self.stop[end - 1] - self.start[at]), begin
+
+    def sets(self, size: int) -> list[np.ndarray]:
+        """`shingle_set` of each text."""
+        words = slice_hash(prefix_hash(self.data, BASE), self.start, self.stop, BASE)
+        out, last = words[: max(0, len(words) - size + 1)].copy(), max(0, len(words) - size + 1)
+        for k in range(1, size):
+            out *= np.uint64(SECOND)
+            out += words[k : k + last]
+        out, found = mixed(out), []
+        for a, b in zip(self.first[:-1].tolist(), self.first[1:].tolist()):
+            one = np.sort(out[a : b - size + 1] if b - a >= size else shingle_hashes(words[a:b], size))
+            found.append(one[np.concatenate(([True], one[1:] != one[:-1]))] if len(one) else one)
+        return found
+
+
+def together(texts: Iterator[bytes]) -> Iterator[list[bytes]]:
+    """The texts in lists of about AT_ONCE bytes."""
+    held, size = [], 0
+    for text in texts:
+        held.append(text)
+        size += len(text) + 64
+        if size >= AT_ONCE:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _turned(h: np.ndarray, bits: int) -> np.ndarray:
+    return (h << np.uint64(bits)) | (h >> np.uint64(64 - bits))
+
+
+def xxh64(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """XXH64 (seed SEED) of each slice of `data`, which has 40 bytes or more behind the last slice.
+
+    Slices of up to 31 bytes, the most part, are hashed side by side in order of length, longer ones one by one.
+    """
+    out = np.empty(len(start), dtype=np.uint64)
+    long = np.flatnonzero(length > 31)
+    if len(long):
+        whole, digest = data.tobytes(), xxhash.xxh64_intdigest
+        out[long] = np.array([digest(whole[a : a + n], SEED) for a, n in zip(start[long].tolist(), length[long].tolist())], dtype=np.uint64)
+    order = np.argsort(np.minimum(length, 32).astype(np.uint8), kind="stable")[: len(start) - len(long)]
+    at, size = start[order], length[order]
+    place = np.searchsorted(size, np.arange(33))
+    eight = np.ndarray((len(data) - 7,), dtype="<u8", buffer=data, strides=(1,)).copy()
+    h = size.astype(np.uint64) + np.uint64((SEED + int(_P5)) % (1 << 64))
+    for k in range(3):
+        own = slice(place[8 * k + 8], None)
+        h[own] = _turned(h[own] ^ _turned(eight[at[own] + 8 * k] * _P2, 31) * _P1, 27) * _P1 + _P4
+    rest = eight[at + (size & ~7)]
+    for k in range(8):
+        if k % 2:
+            own = slice(place[4 * k], place[4 * k + 4])
+            h[own] = _turned(h[own] ^ (rest[own] & np.uint64(0xFFFFFFFF)) * _P1, 23) * _P2 + _P3
+            rest[own] >>= np.uint64(32)
+        for n in range(1, 4):
+            own = slice(place[4 * k + n], place[4 * k + 4])
+            h[own] = _turned(h[own] ^ (rest[own] & np.uint64(0xFF)) * _P5, 11) * _P1
+            rest[own] >>= np.uint64(8)
+    h = (h ^ (h >> np.uint64(33))) * _P2
+    h = (h ^ (h >> np.uint64(29))) * _P3
+    out[order] = h ^ (h >> np.uint64(32))
+    return out
+
+
+def majorities(hashes: np.ndarray, begin: np.ndarray, lanes: int) -> np.ndarray:
+    """(texts, lanes) words of 64 bits: a bit is set if more than half of the text's hashes, from begin[i] to begin[i + 1], set it.
+
+    Lanes after the first take hashes mixed from these; a text without hashes has zeros. Bits of up to 255 hashes
+    are added side by side in the bytes of one word.
+    """
+    count = np.diff(begin)
+    out, own = np.zeros((len(count), lanes), dtype=np.uint64), np.flatnonzero(count)
+    if not len(own):
+        return out
+    pieces = -(-count[own] // 255)
+    at = np.cumsum(pieces) - pieces
+    starts = np.repeat(begin[:-1][own] - 255 * at, pieces) + 255 * np.arange(pieces.sum())
     for lane in range(lanes):
-        lane_hashes = hashes if not lane else mixed(hashes + np.uint64((lane * 0x9E3779B97F4A7C15) % (1 << 64)))
-        count = np.zeros(64, dtype=np.int64)
-        for k in range(0, len(hashes), 1 << 15):
-            bits = np.unpackbits(lane_hashes[k : k + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            count += np.add.reduce(bits, axis=0, dtype=np.int32)
-        out[lane] = np.packbits(count * 2 > len(hashes), bitorder="little").view(np.uint64)[0]
+        own_hashes = hashes if not lane else mixed(hashes + np.uint64((lane * 0x9E3779B97F4A7C15) % (1 << 64)))
+        bits = np.empty((len(own), 8, 8), dtype=bool)
+        for k in range(8):
+            sums = np.add.reduceat((own_hashes >> np.uint64(k)) & _LOWEST, starts).view(np.uint8).reshape(-1, 8)
+            bits[:, :, k] = np.add.reduceat(sums, at, axis=0, dtype=np.int64) * 2 > count[own, None]
+        out[own, lane] = np.packbits(bits.reshape(len(own), 64), axis=1, bitorder="little").view(np.uint64)[:, 0]
     return out
 
 
+def votes(text: bytes, size: int, lanes: int) -> np.ndarray:
+    """`lanes` words of 64 bits: a bit is set if more than half of the shingles' hashes (repeats included) set it."""
+    return majorities(*Words([text]).digests(size), lanes)[0]
+
+
 def fingerprints(docs: DataFrame, *, words: int = 3, bits: int = 64, label: F.Column | None = None) -> DataFrame:
     """(label, f0, f1, ...) per document: `bits` / 64 longs, the first with bits 0-63; `label` defaults to doc_id.
 
@@ -77,7 +190,8 @@ def fingerprints(docs: DataFrame, *, words: int = 3, bits: int = 64, label: F.Co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([votes(t, words, lanes) for t in texts_of(batch)], dtype=np.uint64).reshape(-1, lanes).view(np.int64)
+            found = [majorities(*Words(t).digests(words), lanes) for t in together(texts_of(batch))]
+            found = np.concatenate([np.zeros((0, lanes), dtype=np.uint64), *found]).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("label"), *[pa.array(found[:, k]) for k in range(lanes)]], ["label", *names])
 
     slim = docs.select((F.col("doc_id").cast("long") if label is None else label).alias("label"), F.col("text").cast("string").alias("text"))
@@ -123,41 +237,67 @@ def ring_viable(keys: np.ndarray, differ: np.ndarray) -> np.ndarray:
 
 def ring_files(prints: DataFrame) -> DataFrame:
     """(node, f0, key, home) rows for `links` of 64-bit fingerprints at 3 bits."""
-    return prints.select("node", "f0", F.explode(ring_keys("f0")).alias("file")).select("node", "f0", "file.key", "file.home")
+    # Dealt out before each becomes 68 rows: so few bytes would stay in a few tasks.
+    dealt = prints.select("node", "f0").repartition(parts_for(prints), "node")
+    return dealt.select("node", "f0", F.explode(ring_keys("f0")).alias("file")).select("node", "f0", "file.key", "file.home")
 
 
-def prefix_files(docs: DataFrame, nodes: DataFrame, names: list[str], words: int, similarity: float) -> DataFrame:
-    """(node, names, key, home) rows: each shingle set under the smallest hashes of its set, as many as `similarity` asks for.
+def prefix_files(prints: DataFrame, nodes: DataFrame, names: list[str]) -> DataFrame:
+    """(node, names, key, home) rows: each shingle set under its first hashes (see `set_prints`).
 
-    Every pair of sets with that Jaccard similarity shares a file. Files of one set are left out.
+    Every pair of sets with the Jaccard similarity that those were taken for shares a file. Files of one set, most
+    of them, are left out: hashes and sets travel packed, BUCKET of them a task or a few times that, and only the rest become rows.
     """
+    total = nodes.agg(F.sum(F.col("keys"))).first()[0] or 0
+    buckets = -(-total // BUCKET) or 1
+
+    def packed(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        key, node = (np.concatenate(x) for x in zip(*held))
+        own = key.view(np.uint64) % np.uint64(buckets)
+        order = np.argsort(own, kind="stable")
+        key, node, (own, at) = key[order], node[order], np.unique(own[order], return_index=True)
+        parts = [pa.array([x.tobytes() for x in np.split(values, at[1:])], pa.binary()) for values in (key, node)]
+        return pa.RecordBatch.from_arrays([pa.array(own.astype(np.int64)), *parts], ["bucket", "key", "node"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = set()
+        seen, held, rows = set(), [], 0
         for batch in slices(batches):
-            node, keys = [], []
-            for text in texts_of(batch):
-                found = shingle_set(text, words)
-                name = set_name(found)
-                if len(found) and name not in seen:
+            node, keys, new = batch.column("node").to_numpy(), batch.column("keys"), np.zeros(batch.num_rows, dtype=bool)
+            for i, name in enumerate(node.tolist()):
+                if name not in seen:
                     seen.add(name)
-                    # Rounded down in favour of one more key.
-                    first = found[: len(found) - math.ceil(similarity * len(found) - 1e-6) + 1].view(np.int64)
-                    keys.append(first)
-                    node.append(np.full(len(first), name, dtype=np.int64))
-            if node:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(node))], ["key", "node"])
+                    new[i] = True
+            keys, node = keys.filter(pa.array(new)), node[new]
+            held.append((keys.flatten().to_numpy(), np.repeat(node, np.diff(keys.offsets.to_numpy()))))
+            rows += len(held[-1][0])
+            if rows >= BUCKET:
+                yield packed(held)
+                held, rows = [], 0
+        if rows:
+            yield packed(held)
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, first in whole_groups(batches, ["key"]):
-            key, node = table.column("key").to_numpy(), table.column("node").to_numpy()
-            new = np.ones(len(key), dtype=bool)
-            new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
-            keep = new & np.repeat(np.add.reduceat(new.astype(np.int64), first[:-1]) > 1, np.diff(first))
-            yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(node[keep])], ["key", "node"])
-
-    filed = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "key long, node long")
-    filed = filed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(shared, "key long, node long")
+        held: dict[int, list[tuple[bytes, bytes]]] = {}
+        for batch in batches:
+            for own, key, node in zip(*(c.to_pylist() for c in batch.columns)):
+                held.setdefault(own, []).append((key, node))
+        while held:
+            key, node = (np.frombuffer(b"".join(x), dtype=np.int64) for x in zip(*held.popitem()[1]))
+            order = np.argsort(key)
+            key, node = key[order], node[order]
+            equal = key[1:] == key[:-1]
+            several = np.concatenate(([False], equal)) | np.concatenate((equal, [False]))
+            key, node = key[several], node[several]
+            order = np.lexsort((node, key))
+            key, node = key[order], node[order]
+            new = np.concatenate(([True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])))[: len(key)]
+            key, node = key[new], node[new]
+            equal = key[1:] == key[:-1]
+            several = (np.concatenate(([False], equal)) | np.concatenate((equal, [False])))[: len(key)]
+            yield pa.RecordBatch.from_arrays([pa.array(key[several]), pa.array(node[several])], ["key", "node"])
+
+    filed = prints.select("node", "keys").mapInArrow(run, "bucket long, key binary, node binary")
+    filed = checkpoint(filed.repartition(buckets, "bucket").mapInArrow(shared, "key long, node long"))
     return filed.join(nodes.select("node", *names), "node").withColumn("home", F.lit(True))
 
 
@@ -171,7 +311,8 @@ def links(filed: DataFrame, names: list[str], distance: int, viable: Callable[[n
     beyond BLOCK members are cut into blocks, compared pair by pair of blocks.
     """
     large = filed.where("home").groupBy("key").count().where(F.col("count") > BLOCK)
-    large = large.select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+    # Written, so that Spark sees how few they are before it chooses the join.
+    large = checkpoint(large.select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")))
     filed = filed.join(large, "key", "left")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     across = F.sequence(F.lit(0), F.col("blocks") - 1)
@@ -219,16 +360,19 @@ def forest(prints: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.n
 
     Breadth first: every row is compared once with the rows not yet reached.
     """
-    waiting = np.arange(len(prints))
+    waiting, rest = np.arange(len(prints)), np.ascontiguousarray(prints.T)
     while len(waiting):
-        queue, waiting = [int(waiting[0])], waiting[1:]
+        queue, waiting, rest = [int(waiting[0])], waiting[1:], rest[:, 1:]
         while queue and len(waiting):
             at = queue.pop()
-            near = np.bitwise_count(prints[waiting] ^ prints[at]).sum(axis=1, dtype=np.int64) <= distance
+            differ = np.zeros(len(waiting), dtype=np.uint16)
+            for lane, own in zip(rest, prints[at]):
+                differ += np.bitwise_count(lane ^ own)
+            near = differ <= distance
             if near.any():
                 yield np.full(int(near.sum()), at), waiting[near]
                 queue += waiting[near].tolist()
-                waiting = waiting[~near]
+                waiting, rest = waiting[~near], rest[:, ~near]
 
 
 def groups(prints: DataFrame, names: list[str], edges: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -261,7 +405,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 3, distance: int = 3) -> Da
 
 def shingle_set(text: bytes, size: int) -> np.ndarray:
     """The distinct shingles of a text as sorted 64-bit hashes."""
-    return np.unique(shingle_hashes(word_hashes(text.lower()), size))
+    return Words([text]).sets(size)[0]
 
 
 def set_name(found: np.ndarray) -> int:
@@ -269,102 +413,197 @@ def set_name(found: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(found.tobytes(), SEED)).astype(np.int64)) if len(found) else 0
 
 
-def set_prints(docs: DataFrame, label: F.Column, words: int, lanes: int, near: int = 0) -> DataFrame:
-    """(label, node, size, f0, ...) per document: the name and size of its shingle set, and the majority bits of the set.
+def bit_map(found: DataFrame) -> np.ndarray:
+    """FILTER_BITS bits, of which those of the column `p` modulo FILTER_BITS are set; the driver gets a megabyte at most."""
+    place = F.pmod("p", F.lit(FILTER_BITS)) + 1
+    found = found.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+    # Places count from 1: bucket b has a byte for every eight from (b - 1) * 32768 + 1.
+    marks = np.zeros(FILTER_BITS >> 3, dtype=np.uint8)
+    for row in found.collect():
+        marks[(row.bucket - 1) << 12 : row.bucket << 12] = np.frombuffer(row.bits, dtype=np.uint8)
+    return marks
+
+
+def marked(marks: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """Whether the bit of each 64-bit name is set."""
+    at = names.view(np.uint64) & np.uint64(FILTER_BITS - 1)
+    return (marks[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
+
+def frequent(docs: DataFrame, words: int) -> np.ndarray:
+    """A bit map of the frequent shingles (and of a few others). They only come last in an order; any order gives the same links.
+
+    One text in TOLD is looked at, copies once a task. Each part reports its repeated shingles, less one.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, held, size = set(), [], 0
+
+        def counted() -> pa.RecordBatch:
+            found, times = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(found[times > 1].view(np.int64)), pa.array(times[times > 1] - 1)], ["p", "times"])
+
+        for batch in slices(batches):
+            for texts in together(texts_of(batch)):
+                for one in Words(texts).sets(words):
+                    name = set_name(one)
+                    if name not in seen:
+                        seen.add(name)
+                        held.append(one)
+                        size += len(one)
+                if size >= PART:
+                    yield counted()
+                    held, size = [], 0
+        if size:
+            yield counted()
+
+    told = docs.select(F.col("text").cast("string").alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(TOLD)) == 0)
+    sums = told.mapInArrow(run, "p long, times long").groupBy("p").agg(F.sum("times").alias("times")).where(F.col("times") >= LEAST)
+    return bit_map(sums.orderBy(F.desc("times"), "p").limit(COMMON))
+
+
+def set_prints(docs: DataFrame, label: F.Column, words: int, lanes: int, similarity: float, near: int = 0) -> DataFrame:
+    """(label, node, size, f0, ..., keys) per document: the name and size of its shingle set, the majority bits of the set, and its first hashes.
+
+    `keys` has as many hashes as `similarity` asks for, frequent ones last, else the smallest first: sets with that Jaccard
+    similarity have one in common, and a line that many texts share brings them together only where there is little else.
     With `near`, also s0: the 64-bit fingerprint of `fingerprints` from shingles of so many words, repeats included.
     """
     names = [f"f{k}" for k in range(lanes)]
     extra = ["s0"] if near else []
+    late = docs.sparkSession.sparkContext.broadcast(frequent(docs, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            node, size, prints = [], [], []
-            for text in texts_of(batch):
-                found = shingle_set(text, words)
-                node.append(set_name(found))
-                size.append(len(found))
-                prints.append(np.concatenate([voted(found, lanes), votes(text, near, 1)]) if near else voted(found, lanes))
-            prints = np.array(prints, dtype=np.uint64).reshape(-1, lanes + len(extra)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(node, pa.int64()), pa.array(size, pa.int64()), *[pa.array(prints[:, k]) for k in range(prints.shape[1])]], ["label", "node", "size", *names, *extra])
+        for batch in slices(batches):
+            node, size, prints, keys = [], [], [np.zeros((0, lanes + len(extra)), dtype=np.uint64)], []
+            for texts in together(texts_of(batch)):
+                held = Words(texts)
+                sets = held.sets(words)
+                size += map(len, sets)
+                node += map(set_name, sets)
+                every, begin = np.concatenate(sets), np.cumsum([0, *map(len, sets)])
+                found, last = majorities(every, begin, lanes), marked(late.value, every)
+                prints.append(np.column_stack([found, majorities(*held.digests(near), 1)]) if near else found)
+                for one, at in zip(sets, begin.tolist()):
+                    end = last[at : at + len(one)]
+                    # Rounded down in favour of one more key.
+                    keys.append(np.concatenate((one[~end], one[end]))[: len(one) - math.ceil(similarity * len(one) - 1e-6) + 1].view(np.int64))
+            prints = np.concatenate(prints).view(np.int64)
+            columns = [batch.column("label"), pa.array(node, pa.int64()), pa.array(size, pa.int64()), *[pa.array(prints[:, k]) for k in range(prints.shape[1])]]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(keys, pa.list_(pa.int64()))], ["label", "node", "size", *names, *extra, "keys"])
 
     slim = docs.select(label.alias("label"), F.col("text").cast("string").alias("text"))
     schema = slim.select("label").schema
     for n in ("node", "size", *names, *extra):
         schema = schema.add(n, "long")
-    return slim.mapInArrow(run, schema)
+    return slim.mapInArrow(run, schema.add("keys", ArrayType(LongType())))
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+def sets_of(docs: DataFrame, wanted: DataFrame, words: int, label: F.Column | None = None) -> DataFrame:
     """(node, shingles) once per shingle set whose `node` is in `wanted`, and a few others.
 
     A bit map of fixed size leaves out most other sets, and every task emits a set
-    once, so copies are not shuffled.
+    once, so copies are not shuffled. With the documents' `label`, `wanted` also has the label of
+    one document of each set; other documents are left out before they are read, most of them.
     """
-    place = F.pmod(F.col("node"), F.lit(FILTER_BITS)) + 1
-    found = wanted.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
-    # Places count from 1: bucket b has a byte for every eight from (b - 1) * 32768 + 1.
-    marks = np.zeros(FILTER_BITS >> 3, dtype=np.uint8)
-    for row in found.collect():
-        marks[(row.bucket - 1) << 12 : row.bucket << 12] = np.frombuffer(row.bits, dtype=np.uint8)
-    packed = docs.sparkSession.sparkContext.broadcast(marks)
+    labelled = label is not None
+    names = F.explode(F.array("node", F.xxhash64("label")) if labelled else F.array("node"))
+    packed = docs.sparkSession.sparkContext.broadcast(bit_map(wanted.select(names.alias("p"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, seen = packed.value, set()
         for batch in slices(batches):
+            if labelled:
+                batch = batch.filter(pa.array(marked(held, batch.column("at").to_numpy())))
             nodes, sets = [], []
-            for text in texts_of(batch):
-                one = shingle_set(text, words)
-                node = set_name(one)
-                at = node % FILTER_BITS
-                if held[at >> 3] >> (at & 7) & 1 and node not in seen:
-                    seen.add(node)
-                    nodes.append(node)
-                    sets.append(one.view(np.int64))
+            for texts in together(texts_of(batch)):
+                found = Words(texts).sets(words)
+                names = np.array([set_name(one) for one in found], dtype=np.int64)
+                for k in np.flatnonzero(marked(held, names)).tolist():
+                    node = int(names[k])
+                    if node not in seen:
+                        seen.add(node)
+                        nodes.append(node)
+                        sets.append(found[k].view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"])
+    slim = docs.select(F.col("text").cast("string").alias("text"), *([F.xxhash64(label).alias("at")] if labelled else []))
+    return slim.mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"])
+
+
+def pairwise(sets: list[np.ndarray]) -> Callable[[int, np.ndarray], np.ndarray]:
+    """A function that gives the sizes of the intersections of a set with other ones, all by number."""
+
+    def common(at: int, others: np.ndarray) -> np.ndarray:
+        mine, out = sets[at], np.zeros(len(others), dtype=np.int64)
+        for k, other in enumerate(others.tolist()):
+            if len(mine) and len(sets[other]):
+                slot = np.minimum(np.searchsorted(mine, sets[other]), len(mine) - 1)
+                out[k] = (mine[slot] == sets[other]).sum()
+        return out
+
+    return common
+
+
+def indexed(sets: list[np.ndarray]) -> Callable[[int, np.ndarray], np.ndarray]:
+    """`pairwise` for many sets: those that have a shingle are listed, or marked by a bit where they are one in 32 or more (4 bytes a shingle at most)."""
+    many, row = len(sets), np.repeat(np.arange(len(sets)), [len(one) for one in sets])
+    begin = np.concatenate(([0], np.cumsum([len(one) for one in sets])))
+    _, place, holders = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    dense = (holders > 1) & (holders * 32 >= many)
+    column = np.cumsum(dense) - 1
+    bits = np.zeros((-(-int(dense.sum()) // 64), many), dtype=np.uint64)
+    own = dense[place]
+    np.bitwise_or.at(bits, (column[place[own]] >> 6, row[own]), np.uint64(1) << (column[place[own]] & 63).astype(np.uint64))
+    listed = row[np.argsort(place, kind="stable")]
+    first = np.cumsum(holders) - holders
+    rare = (holders > 1) & ~dense
+
+    def common(at: int, others: np.ndarray) -> np.ndarray:
+        out = np.bitwise_count(bits & bits[:, at, None]).sum(axis=0, dtype=np.int64)
+        mine = place[begin[at] : begin[at + 1]]
+        mine = mine[rare[mine]]
+        length = holders[mine]
+        out += np.bincount(listed[np.arange(length.sum()) + np.repeat(first[mine] - np.cumsum(length) + length, length)], minlength=many)
+        return out[others]
+
+    return common
 
 
 def exact_forest(sets: list[np.ndarray], similarity: float) -> Iterator[tuple[int, int]]:
     """Edges of a spanning forest of the pairs of sets with Jaccard `similarity` or more, breadth first."""
     size = np.array([len(s) for s in sets])
+    common = (pairwise if len(sets) <= FEW else indexed)(sets)
     waiting = np.arange(len(sets))
     while len(waiting):
         queue, waiting = [int(waiting[0])], waiting[1:]
         while queue and len(waiting):
             at = queue.pop()
-            mine = sets[at]
             # Sets of other sizes cannot reach the similarity.
-            low, high = np.minimum(size[waiting], len(mine)), np.maximum(size[waiting], len(mine))
-            near = np.zeros(len(waiting), dtype=bool)
-            for k in np.flatnonzero(low >= similarity * high):
-                other = sets[waiting[k]]
-                if not len(mine) or not len(other):
-                    near[k] = len(mine) == len(other)
-                    continue
-                slot = np.minimum(np.searchsorted(mine, other), len(mine) - 1)
-                common = int((mine[slot] == other).sum())
-                near[k] = common >= similarity * (len(mine) + len(other) - common)
+            low, high = np.minimum(size[waiting], size[at]), np.maximum(size[waiting], size[at])
+            near = low >= similarity * high
+            other = waiting[near]
+            shared = common(at, other)
+            near[near] = shared >= similarity * (size[at] + size[other] - shared)
             for k in waiting[near].tolist():
                 yield at, k
             queue += waiting[near].tolist()
             waiting = waiting[~near]
 
 
-def exact_links(docs: DataFrame, nodes: DataFrame, loose: DataFrame, words: int, similarity: float) -> DataFrame:
+def exact_links(docs: DataFrame, nodes: DataFrame, loose: DataFrame, words: int, similarity: float, label: F.Column) -> DataFrame:
     """(a, b) of nodes whose shingle sets have Jaccard `similarity` or more, enough of them to connect the nodes that such pairs connect.
 
     `loose` (node, root) has the groups in which such pairs are looked for. A group with more than
     SHINGLES shingles is cut into blocks, and each pair of blocks is a task of its own.
     """
-    sized = checkpoint(loose.join(nodes.select("node", "size"), "node"))
+    sized = checkpoint(loose.join(nodes.select("node", "size", F.col("lowest").alias("label")), "node"))
     blocks = sized.groupBy("root").agg(F.greatest(F.lit(1), F.ceil(F.sum("size") / SHINGLES)).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     across = F.sequence(F.lit(0), F.col("blocks") - 1)
     pairs = F.transform(across, lambda j: F.struct(F.least(own, j).alias("x"), F.greatest(own, j).alias("y")))
     dealt = sized.join(blocks, "root").select("root", "node", F.explode(pairs).alias("cell")).select("root", "node", "cell.x", "cell.y")
-    dealt = sets_of(docs, sized, words).join(dealt, "node").repartition("root", "x", "y").sortWithinPartitions("root", "x", "y", "node")
+    dealt = sets_of(docs, sized, words, label).join(dealt, "node").repartition("root", "x", "y").sortWithinPartitions("root", "x", "y", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, first in whole_groups(slices(batches), ["root", "x", "y"], 1):
@@ -381,8 +620,8 @@ def exact_links(docs: DataFrame, nodes: DataFrame, loose: DataFrame, words: int,
     return dealt.select("root", "x", "y", "node", "shingles").mapInArrow(run, "a long, b long").distinct()
 
 
-def set_links(docs: DataFrame, nodes: DataFrame, names: list[str], words: int, similarity: float, slack: float) -> DataFrame:
-    """(a, b) of `nodes` (node, size, names), enough of them to connect all whose shingle sets have Jaccard `similarity` or more.
+def set_links(docs: DataFrame, prints: DataFrame, nodes: DataFrame, names: list[str], words: int, similarity: float, slack: float, label: F.Column) -> DataFrame:
+    """(a, b) of `nodes` (node, size, names, lowest label) of `prints`, enough of them to connect all whose shingle sets have Jaccard `similarity` or more.
 
     All such pairs meet in a file (see `prefix_files`). Sets of one size with that Jaccard
     meet at an angle whose share of 180 degrees is the expected share of differing bits;
@@ -393,8 +632,8 @@ def set_links(docs: DataFrame, nodes: DataFrame, names: list[str], words: int, s
     """
     share, bits = math.acos(2 * similarity / (1 + similarity)) / math.pi, 64 * len(names)
     distance = math.floor(bits * share + slack * math.sqrt(bits * share * (1 - share)))
-    loose = checkpoint(components(links(prefix_files(docs, nodes, names, words, similarity), names, distance)))
-    return exact_links(docs, nodes, loose, words, similarity)
+    loose = checkpoint(components(links(prefix_files(prints, nodes, names), names, distance)))
+    return exact_links(docs, nodes, loose, words, similarity, label)
 
 
 def similar_documents(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, bits: int = 256, slack: float = 7.0, label: F.Column | None = None) -> DataFrame:
@@ -403,9 +642,10 @@ def similar_documents(docs: DataFrame, *, words: int = 5, similarity: float = 0.
     See `set_links`. Nulls and short texts as in `fingerprints`; texts without words form one group.
     """
     names = [f"f{k}" for k in range(bits // 64)]
-    prints = checkpoint(set_prints(docs, F.col("doc_id").cast("long") if label is None else label, words, len(names)))
-    nodes = checkpoint(prints.groupBy("node", "size", *names).agg(F.min("label").alias("lowest")))
-    roots = components(set_links(docs, nodes, names, words, similarity, slack))
+    label = F.col("doc_id").cast("long") if label is None else label
+    prints = checkpoint(set_prints(docs, label, words, len(names), similarity))
+    nodes = checkpoint(prints.groupBy("node", "size", *names).agg(F.min("label").alias("lowest"), F.first(F.size("keys")).alias("keys")))
+    roots = components(set_links(docs, prints, nodes, names, words, similarity, slack, label))
     joined = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = joined.groupBy("root").agg(F.min("lowest").alias("component_id"))
     return prints.select("label", "node", *names).join(joined.select("node", "root").join(lowest, "root").drop("root"), "node").drop("node")
@@ -419,9 +659,10 @@ def near_or_similar(docs: DataFrame, *, words: int = 5, similarity: float = 0.8,
     are nodes of one graph, with an edge between a text's fingerprint and its set.
     """
     names = [f"f{k}" for k in range(bits // 64)]
-    prints = checkpoint(set_prints(docs, F.col("doc_id").cast("long") if label is None else label, words, len(names), near))
-    nodes = checkpoint(prints.groupBy("node", "size", *names).agg(F.min("label").alias("lowest")))
-    close = prints.select(F.col("s0").alias("node"), F.col("s0").alias("f0")).distinct()
+    label = F.col("doc_id").cast("long") if label is None else label
+    prints = checkpoint(set_prints(docs, label, words, len(names), similarity, near))
+    nodes = checkpoint(prints.groupBy("node", "size", *names).agg(F.min("label").alias("lowest"), F.first(F.size("keys")).alias("keys")))
+    close = checkpoint(prints.select(F.col("s0").alias("node"), F.col("s0").alias("f0")).distinct())
     close = links(ring_files(close), ["f0"], 3, ring_viable)
 
     def a_print(column: str) -> F.Column:
@@ -432,7 +673,7 @@ def near_or_similar(docs: DataFrame, *, words: int = 5, similarity: float = 0.8,
 
     edges = prints.select(a_set("node").alias("a"), a_print("s0").alias("b"))
     edges = edges.unionByName(close.select(a_print("a").alias("a"), a_print("b").alias("b")))
-    edges = edges.unionByName(set_links(docs, nodes, names, words, similarity, slack).select(a_set("a").alias("a"), a_set("b").alias("b")))
+    edges = edges.unionByName(set_links(docs, prints, nodes, names, words, similarity, slack, label).select(a_set("a").alias("a"), a_set("b").alias("b")))
     # Every set has an edge, so all have a root.
     joined = nodes.select("node", "lowest", a_set("node").alias("at")).join(components(edges).withColumnRenamed("node", "at"), "at")
     lowest = joined.groupBy("root").agg(F.min("lowest").alias("component_id"))

@@ -16,7 +16,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspa
 
 import corpus_pipeline  # noqa: E402
 from panelspark.llm import decontaminate, imatch, language, licenses, mixing, secrets, simhash, suffixes, tokens, warc  # noqa: E402
-from panelspark.llm.common import components  # noqa: E402
+from panelspark.llm.common import components, word_hashes  # noqa: E402
 from panelspark.llm.queries import QUERIES  # noqa: E402
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, spans string, f0 int, size int"
@@ -201,6 +201,48 @@ def test_similar_documents_complete(spark):
     assert [k for k in range(600) if not found[2 * k] == found[2 * k + 1] == 2 * k] == []
 
 
+def test_words_and_hashes_side_by_side():
+    """Words, shingle hashes and majorities of many texts at once are those of plain loops over each."""
+    draw = np.random.default_rng(17)
+    texts = ["", " ", "a", "  A  b\n\nC ", "\x1c x\x0b\x0cy \xa0", "x" * 40, "日本 語 の\r\n文 " * 30, words(700, 5)]
+    texts += ["".join(draw.choice(list(" \n\tabAB.é日"), draw.integers(0, 300))) for _ in range(60)]
+    held = simhash.Words([t.encode() for t in texts])
+    found, begin = held.digests(3)
+    for i, text in enumerate(texts):
+        own = WORD.findall(lower(text))
+        grams = [" ".join(own[k : k + 3]) for k in range(len(own) - 2)] or [" ".join(own)] * bool(own)
+        assert found[begin[i] : begin[i + 1]].tolist() == [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+        assert int(simhash.majorities(found, begin, 1)[i, 0]) == fingerprint(text)
+        assert np.array_equal(held.sets(5)[i], np.unique(simhash.shingle_hashes(word_hashes(text.encode().lower()), 5)))
+
+
+def test_common_lines_do_not_fill_files(spark):
+    """Texts that share a line but are not similar don't meet in the files of that line's shingles, and similar ones still meet."""
+    line, texts = words(40, 77), []
+    for k in range(400):
+        body = words(80, 7000 + k).split()
+        texts += [(2 * k, f"{' '.join(body)}\n{line}"), (2 * k + 1, f"{' '.join(edited(body, 1, k))}\n{line}")]
+    docs = frame(spark, texts)
+    prints = simhash.set_prints(docs, F.col("doc_id"), 5, 4, 0.8)
+    nodes = prints.groupBy("node", "size", "f0", "f1", "f2", "f3").agg(F.min("label").alias("lowest"), F.first(F.size("keys")).alias("keys"))
+    files = simhash.prefix_files(prints, nodes, ["f0", "f1", "f2", "f3"]).groupBy("key").count()
+    assert files.agg(F.max("count")).first()[0] <= 4
+    assert {r.label: r.component_id for r in simhash.similar_documents(docs).collect()} == {i: i - i % 2 for i in range(800)}
+
+
+def test_large_groups_of_sets_are_compared_by_shingle():
+    """Many sets around one body: the forest connects what all pairs connect, from lists and bits as from pairs of sets."""
+    draw, similarity = np.random.default_rng(23), 0.8
+    body = draw.integers(0, 1 << 62, 300, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([draw.permutation(body)[: 300 - k % 60], draw.integers(0, 1 << 62, k % 45, dtype=np.uint64)])) for k in range(150)]
+    sets += [np.zeros(0, dtype=np.uint64)] * 2 + [np.unique(draw.integers(0, 1 << 62, 50, dtype=np.uint64)) for _ in range(20)]
+    common, plain = simhash.indexed(sets), simhash.pairwise(sets)
+    every = np.arange(len(sets))
+    assert all(np.array_equal(common(k, every[every != k]), plain(k, every[every != k])) for k in every.tolist())
+    close = [(a, b) for a in every.tolist() for b in range(a) if (n := int(plain(a, every[[b]])[0])) >= similarity * (len(sets[a]) + len(sets[b]) - n)]
+    assert roots(every.tolist(), list(simhash.exact_forest(sets, similarity))) == roots(every.tolist(), close)
+
+
 def brute_removed(texts, window):
     counts = collections.Counter()
     data = [(t or "").encode() for t in texts]
