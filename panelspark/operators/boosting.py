@@ -2,9 +2,11 @@
 
 Training rows are binned once and packed into blocks: a byte per value, 255 for unknown.
 A pass over the blocks counts, for the large nodes asked for, the gradients, curvatures and rows of
-every (node, column, bin); the sums meet by (node, column), where the best cut is found, so the
-driver sees one row for each of them. The rows of a node of at most LOCAL rows meet in
-one task, which grows all that the tree may have below it. Trees grow best first, and both ways
+every (node, column, bin); the sums meet by column, where the best cut of each node is found, so the
+driver sees one row for each of them. A tree is much like the one before it, so a pass counts the nodes
+that there would be if the cuts below were those of the tree before: where they are, their sums hold,
+and where they are not, the next pass counts the right nodes. The rows of a node of at most LOCAL rows
+meet in one task, which grows all that the tree may have below it. Trees grow best first, and all ways
 give the same cuts. A fitted model is a small table of nodes.
 """
 
@@ -25,11 +27,11 @@ from panelspark.session import checkpoint
 
 UNKNOWN = 255
 #: Rows of a packed block, of a partition of blocks, and rounds after which the rows' margins are written anew.
-BLOCK, PARTITION, ROUNDS = 1 << 15, 1 << 18, 10
-#: (node, column) pairs that one task joins; rows up to which a node is grown in one task.
-JOINED, LOCAL = 64, 1 << 18
-#: Leaves of the trees whose rows are located through sets of leaves (16-bit).
-MASKED = 16
+BLOCK, PARTITION, ROUNDS = 1 << 15, 1 << 18, 5
+#: Rows up to which a node is grown in one task.
+LOCAL = 1 << 18
+#: Leaves of the trees whose rows are located through sets of leaves (a byte for every eight).
+MASKED = 32
 #: A child must have so much curvature.
 LEAST_CURVATURE = 1e-3
 CUT = "gain double, feature int, bin int, unknown_left boolean, left_g double, left_h double, left_n double, g double, h double, n double"
@@ -84,12 +86,8 @@ def _binned(bins: np.ndarray) -> Callable[[Tree, int, np.ndarray], np.ndarray]:
     return goes_left
 
 
-def leaf_finder(tree: Tree, bins: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
-    """A function that gives, for an array of one entry per node, every row's entry at its leaf.
-
-    Each column has a table of 256 sets of leaves that a bin leaves open; the sets of all columns have one leaf
-    in common. Trees of more than MASKED leaves are walked.
-    """
+def leaf_sets(tree: Tree) -> tuple[list[int], dict[int, list[bytes]]]:
+    """The leaves from left to right; per column, tables of 256 sets of leaves that a bin leaves open, eight leaves in each. Without tables for more than MASKED leaves."""
     ends: list[int] = []
     inner = []
 
@@ -105,25 +103,41 @@ def leaf_finder(tree: Tree, bins: np.ndarray) -> Callable[[np.ndarray], np.ndarr
 
     visit(0)
     if len(ends) > MASKED:
-        found = tree.leaves(bins.shape[1], _binned(bins))
-        return lambda entries: entries[found]
+        return ends, {}
     spans = lambda a, b: (1 << b) - (1 << a)
-    tables: dict[int, np.ndarray] = {}
+    every, tables = spans(0, MASKED), {}
     for at, start, middle, stop in inner:
         left = np.arange(256) <= tree.bin[at]
         left[UNKNOWN] = tree.unknown_left[at]
-        table = tables.setdefault(int(tree.feature[at]), np.full(256, spans(0, len(ends)), dtype=np.uint16))
-        table &= np.where(left, 0xFFFF ^ spans(middle, stop), 0xFFFF ^ spans(start, middle)).astype(np.uint16)
-    open_ = np.full(bins.shape[1], spans(0, len(ends)), dtype=np.uint16)
-    for column, table in tables.items():
-        open_ &= table[bins[column]]
+        table = tables.setdefault(int(tree.feature[at]), np.full(256, every, dtype="<u8"))
+        table &= np.where(left, every ^ spans(middle, stop), every ^ spans(start, middle)).astype("<u8")
+    return ends, {c: [(t >> np.uint64(8 * k) & np.uint64(255)).astype(np.uint8).tobytes() for k in range(-(-len(ends) // 8))] for c, t in tables.items()}
 
-    def entries_of(entries: np.ndarray) -> np.ndarray:
-        by_set = np.zeros(1 << len(ends), dtype=entries.dtype)
-        by_set[1 << np.arange(len(ends))] = entries[ends]
-        return by_set[open_]
 
-    return entries_of
+#: Tables that turn the one leaf of a set, or none, into its number, for the first eight leaves, the next eight, ...
+_NUMBERS = [bytes(8 * k + n.bit_length() - 1 if n and not n & (n - 1) else 0 for n in range(256)) for k in range(MASKED // 8)]
+
+
+def leaf_finder(tree: Tree, bins: np.ndarray, sets: tuple[list[int], dict[int, list[bytes]]] | None = None) -> Callable[[np.ndarray], np.ndarray]:
+    """A function that gives, for an array of one entry per node, every row's entry at its leaf.
+
+    The sets of leaves (`leaf_sets`) that a row's bins leave open have one leaf in common. Trees of more than
+    MASKED leaves are walked.
+    """
+    ends, tables = leaf_sets(tree) if sets is None else sets
+    if len(ends) == 1:
+        return lambda entries: np.full(bins.shape[1], entries[0])
+    if len(ends) > MASKED:
+        found = tree.leaves(bins.shape[1], _binned(bins))
+        return lambda entries: entries[found]
+    held = {c: bins[c].tobytes() for c in tables}
+    number = np.zeros(bins.shape[1], dtype=np.uint8)
+    for k in range(-(-len(ends) // 8)):
+        open_ = np.full(bins.shape[1], (1 << min(8, len(ends) - 8 * k)) - 1, dtype=np.uint8)
+        for c, own in tables.items():
+            open_ &= np.frombuffer(held[c].translate(own[k]), dtype=np.uint8)
+        number |= np.frombuffer(open_.tobytes().translate(_NUMBERS[k]), dtype=np.uint8)
+    return lambda entries: entries[ends][number]
 
 
 def bin_edges(df: DataFrame, features: Sequence[str], bins: int) -> list[np.ndarray]:
@@ -141,7 +155,7 @@ def bin_edges(df: DataFrame, features: Sequence[str], bins: int) -> list[np.ndar
 
 
 def pack(df: DataFrame, features: Sequence[str], y: Column, weight: Column, edges: list[np.ndarray], start: float, rows: int) -> DataFrame:
-    """Blocks of binned rows: (rows, bins, y, weight, margin), the last four as packed arrays."""
+    """Blocks of binned rows: (rows, bins, y, weight, margin), the last four as packed arrays; of weights that follow from y in a block, the two."""
     block = BLOCK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,33 +167,40 @@ def pack(df: DataFrame, features: Sequence[str], y: Column, weight: Column, edge
                 for k, edge in enumerate(held):
                     values = part.column(k + 2).to_numpy(zero_copy_only=False).astype(np.float64)
                     bins[k] = np.where(np.isnan(values), UNKNOWN, np.searchsorted(edge, values))
-                numbers = [part.column(k).to_numpy(zero_copy_only=False).astype(np.float64) for k in (0, 1)]
-                numbers.append(np.full(part.num_rows, start))
-                yield pa.RecordBatch.from_arrays([pa.array([part.num_rows]), *[pa.array([x.tobytes()], pa.binary()) for x in (bins, *numbers)]], ["rows", "bins", "y", "weight", "margin"])
+                y, weights = (part.column(k).to_numpy(zero_copy_only=False).astype(np.float64) for k in (0, 1))
+                two = np.array([weights[y == k][0] if (y == k).any() else 1.0 for k in (0, 1)])
+                y = y.astype(np.uint8)
+                if not (two[y] == weights).all():
+                    two = np.concatenate((two, weights))
+                yield _block(part.num_rows, bins, y, two, np.full(part.num_rows, start))
 
     slim = df.select(y.cast("double").alias("y"), weight.cast("double").alias("w"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(features)])
     slim = slim.repartition(max(1, -(-rows // PARTITION)))
     return checkpoint(slim.mapInArrow(run, "rows long, bins binary, y binary, weight binary, margin binary"))
 
 
-def _unpacked(batches: Iterator[pa.RecordBatch], trees: list[Tree]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(rows, bins, y, weight, margin) of every block, the margin with `trees` added."""
+def _block(n: int, *arrays: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([n]), *[pa.array([x.tobytes()], pa.binary()) for x in arrays]], ["rows", "bins", "y", "weight", "margin"])
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, bins, y, weight, margin) of every block as they are packed."""
     for batch in batches:
-        for block in batch.to_pylist():
-            n = block["rows"]
-            bins = np.frombuffer(block["bins"], dtype=np.uint8).reshape(-1, n)
-            y, weight, margin = (np.frombuffer(block[c]) for c in ("y", "weight", "margin"))
-            for tree in trees:
-                margin = margin + leaf_finder(tree, bins)(tree.value)
-            yield n, bins, y, weight, margin
+        for k in range(batch.num_rows):
+            n = batch.column(0)[k].as_py()
+            bins, y, weight, margin = (np.frombuffer(batch.column(c + 1)[k].as_buffer(), dtype=d) for c, d in enumerate((np.uint8, np.uint8, float, float)))
+            yield n, bins.reshape(-1, n), y, weight, margin
 
 
 def with_margins(blocks: DataFrame, trees: list[Tree]) -> DataFrame:
     """The blocks with the trees' values added to the margins, written anew."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for n, bins, y, weight, margin in _unpacked(batches, trees):
-            yield pa.RecordBatch.from_arrays([pa.array([n]), *[pa.array([x.tobytes()], pa.binary()) for x in (bins, y, weight, margin)]], ["rows", "bins", "y", "weight", "margin"])
+        sets = [leaf_sets(t) for t in trees]
+        for n, bins, y, weight, margin in _unpacked(batches):
+            for tree, own in zip(trees, sets):
+                margin = margin + leaf_finder(tree, bins, own)(tree.value)
+            yield _block(n, bins, y, weight, margin)
 
     return checkpoint(blocks.mapInArrow(run, blocks.schema))
 
@@ -254,64 +275,72 @@ def subtree(bins: np.ndarray, g: np.ndarray, h: np.ndarray, settings: Settings)
     return known
 
 
-def cuts(blocks: DataFrame, trees: list[Tree], tree: Tree, wanted: dict[int, str], small: set[str], width: int, settings: Settings) -> dict[str, tuple]:
-    """The best cut of each node in `wanted` ({node of the growing tree: path}): (gain, column, bin, side, left sums, own sums).
+def cuts(blocks: DataFrame, trees: list[Tree], tree: Tree, wanted: dict[str, list[int]], small: dict[str, int], width: int, settings: Settings) -> dict[str, tuple]:
+    """The best cut of each node in `wanted` ({path: its leaves in the growing tree}): (gain, column, bin, side, left sums, own sums).
 
-    For the paths in `small` also those of the nodes below.
+    Also those of the nodes in `small` ({path: node of the growing tree}) and of the nodes below these.
     """
     found: dict[str, tuple] = {}
-    names = list(wanted.values())
+    names, locals_ = list(wanted), list(small)
+    counted = sorted({at for leaves in wanted.values() for at in leaves})
     slots = np.full(len(tree.left), -1)
-    slots[list(wanted)] = np.arange(len(wanted))
-    local = np.array([n in small for n in names])
+    slots[counted + list(small.values())] = np.arange(len(counted) + len(small))
+    own_slots = [slots[leaves].tolist() for leaves in wanted.values()]
+    many = len(counted)
 
     def located(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-        for n, bins, y, weight, margin in _unpacked(batches, trees):
-            slot = leaf_finder(tree, bins)(slots)
-            own = np.flatnonzero(slot >= 0)
-            if len(own) < n:
-                slot, bins, y, weight, margin = slot[own], bins[:, own], y[own], weight[own], margin[own]
+        growing, sets = leaf_sets(tree), [leaf_sets(t) for t in trees]
+        for n, bins, y, weight, margin in _unpacked(batches):
+            slot = leaf_finder(tree, bins, growing)(slots)
+            own = slot >= 0
+            if not own.all():
+                slot, bins, y, margin = slot[own], bins[:, own], y[own], margin[own]
+                weight = weight if len(weight) == 2 else np.concatenate((weight[:2], weight[2:][own]))
+            for one, leaves in zip(trees, sets):
+                margin = margin + leaf_finder(one, bins, leaves)(one.value)
             p = 1 / (1 + np.exp(-margin))
-            yield slot, bins, weight * (p - y), weight * p * (1 - p)
+            weight = weight[y] if len(weight) == 2 else weight[2:]
+            g = weight * (p - y)
+            weight = weight * p
+            yield slot, bins, g, weight * (1 - p)
 
     def keep(rows) -> None:
         for r in rows:
-            path, best = names[r.node] + (r.path or ""), tuple(r[2:])
+            path, best = names[r.node] if r.path is None else locals_[r.node] + r.path, tuple(r[2:])
             best = (*best[:4], best[4:7], best[7:])
             found[path] = _best(iter([best, found[path]])) if path in found else best
 
-    wide = np.flatnonzero(~local)
-
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The rows of small nodes, block by block (column -1), and the sums of the others by column."""
-        sums = np.zeros((len(names), width, 3, 256))
+        """The rows of small nodes, block by block (column -1 and below), and the sums of the others by column."""
+        sums = np.zeros((many, width, 3, 256))
         for slot, bins, g, h in located(batches):
-            for k in np.flatnonzero(local):
-                own = slot == k
+            for k in range(len(locals_)):
+                own = slot == many + k
                 if own.any():
                     packed = [pa.array([x.tobytes()], pa.binary()) for x in (bins[:, own], g[own], h[own])]
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([-1], pa.int32()), *packed], ["node", "column", "values", "g", "h"])
-            if local.any() and len(wide):
-                own = ~local[slot]
+                    yield pa.RecordBatch.from_arrays([pa.array([-1 - k], pa.int32()), *packed], ["column", "values", "g", "h"])
+            if locals_ and many:
+                own = slot < many
                 slot, bins, g, h = slot[own], bins[:, own], g[own], h[own]
-            if len(wide):
-                sums += _counted(bins, slot, len(names), g, h)
-        if len(wide):
-            packed, none = [s.tobytes() for s in sums[wide].reshape(-1, 3 * 256)], pa.nulls(len(wide) * width, pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(wide, width), pa.int32()), pa.array(np.tile(np.arange(width), len(wide)), pa.int32()), pa.array(packed, pa.binary()), none, none], ["node", "column", "values", "g", "h"])
+            if many:
+                sums += _counted(bins, slot, many, g, h)
+        if many:
+            packed, none = [sums[:, k].tobytes() for k in range(width)], pa.nulls(width, pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(width), pa.int32()), pa.array(packed, pa.binary()), none, none], ["column", "values", "g", "h"])
 
     def meet(table: pa.Table) -> pa.Table:
-        node, column = (table.column(c)[0].as_py() for c in ("node", "column"))
+        column = table.column("column")[0].as_py()
         if column >= 0:
-            gain, *rest = best_cut(sum(np.frombuffer(x) for x in table.column("values").to_pylist()).reshape(3, 256), settings)
-            return _table([(node, "", gain, column, *rest)], ["node", "path"], [pa.int32(), pa.string()])
+            sums = sum(np.frombuffer(x.as_buffer()) for x in table.column("values")).reshape(many, 3, 256)
+            best = [best_cut(sums[leaves].sum(axis=0), settings) for leaves in own_slots]
+            return _table([(k, None, gain, column, *rest) for k, (gain, *rest) in enumerate(best)], ["node", "path"], [pa.int32(), pa.string()])
         g, h = (np.concatenate([np.frombuffer(x) for x in table.column(c).to_pylist()]) for c in ("g", "h"))
         bins = np.concatenate([np.frombuffer(x, dtype=np.uint8).reshape(width, -1) for x in table.column("values").to_pylist()], axis=1)
-        return _table([(node, path, *cut) for path, cut in subtree(bins, g, h, settings).items()], ["node", "path"], [pa.int32(), pa.string()])
+        return _table([(-1 - column, path, *cut) for path, cut in subtree(bins, g, h, settings).items()], ["node", "path"], [pa.int32(), pa.string()])
 
     # One pass serves both kinds of nodes.
-    dealt = blocks.mapInArrow(look, "node int, column int, values binary, g binary, h binary").repartition(int(local.sum()) + -(-len(wide) * width // JOINED), "node", "column")
-    keep(dealt.groupBy("node", "column").applyInArrow(meet, f"node int, path string, {CUT}").collect())
+    dealt = blocks.mapInArrow(look, "column int, values binary, g binary, h binary").repartition(len(locals_) + width * bool(many), "column")
+    keep(dealt.groupBy("column").applyInArrow(meet, f"node int, path string, {CUT}").collect())
     return found
 
 
@@ -334,12 +363,19 @@ def _assembled(split: dict[str, tuple], edges: list[np.ndarray], settings: Setti
     return Tree(*[np.array(c, dtype=k) for c, k in zip(zip(*rows), kinds)]), dict(enumerate(names))
 
 
-def grow(look: Callable[[Tree, dict[int, str], set[str]], dict[str, tuple]], edges: list[np.ndarray], settings: Settings, rows: int) -> Tree:
-    """Split the node with the highest gain until there are `leaves` leaves or no gain; `look` finds the cuts of nodes.
+#: Stands for the sums of nodes that only locate rows.
+_ANY = ((0.0, 1.0, 0.0), (0.0, 2.0, 0.0))
+
+
+def grow(look: Callable[[Tree, dict[str, list[int]], dict[str, int]], dict[str, tuple]], edges: list[np.ndarray], settings: Settings, rows: int, guess: dict[str, tuple] | None = None) -> tuple[Tree, dict[str, tuple]]:
+    """Split the node with the highest gain until there are `leaves` leaves or no gain; `look` finds the cuts of nodes. Also (column, bin, side) by path.
 
     One look serves all nodes that the order of splits so far would still depend on, and grows small ones to the end.
+    Below the large ones it also counts the nodes that the cuts of `guess` make; a node is taken from there
+    only if the cuts above it are found to be those.
     """
     known: dict[str, tuple] = {}
+    guess = guess or {}
     while True:
         split: dict[str, tuple] = {}
         order = [(-known[""][0], "")] if known else []
@@ -356,10 +392,20 @@ def grow(look: Callable[[Tree, dict[int, str], set[str]], dict[str, tuple]], edg
                         heapq.heappush(order, (-known[child][0], child))
                     else:
                         missing[child] = n
-        tree, names = _assembled(split, edges, settings, known[""][5] if known else None)
         if not missing:
-            return tree
-        known |= look(tree, {at: name for at, name in names.items() if name in missing}, {name for name, n in missing.items() if n <= LOCAL})
+            return _assembled(split, edges, settings, known[""][5] if known else None)[0], {name: cut[1:4] for name, cut in split.items()}
+        large = [name for name, n in missing.items() if n > LOCAL]
+        below = {name: (0.0, *cut, *_ANY) for name, cut in guess.items() if any(name.startswith(top) for top in large)}
+        tree, names = _assembled(split | below, edges, settings, known[""][5] if known else _ANY[0])
+        at = {name: k for k, name in names.items()}
+        wanted = {name: [k for k, end in names.items() if tree.left[k] < 0 and end.startswith(name)] for name in names.values() if any(name.startswith(top) for top in large)}
+        found = look(tree, wanted, {name: at[name] for name, n in missing.items() if n <= LOCAL})
+        known |= {name: cut for name, cut in found.items() if name not in wanted}
+        while large:
+            name = large.pop()
+            known[name] = found[name]
+            if name in guess and found[name][1:4] == guess[name]:
+                large += [name + "l", name + "r"]
 
 
 @dataclass(frozen=True)
@@ -391,6 +437,7 @@ class Boosted:
         trees = [replace(t, bin=np.array([np.searchsorted(places[f], x) if f >= 0 else -1 for f, x in zip(t.feature, t.threshold)], dtype=np.int32)) for t in trees]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sets = [leaf_sets(t) for t in trees]
             for batch in batches:
                 bins = np.empty((len(places), batch.num_rows), dtype=np.uint8)
                 for i, c in enumerate(batch.columns[width:]):
@@ -399,7 +446,7 @@ class Boosted:
                 margin, out = np.full(batch.num_rows, self.start), {}
                 for n in range(wanted[-1] + 1):
                     if n:
-                        margin = margin + leaf_finder(trees[n - 1], bins)(trees[n - 1].value)
+                        margin = margin + leaf_finder(trees[n - 1], bins, sets[n - 1])(trees[n - 1].value)
                     if n in wanted:
                         out[f"m_{n}"] = pa.array(margin)
                 yield pa.RecordBatch.from_arrays([*batch.columns[:width], *out.values()], [*keys, *out])
@@ -432,10 +479,11 @@ def fit(train: DataFrame, features: Sequence[str], y: str, settings: Settings =
     if odd or not n or not 0 < pos < all_:
         raise ContractError("labels must be 0 or 1, and both classes are needed")
     edges, start = bin_edges(train, features, settings.bins), math.log(pos / (all_ - pos))
-    blocks, trees, done = pack(train, features, label, weight, edges, start, n), [], 0
+    blocks, trees, done, guess = pack(train, features, label, weight, edges, start, n), [], 0, {}
     for _ in range(settings.rounds):
         if len(trees) - done == ROUNDS:
             blocks, done = with_margins(blocks, trees[done:]), len(trees)
         fresh = trees[done:]
-        trees.append(grow(lambda tree, wanted, small: cuts(blocks, fresh, tree, wanted, small, len(features), settings), edges, settings, n))
+        tree, guess = grow(lambda tree, wanted, small: cuts(blocks, fresh, tree, wanted, small, len(features), settings), edges, settings, n, guess)
+        trees.append(tree)
     return Boosted(tuple(features), start, trees)

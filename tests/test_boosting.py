@@ -176,3 +176,35 @@ def test_leaves_found_through_sets_are_those_of_the_walk():
         tree, _ = B._assembled(split, [np.arange(254.0)] * 3, B.Settings(), (1.0, 1.0, 1.0))
         numbers = np.arange(len(tree.left))
         assert B.leaf_finder(tree, bins)(numbers).tolist() == tree.leaves(500, B._binned(bins)).tolist()
+
+
+def test_guessed_cuts_change_nothing_but_the_number_of_looks(spark, monkeypatch):
+    """Nodes below the cuts of the tree before hold only where the cuts are the same; a wrong guess gives the same tree."""
+    _, df = table(spark, 2000)
+    settings = B.Settings(rounds=6, rate=0.05, leaves=6, min_leaf=40, bins=32)
+    monkeypatch.setattr(B, "LOCAL", 0)
+    looks, cuts, grow = [], B.cuts, B.grow
+    monkeypatch.setattr(B, "cuts", lambda *a: looks.append(1) or cuts(*a))
+    guessed = B.fit(df, FEATURES, "y", settings)
+    with_guess = len(looks)
+    monkeypatch.setattr(B, "grow", lambda look, edges, settings, rows, guess: grow(look, edges, settings, rows))
+    plain = B.fit(df, FEATURES, "y", settings)
+    without = len(looks) - with_guess
+    wrong = {"": (3, 0, False), "l": (2, 5, True), "ll": (0, 1, False), "r": (1, 2, True)}
+    monkeypatch.setattr(B, "grow", lambda look, edges, settings, rows, guess: grow(look, edges, settings, rows, wrong))
+    misled = B.fit(df, FEATURES, "y", settings)
+    assert with_guess < without
+    for other in (plain, misled):
+        for s, t in zip(guessed.trees, other.trees):
+            assert (s.feature == t.feature).all() and (s.bin == t.bin).all() and np.allclose(s.value, t.value, atol=1e-9)
+
+
+def test_weights_of_rows_and_of_classes(spark, monkeypatch):
+    """Blocks keep two weights where they follow from the class, else one a row; blocks of two rows too."""
+    rows, df = table(spark, 300)
+    by_row = F.when(F.col("id") % 3 == 0, 2.0).otherwise(1.0)
+    for block in (300, 3, 2):
+        monkeypatch.setattr(B, "BLOCK", block)
+        packed = B.pack(df, ["a"], F.col("y").cast("double"), by_row, [np.array([0.0])], 0.0, 300).toArrow()
+        found = [(int(k), float(w)) for n, _, y, weight, _ in B._unpacked(iter(packed.to_batches())) for k, w in zip(y, weight[y] if len(weight) == 2 else weight[2:])]
+        assert sorted(found) == sorted((r[1], 2.0 if r[0] % 3 == 0 else 1.0) for r in rows)
