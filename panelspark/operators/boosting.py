@@ -3,8 +3,8 @@
 Training rows are binned once and packed into blocks: a byte per value, 255 for unknown.
 A pass over the blocks counts, for the large nodes asked for, the gradients, curvatures and rows of
 every (node, column, bin); the sums meet by column, where the best cut of each node is found, so the
-driver sees one row for each of them. A tree is much like the one before it, so a pass counts the nodes
-that there would be if the cuts below were those of the tree before: where they are, their sums hold,
+driver sees one row for each of them. A tree is much like those before it, so a pass also counts the nodes
+that there would be if the cuts below were those found before: where they are, their sums hold,
 and where they are not, the next pass counts the right nodes. The rows of a node of at most LOCAL rows
 meet in one task, which grows all that the tree may have below it. Trees grow best first, and all ways
 give the same cuts. A fitted model is a small table of nodes.
@@ -367,15 +367,16 @@ def _assembled(split: dict[str, tuple], edges: list[np.ndarray], settings: Setti
 _ANY = ((0.0, 1.0, 0.0), (0.0, 2.0, 0.0))
 
 
-def grow(look: Callable[[Tree, dict[str, list[int]], dict[str, int]], dict[str, tuple]], edges: list[np.ndarray], settings: Settings, rows: int, guess: dict[str, tuple] | None = None) -> tuple[Tree, dict[str, tuple]]:
-    """Split the node with the highest gain until there are `leaves` leaves or no gain; `look` finds the cuts of nodes. Also (column, bin, side) by path.
+def grow(look: Callable[[Tree, dict[str, list[int]], dict[str, int]], dict[str, tuple]], edges: list[np.ndarray], settings: Settings, rows: int, memory: dict | None = None) -> Tree:
+    """Split the node with the highest gain until there are `leaves` leaves or no gain; `look` finds the cuts of nodes.
 
     One look serves all nodes that the order of splits so far would still depend on, and grows small ones to the end.
-    Below the large ones it also counts the nodes that the cuts of `guess` make; a node is taken from there
-    only if the cuts above it are found to be those.
+    Below the large ones it also counts the nodes that remembered cuts make, those of the highest gains; a node is
+    taken from there only if the cuts above it are found to be those. `memory` has the (gain, column, bin, side) found
+    last, by a node's cuts from the root and by its path.
     """
     known: dict[str, tuple] = {}
-    guess = guess or {}
+    memory = {} if memory is None else memory
     while True:
         split: dict[str, tuple] = {}
         order = [(-known[""][0], "")] if known else []
@@ -393,18 +394,38 @@ def grow(look: Callable[[Tree, dict[str, list[int]], dict[str, int]], dict[str,
                     else:
                         missing[child] = n
         if not missing:
-            return _assembled(split, edges, settings, known[""][5] if known else None)[0], {name: cut[1:4] for name, cut in split.items()}
+            return _assembled(split, edges, settings, known[""][5] if known else None)[0]
         large = [name for name, n in missing.items() if n > LOCAL]
-        below = {name: (0.0, *cut, *_ANY) for name, cut in guess.items() if any(name.startswith(top) for top in large)}
+        above = {name: tuple((split[name[:k]][1:4], name[k]) for k in range(len(name))) for name in large}
+        below: dict[str, tuple] = {}
+        ahead: list[tuple[float, str]] = []
+
+        def expect(name: str) -> None:
+            cut = memory.get(above[name]) or memory.get(name)
+            if cut and cut[0] > 0:
+                heapq.heappush(ahead, (-cut[0], name))
+
+        for name in large:
+            expect(name)
+        while ahead and len(split) + len(below) < max(settings.leaves, MASKED) - 1:
+            name = heapq.heappop(ahead)[1]
+            cut = (memory.get(above[name]) or memory[name])[1:]
+            below[name] = (0.0, *cut, *_ANY)
+            for side in "lr":
+                above[name + side] = (*above[name], (cut, side))
+                expect(name + side)
         tree, names = _assembled(split | below, edges, settings, known[""][5] if known else _ANY[0])
         at = {name: k for k, name in names.items()}
-        wanted = {name: [k for k, end in names.items() if tree.left[k] < 0 and end.startswith(name)] for name in names.values() if any(name.startswith(top) for top in large)}
+        wanted = {name: [k for k, end in names.items() if tree.left[k] < 0 and end.startswith(name)] for name in above}
         found = look(tree, wanted, {name: at[name] for name, n in missing.items() if n <= LOCAL})
         known |= {name: cut for name, cut in found.items() if name not in wanted}
+        for name in wanted:
+            memory[above[name]] = found[name][:4]
         while large:
             name = large.pop()
             known[name] = found[name]
-            if name in guess and found[name][1:4] == guess[name]:
+            memory[name] = found[name][:4]
+            if name in below and found[name][1:4] == below[name][1:4]:
                 large += [name + "l", name + "r"]
 
 
@@ -479,11 +500,10 @@ def fit(train: DataFrame, features: Sequence[str], y: str, settings: Settings =
     if odd or not n or not 0 < pos < all_:
         raise ContractError("labels must be 0 or 1, and both classes are needed")
     edges, start = bin_edges(train, features, settings.bins), math.log(pos / (all_ - pos))
-    blocks, trees, done, guess = pack(train, features, label, weight, edges, start, n), [], 0, {}
+    blocks, trees, done, memory = pack(train, features, label, weight, edges, start, n), [], 0, {}
     for _ in range(settings.rounds):
         if len(trees) - done == ROUNDS:
             blocks, done = with_margins(blocks, trees[done:]), len(trees)
         fresh = trees[done:]
-        tree, guess = grow(lambda tree, wanted, small: cuts(blocks, fresh, tree, wanted, small, len(features), settings), edges, settings, n, guess)
-        trees.append(tree)
+        trees.append(grow(lambda tree, wanted, small: cuts(blocks, fresh, tree, wanted, small, len(features), settings), edges, settings, n, memory))
     return Boosted(tuple(features), start, trees)

@@ -179,7 +179,7 @@ def test_leaves_found_through_sets_are_those_of_the_walk():
 
 
 def test_guessed_cuts_change_nothing_but_the_number_of_looks(spark, monkeypatch):
-    """Nodes below the cuts of the tree before hold only where the cuts are the same; a wrong guess gives the same tree."""
+    """Nodes below remembered cuts hold only where the cuts are the same; a wrong memory gives the same tree."""
     _, df = table(spark, 2000)
     settings = B.Settings(rounds=6, rate=0.05, leaves=6, min_leaf=40, bins=32)
     monkeypatch.setattr(B, "LOCAL", 0)
@@ -187,11 +187,11 @@ def test_guessed_cuts_change_nothing_but_the_number_of_looks(spark, monkeypatch)
     monkeypatch.setattr(B, "cuts", lambda *a: looks.append(1) or cuts(*a))
     guessed = B.fit(df, FEATURES, "y", settings)
     with_guess = len(looks)
-    monkeypatch.setattr(B, "grow", lambda look, edges, settings, rows, guess: grow(look, edges, settings, rows))
+    monkeypatch.setattr(B, "grow", lambda look, edges, settings, rows, memory: grow(look, edges, settings, rows))
     plain = B.fit(df, FEATURES, "y", settings)
     without = len(looks) - with_guess
-    wrong = {"": (3, 0, False), "l": (2, 5, True), "ll": (0, 1, False), "r": (1, 2, True)}
-    monkeypatch.setattr(B, "grow", lambda look, edges, settings, rows, guess: grow(look, edges, settings, rows, wrong))
+    wrong = {"": (9.0, 3, 0, False), "l": (8.0, 2, 5, True), "ll": (7.0, 0, 1, False), "r": (6.0, 1, 2, True)}
+    monkeypatch.setattr(B, "grow", lambda look, edges, settings, rows, memory: grow(look, edges, settings, rows, dict(wrong)))
     misled = B.fit(df, FEATURES, "y", settings)
     assert with_guess < without
     for other in (plain, misled):
